@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Sequence
 
 #: Two adjacent characters that any of the libraries may hold for white space.
-ADJACENT = re.compile(r"[\s\x1c-\x1f\x85᠎​﻿]{2}")
+ADJACENT = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]{2}")
 #: Units kept per Python worker; a full cache is emptied, which costs time only.
 CACHE_UNITS = 300_000
 
