@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, decontaminate, near_dedup, token_output
+from heliograph.llm import byte_bpe, decontaminate, near_dedup, quality, token_output
 from heliograph.llm.session import new_path
 
 
@@ -38,13 +38,23 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Params(shingle=2))
     return groups.withColumn("kept", F.expr("doc_id = component_id"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op5_token_output": op5_token_output, "op7_byte_bpe": op7_byte_bpe, "op10_near_dedup": op10_near_dedup}
+    return {"op1_decontaminate": op1_decontaminate, "op5_token_output": op5_token_output, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op10_near_dedup": op10_near_dedup, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

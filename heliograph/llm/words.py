@@ -90,27 +90,34 @@ def runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, n
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each row's words start (one entry more than rows)."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = table[data]
-    inside = low != 0
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
+def spans(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of one nonzero class; runs do not reach over rows."""
+    n = len(classes)
+    inside = classes != 0
+    starts, ends = inside.copy(), inside.copy()
+    change = classes[1:] != classes[:-1]
+    starts[1:] &= change
+    ends[:-1] &= change
     cut = offsets[:-1][offsets[:-1] < n]
-    starts[cut] = inside[cut]  # words do not reach over rows
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
+    starts[cut] = inside[cut]
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_HASH[low] * up[:n], out=total[1:])
-    hashes = splitmix((total[e] - total[s]) * down[s])
-    return hashes, np.searchsorted(s, offsets)
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of a sequence of symbols below 257."""
+    up, down = _powers(len(symbols) + 1)
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(_BYTE_HASH[symbols] * up[: len(symbols)], out=total[1:])
+    return splitmix((total[ends] - total[starts]) * down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each row's words start (one entry more than rows)."""
+    low = table[data]
+    starts, ends = spans(low != 0, offsets)
+    return span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
