@@ -134,50 +134,72 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def judge(block: Block, filters: dict, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+    """Word counts, merged hit ranges and sorted item ids of some texts."""
+    span, gram = block.span, block.gram
+    hashes, first = word_hashes(data, offsets, ALNUM)
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    if block.found:
+        g = grams(hashes, gram)
+        same = row_of[: max(0, len(hashes) - span + 1)] == row_of[span - 1 :]
+        at = winnowed(g, same, block.window)
+        at = at[members(g[at], *filters[0])]
+        for p, h in zip(at.tolist(), g[at].tolist(), strict=True):
+            seeds[int(row_of[p])].append((p, h))
+    short: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for n in block.short:
+        g = grams(hashes, n)
+        same = row_of[: len(g)] == row_of[n - 1 :]
+        at = np.flatnonzero(members(g, *filters[n]) & same)
+        for p, h in zip(at.tolist(), g[at].tolist(), strict=True):
+            short[int(row_of[p])].append((p, n, h))
+    hit: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
+    names: list[list[str]] = [[] for _ in range(len(texts))]
+    for r in {*seeds, *short}:
+        words, start = split_words(texts[r].as_py()), int(first[r])
+        ranges, ids = extended(words, [(p - start, h) for p, h in seeds[r]], block)
+        for p, n, h in short[r]:
+            for k in block.short[n][h]:
+                if words[p - start : p - start + n] == block.words[k]:
+                    ranges.append((p - start, p - start + n))
+                    ids.add(block.ids[k])
+        hit[r], names[r] = merged(ranges), sorted(ids)
+    return np.diff(first).astype(np.int64), hit, names
+
+
 def found_in(docs: DataFrame, items: list[tuple[str, str]], span: int, gram: int) -> DataFrame:
-    """Hit ranges and items of every document against one block of items."""
+    """Hit ranges and items of every document against one block of items. Map only."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    made: list = []
+    pair = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            block = Block(shared.value, span, gram)
-            made.append((block, block.filters()))
-        block, filters = made[0]
+        block = Block(shared.value, span, gram)
+        filters = block.filters()
         for batch in batches:
             for rows, data, offsets in runs(batch, 1):
-                hashes, first = word_hashes(data, offsets, ALNUM)
-                row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                if block.found:
-                    g = grams(hashes, gram)
-                    same = row_of[: max(0, len(hashes) - span + 1)] == row_of[span - 1 :]
-                    at = winnowed(g, same, block.window)
-                    at = at[members(g[at], *filters[0])]
-                    for p, h in zip(at.tolist(), g[at].tolist(), strict=True):
-                        seeds[int(row_of[p])].append((p, h))
-                short: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                for n in block.short:
-                    g = grams(hashes, n)
-                    same = row_of[: len(g)] == row_of[n - 1 :]
-                    at = np.flatnonzero(members(g, *filters[n]) & same)
-                    for p, h in zip(at.tolist(), g[at].tolist(), strict=True):
-                        short[int(row_of[p])].append((p, n, h))
-                hit, names = [[] for _ in range(len(rows))], [[] for _ in range(len(rows))]
-                for r in {*seeds, *short}:
-                    words, start = split_words(rows.column(1)[r].as_py()), int(first[r])
-                    ranges, ids = extended(words, [(p - start, h) for p, h in seeds[r]], block)
-                    for p, n, h in short[r]:
-                        for k in block.short[n][h]:
-                            if words[p - start : p - start + n] == block.words[k]:
-                                ranges.append((p - start, p - start + n))
-                                ids.add(block.ids[k])
-                    hit[r], names[r] = [{"first": a, "last": b} for a, b in merged(ranges)], sorted(ids)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(hit, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "ranges", "items"])
+                n, hit, names = judge(block, filters, rows.column(1), data, offsets)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array([[{"first": a, "last": b} for a, b in x] for x in hit], pa.list_(pair)), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "ranges", "items"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(kernel, FOUND)
 
 
+def without(docs: DataFrame, items: list[tuple[str, str]], span: int, gram: int) -> DataFrame:
+    """``docs`` without the rows that hold a window of one block of items. Map only."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    text_at = docs.columns.index("text")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(shared.value, span, gram)
+        filters = block.filters()
+        for batch in batches:
+            for rows, data, offsets in runs(batch, text_at):
+                _, hit, _ = judge(block, filters, rows.column(text_at), data, offsets)
+                yield rows.filter(pa.array([not x for x in hit], pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
     """The benchmark's items in as many parts as its measured size needs, each of about ``block_words`` words."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -216,11 +238,8 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5) -> DataFrame:
-    """``docs`` without documents that hold a benchmark window; columns unchanged.
-
-    Hits are few, so the contaminated ids are taken from ``contamination`` and
-    anti-joined; rows with a null ``doc_id`` that hold a window are dropped too.
-    """
-    bad = contamination(docs, benchmark, span, gram).where("size(items) > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").select(docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without rows that hold a benchmark window; columns unchanged. One map-only pass for each block of the benchmark."""
+    for part in blocks(benchmark, block_words):
+        docs = without(docs, [tuple(r) for r in part.collect()], span, gram)
+    return docs
