@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, decontaminate, near_dedup, quality, token_output, url_rules
+from heliograph.llm import byte_bpe, decontaminate, html_text, license_scan, near_dedup, quality, token_output, url_rules
 from heliograph.llm.session import new_path
 
 
@@ -40,6 +40,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.catalogue(token_output.read_tokens(spark, path))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Params(shingle=2))
     return groups.withColumn("kept", F.expr("doc_id = component_id"))
@@ -62,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_url_rules": op4_url_rules, "op5_token_output": op5_token_output, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op10_near_dedup": op10_near_dedup, "pipeline": pipeline}
+    return {"op1_decontaminate": op1_decontaminate, "op4_url_rules": op4_url_rules, "op5_token_output": op5_token_output, "op6_license_scan": op6_license_scan, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op9_html_text": op9_html_text, "op10_near_dedup": op10_near_dedup, "pipeline": pipeline}
 
 
 #: Word positions of every document as in op1 and op6.
