@@ -9,11 +9,11 @@ are compared on their full sets.
 Work is bounded for every kind of repetition:
 
 * documents with equal sets form a class first; only its least ``doc_id`` goes on;
-* in a bucket, each member is compared with the bucket's least member, so a
-  bucket of m members gives m - 1 pairs. Members that end up in different
-  components are then compared with one another, where sizes and distances to
-  that least member leave a link possible (Jaccard distance is a metric, so a
-  pair is skipped only if it cannot be a link);
+* in a bucket, each member is compared with the bucket's leader, so a bucket of
+  m members gives m - 1 pairs. Members that end up in different components are
+  then compared with one another, where sizes and distances to the leader leave
+  a link possible (Jaccard distance is a metric, so a pair is skipped only if it
+  cannot be a link);
 * components are found by label contraction on tables in the shared folder.
 
 Null and wordless texts have empty sets and link with nothing. Rows with equal
@@ -129,10 +129,12 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal keys, so any row's keys will do; the partial aggregation takes copies together before the shuffle.
     classes, classes_at = written(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
-    chosen = classes.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    leaders = chosen.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
+    chosen = classes.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    # The leader is the least by one of four orders, so overlapping buckets of a large group do not all hang on one member.
+    order = F.xxhash64("doc_id", F.col("band") % 4)
+    leaders = chosen.groupBy("key").agg(F.min(F.struct(order, "doc_id"))["doc_id"].alias("leader"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key", "leader")
     members, members_at = written(chosen.join(leaders, "key").select("key", "leader", "doc_id", "n_shingles"), "members")
-    star = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = members.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     asked = members.select("doc_id").distinct()
     texts, texts_at = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "candidates")
     first, first_at = written(compared(star, texts, p), "star")
@@ -143,7 +145,8 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # Members of one bucket that the star left in different components.
     known = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    distance = first.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("n_common") / F.col("n_union")).alias("distance"))
+    ratio = (1 - F.col("n_common") / F.col("n_union")).alias("distance")
+    distance = first.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), ratio).unionByName(first.select(F.col("b").alias("leader"), F.col("a").alias("doc_id"), ratio)).groupBy("leader", "doc_id").agg(F.min("distance").alias("distance"))
     open_members = known.join(split, "key", "left_semi").join(distance, ["leader", "doc_id"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     x = open_members.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("component").alias("component_a"), F.col("distance").alias("distance_a")).where("a <> leader")
     y = open_members.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("component").alias("component_b"), F.col("distance").alias("distance_b")).where("b <> leader")
