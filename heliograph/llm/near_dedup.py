@@ -10,10 +10,9 @@ Work is bounded for every kind of repetition:
 
 * documents with equal sets form a class first; only its least ``doc_id`` goes on;
 * in a bucket, each member is compared with the bucket's leader, so a bucket of
-  m members gives m - 1 pairs. Members that end up in different components are
-  then compared with one another, where sizes and distances to the leader leave
-  a link possible (Jaccard distance is a metric, so a pair is skipped only if it
-  cannot be a link);
+  m members gives m - 1 pairs. Where members end up in different components,
+  their documents are joined on their rarest shingles, an exact filter that
+  loses no link, and the pairs that pass are compared;
 * components are found by label contraction on tables in the shared folder.
 
 Null and wordless texts have empty sets and link with nothing. Rows with equal
@@ -29,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.components import components
@@ -122,6 +121,41 @@ def compared(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return joined.mapInArrow(kernel, "a bigint, b bigint, n_common bigint, n_union bigint")
 
 
+def rare_pairs(texts: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of documents of different components that may be links; ``texts``: doc_id, text, component.
+
+    Shingles of a document are ordered from the rarest to the commonest. Two
+    linked sets share a shingle among the first of both, and the first shared
+    one leaves enough shingles after it for the overlap that a link needs; pairs
+    that no shingle vouches for in this way are no links. Documents far from a
+    large group begin with shingles of their own, so they are not paired with
+    its members.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in runs(batch, 2):
+                sets = shingle_sets(rows, data, offsets, p.shingle)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                own = np.array([int(np.add.reduce(splitmix(x))) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(own), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))], names=["doc_id", "component", "own", "size", "shingles"])
+
+    sets = texts.select("doc_id", "component", "text").mapInArrow(kernel, "doc_id bigint, component bigint, own bigint, size bigint, shingles array<bigint>")
+    each = sets.select("doc_id", "component", "own", "size", F.explode("shingles").alias("shingle"))
+    counted = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("n", "shingle")).alias("place")
+    first = each.join(counted, "shingle").select("doc_id", "component", "size", "shingle", place).where(F.expr(f"place <= size - ceil(size * {p.percent} / 100) + 1"))
+    # Of each shingle, the largest component's documents are paired with those of other components only.
+    heavy = first.groupBy("shingle").agg(F.mode("component", True).alias("heavy"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "heavy")
+    found = first.join(heavy, "shingle")
+    x = found.where("component <> heavy").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("component_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
+    y = found.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), (F.col("component") == F.col("heavy")).alias("is_heavy"))
+    enough = F.expr(f"component_a <> component_b and (is_heavy or a < b) and (least(size_a - place_a, size_b - place_b) + 1) * {100 + p.percent} >= {p.percent} * (size_a + size_b)")
+    return x.join(y, "shingle").where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (least linked ``doc_id``) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -129,11 +163,11 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal keys, so any row's keys will do; the partial aggregation takes copies together before the shuffle.
     classes, classes_at = written(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
-    chosen = classes.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    chosen = classes.select("doc_id", F.posexplode("keys").alias("band", "key"))
     # The leader is the least by one of four orders, so overlapping buckets of a large group do not all hang on one member.
     order = F.xxhash64("doc_id", F.col("band") % 4)
     leaders = chosen.groupBy("key").agg(F.min(F.struct(order, "doc_id"))["doc_id"].alias("leader"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key", "leader")
-    members, members_at = written(chosen.join(leaders, "key").select("key", "leader", "doc_id", "n_shingles"), "members")
+    members, members_at = written(chosen.join(leaders, "key").select("key", "leader", "doc_id"), "members")
     star = members.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     asked = members.select("doc_id").distinct()
     texts, texts_at = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "candidates")
@@ -142,16 +176,11 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = first.where(is_link).select("a", "b")
     label, label_at = written(components(links), "labels")
 
-    # Members of one bucket that the star left in different components.
-    known = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # Documents of buckets that the star left in different components are joined on rare shingles, without loss.
+    known = members.select("key", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    ratio = (1 - F.col("n_common") / F.col("n_union")).alias("distance")
-    distance = first.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), ratio).unionByName(first.select(F.col("b").alias("leader"), F.col("a").alias("doc_id"), ratio)).groupBy("leader", "doc_id").agg(F.min("distance").alias("distance"))
-    open_members = known.join(split, "key", "left_semi").join(distance, ["leader", "doc_id"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    x = open_members.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("component").alias("component_a"), F.col("distance").alias("distance_a")).where("a <> leader")
-    y = open_members.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("component").alias("component_b"), F.col("distance").alias("distance_b")).where("b <> leader")
-    may_link = F.expr(f"a < b and component_a <> component_b and 100 * least(size_a, size_b) >= {p.percent} * greatest(size_a, size_b) and abs(distance_a - distance_b) <= {1 - p.percent / 100} + 1e-9")
-    cross = x.join(y, "key").where(may_link).select("a", "b").distinct()
+    undecided = known.join(split, "key", "left_semi").select("doc_id", "component").distinct()
+    cross = rare_pairs(texts.join(undecided, "doc_id"), p)
     second, second_at = written(compared(cross, texts, p), "cross")
 
     # Copies carry their class's label; a doc_id that stands for several sets ties their labels together.
