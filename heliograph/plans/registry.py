@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def without_decimals(df: DataFrame) -> DataFrame:
+    """Decimals, as SQL's literals make them, as doubles."""
+    return df.select(*(F.col(n).cast("double").alias(n) if t.startswith("decimal") else n for n, t in df.dtypes))
+
+
 def rounded(name: str, digits: int = 6) -> str:
     """Rounded, and without a negative zero."""
     return f"round({name}, {digits}) + 0.0"
@@ -42,7 +47,7 @@ def series(name: str, outputs: Mapping[str, str] | Sequence[str], *stages: Stage
     def run(spark: SparkSession, folder: str) -> DataFrame:
         df = with_stages(daily_bars(spark, folder) if daily else event_bars(spark, folder), stages)
         df = df.where(where) if where else df
-        return df.select("symbol", "ts", *(F.expr(e).alias(n) for n, e in out.items()))
+        return without_decimals(df.select("symbol", "ts", *(F.expr(e).alias(n) for n, e in out.items())))
 
     inner = staged_sql(DAILY_BARS_SQL if daily else EVENT_BARS_SQL, duck or stages)
     columns = ", ".join(f"{e} AS {n}" for n, e in out.items())
@@ -61,7 +66,7 @@ def table_query(name: str, spark_sql: str, duck_sql: str | None = None, tables:
             frames["bars"] = event_bars(spark, folder)
         if "days" in tables:
             frames["days"] = daily_bars(spark, folder)
-        return spark.sql(spark_sql, **frames)
+        return without_decimals(spark.sql(spark_sql, **frames))
 
     text = duck_sql or spark_sql
     for t in tables:

@@ -25,8 +25,8 @@ table_query("t24_swap_nights", "SELECT o_orderkey, CAST(aggregate(filter(sequenc
 # --- sources, cleaning, sets
 table_query("s01_keep_last_per_key", "SELECT event_type, hour_ts, event_id, value FROM (SELECT *, date_trunc('hour', ts) AS hour_ts, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS e WHERE rn = 1", None, ["events"])
 table_query("s12_keep_first_per_key", "SELECT event_type, hour_ts, event_id, value FROM (SELECT *, date_trunc('hour', ts) AS hour_ts, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM {events}) AS e WHERE rn = 1", None, ["events"])
-table_query("s09_trim_sparse_months", "WITH m AS (SELECT symbol, date_trunc('month', ts) AS mon, count(*) AS n FROM {days} GROUP BY symbol, date_trunc('month', ts)), b AS (SELECT *, CASE WHEN n < 0.9 * avg(n) OVER (PARTITION BY symbol) THEN 1.0 ELSE 0.0 END AS bad FROM m), c AS (SELECT *, avg(bad) OVER (PARTITION BY symbol ORDER BY mon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS share FROM b), k AS (SELECT symbol, max(CASE WHEN share >= 0.5 THEN mon END) AS cut FROM c GROUP BY symbol) SELECT d.symbol, count(*) AS n FROM {days} AS d JOIN k ON d.symbol = k.symbol WHERE k.cut IS NULL OR date_trunc('month', d.ts) > k.cut GROUP BY d.symbol", None, ["days"])
-table_query("s11_cost_row", "SELECT event_type, median(value) AS spread, round(10000 * median(value) / avg(value), 6) + 0.0 AS bps, avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END) AS small_share FROM {events} WHERE value > 0 AND hour(ts) BETWEEN 7 AND 19 GROUP BY event_type", None, ["events"])
+table_query("s09_trim_sparse_months", "WITH m AS (SELECT symbol, date_trunc('month', ts) AS mon, count(*) AS n FROM {days} GROUP BY symbol, date_trunc('month', ts)), b AS (SELECT *, CASE WHEN n < 0.9 * avg(n) OVER (PARTITION BY symbol) THEN 1 ELSE 0 END AS bad FROM m), c AS (SELECT *, avg(bad) OVER (PARTITION BY symbol ORDER BY mon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS share FROM b), k AS (SELECT symbol, max(CASE WHEN share >= 0.5 THEN mon END) AS cut FROM c GROUP BY symbol) SELECT d.symbol, count(*) AS n FROM {days} AS d JOIN k ON d.symbol = k.symbol WHERE k.cut IS NULL OR date_trunc('month', d.ts) > k.cut GROUP BY d.symbol", None, ["days"])
+table_query("s11_cost_row", "SELECT event_type, median(value) AS spread, round(10000 * median(value) / avg(value), 6) + 0.0 AS bps, avg(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS small_share FROM {events} WHERE value > 0 AND hour(ts) BETWEEN 7 AND 19 GROUP BY event_type", None, ["events"])
 table_query("s16_panel", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, n_name, round(sum(o_totalprice), 2) AS revenue, count(*) AS n FROM {orders} AS o JOIN {customer} AS c ON o_custkey = c_custkey JOIN {nation} AS n ON c_nationkey = n_nationkey GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE), n_name", None, ["orders", "customer", "nation"])
 table_query("s35_ragged_parse", "SELECT event_id, get(parts, 0) AS kind, try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS number FROM (SELECT event_id, props, split(event_type, '_') AS parts FROM {events}) AS e", "SELECT event_id, parts[1] AS kind, try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS number FROM (SELECT event_id, props, string_split(event_type, '_') AS parts FROM events) AS e", ["events"])
 table_query("p02_whitelist", "SELECT event_type, count(*) AS n FROM {events} WHERE upper(trim(event_type)) IN ('PURCHASE', 'SIGNUP', 'CLICK') GROUP BY event_type", None, ["events"])
@@ -40,13 +40,14 @@ table_query("k02_top_bottom_per_group", "SELECT o_custkey, o_orderkey, CASE WHEN
 table_query("k04_most_common", "SELECT word, count(*) AS n FROM (SELECT explode(split(p_type, ' ')) AS word FROM {part}) AS p GROUP BY word ORDER BY n DESC, word LIMIT 10", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS word FROM part) AS p GROUP BY word ORDER BY n DESC, word LIMIT 10", ["part"])
 table_query("k05_union_all", "SELECT kind, count(*) AS n FROM (SELECT 'customer' AS kind, c_nationkey AS k FROM {customer} UNION ALL SELECT 'supplier', s_nationkey FROM {supplier}) AS u GROUP BY kind", None, ["customer", "supplier"])
 table_query("k06_aligned_union", "SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY c_nationkey) AS a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY s_nationkey) AS b ON a.k = b.k", None, ["customer", "supplier"])
-table_query("k07_anti_filter", "SELECT c_custkey FROM {customer} AS c WHERE NOT EXISTS (SELECT 1 FROM {orders} AS o WHERE o.o_custkey = c.c_custkey)", None, ["customer", "orders"])
+table_query("k07_anti_filter", "SELECT c_custkey FROM {customer} AS c WHERE NOT EXISTS (SELECT 1 FROM {orders} AS o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')", None, ["customer", "orders"])
 table_query("k08_fingerprint_dedupe", "WITH f AS (SELECT l_orderkey, array_join(array_sort(collect_list(concat(l_returnflag, l_linestatus))), '|') AS fp FROM {lineitem} GROUP BY l_orderkey) SELECT fp, min(l_orderkey) AS kept, count(*) AS n FROM f GROUP BY fp", "WITH f AS (SELECT l_orderkey, list_aggregate(list_sort(list(concat(l_returnflag, l_linestatus))), 'string_agg', '|') AS fp FROM lineitem GROUP BY l_orderkey) SELECT fp, min(l_orderkey) AS kept, count(*) AS n FROM f GROUP BY fp", ["lineitem"])
 table_query("k10_median_rank", "SELECT p_brand, med, CAST(rank() OVER (ORDER BY med DESC) AS BIGINT) AS place FROM (SELECT p_brand, median(p_retailprice) AS med FROM {part} GROUP BY p_brand) AS p", None, ["part"])
 
 # --- joins
-table_query("j01_as_of", "SELECT event_id, last_value(v) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, tag, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signup_value FROM (SELECT event_id, user_id, ts, 1 AS tag, CAST(NULL AS DOUBLE) AS v, event_type FROM {events} WHERE event_type = 'purchase' UNION ALL SELECT event_id, user_id, ts, 0, value, event_type FROM {events} WHERE event_type = 'signup') AS u QUALIFY tag = 1", "SELECT p.event_id, s.value AS signup_value FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') AS s ON p.user_id = s.user_id AND p.ts >= s.ts", ["events"])
-table_query("j02_grid_fill", "WITH g AS (SELECT explode(sequence(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS d FROM {events}), k AS (SELECT user_id, date_trunc('day', ts) AS d, sum(value) AS v FROM {events} WHERE user_id < 20 GROUP BY user_id, date_trunc('day', ts)), u AS (SELECT DISTINCT user_id FROM k) SELECT u.user_id, g.d, round(last_value(k.v) IGNORE NULLS OVER (PARTITION BY u.user_id ORDER BY g.d), 4) AS filled, coalesce(round(k.v, 4), 0.0) AS own FROM g CROSS JOIN u LEFT JOIN k ON k.user_id = u.user_id AND k.d = g.d", "WITH g AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS d FROM events), k AS (SELECT user_id, date_trunc('day', ts) AS d, sum(value) AS v FROM events WHERE user_id < 20 GROUP BY user_id, date_trunc('day', ts)), u AS (SELECT DISTINCT user_id FROM k) SELECT u.user_id, g.d, round(last_value(k.v IGNORE NULLS) OVER (PARTITION BY u.user_id ORDER BY g.d), 4) AS filled, coalesce(round(k.v, 4), 0.0) AS own FROM g CROSS JOIN u LEFT JOIN k ON k.user_id = u.user_id AND k.d = g.d", ["events"])
+table_query("j01_as_of", "SELECT event_id, signup_value FROM (SELECT event_id, tag, last_value(v) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, tag, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signup_value FROM (SELECT event_id, user_id, ts, 1 AS tag, CAST(NULL AS DOUBLE) AS v, event_type FROM {events} WHERE event_type = 'purchase' UNION ALL SELECT event_id, user_id, ts, 0, value, event_type FROM {events} WHERE event_type = 'signup') AS u) AS w WHERE tag = 1", "SELECT p.event_id, s.value AS signup_value FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') AS s ON p.user_id = s.user_id AND p.ts >= s.ts", ["events"])
+#: The first and the last day are one row; every user gets the days between them.
+table_query("j02_grid_fill", "WITH k AS (SELECT user_id, date_trunc('day', ts) AS d, sum(value) AS v FROM {events} GROUP BY user_id, date_trunc('day', ts)), g AS (SELECT user_id, explode(sequence(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT user_id FROM k) AS u CROSS JOIN (SELECT min(d) AS lo, max(d) AS hi FROM k) AS b) SELECT g.user_id, g.d, round(last_value(k.v) IGNORE NULLS OVER (PARTITION BY g.user_id ORDER BY g.d), 4) AS filled, coalesce(round(k.v, 4), 0.0) AS own FROM g LEFT JOIN k ON k.user_id = g.user_id AND k.d = g.d", "WITH k AS (SELECT user_id, date_trunc('day', ts) AS d, sum(value) AS v FROM events GROUP BY user_id, date_trunc('day', ts)), g AS (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT user_id FROM k) AS u CROSS JOIN (SELECT min(d) AS lo, max(d) AS hi FROM k) AS b) SELECT g.user_id, g.d, round(last_value(k.v IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.d), 4) AS filled, coalesce(round(k.v, 4), 0.0) AS own FROM g LEFT JOIN k ON k.user_id = g.user_id AND k.d = g.d", ["events"])
 table_query("j08_cross_leg_index", "SELECT ts, round(exp(avg(CASE WHEN symbol IN ('purchase', 'signup') THEN 1 ELSE -1 END * ln(close))), 6) + 0.0 AS idx FROM {bars} GROUP BY ts HAVING count(*) >= 4", None, ["bars"])
 table_query("j09_weighted_product", "SELECT ts, round(exp(sum(ln(close) / 5)), 6) + 0.0 AS idx FROM {bars} GROUP BY ts HAVING count(*) = 5", None, ["bars"])
 table_query("j11_previous_day_extremes", "SELECT b.symbol, b.ts, round(b.close / p.hi - 1, 6) + 0.0 AS to_high, round(b.close / p.lo - 1, 6) + 0.0 AS to_low FROM {bars} AS b JOIN (SELECT symbol, d, lag(hi) OVER (PARTITION BY symbol ORDER BY d) AS hi, lag(lo) OVER (PARTITION BY symbol ORDER BY d) AS lo FROM (SELECT symbol, CAST(ts AS DATE) AS d, max(high) AS hi, min(low) AS lo FROM {bars} GROUP BY symbol, CAST(ts AS DATE)) AS x) AS p ON b.symbol = p.symbol AND CAST(b.ts AS DATE) = p.d", None, ["bars"])
@@ -62,12 +63,12 @@ table_query("a02_four_hour_bars", "SELECT symbol, bin, min_by(open, ts) AS open,
 table_query("a01_tick_microstructure", "SELECT event_type, h, count(*) AS ticks, round(sqrt(sum(r * r)), 6) + 0.0 AS rv, round((count_if(r > 0) - count_if(r < 0)) / nullif(CAST(count_if(r <> 0) AS DOUBLE), 0), 6) + 0.0 AS imbalance FROM (SELECT event_type, date_trunc('hour', ts) AS h, ln(value) - ln(lag(value) OVER (PARTITION BY event_type ORDER BY ts)) AS r FROM {events}) AS e GROUP BY event_type, h", None, ["events"])
 table_query("a05_monthly_matrix", "SELECT m, " + ", ".join(f"round(coalesce(sum(CASE WHEN symbol = '{s}' THEN r END), 0), 6) + 0.0 AS {s.lower()}" for s in ("AF", "AO", "NF", "NO", "RF", "RO")) + f" FROM (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS m, r FROM {_PNL} AS p) AS q GROUP BY m", None, ["days"])
 table_query("a07_positive_years", f"SELECT symbol, count_if(s > 0) AS positive, count(*) AS years FROM (SELECT symbol, year(ts) AS y, sum(r) AS s FROM {_PNL} AS p GROUP BY symbol, year(ts)) AS q GROUP BY symbol", None, ["days"])
-table_query("a08_trade_metrics", f"SELECT symbol, count(r) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(-sum(CASE WHEN r < 0 THEN r ELSE 0 END), 0), 6) AS profit_factor, round(avg(r), 6) + 0.0 AS expectancy, round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r < 0 THEN r END), 6) + 0.0 AS avg_loss FROM {_PNL} AS p WHERE r IS NOT NULL GROUP BY symbol", None, ["days"])
+table_query("a08_trade_metrics", f"SELECT symbol, count(r) AS n, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS win_rate, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(-sum(CASE WHEN r < 0 THEN r ELSE 0 END), 0), 6) AS profit_factor, round(avg(r), 6) + 0.0 AS expectancy, round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r < 0 THEN r END), 6) + 0.0 AS avg_loss FROM {_PNL} AS p WHERE r IS NOT NULL GROUP BY symbol", None, ["days"])
 table_query("a09_sharpe_sortino", f"SELECT symbol, round(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252.0), 6) + 0.0 AS sharpe, round(avg(r) / nullif(stddev_pop(CASE WHEN r < 0 THEN r END), 0) * sqrt(252.0), 6) + 0.0 AS sortino FROM {_PNL} AS p GROUP BY symbol", None, ["days"])
 table_query("a11_growth_rate", "SELECT symbol, round(pow(max_by(close, ts) / min_by(close, ts), 252.0 / count(*)) - 1, 6) + 0.0 AS cagr FROM {days} GROUP BY symbol", None, ["days"])
 table_query("a12_max_drawdown", "SELECT symbol, round(-min(close / peak - 1), 6) + 0.0 AS max_drawdown FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM {days}) AS d GROUP BY symbol", None, ["days"])
 table_query("a15_streak_metrics", f"SELECT symbol, max(CASE WHEN w = 1 THEN len END) AS best_streak, max(CASE WHEN w = 0 THEN len END) AS worst_streak FROM (SELECT symbol, w, island, count(*) AS len FROM (SELECT symbol, w, sum(chg) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT symbol, ts, w, CASE WHEN w = lag(w) OVER (PARTITION BY symbol ORDER BY ts) THEN 0 ELSE 1 END AS chg FROM (SELECT symbol, ts, CASE WHEN r > 0 THEN 1 ELSE 0 END AS w FROM {_PNL} AS p WHERE r IS NOT NULL) AS a) AS b) AS c GROUP BY symbol, w, island) AS d GROUP BY symbol", None, ["days"])
-table_query("a18_per_year", f"SELECT symbol, CAST(year(ts) AS INT) AS y, count(r) AS n, round(sum(r), 6) + 0.0 AS total, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win FROM {_PNL} AS p WHERE r IS NOT NULL GROUP BY symbol, year(ts)", None, ["days"])
+table_query("a18_per_year", f"SELECT symbol, CAST(year(ts) AS INT) AS y, count(r) AS n, round(sum(r), 6) + 0.0 AS total, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS win FROM {_PNL} AS p WHERE r IS NOT NULL GROUP BY symbol, year(ts)", None, ["days"])
 table_query("a20_t_stat", f"SELECT symbol, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(r)), 6) + 0.0 AS t FROM {_PNL} AS p GROUP BY symbol", None, ["days"])
 table_query("a27_class_counts", "SELECT quality, toxic, count(*) AS n FROM {labels} GROUP BY quality, toxic", None, ["labels"])
 table_query("a28_quartile_bins", "SELECT q, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM (SELECT o_totalprice, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS q FROM {orders}) AS o GROUP BY q", None, ["orders"])
@@ -94,7 +95,7 @@ _RANKED = f"SELECT m, rank() OVER (PARTITION BY m ORDER BY v) + (count(*) OVER (
 table_query("c07_rank_correlation", f"SELECT m, round(corr(CAST(rv AS DOUBLE), CAST(rf AS DOUBLE)), 6) + 0.0 AS ic, count(*) AS n FROM ({_RANKED}) AS r GROUP BY m HAVING count(*) >= 5", None, ["orders", "customer"])
 table_query("c08_ic_summary", f"SELECT count(*) AS n, round(avg(ic), 6) + 0.0 AS mean_ic, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 6) + 0.0 AS t FROM (SELECT m, corr(CAST(rv AS DOUBLE), CAST(rf AS DOUBLE)) AS ic FROM ({_RANKED}) AS r GROUP BY m HAVING count(*) >= 5) AS s", None, ["orders", "customer"])
 table_query("c14_coverage_filter", f"SELECT k, count(*) AS n FROM {_PANEL} AS p CROSS JOIN (SELECT count(DISTINCT date_trunc('month', o_orderdate)) AS d FROM {{orders}}) AS t GROUP BY k, d HAVING count(*) >= 0.8 * d", None, ["orders", "customer"])
-table_query("w49_breadth", "SELECT ts, round(avg(CASE WHEN close > ma THEN 1.0 ELSE 0.0 END), 6) AS above, round(stddev_samp(r), 6) AS dispersion, round(median(r), 6) + 0.0 AS med FROM (SELECT symbol, ts, close, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS ma, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM {days}) AS d GROUP BY ts HAVING count(r) >= 3", None, ["days"])
+table_query("w49_breadth", "SELECT ts, round(avg(CASE WHEN close > ma THEN 1 ELSE 0 END), 6) AS above, round(stddev_samp(r), 6) AS dispersion, round(median(r), 6) + 0.0 AS med FROM (SELECT symbol, ts, close, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS ma, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM {days}) AS d GROUP BY ts HAVING count(r) >= 3", None, ["days"])
 
 # --- statistics
 _BLOCKS = "SELECT symbol, blk, avg(zs * zf) AS ic FROM (SELECT symbol, blk, (rs - avg(rs) OVER (PARTITION BY symbol)) / stddev_pop(rs) OVER (PARTITION BY symbol) AS zs, (rf - avg(rf) OVER (PARTITION BY symbol)) / stddev_pop(rf) OVER (PARTITION BY symbol) AS zf FROM (SELECT symbol, CAST(floor(rn / 50) AS BIGINT) AS blk, rank() OVER (PARTITION BY symbol ORDER BY s) + (count(*) OVER (PARTITION BY symbol, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY symbol ORDER BY f) + (count(*) OVER (PARTITION BY symbol, f) - 1) / 2.0 AS rf FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, -(close - open) AS s, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS f FROM {bars}) AS a WHERE s IS NOT NULL AND f IS NOT NULL) AS b) AS c GROUP BY symbol, blk HAVING count(*) >= 20"
@@ -123,9 +124,9 @@ table_query("z03_weighted_terms", "SELECT doc_id, 2 * least(size(split(lower(tex
 table_query("z04_best_with_union", "SELECT user_id, max_by(event_id, value * 1000000 + event_id) AS best, array_join(array_sort(collect_set(event_type)), ',') AS kinds FROM {events} GROUP BY user_id", "SELECT user_id, max_by(event_id, value * 1000000 + event_id) AS best, list_aggregate(list_sort(list_distinct(list(event_type))), 'string_agg', ',') AS kinds FROM events GROUP BY user_id", ["events"])
 table_query("z06_keyword_triage", "SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'first' ELSE 'second' END AS family FROM (SELECT doc_id, regexp_count(lower(text), 'the') AS a, regexp_count(lower(text), 'la') AS b FROM {documents}) AS d", "SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'first' ELSE 'second' END AS family FROM (SELECT doc_id, len(string_split(lower(text), 'the')) - 1 AS a, len(string_split(lower(text), 'la')) - 1 AS b FROM documents) AS d", ["documents"])
 table_query("z08_sentence_counts", "SELECT doc_id, CAST(size(regexp_extract_all(text, '[.!?] +', 0)) AS BIGINT) AS breaks FROM {documents}", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?] +')) AS BIGINT) AS breaks FROM documents", ["documents"])
-table_query("z10_period_guess", "SELECT doc_id, array_join(array_distinct(regexp_extract_all(text, '(19|20)[0-9]{2}', 0)), ',') AS years FROM {documents}", "SELECT doc_id, coalesce(array_to_string(list_filter(regexp_extract_all(text, '(19|20)[0-9]{2}', 0), lambda x, i: list_position(regexp_extract_all(text, '(19|20)[0-9]{2}', 0), x) = i), ','), '') AS years FROM documents", ["documents"])
+table_query("z10_period_guess", "SELECT doc_id, array_join(array_distinct(regexp_extract_all(text, '(?:19|20)[0-9][0-9]', 0)), ',') AS years FROM {documents}", "SELECT doc_id, coalesce(array_to_string(list_filter(regexp_extract_all(text, '(?:19|20)[0-9][0-9]', 0), lambda x, i: list_position(regexp_extract_all(text, '(?:19|20)[0-9][0-9]', 0), x) = i), ','), '') AS years FROM documents", ["documents"])
 table_query("z12_tag_strip", "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '')) AS n FROM {pages}", "SELECT page_id, CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS INT) AS n FROM pages", ["pages"])
-table_query("z13_inverted_index", "WITH w AS (SELECT doc_id, pos, word FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, word) FROM {documents} WHERE doc_id < 50) AS d), i AS (SELECT doc_id, word, collect_list(pos) AS places FROM w GROUP BY doc_id, word), e AS (SELECT doc_id, word, explode(places) AS pos FROM i) SELECT doc_id, sha2(array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' '), 256) AS digest FROM e GROUP BY doc_id", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id < 50", ["documents"])
+table_query("z13_inverted_index", "WITH w AS (SELECT doc_id, pos, word FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, word) FROM {documents}) AS d), i AS (SELECT doc_id, word, collect_list(pos) AS places FROM w GROUP BY doc_id, word), e AS (SELECT doc_id, word, explode(places) AS pos FROM i) SELECT doc_id, sha2(array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' '), 256) AS digest FROM e GROUP BY doc_id", "SELECT doc_id, sha256(text) AS digest FROM documents", ["documents"])
 table_query("z14_json_paths", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", ["events"])
 table_query("z20_url_host", "SELECT page_id, parse_url(url, 'HOST') AS host FROM {pages}", "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages", ["pages"])
 table_query("z21_slug", "SELECT page_id, element_at(split(rtrim('/', split_part(split_part(url, '?', 1), '#', 1)), '/'), -1) AS slug FROM {pages}", "SELECT page_id, string_split(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '/')[-1] AS slug FROM pages", ["pages"])

@@ -9,16 +9,22 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
-@pytest.fixture(scope="session")
-def spark():
-    session = (
+def session() -> SparkSession:
+    made = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    made.sparkContext.setLogLevel("ERROR")
+    return made
+
+
+@pytest.fixture(scope="session")
+def spark():
+    made = session()
+    yield made
+    made.stop()
