@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.units import UnitCache
+from heliograph.llm.pretokens import PretokenCache
 from heliograph.llm.words import runs
 
 WRITE = {"orc.compress": "ZSTD", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
-_MADE: dict[str, UnitCache] = {}
+_MADE: dict[str, PretokenCache] = {}
 
 
-def _tokenizer(path: str) -> UnitCache:
+def _tokenizer(path: str) -> PretokenCache:
     """The worker's tokenizer for a vocabulary file on its own disk, made at first use."""
     if path not in _MADE:
         import os
@@ -39,23 +39,21 @@ def _tokenizer(path: str) -> UnitCache:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        _MADE[path] = UnitCache(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(list(texts), add_special_tokens=False)])
+        _MADE[path] = PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
     return _MADE[path]
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and ``text_hash`` of every text, in the order of the input's partitions."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _tokenizer(vocabulary)
         for batch in batches:
             for rows, _, _ in runs(batch, 1):
-                ids = [x + end for x in cache.whole([t or "" for t in rows.column(1).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), flat), rows.column(2)], names=["doc_id", "n_tokens", "ids", "text_hash"])
+                counts, ids = cache.whole([t or "" for t in rows.column(1).to_pylist()])
+                ends = np.cumsum(counts)
+                flat = pa.array(np.insert(ids, ends, end_id).view(np.int32))
+                offsets = np.concatenate([[0], ends + np.arange(1, len(counts) + 1)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts + 1), pa.ListArray.from_arrays(pa.array(offsets), flat), rows.column(2)], names=["doc_id", "n_tokens", "ids", "text_hash"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, ids array<int>, text_hash bigint")
 
