@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.plans import registry, signals, tables, windows  # noqa: F401  importing registers
+from heliograph.plans import recursive, registry, signals, tables, windows  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, registry.Query]:
