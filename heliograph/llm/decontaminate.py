@@ -12,12 +12,13 @@ must agree as a whole.
 
 The benchmark is read in blocks of bounded size (``BLOCK_WORDS``), each sent to
 all tasks and held against all documents; blocks' hits are put together for
-each document. One block, the usual case, needs no shuffle of documents.
+each row. One block, the usual case, needs no shuffle of documents.
 
 Null and wordless texts have no words; null and wordless items have no window.
-Items with one ``item_id`` count as one. Rows with equal ``doc_id`` are judged
-alone when there is one block. With more, they must be distinct documents.
-Other columns are not read. Empty tables give no hits.
+Items with one ``item_id`` count as one. Every row is judged alone, whatever its
+``doc_id``: with several blocks, hits are put together by a row number that is
+written with the documents before the first block. Other columns are not read.
+Empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.session import written
+from heliograph.llm.session import removed, written
 from heliograph.llm.words import ALNUM, ALNUM_TRANSLATE, grams, runs, word_hashes
 
 #: Words of a block of the benchmark: some 60 MB in each Python worker.
 BLOCK_WORDS = 400_000
-FOUND = "doc_id bigint, n_words bigint, ranges array<struct<first:bigint,last:bigint>>, items array<string>"
+FOUND = "n_words bigint, ranges array<struct<first:bigint,last:bigint>>, items array<string>"
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -169,7 +170,8 @@ def judge(block: Block, filters: dict, texts: pa.Array, data: np.ndarray, offset
 
 
 def found_in(docs: DataFrame, items: list[tuple[str, str]], span: int, gram: int) -> DataFrame:
-    """Hit ranges and items of every document against one block of items. Map only."""
+    """Hit ranges and items of every row against one block of items, beside its columns other than ``text`` (all bigint). Map only."""
+    keys = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(items)
     pair = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
@@ -177,11 +179,11 @@ def found_in(docs: DataFrame, items: list[tuple[str, str]], span: int, gram: int
         block = Block(shared.value, span, gram)
         filters = block.filters()
         for batch in batches:
-            for rows, data, offsets in runs(batch, 1):
-                n, hit, names = judge(block, filters, rows.column(1), data, offsets)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array([[{"first": a, "last": b} for a, b in x] for x in hit], pa.list_(pair)), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "ranges", "items"])
+            for rows, data, offsets in runs(batch, len(keys)):
+                n, hit, names = judge(block, filters, rows.column(len(keys)), data, offsets)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], pa.array(n), pa.array([[{"first": a, "last": b} for a, b in x] for x in hit], pa.list_(pair)), pa.array(names, pa.list_(pa.string()))], names=[*keys, "n_words", "ranges", "items"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(kernel, FOUND)
+    return docs.select(*keys, "text").mapInArrow(kernel, ", ".join([*(f"{c} bigint" for c in keys), FOUND]))
 
 
 def without(docs: DataFrame, items: list[tuple[str, str]], span: int, gram: int) -> DataFrame:
@@ -210,19 +212,27 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFra
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: ``n_words``, merged hit ``ranges`` of word positions [first, last), and the ``items`` that occur (sorted as strings).
+    """Per row: ``doc_id``, ``n_words``, merged hit ``ranges`` of word positions [first, last), and the ``items`` that occur (sorted as strings).
 
-    With several blocks, each block's result is a table in the shared folder
-    before the next block is read, so the driver holds one block at a time.
+    With several blocks, ids and texts are first written with a row number to
+    the shared folder. Each block's result is a table there before the next
+    block is read, so the driver holds one block at a time; the first has all
+    rows, the others those that are hit.
     """
-    parts = blocks(benchmark, block_words)
+    parts, own = blocks(benchmark, block_words), docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if len(parts) == 1:
-        return found_in(docs, [tuple(r) for r in parts[0].collect()], span, gram)
-    tables = [written(found_in(docs, [tuple(r) for r in part.collect()], span, gram), "block")[0] for part in parts]
+        return found_in(own, [tuple(r) for r in parts[0].collect()], span, gram)
+    numbered, path = written(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    tables = []
+    for i, part in enumerate(parts):
+        found = found_in(numbered, [tuple(r) for r in part.collect()], span, gram)
+        tables.append(written(found.where("size(items) > 0") if i else found, "block")[0])
+    removed(docs.sparkSession, path)
     union = tables[0]
     for more in tables[1:]:
         union = union.unionByName(more)
-    return union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = union.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.drop("row")
 
 
 def summary(found: DataFrame) -> DataFrame:

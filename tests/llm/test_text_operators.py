@@ -70,6 +70,13 @@ def test_contamination_in_blocks(spark):
     assert kept == {r[0] for r in brute_contamination(rows, ITEMS) if not r[-1]}
 
 
+def test_contamination_in_blocks_with_repeated_and_null_ids(spark):
+    rows = [*texts(), (3, "one"), (None, ITEMS[3][1]), (3, texts()[3][1])]
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = decontaminate.summary(decontaminate.contamination(documents(spark, rows), bench, block_words=20)).collect()
+    assert pairs(tuple(r) for r in got) == brute_contamination(rows, ITEMS)
+
+
 def test_contamination_of_empty_tables(spark):
     none, bench = documents(spark, []), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(none, bench).count() == 0
