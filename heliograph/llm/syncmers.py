@@ -2,16 +2,24 @@
 
 Of the UTF-8 bytes of a text, a k-mer is an anchor if the least of its inner
 s-mers, by hash, stands at its first or last place. That depends on the k-mer
-alone, so texts that share a passage share its anchors, wherever it stands. An
-anchor that occurs again counts as another, by its number of occurrence, so
-likeness is that of multisets. A fingerprint holds the ``keep`` least hashes of
-numbered anchors, in hex; likeness of two is the share of common ones among the
-least of both (exact for texts of fewer anchors).
+alone, so texts that share a passage share its anchors, wherever it stands.
+
+A fingerprint holds every anchor of its text, in order: in hex, one byte with
+the distance in bytes from the anchor before (the first: from the start) and
+eight with the hash. Adjacent anchors are at most k - s bytes apart, so a
+fingerprint grows with its text, by some 4.5 digits a byte.
+
+Likeness matches anchors at a consistent offset: an anchor and the next one are
+common if both hashes and the distance between them occur in the other text
+too, each occurrence there used once. An anchor is matched if it is common with
+one of its neighbours. With m, the mean of both texts' matched anchors,
+likeness is m / (all anchors of both - m).
 
 Null texts are empty; an empty text has an empty fingerprint, like only to
 another empty one. A text without an anchor, as when shorter than k, is one
-anchor as a whole. Rows with equal ``doc_id`` are ordered by text. Null ids come
-after all others. Other columns are not read. An empty table gives an empty result.
+anchor as a whole. One anchor alone is like only to the same one alone. Rows with
+equal ``doc_id`` are ordered by text. Null ids come after all others. Other
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +38,10 @@ from heliograph.llm.words import _BYTE_HASH, STEP_BYTES, _powers, splitmix
 
 @dataclass(frozen=True)
 class Params:
-    """Bytes of k-mers and inner s-mers (k - s + 1 must be 8), and hashes kept."""
+    """Bytes of k-mers and inner s-mers (k - s + 1 must be 8)."""
 
     k: int = 15
     s: int = 8
-    keep: int = 64
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -59,39 +66,77 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarra
     return row, at, splitmix((total[at + p.k] - total[at]) * down[at] + np.uint64(1))
 
 
-def sketches(texts: list[bytes], p: Params) -> list[np.ndarray]:
-    """The least ``keep`` hashes of numbered anchors of every text, ascending."""
+#: An anchor as stored: distance from the one before, and hash.
+ANCHOR = np.dtype([("gap", "u1"), ("hash", ">u8")])
+
+
+@dataclass(frozen=True)
+class Print:
+    """All anchors of a text: ``stored`` in order; ``links`` of each anchor to its next, ascending, and the anchor that each begins at."""
+
+    stored: np.ndarray
+    links: np.ndarray
+    begins: np.ndarray
+
+
+def prints_of(texts: list[bytes], p: Params) -> list[Print]:
+    """The anchors of every text, and their links. A link that occurs again counts as another, by its number of occurrence."""
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    row, _, found = anchors(data, offsets, p)
-    order = np.lexsort((found, row))
-    row, found = row[order], found[order]
+    row, at, found = anchors(data, offsets, p)
+    stored = np.zeros(len(row), ANCHOR)
+    stored["hash"] = found
+    links, begins, link_row = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(row):
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (found[1:] != found[:-1])])
-        first = np.flatnonzero(new)
-        number = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
-        found = splitmix(found + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ends = np.searchsorted(row, np.arange(len(texts) + 1))
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        gap = at - np.where(first, offsets[row], np.concatenate([[0], at[:-1]]))
+        stored["gap"] = gap
+        begins = np.flatnonzero(~first[1:])
+        links = splitmix(found[begins] + splitmix(found[begins + 1] + gap[begins + 1].astype(np.uint64)))
+        order = np.lexsort((links, row[begins]))
+        begins, links = begins[order], links[order]
+        link_row = row[begins]
+    if len(links):
+        new = np.flatnonzero(np.concatenate([[True], (link_row[1:] != link_row[:-1]) | (links[1:] != links[:-1])]))
+        number = np.arange(len(links)) - np.repeat(new, np.diff(np.concatenate([new, [len(links)]])))
+        again = np.flatnonzero(number)
+        if len(again):
+            links[again] = splitmix(links[again] + number[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            order = np.lexsort((links, link_row))
+            begins, links = begins[order], links[order]
+    ends, link_ends = (np.searchsorted(x, np.arange(len(texts) + 1)) for x in (row, link_row))
     out = []
     for i, text in enumerate(texts):
-        own = found[ends[i] : ends[i + 1]]
-        if len(own) > p.keep:
-            own = np.partition(own, p.keep)[: p.keep]
-        elif not len(own) and text:
-            own = np.frombuffer(hashlib.sha256(text).digest()[:8], np.uint64)
-        out.append(np.sort(own))
+        own = stored[ends[i] : ends[i + 1]]
+        if not len(own) and text:
+            own = np.array([(0, int.from_bytes(hashlib.sha256(text).digest()[:8], "big"))], ANCHOR)
+        mine = slice(link_ends[i], link_ends[i + 1])
+        out.append(Print(own, links[mine], begins[mine] - ends[i]))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, p: Params) -> float:
-    """Estimated share of common numbered anchors."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) >= p.keep:
-        union = union[: p.keep]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+def matched(a: Print, common: np.ndarray) -> int:
+    """How many anchors are at an end of the marked links."""
+    hit = np.zeros(len(a.stored), bool)
+    at = a.begins[common]
+    hit[at] = True
+    hit[at + 1] = True
+    return int(np.count_nonzero(hit))
+
+
+def among(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mask of the values of ``a`` in sorted ``b``, which is not empty."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
+def likeness(a: Print, b: Print) -> float:
+    """Share of anchors that stand at a consistent offset in both texts."""
+    n, m = len(a.stored), len(b.stored)
+    if n < 2 or m < 2:
+        return float(n == m and (not n or a.stored["hash"][0] == b.stored["hash"][0]))
+    both = (matched(a, among(a.links, b.links)) + matched(b, among(b.links, a.links))) / 2
+    return both / (n + m - both)
 
 
 def _place(value: Column, bounds: list[int], low: int = 0) -> Column:
@@ -163,17 +208,17 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for own, following in steps(rows_of(batches)):
             texts = [t for _, t, _ in own]
             edited = [(t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode() for t, (_, n, _) in zip(texts, following, strict=True)]
-            prints = sketches([*(t.encode() for t in texts), following[-1][1].encode()], p)
-            changed = sketches(edited, p)
+            prints = prints_of([*(t.encode() for t in texts), following[-1][1].encode()], p)
+            changed = prints_of(edited, p)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _, _ in own], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in edited], pa.string()),
-                    pa.array([x.astype(">u8").tobytes().hex() for x in prints[:-1]], pa.string()),
-                    pa.array([x.astype(">u8").tobytes().hex() for x in changed], pa.string()),
-                    pa.array([likeness(a, b, p) for a, b in zip(prints, changed, strict=False)], pa.float64()),
-                    pa.array([likeness(a, b, p) for a, b in zip(prints[:-1], prints[1:], strict=True)], pa.float64()),
+                    pa.array([x.stored.tobytes().hex() for x in prints[:-1]], pa.string()),
+                    pa.array([x.stored.tobytes().hex() for x in changed], pa.string()),
+                    pa.array([likeness(a, b) for a, b in zip(prints, changed, strict=False)], pa.float64()),
+                    pa.array([likeness(a, b) for a, b in zip(prints[:-1], prints[1:], strict=True)], pa.float64()),
                 ],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )

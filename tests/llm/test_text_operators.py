@@ -240,6 +240,41 @@ def test_syncmers_are_free_of_context():
     assert own
 
 
+def test_fingerprints_of_long_texts_hold_all_anchors():
+    import random
+    from collections import Counter
+
+    rng, p = random.Random(9), syncmers.Params()
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    a, b, shared = ([word() for _ in range(n)] for n in (20_000, 20_000, 60))
+    rows = [" ".join(x).encode() for x in (a[:7000] + shared + a[7000:], b[:15_000] + shared + b[15_000:], a[:9000] + ["changed"] + a[9001:], a, b, a[:50], a[:50] * 3)]
+    prints = syncmers.prints_of(rows, p)
+
+    def brute(x, y):
+        def links(found):
+            return [(h, k, e) for (_, h), (e, k) in zip(found, found[1:], strict=False)]
+
+        u, v = ([(int(g), int(h)) for g, h in z.stored] for z in (x, y))
+        total = 0
+        for one, other in ((u, v), (v, u)):
+            left, hit = Counter(links(other)), set()
+            for i, k in enumerate(links(one)):
+                if left[k]:
+                    left[k] -= 1
+                    hit |= {i, i + 1}
+            total += len(hit)
+        return total / 2 / (len(u) + len(v) - total / 2)
+
+    for text, found in zip(rows, prints, strict=True):
+        _, at, hashes = syncmers.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), p)
+        assert np.cumsum(found.stored["gap"].astype(int)).tolist() == at.tolist() and found.stored["hash"].tolist() == hashes.tolist()
+        assert max(found.stored["gap"]) <= 8 and len(found.stored) > len(text) / 5
+    assert syncmers.likeness(prints[0], prints[1]) == brute(prints[0], prints[1]) > 0.001 > syncmers.likeness(prints[3], prints[4])
+    assert 0.99 < syncmers.likeness(prints[2], prints[3]) == brute(prints[2], prints[3]) < 1 == syncmers.likeness(prints[3], prints[3])
+    assert prints[2].stored.tobytes() != prints[3].stored.tobytes()
+    assert 0.3 < syncmers.likeness(prints[5], prints[6]) < 0.4
+
+
 # --- licences
 
 SCANNED = [
