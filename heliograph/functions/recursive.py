@@ -163,23 +163,41 @@ def occupied(hold: int) -> Step:
 
 
 def rule_walk(stop_width: float = 2.5, most: int = 30) -> Step:
-    """One long position at a time: ``at_open`` and ``in_bar``, results in risk units where a position ends.
+    """``rule_walk_sides``, long only, without target and cost."""
+    walk = rule_walk_sides(stop_width, most)
+
+    def step(open_: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple:
+        return walk(open_, open_, low, entry, exit_, atr)
+
+    return step
+
+
+def rule_walk_sides(stop_width: float = 2.5, most: int = 30, side: int = 1, target_width: float | None = None, cost: float = 0.0) -> Step:
+    """One position at a time: ``at_open`` and ``in_bar``, results in risk units, less cost, where a position ends.
 
     In at the open after an entry; out at the open after an exit or ``most``
-    rows, or in the bar at the stop, or at the open beyond it.
+    rows, or in the bar at the stop, or at the open beyond it, else at the target
+    (never beyond it). ``side``: 1 long, -1 short. Widths are in ranges ``atr``; cost in price.
     """
-    at, entered, price, risk = 0, None, 0.0, 0.0
+    at, entered, price, risk, take = 0, None, 0.0, 0.0, None
 
-    def step(open_: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple:
-        nonlocal at, entered, price, risk
+    def step(open_: float, high: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple:
+        nonlocal at, entered, price, risk, take
         at += 1
         first = second = None
         if entered is not None and (exit_ or at - 1 - entered >= most):
-            first, entered = (open_ - price) / risk, None
+            first, entered = (side * (open_ - price) - cost) / risk, None
         if entered is None and entry and atr:
             entered, price, risk = at, open_, stop_width * atr
-        if entered is not None and low <= price - risk:
-            second, entered = (min(open_, price - risk) - price) / risk, None
+            take = None if target_width is None else price + side * target_width * atr
+        if entered is not None:
+            stop = price - side * risk
+            worst, best = (low, high) if side > 0 else (high, low)
+            if side * (worst - stop) <= 0:
+                out = min(open_, stop) if side > 0 else max(open_, stop)
+                second, entered = (side * (out - price) - cost) / risk, None
+            elif take is not None and side * (best - take) >= 0:
+                second, entered = (side * (take - price) - cost) / risk, None
         return first, second
 
     return step

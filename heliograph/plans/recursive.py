@@ -10,11 +10,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.recursive import adaptive, directional, ewm, macd_position, occupied, parabolic, rsi, rule_walk, seeded, smoothed_open, trend_bands
+from heliograph.functions.recursive import adaptive, directional, ewm, macd_position, occupied, parabolic, rsi, rule_walk, rule_walk_sides, seeded, smoothed_open, trend_bands
 from heliograph.functions.series import following, lag, lead, prior, rolling, true_range
 from heliograph.operators.scan import Step, scan
 from heliograph.operators.staged import Stage, staged_sql, with_stages
-from heliograph.plans.registry import ORACLES, QUERIES, rounded, series
+from heliograph.plans.registry import ORACLES, QUERIES, query, rounded, series
 from heliograph.sources.tables import EVENT_BARS_SQL, event_bars
 
 #: True range of the first row too.
@@ -113,6 +113,20 @@ recursion(
     {"at_open": "x", "in_bar": "y"},
 )
 
+
+
+@query("x03_rule_walk_sides")
+def rule_walk_of_both_sides(spark: SparkSession, folder: str) -> DataFrame:
+    """The walk long and short, with a target of three ranges and a cost of 0.01; the short side enters and leaves where prices break the other way."""
+    down = {"en": "lag(coalesce(close < min(low) {p10}, false)) {w}", "ex": "lag(coalesce(close > max(high) {p5}, false)) {w}"}
+    down = {k: v.format(p10=prior(10), p5=prior(5), w="OVER (PARTITION BY symbol ORDER BY ts)") for k, v in down.items()}
+    bars, found = with_stages(event_bars(spark, folder), _WALK), []
+    for side, rows in ((1, bars), (-1, bars.withColumns({k: F.expr(v) for k, v in down.items()}))):
+        walked = scan(rows, ["open", "high", "low", "en", "ex", "a"], "at_open double, in_bar double", lambda side=side: rule_walk_sides(2.5, 30, side, 3.0, 0.01))
+        found.append(walked.select("symbol", "ts", F.lit(side).alias("side"), *(F.expr(rounded(n)).alias(n) for n in ("at_open", "in_bar"))))
+    return found[0].unionByName(found[1])
+
+
 _RISK = ({"tr": true_range()}, {"r": f"1.5 * ({rolling('avg', 'tr', 14)})"})
 
 

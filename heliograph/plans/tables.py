@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from heliograph.plans.registry import table_query
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from heliograph.plans.registry import query, table_query
+from heliograph.sources.tables import daily_bars
 
 # --- calendar and time
 table_query("t01_market_open", "SELECT event_id, CAST(CASE WHEN weekday(ts) = 5 OR (weekday(ts) = 4 AND hour(ts) >= 22) OR (weekday(ts) = 6 AND hour(ts) < 22) THEN 0 ELSE 1 END AS INT) AS is_open FROM {events}", "SELECT event_id, CAST(CASE WHEN isodow(ts) = 6 OR (isodow(ts) = 5 AND hour(ts) >= 22) OR (isodow(ts) = 7 AND hour(ts) < 22) THEN 0 ELSE 1 END AS INT) AS is_open FROM events", ["events"])
@@ -131,3 +138,53 @@ table_query("z14_json_paths", "SELECT event_id, CAST(get_json_object(props, '$.k
 table_query("z20_url_host", "SELECT page_id, parse_url(url, 'HOST') AS host FROM {pages}", "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages", ["pages"])
 table_query("z21_slug", "SELECT page_id, element_at(split(rtrim('/', split_part(split_part(url, '?', 1), '#', 1)), '/'), -1) AS slug FROM {pages}", "SELECT page_id, string_split(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '/')[-1] AS slug FROM pages", ["pages"])
 table_query("z22_signature_dedupe", "SELECT sha2(lower(text), 256) AS sig, min(doc_id) AS kept, count(*) AS n FROM {documents} GROUP BY sha2(lower(text), 256)", "SELECT sha256(lower(text)) AS sig, min(doc_id) AS kept, count(*) AS n FROM documents GROUP BY sha256(lower(text))", ["documents"])
+
+# --- whole forms of F03 and F11; f03_account_rules and f11_weight_grid above are smaller
+
+@query("f11_all_weights")
+def all_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly result, drawdown, their ratio and Sharpe ratio of all weightings of the daily symbols by 0 to 4 quarters: 5 ** symbols - 1.
+
+    The weightings are rows dealt to tasks; the matrix of daily results, bounded
+    by days times symbols, is broadcast. Days without a result count as 0.
+    """
+    rows = spark.sql(f"SELECT symbol, CAST(ts AS DATE) AS day, coalesce(r, 0) AS r FROM {_PNL} AS x", days=daily_bars(spark, folder)).collect()
+    symbols, first = sorted({r.symbol for r in rows}), min((r.day for r in rows), default=None)
+    matrix = np.zeros((max(((r.day - first).days + 1 for r in rows), default=0), len(symbols)))
+    for r in rows:
+        matrix[(r.day - first).days, symbols.index(r.symbol)] += r.r
+    shared = spark.sparkContext.broadcast(matrix)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        daily = shared.value
+        years = max((len(daily) - 1) / 365.25, 1e-9)
+        for batch in batches:
+            found = []
+            for i in batch.column(0).to_pylist():
+                quarters = [i // 5**k % 5 for k in range(len(symbols))]
+                x = daily @ (np.array(quarters) / 4)
+                run = np.cumsum(x)
+                dd, year, sd = float((np.maximum.accumulate(run) - run).max()), float(x.sum()) / years, float(x.std(ddof=1)) if len(x) > 1 else 0.0
+                name = ",".join(f"{s} {q}" for s, q in zip(symbols, quarters, strict=True))
+                found.append((name, sum(q > 0 for q in quarters), sum(quarters) / 4, year, dd, year / dd if dd > 0 else None, float(x.mean()) / sd * 365**0.5 if sd > 0 else None, float(x.min())))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=pa.schema(list(zip(names, [pa.string(), pa.int64(), *[pa.float64()] * 6], strict=True))))
+
+    names = ["quarters", "n_legs", "total_weight", "r_year", "max_dd", "romad", "sharpe", "worst"]
+    return spark.range(1, 5 ** len(symbols)).mapInArrow(kernel, "quarters string, n_legs bigint, " + ", ".join(f"{n} double" for n in names[2:]))
+
+
+def account_sql(source: str, daily: float = 0.05, total: float = 0.10, target: float = 0.10, least_days: int = 5, day_share: float | None = 0.40, peak: bool = False) -> str:
+    """Replay of each symbol's daily results ``r`` (shares of the first balance) until the total-drawdown floor is touched, with a verdict.
+
+    A day at its daily-loss floor is locked, which does not end the account.
+    """
+    run = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    share = "false" if day_share is None else f"equity > 1 AND best_day / (equity - 1) > {day_share}"
+    return f"""WITH e AS (SELECT symbol, ts, coalesce(r, 0) AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, 1 + sum(coalesce(r, 0)) {run} AS eq FROM {source} AS p),
+t AS (SELECT *, greatest(1, max(eq) {run}) AS top FROM e), k AS (SELECT *, eq <= {"top" if peak else "1"} - {total} AS broke FROM t),
+u AS (SELECT *, min(CASE WHEN broke THEN n END) OVER (PARTITION BY symbol) AS stop FROM k),
+a AS (SELECT symbol, count(*) AS trading_days, max_by(eq, n) AS equity, max(top) AS peak, max(r) AS best_day, min(stop) AS failed_at, CAST(sum(CASE WHEN r <= -{daily} THEN 1 ELSE 0 END) AS BIGINT) AS locked_days FROM u WHERE stop IS NULL OR n <= stop GROUP BY symbol)
+SELECT symbol, trading_days, round(equity, 6) + 0.0 AS equity, round(peak, 6) + 0.0 AS peak, failed_at, locked_days, CASE WHEN failed_at IS NOT NULL OR ({share}) THEN 'FAILED' WHEN trading_days < {least_days} THEN 'IN_PROGRESS' WHEN equity - 1 >= {target} THEN 'PASSED' ELSE 'IN_PROGRESS' END AS verdict FROM a"""
+
+
+table_query("f03_account_verdicts", account_sql(_PNL), None, ["days"])
