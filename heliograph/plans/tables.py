@@ -188,3 +188,23 @@ SELECT symbol, trading_days, round(equity, 6) + 0.0 AS equity, round(peak, 6) +
 
 
 table_query("f03_account_verdicts", account_sql(_PNL), None, ["days"])
+
+
+def trim_sql(source: str) -> str:
+    """Rows after the sparse months that a series begins with; a whole form of ``s09_trim_sparse_months``.
+
+    A month is bad below half the median of the last 36 months that have rows.
+    The cut is the last bad month up to which at least half of all are bad.
+    Series of under 12 months are kept whole.
+    """
+    run = "OVER (PARTITION BY symbol ORDER BY mon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""WITH m AS (SELECT symbol, date_trunc('month', ts) AS mon, count(*) AS n FROM {source} AS x GROUP BY symbol, date_trunc('month', ts)),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mon DESC) AS back, count(*) OVER (PARTITION BY symbol) AS months FROM m),
+r AS (SELECT symbol, median(n) AS ref FROM b WHERE back <= 36 GROUP BY symbol),
+c AS (SELECT b.symbol, mon, months, CASE WHEN n < 0.5 * ref THEN 1 ELSE 0 END AS bad FROM b JOIN r ON b.symbol = r.symbol),
+s AS (SELECT *, avg(bad) {run} AS share FROM c),
+k AS (SELECT symbol, max(CASE WHEN bad = 1 AND share >= 0.5 AND months >= 12 THEN mon END) AS cut FROM s GROUP BY symbol)
+SELECT d.* FROM {source} AS d JOIN k ON d.symbol = k.symbol WHERE k.cut IS NULL OR date_trunc('month', d.ts) > k.cut"""
+
+
+table_query("s09_trim_backfill", trim_sql("{days}"), None, ["days"])
