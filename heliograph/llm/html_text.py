@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,6 +96,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """Text blocks in page order: text, words, words in links, in an article, in boilerplate."""
     found: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, int, int]] = []
+    open_tags: Counter[str] = Counter()  # of the stack
     article = boilerplate = 0
     own_mark = ""  # tag of an unnested block whose class marks it as boilerplate
     link = False
@@ -147,10 +149,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             is_article = int(tag in ARTICLE_TAGS or tag not in ("html", "body") and any(ARTICLE_WORD.search(h) for h in hints))
             is_boilerplate = int(tag in BOILERPLATE_TAGS or tag == "header" and not article or tag not in ("html", "body", *ARTICLE_TAGS) and not is_article and any(BOILERPLATE_WORD.search(h) for h in hints))
             stack.append((tag, is_article, is_boilerplate))
+            open_tags[tag] += 1
             article, boilerplate = article + is_article, boilerplate + is_boilerplate
-        elif any(x[0] == tag for x in stack[-64:]):
+        elif open_tags[tag]:
             while True:
                 name, a, b = stack.pop()
+                open_tags[name] -= 1
                 article, boilerplate = article - a, boilerplate - b
                 if name == tag:
                     break

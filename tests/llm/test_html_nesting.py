@@ -1,0 +1,10 @@
+from __future__ import annotations
+
+from heliograph.llm import html_text
+
+
+def test_a_closing_tag_is_found_below_many_unclosed_ones():
+    page = "<nav>" + "<div>menu" * 200 + "</nav><article><p>The text itself.</p></article>"
+    found = html_text.blocks(page)
+    assert found[-1] == ("The text itself.", 3, 0, True, False)
+    assert all(b[4] for b in found[:-1])
