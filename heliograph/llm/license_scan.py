@@ -46,7 +46,8 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
-EXPRESSION = re.compile(r"SPDX-License-Identifier\s*:\s*([^\r\n]*)", re.I)
+#: A tag, and what follows up to the next tag or the line's end.
+EXPRESSION = re.compile(r"SPDX-License-Identifier\s*:\s*((?:(?!SPDX-License-Identifier\s*:)[^\r\n])*)", re.I)
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 #: Identifiers whose label differs from their lower-cased form.
 SAME_AS = {"apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-nc-3.0": "cc-by-nc"}
