@@ -3,8 +3,10 @@
 The library encodes every pre-token alone, so each distinct one is encoded once
 and its ids are reused. Pre-tokens are cut on arrays of code points, for texts
 of Latin script (up to U+024F, whose classes are the same in every Unicode
-version); the others go to ``UnitCache``. Known pre-tokens are held by a 64-bit
-hash, in some 40 bytes each.
+version); the others go to ``UnitCache``. A known pre-token is found by a hash
+and then compared with the text it is held for, so no hash decides about ids:
+texts in which two pre-tokens share a hash go to ``UnitCache`` as well. Texts
+that hold an added token of the library's are passed to it whole.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 from heliograph.llm.units import UnitCache
-from heliograph.llm.words import _powers, seeds, splitmix
+from heliograph.llm.words import SpanHash
 
 LAST = 0x24F
 OTHER, LETTER, NUMBER, SPACE = range(4)
 WHITE = {*range(9, 14), 32, 0x85, 0xA0}
 CLASSES = np.array([SPACE if c in WHITE else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LAST + 1)], np.uint8)
 BEYOND = re.compile(f"[^\\x00-\\u{LAST:04x}]")
-_HASH = seeds(LAST + 1, 41)
+POINT_HASH = SpanHash(LAST + 1, 41)
 #: Pre-tokens kept per Python worker; a full cache is emptied, which costs time only.
 CACHE_TOKENS = 2_000_000
 #: New pre-tokens are merged into the large sorted table when there are so many.
@@ -60,11 +62,19 @@ def cuts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def unlike(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Mask of the spans that differ from their counterparts; the spans cover ``points`` without a gap, none is empty."""
+    at = np.arange(len(points)) + np.repeat(other_starts - starts, sizes)
+    differs = others[np.clip(at, 0, len(others) - 1)] != points
+    return np.logical_or.reduceat(differs, starts) | (sizes != other_sizes)
+
+
 class PretokenCache:
-    """Ids of whole texts. ``encode`` gives the library's ids of each string."""
+    """Ids of whole texts. ``encode`` gives the library's ids of each string; ``added``: strings that it treats apart."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]]) -> None:
+    def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]], added: Sequence[str] = ()) -> None:
         self.encode = encode
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.units = UnitCache(lambda texts: [np.array(x, "<u4").tobytes() for x in encode(texts)])
         line = encode(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
@@ -73,6 +83,7 @@ class PretokenCache:
     def clear(self) -> None:
         self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.first, self.pool = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+        self.text_first, self.text_pool = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint16)
         self.n = 0
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
@@ -85,13 +96,18 @@ class PretokenCache:
                 out[known] = slots[at[known]]
         return out
 
-    def add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """List the ids of new pre-tokens, one after the other."""
-        used = int(self.first[self.n])
-        while used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[used : used + len(ids)] = ids
-        self.first = np.concatenate([self.first[: self.n + 1], used + np.cumsum(counts)])
+    def add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> None:
+        """List ids and texts of new pre-tokens, one after the other."""
+
+        def listed(first: np.ndarray, pool: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            used = int(first[self.n])
+            while used + len(values) > len(pool):
+                pool = np.concatenate([pool, np.zeros_like(pool)])
+            pool[used : used + len(values)] = values
+            return np.concatenate([first[: self.n + 1], used + np.cumsum(n)]), pool
+
+        self.first, self.pool = listed(self.first, self.pool, counts, ids)
+        self.text_first, self.text_pool = listed(self.text_first, self.text_pool, sizes, points)
         slots = np.arange(self.n, self.n + len(hashes))
         self.n += len(hashes)
 
@@ -128,22 +144,32 @@ class PretokenCache:
     def latin(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Id counts and ids of texts of Latin script, none of them empty."""
         whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint16)
         rows = np.cumsum([0, *map(len, texts)])
         starts = cuts(points, rows[:-1])
-        up, down = _powers(len(points) + 1)
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_HASH[points] * up[: len(points)], out=total[1:])
         ends = np.append(starts[1:], len(points))
-        hashes, at, inverse = np.unique(splitmix((total[ends] - total[starts]) * down[starts]), return_index=True, return_inverse=True)
+        sizes = ends - starts
+        hashes, at, inverse = np.unique(POINT_HASH(points, starts, ends), return_index=True, return_inverse=True)
         if self.n > CACHE_TOKENS:
             self.clear()
         slot = self.slots(hashes)
-        new = np.flatnonzero(slot < 0)
+        new, old = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
+        collided = unlike(points, starts, sizes, points, starts[at[inverse]], sizes[at[inverse]]).any()
+        if len(old):
+            own, size = at[old], sizes[at[old]]
+            first = np.concatenate([[0], np.cumsum(size)])
+            some = points[np.repeat(starts[own] - first[:-1], size) + np.arange(first[-1])]
+            held = self.text_first[slot[old]]
+            collided |= unlike(some, first[:-1], size, self.text_pool, held, self.text_first[slot[old] + 1] - held).any()
+        if collided:
+            parts = [np.frombuffer(x, "<u4") for x in self.units.whole(texts)]
+            return np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
         if len(new):
             counts, ids = self.encoded([whole[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
             slot[new] = np.arange(self.n, self.n + len(new))
-            self.add(hashes[new], counts, ids)
+            size = sizes[at[new]]
+            first = np.cumsum(size) - size
+            self.add(hashes[new], counts, ids, size, points[np.repeat(starts[at[new]] - first, size) + np.arange(size.sum())])
         slot = slot[inverse]
         size = self.first[slot + 1] - self.first[slot]
         before = np.concatenate([[0], np.cumsum(size)])
@@ -152,7 +178,8 @@ class PretokenCache:
 
     def whole(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Id counts of all texts, and all ids in order."""
-        fast = [i for i, t in enumerate(texts) if t and not BEYOND.search(t)]
+        apart = {i for i, t in enumerate(texts) if self.added and self.added.search(t)}
+        fast = [i for i, t in enumerate(texts) if t and i not in apart and not BEYOND.search(t)]
         slow = [i for i in set(range(len(texts))).difference(fast) if texts[i]]
         counts, ids = self.latin([texts[i] for i in fast]) if fast else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         if not slow:
@@ -163,6 +190,9 @@ class PretokenCache:
         for i, part in zip(fast, np.split(ids, np.cumsum(counts)[:-1]) if fast else [], strict=True):
             parts[i] = part
         slow.sort()
-        for i, raw in zip(slow, self.units.whole([texts[i] for i in slow]), strict=True):
+        plain = [i for i in slow if i not in apart]
+        for i, raw in zip(plain, self.units.whole([texts[i] for i in plain]), strict=True):
             parts[i] = np.frombuffer(raw, "<u4")
+        for i in apart:
+            parts[i] = np.array(self.encode([texts[i]])[0], np.uint32)
         return np.array([len(p) for p in parts], np.int64), np.concatenate(parts)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.session import removed, written
-from heliograph.llm.words import runs, seeds, span_hashes, spans, splitmix
+from heliograph.llm.words import BYTE_HASH, runs, seeds, spans, splitmix
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
-    token = span_hashes(LOW[data], starts, ends)
+    token = BYTE_HASH(LOW[data], starts, ends)
     word = classes[starts] == 1
     count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     upper, lower, digit = (c[ends] - c[starts] for c in (count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122)), count((data >= 48) & (data <= 57))))

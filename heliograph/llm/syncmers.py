@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.words import _BYTE_HASH, STEP_BYTES, _powers, splitmix
+from heliograph.llm.words import BYTE_HASH, STEP_BYTES, splitmix
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarra
     n = len(data)
     if n < p.k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_HASH[data] * up[:n], out=total[1:])
+    total, down = BYTE_HASH.sums(data)
     inner = splitmix((total[p.s :] - total[: -p.s]) * down[: n - p.s + 1])
     two = np.minimum(inner[:-1], inner[1:])
     four = np.minimum(two[:-2], two[2:])

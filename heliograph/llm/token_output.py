@@ -7,8 +7,12 @@ prunes files, stripes and row groups, and a reader of everything takes stripes
 in parallel. A reader finds where a document starts in the whole stream from
 the per-file totals and a running sum inside each file.
 
-Null texts are empty: they hold the end id alone. Rows with equal ``doc_id``
-are ordered by text. Null ids come first and are counted like others. Other
+Null texts are empty: they hold the end id alone. Texts of any length are
+encoded whole; ids of one text are one value of the file, so a text has at most
+some two thousand million ids. A string of an added token in a text becomes
+that token, as the library does by itself. Rows with equal ``doc_id`` are
+ordered by a hash of their texts; repeated rows have equal ids, so their order
+does not matter. Null ids come first and are counted like others. Other
 columns are not read. An empty table gives an empty result.
 """
 
@@ -38,8 +42,8 @@ def _tokenizer(path: str) -> PretokenCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        _MADE[path] = PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _MADE[path] = PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)], added)
     return _MADE[path]
 
 
@@ -59,16 +63,15 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, files: int | None = None) -> None:
-    """Write the ids of all documents as ORC files whose names and rows are in ascending ``doc_id`` order."""
+    """Write the ids of all documents as ORC files, each with its number ``part`` in the order of ``doc_id``, the rows sorted. ``files``: how many; else one a shuffle partition."""
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    encoded(ordered, vocabulary, end_id).write.options(**WRITE).orc(path)
+    encoded(ordered, vocabulary, end_id).withColumn("part", F.spark_partition_id()).write.options(**WRITE).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids``, ``text_hash`` (order among equal ids) and ``file`` of files that ``write_tokens`` wrote."""
-    stored = spark.read.schema("doc_id bigint, n_tokens bigint, ids array<int>, text_hash bigint").orc(path)
-    return stored.select("*", F.col("_metadata.file_name").alias("file"))
+    """``doc_id``, ``n_tokens``, ``ids``, ``text_hash`` (order among equal ids) and ``part`` (order of the file) of files that ``write_tokens`` wrote."""
+    return spark.read.schema("doc_id bigint, n_tokens bigint, ids array<int>, text_hash bigint, part int").orc(path)
 
 
 def catalogue(tokens: DataFrame) -> DataFrame:
@@ -85,11 +88,11 @@ def catalogue(tokens: DataFrame) -> DataFrame:
             at = ids.offsets.to_numpy()
             flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "ids_crc32", "text_hash", "file"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "ids_crc32", "text_hash", "part"])
 
-    sums = tokens.select("doc_id", "ids", "text_hash", "file").mapInArrow(kernel, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text_hash bigint, file string")
-    by_file = tokens.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = by_file.select("file", (F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
-    placed = sums.withColumn("inside", inside).join(before, "file")
+    sums = tokens.select("doc_id", "ids", "text_hash", "part").mapInArrow(kernel, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text_hash bigint, part int")
+    by_file = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = by_file.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sums.withColumn("inside", inside).join(before, "part")
     return placed.select("doc_id", (F.col("before") + F.col("inside") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")

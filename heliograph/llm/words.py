@@ -7,6 +7,7 @@ Python loop per word. Null texts are empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,23 +53,54 @@ def space_table() -> np.ndarray:
 ALNUM, SPACE = alnum_table(), space_table()
 #: For ``bytes.translate``: what ``ALNUM`` maps, other bytes to a space.
 ALNUM_TRANSLATE = bytes(int(c) or 32 for c in ALNUM)
-_BYTE_HASH = seeds(257, 11)
-_BASE = int(seeds(1, 12)[0]) | 1
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n-1 of the base and of its inverse modulo 2**64; kept for the steps of normal size."""
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, np.uint64(base))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    if n <= 2 * STEP_BYTES:
-        _POWERS[:] = out
-    return out[0], out[1]
+#: For ``bytes.translate``: A to Z lower-cased.
+LOWER_TRANSLATE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Longer spans are hashed one by one by a cryptographic function.
+LONG_SPAN = 32
+
+
+class SpanHash:
+    """Hashes of many spans of one sequence of symbols, by polynomials modulo 2**64 over random symbol values.
+
+    A polynomial of many terms has equal values for certain different spans,
+    whatever its numbers are, so spans of more than ``LONG_SPAN`` symbols go
+    through BLAKE2. Who needs equality of spans compares the spans as well.
+    """
+
+    def __init__(self, symbols: int, salt: int) -> None:
+        self.values = seeds(symbols, salt)
+        self.base = int(seeds(1, salt + 1)[0]) | 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers 0 to n-1 of the base and of its inverse; kept for the steps of normal size."""
+        if len(self.up) >= n:
+            return self.up, self.down
+        out = []
+        for base in (self.base, pow(self.base, -1, 1 << 64)):
+            p = np.full(n, np.uint64(base))
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        if n <= 2 * STEP_BYTES:
+            self.up, self.down = out
+        return out[0], out[1]
+
+    def sums(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the polynomial's terms, and the powers that take a term back to place 0."""
+        up, down = self.powers(len(symbols) + 1)
+        total = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(self.values[symbols] * up[: len(symbols)], out=total[1:])
+        return total, down
+
+    def __call__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total, down = self.sums(symbols)
+        out = splitmix((total[ends] - total[starts]) * down[starts])
+        for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(symbols[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+
+BYTE_HASH = SpanHash(257, 11)
 
 
 def runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -105,19 +137,11 @@ def spans(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans of a sequence of symbols below 257."""
-    up, down = _powers(len(symbols) + 1)
-    total = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(_BYTE_HASH[symbols] * up[: len(symbols)], out=total[1:])
-    return splitmix((total[ends] - total[starts]) * down[starts])
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each row's words start (one entry more than rows)."""
     low = table[data]
     starts, ends = spans(low != 0, offsets)
-    return span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
+    return BYTE_HASH(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

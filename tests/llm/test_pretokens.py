@@ -34,10 +34,38 @@ def test_ids_equal_the_library(monkeypatch, kept):
     monkeypatch.setattr(pretokens, "CACHE_TOKENS", kept)
     monkeypatch.setattr(pretokens, "MERGE", 20)
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    cache = pretokens.PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
+    cache = pretokens.PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)], ["<|endoftext|>"])
     for seed in range(12):
         texts = [*sample(seed, 60), "", "日本語 テキスト's", "Ωmega ", " x", *sample(seed + 100, 3)]
         counts, ids = cache.whole(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in cache.whole([])] == [[], []] and cache.whole(["", ""])[0].tolist() == [0, 0]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of 2**n letters and its complement, which have one value under any polynomial modulo a power of two once they are long."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_ids_of_words_that_break_polynomial_hashes(n):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    cache = pretokens.PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
+    for text in (*thue_morse(n), "x " + thue_morse(n)[1]):
+        assert cache.whole([text])[1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_when_all_hashes_are_equal(monkeypatch):
+    """Pre-tokens that share a hash, in one call and in the cache, are told apart by their text."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(pretokens, "POINT_HASH", lambda points, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    cache = pretokens.PretokenCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
+    for texts in (["one"], ["two"], ["one two"], [" a b c one", "two"], ["one"]):
+        assert cache.whole(texts)[1].tolist() == [x for t in texts for x in tokenizer.encode(t, add_special_tokens=False).ids]
