@@ -12,7 +12,7 @@ SMALL_LINKS = 500_000
 FEW_FILES = 8
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Every ``id`` that occurs in links (a, b), with the least id that it reaches as ``component``.
 
     Alternates two steps on a table of links until it stops changing: each node
@@ -26,7 +26,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     now, now_at = written(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = lambda table: table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
     before = mark(now)
-    for _ in range(most_rounds):
+    while True:
         small = before["n"] <= SMALL_LINKS
         lookup = F.broadcast if small else lambda table: table
         # Large step: for each u, link every larger neighbour to the least of u and its neighbours.
@@ -44,7 +44,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

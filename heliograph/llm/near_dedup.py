@@ -8,23 +8,33 @@ are compared on their full sets.
 
 Work is bounded for every kind of repetition:
 
-* documents with equal sets form a class first; only its least ``doc_id`` goes on;
+* documents with equal words in equal order form a class first, by a 128-bit
+  cryptographic digest; only its least ``doc_id`` goes on;
 * in a bucket, each member is compared with the bucket's leader, so a bucket of
   m members gives m - 1 pairs. Where members end up in different components,
   their documents are joined on their rarest shingles, an exact filter that
   loses no link, and the pairs that pass are compared;
+* a document that leads many others is sent to their comparisons in parts;
 * components are found by label contraction on tables in the shared folder.
 
+Signatures, candidates and set sizes use 64-bit hashes of shingles. A link is
+decided on the words themselves: both texts' words are numbered exactly, and
+sets of the numbers are compared.
+
 Null and wordless texts have empty sets and link with nothing. Rows with equal
 ``doc_id`` are treated as documents that share that id. Rows with a null
-``doc_id`` stay alone: their component is null and they are kept. Other columns
-are not read. An empty table gives an empty result.
+``doc_id`` stay alone: their component is null and they are kept. Texts of any
+length are compared whole. Of equal similarity, nothing depends on ties: every
+link counts. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +43,12 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.components import components
 from heliograph.llm.session import removed, written
-from heliograph.llm.words import SPACE, grams, runs, seeds, splitmix, word_hashes
+from heliograph.llm.words import LOWER_TRANSLATE, SPACE, grams, runs, seeds, splitmix, word_hashes
 
 
 @dataclass(frozen=True)
 class Params:
-    """Words per shingle, similarity as a percentage, bands and rows.
+    """Words per shingle, similarity as a percentage, bands and rows; ``spread``: most comparisons that one copy of a leader's text serves.
 
     With 40 bands of 6 values a pair at similarity 0.8 shares no bucket with
     probability (1 - 0.8**6)**40, about 5e-6; at 0.9, about 1e-13.
@@ -48,6 +58,34 @@ class Params:
     percent: int = 80
     bands: int = 40
     rows: int = 6
+    spread: int = 10_000
+
+
+def split_words(text: str) -> list[bytes]:
+    """The words of a text, A to Z lower-cased."""
+    return text.encode().translate(LOWER_TRANSLATE).split()
+
+
+def exact_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of every text's shingles. Equal numbers are equal shingles, over all texts of the list; nothing is hashed."""
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)
+    words = [np.array(list(map(known.__getitem__, split_words(t))), np.int64) for t in texts]
+    short = {i for i, w in enumerate(words) if len(w) < k}
+    flat = np.concatenate([w for i, w in enumerate(words) if i not in short] or [np.zeros(0, np.int64)])
+    numbers, most = flat, len(known)
+    for j in range(1, k):
+        if len(numbers) and int(numbers.max()) + 1 > (1 << 62) // max(most, 1):
+            numbers = np.unique(numbers, return_inverse=True)[1]
+        numbers = numbers[:-1] * most + flat[j:] if len(numbers) else numbers
+    out, at = [], 0
+    tuples: dict[tuple, int] = {}
+    for i, w in enumerate(words):
+        if i in short:  # the whole sequence is the one shingle, unlike any of k words
+            out.append(np.array([-1 - tuples.setdefault(tuple(w.tolist()), len(tuples))] if len(w) else [], np.int64))
+        else:
+            out.append(np.unique(numbers[at : at + len(w) - k + 1]))
+            at += len(w)
+    return out
 
 
 def shingle_sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -66,7 +104,7 @@ def shingle_sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, k:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """Per row: set size, a 128-bit hash of the set, and the bucket keys of all bands."""
+    """Per row: set size, a 128-bit digest of the words in order, and the bucket keys of all bands."""
     per_side = p.bands // 2 * p.rows
     odd, shift = seeds(per_side, 21) | np.uint64(1), seeds(per_side, 22)
     salts = seeds(p.bands, 23)
@@ -78,12 +116,11 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 keys = np.zeros((len(sets), p.bands), np.uint64)
-                sums = np.zeros((2, len(sets)), np.uint64)
+                digests = [hashlib.blake2b(b" ".join(split_words(t or "")), digest_size=16).digest() for t in rows.column(1).to_pylist()]
+                sums = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                    sums[0, full] = np.add.reduceat(splitmix(flat), at)
-                    sums[1, full] = np.add.reduceat(splitmix(flat ^ np.uint64(0x5555555555555555)), at)
                     low, high = np.empty((per_side, len(full)), np.uint64), np.empty((per_side, len(full)), np.uint64)
                     for j in range(per_side):
                         permuted = flat * odd[j] + shift[j]
@@ -96,28 +133,29 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                             keys[full, 2 * band + side] = key
                 ends = pa.array(np.cumsum(np.concatenate([[0], np.where(sizes > 0, p.bands, 0)])).astype(np.int32))
                 flat_keys = pa.array(keys[full].reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(ends, flat_keys)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1])), pa.ListArray.from_arrays(ends, flat_keys)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(kernel, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Sizes of intersection and union of both sets for pairs (a, b) of document ids."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """Sizes of intersection and union of both sets, on words, for pairs (a, b) of document ids. An ``a`` may stand in very many pairs, a ``b`` in few."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in runs(batch, 2):
-                one = shingle_sets(rows, data, offsets, p.shingle)
-                other: list[np.ndarray] = []
-                for part, part_data, part_offsets in runs(rows, 3):
-                    other += shingle_sets(part, part_data, part_offsets, p.shingle)
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, other, strict=True)]
-                union = [len(x) + len(y) - n for x, y, n in zip(one, other, common, strict=True)]
+            for rows, _, _ in runs(batch, 2):
+                n = rows.num_rows
+                sets = exact_sets([*(t or "" for t in rows.column(2).to_pylist()), *(t or "" for t in rows.column(3).to_pylist())], p.shingle)
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:n], sets[n:], strict=True)]
+                union = [len(x) + len(y) - c for x, y, c in zip(sets[:n], sets[n:], common, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "n_common", "n_union"])
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # Each copy of a leader's text serves at most p.spread pairs, so no task gets all of a large group.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.spread).cast("int").alias("parts"))
+    left = texts.join(parts, F.col("doc_id") == F.col("a")).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
+    joined = dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(kernel, "a bigint, b bigint, n_common bigint, n_union bigint")
 
 
@@ -161,14 +199,15 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     spark = docs.sparkSession
     signed, signed_at = written(signatures(docs, p), "signatures")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    # Equal sets have equal keys, so any row's keys will do; the partial aggregation takes copies together before the shuffle.
-    classes, classes_at = written(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
+    # Equal words have equal keys, so any row's keys will do; the partial aggregation takes copies together before the shuffle.
+    classes, classes_at = written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
     chosen = classes.select("doc_id", F.posexplode("keys").alias("band", "key"))
     # The leader is the least by one of four orders, so overlapping buckets of a large group do not all hang on one member.
     order = F.xxhash64("doc_id", F.col("band") % 4)
     leaders = chosen.groupBy("key").agg(F.min(F.struct(order, "doc_id"))["doc_id"].alias("leader"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key", "leader")
     members, members_at = written(chosen.join(leaders, "key").select("key", "leader", "doc_id"), "members")
-    star = members.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+    led = members.where("doc_id <> leader").groupBy(F.least("leader", "doc_id"), F.greatest("leader", "doc_id")).agg(F.min(F.struct("leader", "doc_id")).alias("pair"))
+    star = led.select(F.col("pair.leader").alias("a"), F.col("pair.doc_id").alias("b"))
     asked = members.select("doc_id").distinct()
     texts, texts_at = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "candidates")
     first, first_at = written(compared(star, texts, p), "star")
@@ -184,7 +223,7 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     second, second_at = written(compared(cross, texts, p), "cross")
 
     # Copies carry their class's label; a doc_id that stands for several sets ties their labels together.
-    copies = filled.select("h1", "h2", "n_shingles", "doc_id").join(classes.select("h1", "h2", "n_shingles", F.col("doc_id").alias("head")), ["h1", "h2", "n_shingles"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    copies = filled.select("h1", "h2", "doc_id").join(classes.select("h1", "h2", F.col("doc_id").alias("head")), ["h1", "h2"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     more = second.where(is_link).select("a", "b")
     tied = label.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more).unionByName(copies).distinct()
     final, _ = written(components(tied), "components")

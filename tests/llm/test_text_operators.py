@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from tests.llm.fixtures import documents, texts
+from tests.llm.test_pretokens import thue_morse
 
 from heliograph.llm import byte_bpe, decontaminate, license_scan, near_dedup, quality, syncmers, token_output
 
@@ -130,6 +131,37 @@ def test_a_large_group_of_near_copies(spark):
     assert pairs(tuple(r) for r in got) == brute_groups(rows, 2)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_words_that_break_polynomial_hashes_are_not_linked(spark, k):
+    words = [w for n in (10, 11, 12) for w in thue_morse(n)]
+    rows = [*enumerate(words), *((10 + i, f"the same {w} beginning and end") for i, w in enumerate(words)), (50, words[1]), (51, words[1].upper())]
+    got = near_dedup.near_groups(documents(spark, rows), near_dedup.Params(shingle=k)).collect()
+    assert pairs(tuple(r) for r in got) == brute_groups(rows, k)
+    assert {r.doc_id for r in got if r.component_id != r.doc_id} == {50, 51}
+    items = [(1, words[1]), (2, words[2])]
+    found = decontaminate.summary(decontaminate.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))).collect()
+    assert pairs(tuple(r) for r in found) == brute_contamination(rows, items)
+
+
+def test_exact_sets():
+    import random
+
+    rng = random.Random(4)
+    for k in (1, 2, 3, 5, 9):
+        some = [" ".join(f"w{rng.randrange(10**6 if i % 2 else 3)}" for _ in range(rng.randrange(40))) for i in range(300)]
+        sets = near_dedup.exact_sets([*some, "", "W1 w1", "w1 w1"], k)
+        shingles = lambda t: {tuple(w[i : i + k]) for w in [SPACED.findall(lower(t))] for i in range(max(1, len(w) - k + 1)) if w}
+        assert [len(x) for x in sets[:300]] == [len(shingles(t)) for t in some] and sets[-1].tolist() == sets[-2].tolist() and not len(sets[-3])
+        for i in range(0, 300, 7):
+            assert len(np.intersect1d(sets[i], sets[i + 2 if i < 298 else 0])) == len(shingles(some[i]) & shingles(some[i + 2 if i < 298 else 0]))
+
+
+def test_a_leader_of_many_is_dealt_in_parts(spark):
+    rows = [(i, f"{texts()[0][1]} tail{i % 50}") for i in range(200)]
+    got = near_dedup.near_groups(documents(spark, rows), near_dedup.Params(shingle=2, spread=3)).collect()
+    assert pairs(tuple(r) for r in got) == brute_groups(rows, 2)
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.near_groups(documents(spark, [])).count() == 0
     kept = near_dedup.kept_documents(documents(spark))
@@ -178,8 +210,7 @@ def test_token_files_read_back(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = [(d, t) for d, t in dict(texts()).items() if d is not None]
+    rows = [*((d, t) for d, t in dict(texts()).items() if d is not None), (900, "an <|endoftext|> inside"), (901, "<|endoftext|>"), (902, thue_morse(11)[0]), (903, thue_morse(11)[1])]
     path = str(tmp_path / "tokens")
     token_output.write_tokens(documents(spark, rows), path, P.path("byte_bpe_50k.json"))
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.catalogue(token_output.read_tokens(spark, path)).collect()}
