@@ -3,11 +3,12 @@
 The vocabulary's byte strings are mapped to printable characters, one for each
 byte, and written as a sentencepiece BPE model: a piece's score is its negative
 rank, so the library merges the pair of least rank first. The model has the
-identity normaliser and no dummy prefix. Pre-tokens are encoded one by one;
-decoding maps ids back to their byte strings.
+identity normaliser and no dummy prefix. Every pre-token goes through the model,
+each distinct one once for as long as a worker remembers it; decoding maps ids
+back to their byte strings.
 
 Null texts are empty texts and have no ids. Rows with equal texts get equal
-rows; ``doc_id`` may be null or repeat. Columns other than ``doc_id`` and
+rows; ``doc_id`` may be null or repeat. Texts of any length are encoded whole. Columns other than ``doc_id`` and
 ``text`` are not read. An empty table gives an empty result.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heliograph.llm.units import UnitCache
+from heliograph.llm.pretokens import PretokenCache
 from heliograph.llm.words import runs
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -83,38 +84,26 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.pattern = regex.compile(pattern)
         self.characters = dict(enumerate(byte_characters()))
-        self.ranks = ranks
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        self.cache = UnitCache(self.encode_units)
-
-    def encode_units(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, pre-token by pre-token. A pre-token that is itself a piece is that piece."""
-        out: list[list[int]] = []
-        waiting: list[tuple[int, int]] = []
-        mapped: list[str] = []
-        for text in texts:
-            row: list = []
-            for token in self.pattern.findall(text):
-                raw = token.encode()
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    waiting.append((len(out), len(row)))
-                    mapped.append(raw.decode("latin-1").translate(self.characters))
-                row.append(rank)
-            out.append(row)
-        for (i, j), ids in zip(waiting, self.model.encode(mapped, num_threads=1) if mapped else [], strict=True):
-            out[i][j] = ids
-        return [np.array([x for part in row for x in (part if isinstance(part, list) else (part,))], "<u4").tobytes() for row in out]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit bytes."""
-        return self.cache.whole(texts)
-
-    def decode(self, ids: bytes) -> bytes:
+        self.cache = PretokenCache(self.encode_alone)
+
+    def encode_alone(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, its pre-tokens one by one through the model."""
+        found = [self.pattern.findall(text) for text in texts]
+        mapped = [token.encode().decode("latin-1").translate(self.characters) for tokens in found for token in tokens]
+        ids = iter(self.model.encode(mapped, num_threads=1) if mapped else [])
+        return [[i for _ in tokens for i in next(ids)] for tokens in found]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        counts, ids = self.cache.whole(texts)
+        return np.split(ids.astype("<u4", copy=False), np.cumsum(counts)[:-1])
+
+    def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
 _MADE: dict[tuple[str, str], ByteBpe] = {}
@@ -135,8 +124,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for rows, _, _ in runs(batch, 1):
                 ids = bpe.encode([x or "" for x in rows.column(1).to_pylist()])
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id bigint, ids array<int>, decoded binary")
@@ -157,8 +146,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
                         pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
