@@ -14,7 +14,7 @@ range key ends in the path and the id, the URLs of one busy host are dealt to
 many tasks.
 
 Null URLs and URLs without ``://`` have empty host and path, which no rule
-fits. Rows may repeat; null ids are allowed. Null rule fields drop the rule;
+fits. URLs may be of any length and hold any characters. Rows may repeat; null ids are allowed. Null rule fields drop the rule;
 repeated rules count once. Other columns are not read.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Rules in one broadcast: at about 100 bytes each, some 50 MB in a Python worker.
 BLOCK_RULES = 500_000
-#: Closes every label of a key; sorts before all characters of host names but NUL.
-CLOSE = "\x01"
+#: Closes every label of a key. Where it stands in a host itself, it is escaped, so that no label holds it.
+CLOSE, ESCAPE = "\x01", "\x02"
 SWEPT = "page_id bigint, host string, path string, rule string, verdict string"
 
 
@@ -47,7 +47,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def host_key(host: Column) -> Column:
     """Labels from last to first, each closed."""
-    return F.concat(F.concat_ws(CLOSE, F.reverse(F.split(host, r"\."))), F.lit(CLOSE))
+    plain = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE + "e")), F.lit(CLOSE), F.lit(ESCAPE + "c"))
+    return F.concat(F.concat_ws(CLOSE, F.reverse(F.split(plain, r"\."))), F.lit(CLOSE))
 
 
 class Sweep:

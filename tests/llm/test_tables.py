@@ -40,7 +40,7 @@ def test_chat_format_is_native(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
 
 
-URLS = [(1, "http://www.example.com/en/x?a#b"), (2, "https://Example.COM/en/"), (3, "http://a.example.com/de/"), (4, "http://x.net/es/1"), (5, "http://x.net/de"), (6, "http://com"), (7, "http://com/"), (8, None), (9, "no scheme"), (10, "http://badexample.com/en/"), (11, "x://"), (12, "http://x.net/es"), (13, "a://b://c.net/es/"), (1, "http://www.example.com/en/x?a#b"), (None, "http://q.com/")]
+URLS = [(1, "http://www.example.com/en/x?a#b"), (2, "https://Example.COM/en/"), (3, "http://a.example.com/de/"), (4, "http://x.net/es/1"), (5, "http://x.net/de"), (6, "http://com"), (7, "http://com/"), (8, None), (9, "no scheme"), (10, "http://badexample.com/en/"), (11, "x://"), (12, "http://x.net/es"), (13, "a://b://c.net/es/"), (1, "http://www.example.com/en/x?a#b"), (None, "http://q.com/"), (14, "http://net\x01foo/es/a"), (15, "http://a\x01net/es/a"), (16, "http://a.\x02.net/es/a"), (17, "http://\x01.net/fr/"), (18, "http://a.\x00net/es/"), (19, "http://" + "a." * 50_000 + "net/es/" + "x" * 100_000), (20, "http://x.net/es/\n\u2028")]
 
 
 @pytest.mark.parametrize("block", [500_000, 2])
