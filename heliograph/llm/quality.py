@@ -5,7 +5,9 @@ target), one from all documents (the raw text). A document's score is the mean
 log ratio of both models over its n-grams, drawn towards 0 for few n-grams.
 Documents are sampled without replacement by Gumbel top-k on the scaled score:
 k is the number of documents whose score reaches a cut, and the cut is set on
-labelled documents that the target model has not seen.
+labelled documents that the target model has not seen. A document at the cut is
+kept in about two of three draws, one that is below it by d temperatures with a
+chance of about exp(-d), one above it by d is lost with about exp(-exp(d)).
 
 N-grams: single and double tokens, and single, double and triple token shapes.
 Tokens are runs of word characters or of symbols; a word that repeats the word
@@ -13,8 +15,10 @@ before it becomes a mark of its own, so that loops look alike in all languages.
 
 Null and empty texts have no n-gram and score 0. Equal texts score alike; their
 Gumbel numbers come from ``doc_id`` (null: 0), so rows with equal ids and texts
-share their fate. Without labels of both kinds the cut keeps everything. Other
-columns pass through unread. Empty tables give an empty result.
+share their fate; with equal keys at the last place, all of them are kept. A
+document with both labels counts for both kinds. Texts of any length are read
+whole. Without labels of both kinds the cut keeps everything. Other columns
+pass through unread. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from heliograph.llm.words import BYTE_HASH, runs, seeds, spans, splitmix
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: most labelled documents of each kind and fold that are used to fit."""
+    """``sample``: most labelled documents of each kind and fold that are used to fit. ``temperature``: size of the Gumbel numbers against scores."""
 
     buckets: int = 1 << 14
     sample: int = 3_000
     few: float = 8.0
-    temperature: float = 0.002
+    temperature: float = 0.1
     seed: int = 7
 
 

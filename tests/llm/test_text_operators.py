@@ -369,6 +369,63 @@ def test_quality_on_held_out_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def brute_ngrams(text, buckets):
+    """Buckets of all n-grams of a text, token by token; only the hash functions are the operator's."""
+    mix = lambda x: int(quality.splitmix(np.array([x % 2**64], np.uint64))[0])
+    raw = (text or "").encode()
+    tokens, shapes, last = [], [], None
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+", raw):
+        t = m[0]
+        is_word = bool(re.match(rb"[0-9A-Za-z\x80-\xff]", t))
+        lower = np.frombuffer(t.lower(), np.uint8)
+        own = int(quality.BYTE_HASH(lower, np.array([0]), np.array([len(t)]))[0])
+        upper, small = sum(65 <= b <= 90 for b in t), sum(97 <= b <= 122 for b in t)
+        shape = (1 if re.search(rb"[0-9]", t) else 2 if upper > 1 and not small else 3 if upper > 1 else 4 if upper else 5) if is_word else own
+        same = is_word and own == last
+        last = own if is_word else last
+        tokens.append(6 if same else own)
+        shapes.append(6 if same else shape)
+    salt = [int(x) for x in quality._SALTS]
+    pair = lambda a, b: mix(a * salt[5] + b)
+    two = [pair(a, b) for a, b in zip(shapes, shapes[1:], strict=False)]
+    kinds = [tokens, [pair(a, b) for a, b in zip(tokens, tokens[1:], strict=False)], shapes, two, [pair(a, b) for a, b in zip(two, shapes[2:], strict=False)]]
+    return [mix(x ^ s) % buckets for s, kind in zip(salt, kinds, strict=False) for x in kind]
+
+
+def test_ratios_and_sample_equal_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    share = lambda i: i / 400  # noqa: E731  from all plain to all shouted, so scores are close together
+    text = lambda i: " ".join(w.upper() + "!!" if rng.random() < share(i) else w for w in (rng.choice(["sun", "Moon", "star", "is", "is", "Ring", "1st"]) for _ in range(30)))
+    rows = [(i, text(i)) for i in range(400)] + [(400, None), (401, "")]
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(0, 400, 2)] + [(8, 0, 0)], "doc_id bigint, quality int, toxic int")
+    p = quality.Params(buckets=256)
+    docs = documents(spark, rows)
+    model = quality.fitted(docs, labels, p)
+    fold = {r.doc_id for r in labels.where((F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.lit(2)) == 0)).collect()}
+    grams = {d: brute_ngrams(t, p.buckets) for d, t in rows}
+    raw, target = Counter(x for g in grams.values() for x in g), Counter(x for d in fold for x in grams[d])
+    n, m = sum(raw.values()), sum(target.values())
+    weight = [math.log((target[b] + 0.5) / (m + 128)) - math.log((raw[b] + 0.5) / (n + 128)) for b in range(256)]
+    assert np.allclose(model.weights / 2**20, weight, atol=1e-6)
+    score = {d: sum(weight[x] for x in g) / (len(g) + p.few) for d, g in grams.items()}
+    got = {r.doc_id: r for r in quality.judged(docs, labels, p).collect()}
+    assert all(math.isclose(got[d].score, s, abs_tol=1e-5) and got[d].n_ngrams == len(grams[d]) for d, s in score.items())
+    k = sum(r.score >= model.cut for r in got.values())
+    best = sorted(got.values(), key=lambda r: -r.key)[:k]
+    assert {d for d, r in got.items() if r.kept} == {r.doc_id for r in best}
+    noise = [r.key - r.score / p.temperature for r in got.values()]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.25 and len(set(noise)) == len(noise)
+    moved = sum(r.kept != (r.score >= model.cut) for r in got.values())
+    assert 10 < moved < 200  # a sample, not the cut itself
+    assert np.mean([got[i].kept for i in range(0, 60)]) > 0.9 > 0.25 > np.mean([got[i].kept for i in range(340, 400)])
+
+
 def test_quality_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r.kept for r in quality.judged(documents(spark), labels).collect()} == {True}
