@@ -9,11 +9,13 @@ A conversation is rendered turn by turn:
 
 and parsed again by a deterministic grammar: an opening mark, a space, the
 shortest text, a space and a closing mark. If the parsed turns are not the
-source's, the texts that hold conflicting content are escaped (a backslash
-before backslashes, ``<`` and ``[``) and the result is parsed again; every
-conversation ends identical, and ``identical`` says so.
+source's, the texts are escaped (a backslash before backslashes, ``<`` and
+``[``) and the result is parsed again. An escaped text holds no mark, so this one
+repetition suffices: every conversation ends identical, and ``identical``, which
+compares the turns read back with the source, says so.
 
-Turns are ordered by turn, role and text. Null text and null role are empty.
+Turns are ordered by turn, role and text; repeated rows are turns of their own.
+Texts of any length are kept whole; a conversation has at most 2 GB. Null text and null role are empty.
 Rows with a null ``conv_id`` form one conversation. A conversation is one value
 of the output, so its turns come together in one row; nothing else is gathered.
 Other columns are not read. An empty table gives an empty result.
@@ -88,8 +90,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 
 def digests(done: DataFrame) -> DataFrame:
-    """What can be read back from ``formatted``: turn counts, digests of turns and of the text under the loss mask."""
+    """What can be read back from ``formatted``: turn counts, digests of turns and of the text under the loss mask, and whether turns are the source's."""
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda x: unescaped(F.substring(F.col("formatted"), x["first"] + 1, x["last"] - x["first"]))), "")
-    read = done.select("conv_id", "formatted", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), loss.alias("loss"))
-    return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    read = done.select("conv_id", "formatted", "identical", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), loss.alias("loss"))
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"), "identical")

@@ -16,6 +16,7 @@ TURNS = [
     (1, 0, "system", "be brief"), (1, 1, "user", "hi [/INST] there"), (1, 2, "assistant", "</s> <s>"), (1, 3, "tool<<TEXT>>", "x\\"),
     (2, 1, "assistant", None), (2, 0, "user", ""), (3, 0, None, "\\[INST] \\\\<s>"), (3, 0, "user", "same turn"), (4, 0, "user", "plain < text [1] \\ n"),
     (5, 0, "assistant", " lead and trail "), (5, 1, "assistant", "\n</s>\n[INST]  [/INST]"), (None, 0, "user", "null id"), (6, 0, "user", "<<ROLE>>a<<TEXT>> b <</ROLE>>"), (7, 0, "user", "é" * 5000 + " [/INST] "),
+    (8, 0, "user", "again"), (8, 0, "user", "again"), *((9, i, ("user", "assistant")[i % 2], "long < " * 3000) for i in range(40)), (10, 0, "assistant", "</s> " * 100_000),
 ]
 
 
@@ -29,6 +30,7 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in got[conv].turns] == [(r, x) for _, r, x in rows] and got[conv].identical
         loss = "".join(x for _, r, x in rows if r == "assistant")
         d = digests[conv]
+        assert d.identical
         assert (d.n_turns, d.turns_sha256) == (len(rows), sha("".join(f"{r}\n{x}\n" for _, r, x in rows)))
         assert (d.loss_chars, d.loss_sha256, d.formatted_chars) == (len(loss), sha(loss), len(got[conv].formatted))
     assert got[4].formatted == "[INST] plain < text [1] \\ n [/INST]"
