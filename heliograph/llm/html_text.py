@@ -3,12 +3,21 @@
 A page is cut into flat text blocks at block-level tags. Every block has its
 word count and link density, those of its neighbours, and whether it lies in an
 article element or in an element that is boilerplate by tag, class, id or role.
-A decision tree, trained on the small table below, tells text from boilerplate.
+A decision tree, trained on the blocks of the small labelled pages below, tells
+text from boilerplate. Words and links alone cannot tell a paragraph from a long
+advert or a reader's comment, so where a page marks its parts the tree goes by
+the marks; where it does not, by words and links of a block and its neighbours.
 The kept blocks, white space made single, are joined by one space.
 
-Scripts, styles, forms' controls, comments and the head never give blocks.
-Null pages have no text. Rows may repeat; other columns than ``page_id``,
-``url`` and ``html`` are not read. An empty table gives an empty result.
+Scripts, styles, forms' controls, comments and the head never give blocks. Pages
+of any length and of any markup are read whole, in time that grows with their
+length. A tag runs to its closing ``>``, which may stand in quoted values; from
+the first tag on that never closes in this way, every tag ends at the next
+``>``. What follows the last ``>`` of a page is text.
+
+Null and empty pages have no text. Rows may repeat; other columns than
+``page_id``, ``url`` and ``html`` are not read. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -16,7 +25,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -24,9 +33,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Markup: comments, declarations, tags with quoted attributes, other tags.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+#: What opens markup, and what ends a tag or opens a quoted value in it.
+OPENS = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|!--|[!?])")
+ENDS = re.compile(r"""=\s*+(["'])|>""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 #: Elements whose content is no text of the page.
+RAW = frozenset("script style textarea title".split())
 OPAQUE = frozenset("script style noscript template svg math title textarea select option button iframe object canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that do not end a block.
@@ -38,44 +50,61 @@ ARTICLE_TAGS = frozenset("article main".split())
 HINT = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 BOILERPLATE_WORD = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|footer|masthead|breadcrumbs?|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget|search|login|signup|copyright|contentinfo|complementary|toolbar|pagination|pager)(?:$|[^a-z])", re.I)
 ARTICLE_WORD = re.compile(r"(?:^|[^a-z])(?:articlebody|article|post-?content|entry-?content|post-?body|story(?:-?body)?|main-?content)(?:$|[^a-z])", re.I)
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "in_boilerplate"]
+#: ``mark``: 1 in an article element, 0 on a page without one, -1 in boilerplate or outside the page's article.
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "mark"]
 
-#: Labelled blocks: the features in order, then 1 for text and 0 for boilerplate.
+#: Labelled pages of several shapes. ``[+60/5]`` is a block of main text with 60 words, 5 of them in links; ``[-3/3]`` is boilerplate.
 LABELLED = [
-    # inside an article element: title, paragraphs, short lines, linked words
-    (8, 0.0, 1, 1.0, 60, 0.0, 1, 1, 0, 1), (60, 0.0, 8, 0.0, 45, 0.05, 1, 1, 0, 1), (45, 0.05, 60, 0.0, 2, 0.0, 1, 1, 0, 1),
-    (2, 0.0, 45, 0.05, 30, 0.0, 1, 1, 0, 1), (30, 0.0, 2, 0.0, 9, 0.0, 1, 1, 0, 1), (1, 0.0, 30, 0.0, 12, 0.0, 1, 1, 0, 1),
-    (4, 1.0, 30, 0.0, 25, 0.0, 1, 1, 0, 1), (3, 1.0, 3, 1.0, 3, 1.0, 1, 1, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1),
-    (120, 0.2, 1, 0.0, 8, 0.0, 1, 1, 0, 1), (15, 0.6, 40, 0.0, 50, 0.1, 1, 1, 0, 1), (5, 0.0, 4, 0.0, 6, 0.0, 1, 1, 0, 1),
-    # boilerplate elements inside an article
-    (1, 1.0, 30, 0.0, 1, 1.0, 1, 1, 1, 0), (25, 0.0, 60, 0.0, 40, 0.0, 1, 1, 1, 0), (60, 0.0, 20, 0.0, 0, 0.0, 1, 1, 1, 0),
-    (8, 0.3, 45, 0.0, 30, 0.0, 1, 1, 1, 0), (12, 0.0, 12, 0.0, 9, 0.0, 1, 1, 1, 0), (3, 0.0, 80, 0.0, 0, 0.0, 1, 1, 1, 0),
-    # boilerplate elements on pages with an article
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (12, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1, 0),
-    (14, 0.0, 40, 0.0, 0, 0.0, 0, 1, 1, 0), (60, 0.0, 5, 0.0, 40, 0.0, 0, 1, 1, 0), (20, 0.4, 9, 0.5, 6, 1.0, 0, 1, 1, 0),
-    # outside the article, without a mark
-    (3, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0), (5, 0.6, 4, 1.0, 20, 0.0, 0, 1, 0, 0), (40, 0.0, 3, 0.0, 9, 0.0, 0, 1, 0, 0),
-    (9, 0.0, 45, 0.0, 0, 0.0, 0, 1, 0, 0), (70, 0.1, 30, 0.0, 12, 0.0, 0, 1, 0, 0), (2, 0.0, 0, 0.0, 2, 0.0, 0, 1, 0, 0),
-    # pages without an article element: text
-    (40, 0.0, 6, 0.0, 55, 0.0, 0, 0, 0, 1), (55, 0.05, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (30, 0.1, 55, 0.0, 3, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1), (4, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (18, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 1),
-    (22, 0.2, 18, 0.0, 16, 0.0, 0, 0, 0, 1), (16, 0.0, 22, 0.2, 0, 0.0, 0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (6, 0.0, 28, 0.0, 5, 0.0, 0, 0, 0, 1), (5, 0.0, 6, 0.0, 35, 0.0, 0, 0, 0, 1), (90, 0.3, 12, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (12, 0.0, 12, 0.0, 12, 0.0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (4, 0.0, 3, 0.0, 3, 0.0, 0, 0, 0, 1),
-    # pages without an article element: boilerplate
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.8, 2, 1.0, 3, 0.7, 0, 0, 0, 0),
-    (8, 0.9, 40, 0.0, 6, 1.0, 0, 0, 0, 0), (15, 0.7, 6, 1.0, 5, 0.8, 0, 0, 0, 0), (30, 0.8, 12, 0.9, 9, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0), (4, 0.75, 30, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0), (9, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 0), (30, 0.0, 45, 0.0, 20, 0.0, 0, 0, 1, 0), (60, 0.1, 20, 0.0, 0, 0.0, 0, 0, 1, 0),
+    # an article element, marked boilerplate
+    "<nav><ul><li>[-1/1]<li>[-1/1]<li>[-2/2]<li>[-1/1]</ul></nav><div class=ad>[-12]</div><article><h1>[+8]</h1><p>[+60]<p>[+45/2]<p>[+2]<p>[+30]<p>[+9]<p>[+1]</article><footer>[-14]</footer>",
+    "<header>[-3]<p>[-6/4]</header><article><header><h1>[+6]</h1><p>[+4]</header><p>[+90/9]<ul><li>[+4/4]<li>[+6]<li>[+3/3]<li>[+8]<li>[+2/2]<li>[+3]<li>[+1/1]<li>[+5]<li>[+2]</ul><p>[+20/20]<p>[+15/9]<h2>[+3]</h2><p>[+120/20]<aside>[-25]<p>[-5/5]</aside><p>[+40]<div class=comments>[-60]<p>[-8]<p>[-30/3]</div><footer>[-3/3]</footer></article><aside>[-20/8]<p>[-60]</aside><form>[-12]</form><footer>[-9/5]</footer>",
+    "<div id=cookie-notice>[-22]</div><main><h1>[+5]</h1><p>[+35]<p>[+5]<p>[+6]<p>[+12]<div class=share-buttons>[-1/1]<p>[-1/1]</div><p>[+50/3]<form>[-8]</form><p>[+25]</main><p>[-9]<p>[-40]<p>[-70/7]<p>[-2]<p>[-3/3]",
+    "<div class=menu>[-2/2]<p>[-2/2]</div><div class=post-content><p>[+1]</div>",
+    "<nav>[-6/6]</nav><article><p>[+30]<p>[+4/4]<p>[+9]</article>",
+    "<article><p>[+5/5]<p>[+2]</article>",
+    "<article><p>[+30]<p>[+3/3]<p>[+6]</article>",
+    "<p>[-5]<article><p>[+1/1]<p>[+1]<p>[+2/2]<p>[+7/1]<p>[+30/30]</article><p>[-30]<p>[-5/3]<p>[-4/4]",
+    # marked boilerplate around text without an article element
+    "<nav>[-1/1]<p>[-1/1]<p>[-9]</nav><h1>[+7]</h1><p>[+40]<p>[+55/3]<p>[+3]<p>[+30/3]<p>[+18]<p>[+22/4]<div class=sidebar>[-30]<p>[-60/6]<p>[-4/4]</div><footer>[-20]</footer>",
+    "<div class=banner>[-15]</div><p>[+25]<p>[+6]<p>[+28]<div id=comments>[-45]<p>[-3]<p>[-80]</div>",
+    # no marks at all
+    "<p>[-1/1]<p>[-1/1]<p>[-2/2]<p>[-1/1]<h1>[+7]</h1><p>[+40]<p>[+55/3]<p>[+4]<p>[+48]<p>[+30/3]<p>[-3/3]<p>[-4/4]<p>[-3/3]<p>[-6]",
+    "<p>[-2]<p>[-1/1]<p>[-1/1]<p>[-2]<p>[-1/1]<h1>[+8]</h1><p>[+50]<p>[+45]<p>[+26]<p>[-3]<p>[-4/4]<p>[-2]<p>[-2/2]",
+    "<p>[-3/3]<p>[-2/2]<p>[-2/2]<h1>[+5]</h1><p>[+90/8]<p>[+18]<p>[+60]<p>[+16]<p>[-8/7]<p>[-9/8]<p>[-7/7]<p>[-5/3]",
+    "<p>[-4/2]<p>[-5/5]<p>[+30]<p>[+12]<p>[+12]<p>[+25/2]<p>[-1/1]<p>[-5]<p>[-2/2]",
+    "<p>[+25]",
+    "<p>[+3]<p>[+4]<p>[+3]",
+    "<p>[+12]<p>[+12]<p>[+12]<p>[+9]",
+    "<p>[-5/4]<p>[-15/11]<p>[-30/24]<p>[-12/11]<p>[-9/9]<p>[-1/1]<p>[-2]<p>[-1/1]<p>[-3]<p>[-2/2]",
+    "<h1>[+6]</h1><p>[+28]<p>[+5]<p>[+35/2]<h2>[+2]</h2><p>[+80]<ul><li>[+9]<li>[+8]<li>[+11]</ul><p>[+33]<p>[-1/1]<p>[-1/1]<p>[-4]<p>[-1/1]",
+    "<p>[-2/2]<p>[-4]<p>[-2/2]<p>[-3]<p>[-3/3]<h1>[+9]</h1><p>[+20]<p>[+21/3]<p>[+70/15]<p>[-6/5]<p>[-3]<p>[-5/5]",
 ]
+SLOT = re.compile(r"\[([+-])(\d+)(?:/(\d+))?\]")
 
 Tree = tuple  # (feature, threshold, tree if at most, tree if above), or (prediction,)
 
 
+def features(found: list[tuple[str, int, int, bool, bool]]) -> list[tuple[float, ...]]:
+    """``FEATURES`` of every block of a page."""
+    outside = -1.0 if any(b[3] for b in found) else 0.0
+    sizes = [(0.0, 0.0), *((float(n), linked / n) for _, n, linked, _, _ in found), (0.0, 0.0)]
+    return [(*sizes[i + 1], *sizes[i], *sizes[i + 2], -1.0 if b[4] else 1.0 if b[3] else outside) for i, b in enumerate(found)]
+
+
+def labelled_blocks(pages: Sequence[str] = LABELLED) -> list[tuple[float, ...]]:
+    """Features and label (1 for text) of all blocks of the labelled pages."""
+    out = []
+    for page in pages:
+        words = lambda m: "w " * (int(m[2]) - int(m[3] or 0)) + f"<a>{'w ' * int(m[3] or 0)}</a>"
+        labels = [float(m[1] == "+") for m in SLOT.finditer(page)]
+        out += [(*f, y) for f, y in zip(features(blocks(SLOT.sub(words, page))), labels, strict=True)]
+    return out
+
+
 def trained_tree(spark: SparkSession) -> Tree:
-    """The decision tree for ``LABELLED`` as nested tuples."""
-    rows = spark.createDataFrame([[float(x) for x in r] for r in LABELLED], [*FEATURES, "label"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=1, maxBins=64, seed=1).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
+    """The decision tree for the labelled blocks as nested tuples."""
+    rows = spark.createDataFrame(labelled_blocks(), [*FEATURES, "label"]).coalesce(1)
+    model = DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=1, maxBins=64, seed=1).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
 
     def walk(node) -> Tree:  # noqa: ANN001
         if node.subtreeDepth() == 0:
@@ -102,6 +131,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     link = False
     text: list[tuple[str, bool]] = []
 
+    last = page.rfind(">")
+    quoted = True  # tags end at a > outside quotes
+    unclosed: set[str] = set()  # opaque tags that are not closed any more
+
+    def tag_end(at: int) -> int:
+        nonlocal quoted
+        while quoted:
+            m = ENDS.search(page, at)
+            if m is not None and not m[1]:
+                return m.end()
+            at = 0 if m is None else page.find(m[1], m.end()) + 1
+            quoted = at > 0
+        return 0
+
     def close() -> None:
         joined = " ".join("".join(t for t, _ in text).split())
         if joined:
@@ -112,21 +155,32 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
     at, size = 0, len(page)
     while at < size:
-        m = MARKUP.search(page, at)
+        m = OPENS.search(page, at, last + 1)
         if m is None:
             text.append((references.unescape(page[at:]), link))
             break
         if m.start() > at:
             text.append((references.unescape(page[at : m.start()]), link))
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        end, tag = m[1], m[2]
         if not tag:
+            if page.startswith("<!--", m.start()):
+                at = next((m.end() + len(x) for x in (">", "->") if page.startswith(x, m.end())), page.find("-->", m.end()) + 3)
+                at = at if at > 2 else size
+            else:
+                at = page.find(">", m.end()) + 1
             continue
+        at = tag_end(m.end()) or page.find(">", m.end()) + 1
+        attributes = page[m.end() : at - 1]
         tag = tag.lower()
         if tag in OPAQUE:
-            if not end and not attributes.endswith("/"):
+            if not end and tag not in unclosed and (tag in RAW or not SELF_CLOSED.search(attributes)):
                 closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = closing.end() if closing else size
+                if closing:
+                    at = closing.end()
+                elif tag in RAW:
+                    at = size
+                else:
+                    unclosed.add(tag)
             if tag not in INLINE:
                 close()
             continue
@@ -167,9 +221,7 @@ def main_text(page: str | None, tree: Tree) -> str:
     if not page:
         return ""
     found = blocks(page)
-    has_article = float(any(b[3] for b in found))
-    sizes = [(0.0, 0.0), *((float(n), linked / n) for _, n, linked, _, _ in found), (0.0, 0.0)]
-    return " ".join(b[0] for i, b in enumerate(found) if is_text(tree, (*sizes[i + 1], *sizes[i], *sizes[i + 2], float(b[3]), has_article, float(b[4]))))
+    return " ".join(b[0] for b, f in zip(found, features(found), strict=True) if is_text(tree, f))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
