@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, chat_format, decontaminate, html_text, license_scan, near_dedup, quality, syncmers, token_output, url_rules
+from heliograph.llm import byte_bpe, chat_format, decontaminate, html_text, license_scan, near_dedup, quality, sql, syncmers, token_output, url_rules
 from heliograph.llm.session import new_path
 
 
@@ -82,21 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_decontaminate": op1_decontaminate, "op2_chat_format": op2_chat_format, "op3_fingerprints": op3_fingerprints, "op4_url_rules": op4_url_rules, "op5_token_output": op5_token_output, "op6_license_scan": op6_license_scan, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op9_html_text": op9_html_text, "op10_near_dedup": op10_near_dedup, "pipeline": pipeline}
 
 
-#: Word positions of every document as in op1 and op6.
-WORDS_SQL = r"""string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
-
-OP4_SQL = r"""
-WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-parts AS (
-  SELECT page_id, row_number() OVER () AS n,
-    translate(CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1) ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) ELSE '' END AS path
-  FROM pages),
-fits AS (SELECT n, h || p AS rule, v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
-best AS (SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM fits GROUP BY n)
-SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN best USING (n)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": OP4_SQL}
+    return sql.oracle_sql()
