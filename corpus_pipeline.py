@@ -3,6 +3,15 @@
 Every stage takes what the one before it kept, written as Parquet and read
 again. The first three return the columns of ``documents``; the last returns
 token counts and digests.
+
+Null and empty texts have no word: they are good, near nothing and clean, and
+have no token. Texts of any length are read whole. Rows with a null ``doc_id``
+are judged by their texts and never dropped as near copies. Rows with equal
+``doc_id`` are one document to the near-duplicate stage: they stay or go
+together; other stages judge each row alone. Of equal texts the least ``doc_id``
+stays. Further columns, whatever their names, are passed on untouched. Empty
+tables give an empty result; without labels the classifier keeps everything.
+The stages' tables stay in the shared folder, because the result reads them.
 """
 
 from __future__ import annotations
