@@ -1,6 +1,7 @@
 """Recursive indicators and one-position walks over bars, and labels over the bars ahead.
 
-DuckDB's side of a recursion is a recursive query over row numbers.
+Linear recursions run as windows (``heliograph.functions.linear``), the others as
+scans. DuckDB's side of either is a recursive query over row numbers.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.recursive import adaptive, directional, ewm, macd_position, occupied, parabolic, rsi, rule_walk, rule_walk_sides, seeded, smoothed_open, trend_bands
+from heliograph.functions.linear import GAIN, LOSS, directional_index, ema, fading, relative_strength, seeded, wilder
+from heliograph.functions.recursive import adaptive, occupied, parabolic, rule_walk, rule_walk_sides, trend_bands
 from heliograph.functions.series import following, lag, lead, prior, rolling, true_range
 from heliograph.operators.scan import Step, scan
 from heliograph.operators.staged import Stage, staged_sql, with_stages
@@ -22,13 +24,14 @@ TR = {"tr": "coalesce(greatest(high - low, abs(high - {c}), abs(low - {c})), hig
 CHANGE = {"d": f"close - {lag('close')}"}
 
 
-def recursion(name: str, stages: Sequence[Stage], inputs: Sequence[str], outputs: str, start: Callable[[], Step], first: Mapping[str, str], then: Mapping[str, str], out: Mapping[str, str]) -> None:
-    """Register a scan; ``first`` and ``then``: state columns of the first and of every later row in SQL (``s``: before, ``b``: this row)."""
+def recursion(name: str, stages: Sequence[Stage], inputs: Sequence[str], outputs: str, how: Callable[[], Step] | Sequence[Stage], first: Mapping[str, str], then: Mapping[str, str], out: Mapping[str, str]) -> None:
+    """Register a scan (``how`` makes a step) or windows (stages); ``first`` and ``then``: state columns of the first and of every later row in SQL (``s``: before, ``b``: this row)."""
     kinds = dict(x.split() for x in outputs.split(", "))
     shown = {n: rounded(n) if k == "double" else n for n, k in kinds.items()}
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = scan(with_stages(event_bars(spark, folder), stages), list(inputs), outputs, start)
+        bars = with_stages(event_bars(spark, folder), stages)
+        found = scan(bars, list(inputs), outputs, how) if callable(how) else with_stages(bars, how)
         return found.select("symbol", "ts", *(F.expr(e).alias(n) for n, e in shown.items()))
 
     rows = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ({staged_sql(EVENT_BARS_SQL, stages)}) AS x"
@@ -48,31 +51,33 @@ def _seed(n: int, x: str, y: str, k: str) -> str:
 
 
 D13 = "CAST(2 AS DOUBLE) / 13"
-recursion("r01_ewm", [], ["close"], "y double", lambda: ewm(2 / 13), {"y": "b.close"}, {"y": _ewm(D13, "b.close", "y")}, {"y": "y"})
+recursion("r01_ewm", [], ["close"], "y double", fading({"y": ema("close", 12)}), {"y": "b.close"}, {"y": _ewm(D13, "b.close", "y")}, {"y": "y"})
 _UP, _DOWN, _A = "greatest(b.d, 0)", "greatest(-b.d, 0)", "CAST(1 AS DOUBLE) / 14"
 _ZERO = "CAST(0 AS DOUBLE)"
 recursion(
-    "r02_rsi", [CHANGE], ["d"], "rsi double", lambda: rsi(14), {"g": _ZERO, "l": _ZERO},
+    "r02_rsi", [CHANGE], ["d"], "rsi double", [*fading({"g": wilder(GAIN, 14, 14), "l": wilder(LOSS, 14, 14)}), {"rsi": relative_strength("g", "l")}], {"g": _ZERO, "l": _ZERO},
     {"g": f"CASE WHEN b.i = 2 THEN {_UP} ELSE {_ewm(_A, _UP, 'g')} END", "l": f"CASE WHEN b.i = 2 THEN {_DOWN} ELSE {_ewm(_A, _DOWN, 'l')} END"},
     {"rsi": "CASE WHEN i <= 14 THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END"},
 )
-recursion("r03_rsi_seeded", [CHANGE], ["d"], "rsi double", lambda: rsi(14, "seeded"), {"g": _ZERO, "l": _ZERO}, {"g": _seed(14, _UP, "g", "b.i - 1"), "l": _seed(14, _DOWN, "l", "b.i - 1")}, {"rsi": "CASE WHEN i <= 14 THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END"})
-recursion("r04_atr_wilder", [TR], ["tr"], "atr double", lambda: ewm(1 / 14, 14), {"y": "b.tr"}, {"y": _ewm(_A, "b.tr", "y")}, {"atr": "CASE WHEN i >= 14 THEN y END"})
-recursion("r05_atr_from_start", [TR], ["tr"], "atr double", lambda: ewm(1 / 14), {"y": "b.tr"}, {"y": _ewm(_A, "b.tr", "y")}, {"atr": "y"})
-recursion("r06_atr_seeded", [TR], ["tr"], "atr double", lambda: seeded(14), {"y": "b.tr / 14"}, {"y": _seed(14, "b.tr", "y", "b.i")}, {"atr": "CASE WHEN i >= 14 THEN y END"})
-recursion("r07_wilder_mean", [], ["volume"], "y double", lambda: seeded(10), {"y": "b.volume / 10"}, {"y": _seed(10, "b.volume", "y", "b.i")}, {"y": "CASE WHEN i >= 10 THEN y END"})
+recursion("r03_rsi_seeded", [CHANGE], ["d"], "rsi double", [*fading({"g": seeded(GAIN, 14), "l": seeded(LOSS, 14)}), {"rsi": relative_strength("g", "l")}], {"g": _ZERO, "l": _ZERO}, {"g": _seed(14, _UP, "g", "b.i - 1"), "l": _seed(14, _DOWN, "l", "b.i - 1")}, {"rsi": "CASE WHEN i <= 14 THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END"})
+recursion("r04_atr_wilder", [TR], ["tr"], "atr double", fading({"atr": wilder("tr", 14, 14)}), {"y": "b.tr"}, {"y": _ewm(_A, "b.tr", "y")}, {"atr": "CASE WHEN i >= 14 THEN y END"})
+recursion("r05_atr_from_start", [TR], ["tr"], "atr double", fading({"atr": wilder("tr", 14)}), {"y": "b.tr"}, {"y": _ewm(_A, "b.tr", "y")}, {"atr": "y"})
+recursion("r06_atr_seeded", [TR], ["tr"], "atr double", fading({"atr": seeded("tr", 14)}), {"y": "b.tr / 14"}, {"y": _seed(14, "b.tr", "y", "b.i")}, {"atr": "CASE WHEN i >= 14 THEN y END"})
+recursion("r07_wilder_mean", [], ["volume"], "y double", fading({"y": seeded("volume", 10)}), {"y": "b.volume / 10"}, {"y": _seed(10, "b.volume", "y", "b.i")}, {"y": "CASE WHEN i >= 10 THEN y END"})
 _MOVES = {"up": f"coalesce(high - {lag('high')}, 0)", "dn": f"coalesce({lag('low')} - low, 0)"}
 _DM = {"pdm": "CASE WHEN up > dn AND up > 0 THEN up ELSE CAST(0 AS DOUBLE) END", "mdm": "CASE WHEN dn > up AND dn > 0 THEN dn ELSE CAST(0 AS DOUBLE) END"}
 _R, _P, _M = (_seed(14, f"b.{x}", y, "b.i") for x, y in (("tr", "r"), ("pdm", "p"), ("mdm", "m")))
 _DX = f"coalesce(100 * abs(({_P}) - ({_M})) / nullif(({_P}) + ({_M}), 0), 0)"
 recursion(
-    "r08_directional_index", [{**TR, **_MOVES}, _DM], ["tr", "pdm", "mdm"], "adx double, pdi double, mdi double", lambda: directional(14),
+    "r08_directional_index", [{**TR, **_MOVES}, _DM], ["tr", "pdm", "mdm"], "adx double, pdi double, mdi double", directional_index(14),
     {"r": "b.tr / 14", "p": "b.pdm / 14", "m": "b.mdm / 14", "x": _ZERO}, {"r": _R, "p": _P, "m": _M, "x": f"CASE WHEN b.i <= 14 THEN {_DX} ELSE (s.x * 13 + {_DX}) / 14 END"},
     {"adx": "CASE WHEN i >= 14 THEN x END", "pdi": "CASE WHEN i >= 14 THEN 100 * p / r END", "mdi": "CASE WHEN i >= 14 THEN 100 * m / r END"},
 )
 _F, _S = (_ewm(f"CAST(2 AS DOUBLE) / {n}", "b.close", y) for n, y in ((13, "f"), (27, "w")))
 recursion(
-    "r09_macd_position", [CHANGE], ["close", "d"], "side int", macd_position, {"f": "b.close", "w": "b.close", "g": _ZERO, "l": _ZERO, "c": _ZERO},
+    "r09_macd_position", [CHANGE], ["close", "d"], "side int",
+    [*fading({"f": ema("close", 12), "w": ema("close", 26), "g": wilder(GAIN, 14), "l": wilder(LOSS, 14)}), {"m": "f - w"}, *fading({"c": ema("m", 9)}), {"side": "CASE WHEN m > c AND g > l THEN 1 WHEN m < c AND g < l THEN -1 ELSE 0 END"}],
+    {"f": "b.close", "w": "b.close", "g": _ZERO, "l": _ZERO, "c": _ZERO},
     {"f": _F, "w": _S, "g": f"CASE WHEN b.i = 2 THEN {_UP} ELSE {_ewm(_A, _UP, 'g')} END", "l": f"CASE WHEN b.i = 2 THEN {_DOWN} ELSE {_ewm(_A, _DOWN, 'l')} END", "c": f"s.c + CAST(2 AS DOUBLE) / 10 * (({_F}) - ({_S}) - s.c)"},
     {"side": "CASE WHEN f - w > c AND g > l THEN 1 WHEN f - w < c AND g < l THEN -1 ELSE 0 END"},
 )
@@ -96,7 +101,7 @@ recursion(
     {"side": "d"},
 )
 _HA = "(b.open + b.high + b.low + b.close) / 4"
-recursion("r13_heikin_ashi", [], ["open", "high", "low", "close"], "ha_open double, ha_close double", smoothed_open, {"o": "(b.open + b.close) / 2", "c": _HA}, {"o": "(s.o + s.c) / 2", "c": _HA}, {"ha_open": "o", "ha_close": "c"})
+recursion("r13_heikin_ashi", [], ["open", "high", "low", "close"], "ha_open double, ha_close double", [{"ha_close": "(open + high + low + close) / 4"}, {"ha_x": f"coalesce({lag('ha_close')}, (open + close) / 2)"}, *fading({"ha_open": ("ha_x", 0.5)})], {"o": "(b.open + b.close) / 2", "c": _HA}, {"o": "(s.o + s.c) / 2", "c": _HA}, {"ha_open": "o", "ha_close": "c"})
 
 # --- labels and walks
 _ENTRY = {"entry": f"coalesce(close > max(high) {prior(10)}, false)", "leave": f"coalesce(close < min(low) {prior(5)}, false)"}
