@@ -37,19 +37,24 @@ def rounded(name: str, digits: int = 6) -> str:
     return f"round({name}, {digits}) + 0.0"
 
 
-def series(name: str, outputs: Mapping[str, str] | Sequence[str], *stages: Stage, duck: Sequence[Stage] | None = None, where: str | None = None, daily: bool = False) -> None:
+def series(name: str, outputs: Mapping[str, str] | Sequence[str], *stages: Stage, duck: Sequence[Stage] | None = None, where: str | None = None, daily: bool = False, places: Mapping[str, str] | None = None, base: tuple[Query, str] | None = None) -> None:
     """Register a query over bars: stages of expressions, then ``outputs`` (name: expression, or names to round).
 
-    ``duck``: stages for DuckDB where its functions have other names.
+    ``duck``: stages for DuckDB where its functions have other names. ``places``:
+    name to time zone; stages may use the local time ``{name}_t``, minute of the
+    day ``{name}_m`` and date ``{name}_d``. ``base``: other bars than those of
+    events or days, and their SQL.
     """
+    bars = base or ((daily_bars, DAILY_BARS_SQL) if daily else (event_bars, EVENT_BARS_SQL))
+    here, there = ([], []) if places is None else ([{f"{n}_t": how.format(z)} for n, z in places.items()] + [{f"{n}_m": f"hour({n}_t) * 60 + minute({n}_t)" for n in places} | {f"{n}_d": f"CAST({n}_t AS DATE)" for n in places}] for how in ("convert_timezone('UTC', '{}', ts)", "timezone('{}', timezone('UTC', ts))"))
     out = {n: rounded(n) for n in outputs} if not isinstance(outputs, Mapping) else dict(outputs)
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        df = with_stages(daily_bars(spark, folder) if daily else event_bars(spark, folder), stages)
+        df = with_stages(bars[0](spark, folder), [*here, *stages])
         df = df.where(where) if where else df
         return without_decimals(df.select("symbol", "ts", *(F.expr(e).alias(n) for n, e in out.items())))
 
-    inner = staged_sql(DAILY_BARS_SQL if daily else EVENT_BARS_SQL, duck or stages)
+    inner = staged_sql(bars[1], [*there, *(duck or stages)])
     columns = ", ".join(f"{e} AS {n}" for n, e in out.items())
     QUERIES[name] = run
     ORACLES[name] = f"SELECT symbol, ts, {columns} FROM ({inner}) AS s" + (f" WHERE {where}" if where else "")
