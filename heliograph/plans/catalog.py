@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.plans import recursive, registry, rules, signals, tables, trades, windows  # noqa: F401  importing registers
+from heliograph.plans import calendar, frames, recursive, registry, rules, signals, statistics, tables, trades, windows  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, registry.Query]:
