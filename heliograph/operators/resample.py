@@ -12,10 +12,10 @@ def bin_start(ts: Column, minutes: int) -> Column:
     return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(minutes * 60))).cast("timestamp_ntz")
 
 
-def tick_bars(ticks: DataFrame, minutes: int, symbol: str = "symbol", ts: str = "ts", price: str = "price") -> DataFrame:
-    """OHLC bars and tick counts. First and last are by time, so partial aggregation works map-side."""
-    at = F.col(ts)
-    return ticks.where(F.col(price).isNotNull()).groupBy(F.col(symbol).alias("symbol"), bin_start(at, minutes).alias("bin")).agg(
+def tick_bars(ticks: DataFrame, minutes: int, symbol: str = "symbol", ts: str = "ts", price: str = "price", key: str | None = None) -> DataFrame:
+    """OHLC bars and tick counts. First and last are by time, then by ``key`` (else by price), so partial aggregation works map-side and ties have one result."""
+    at = F.struct(ts, key or price)
+    return ticks.where(F.col(price).isNotNull()).groupBy(F.col(symbol).alias("symbol"), bin_start(F.col(ts), minutes).alias("bin")).agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count("*").cast("double").alias("volume")
     ).withColumnRenamed("bin", "ts")
 

@@ -52,8 +52,8 @@ _T = "SELECT l_partkey, count(*) - 1 AS df, avg(l_discount - 0.05) / nullif(stdd
 _ANGLE = f"SELECT l_partkey, df, t, atan(abs(t) / sqrt(df)) AS th, df / (df + t * t) AS c2 FROM ({_T}) AS x"
 _ODD = "aggregate(sequence(1, greatest(CAST((df - 3) / 2 AS INT), 1)), struct(CAST(1 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS s), (acc, k) -> struct(acc.a * c2 * 2 * k / (2 * k + 1) AS a, acc.s + CASE WHEN k <= (df - 3) / 2 THEN acc.a * c2 * 2 * k / (2 * k + 1) ELSE 0 END AS s), acc -> acc.s)"
 _EVEN = "aggregate(sequence(1, greatest(CAST((df - 2) / 2 AS INT), 1)), struct(CAST(1 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS s), (acc, k) -> struct(acc.a * c2 * (2 * k - 1) / (2 * k) AS a, acc.s + CASE WHEN k <= (df - 2) / 2 THEN acc.a * c2 * (2 * k - 1) / (2 * k) ELSE 0 END AS s), acc -> acc.s)"
-P_SPARK = f"SELECT l_partkey, df, t, greatest(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * {_ODD}) ELSE sin(th) * {_EVEN} END, CAST(0 AS DOUBLE)) AS p FROM ({_ANGLE}) AS y"
-P_DUCK = f"SELECT l_partkey, df, t, greatest(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * list_sum(list_transform(range(0, CAST((df - 3) // 2 AS BIGINT) + 1), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2)) * pow(c2, k)))) ELSE sin(th) * list_sum(list_transform(range(0, CAST((df - 2) // 2 AS BIGINT) + 1), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2) * pow(c2, k))) END, CAST(0 AS DOUBLE)) AS p FROM ({_ANGLE}) AS y"
+P_SPARK = f"SELECT l_partkey, df, t, greatest(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * {_ODD} ELSE 0 END) ELSE sin(th) * {_EVEN} END, CAST(0 AS DOUBLE)) AS p FROM ({_ANGLE}) AS y"
+P_DUCK = f"SELECT l_partkey, df, t, greatest(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + coalesce(sin(th) * cos(th) * list_sum(list_transform(range(0, CAST((df - 3) // 2 AS BIGINT) + 1), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2)) * pow(c2, k))), 0)) ELSE sin(th) * list_sum(list_transform(range(0, CAST((df - 2) // 2 AS BIGINT) + 1), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2) * pow(c2, k))) END, CAST(0 AS DOUBLE)) AS p FROM ({_ANGLE}) AS y"
 table_query("i08_two_sided_p", f"SELECT l_partkey, df, round(t, 6) + 0.0 AS t, round(p, 9) AS p FROM ({P_SPARK}) AS z", f"SELECT l_partkey, df, round(t, 6) + 0.0 AS t, round(p, 9) AS p FROM ({P_DUCK}) AS z", ["lineitem"])
 
 

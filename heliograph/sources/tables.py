@@ -13,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def event_bars(spark: SparkSession, folder: str, minutes: int = 60) -> DataFrame:
     """Bars of the values of each event type."""
-    return tick_bars(table(spark, folder, "events"), minutes, symbol="event_type", price="value")
+    return tick_bars(table(spark, folder, "events"), minutes, symbol="event_type", price="value", key="event_id")
 
 
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,5 +30,5 @@ def _ohlcv() -> list:
 
 
 #: The same bars in SQL.
-EVENT_BARS_SQL = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY event_type, date_trunc('hour', ts)"
+EVENT_BARS_SQL = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, date_trunc('hour', ts)"
 DAILY_BARS_SQL = "SELECT symbol, ts, min_by(price, line) AS open, max(price) AS high, min(price) AS low, max_by(price, line) AS close, sum(size) AS volume FROM (SELECT concat(l_returnflag, l_linestatus) AS symbol, date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS ts, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity AS size, l_orderkey * 10 + l_linenumber AS line FROM lineitem) AS l GROUP BY symbol, ts"
