@@ -201,3 +201,20 @@ def rule_walk_sides(stop_width: float = 2.5, most: int = 30, side: int = 1, targ
         return first, second
 
     return step
+
+
+def occupied_for() -> Step:
+    """As ``occupied``, but every entry says for how many rows its position lasts."""
+    at, free = 0, 0
+
+    def step(entry: bool | None, hold: int) -> tuple:
+        nonlocal at, free
+        at += 1
+        if not entry:
+            return (None,)
+        if at < free:
+            return (0,)
+        free = at + hold
+        return (1,)
+
+    return step
