@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.plans import calendar, frames, recursive, registry, rules, signals, statistics, sweeps, tables, trades, windows  # noqa: F401  importing registers
+from heliograph.plans import calendar, files, frames, models, recursive, registry, rules, signals, statistics, streams, sweeps, tables, texts, trades, windows  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, registry.Query]:
