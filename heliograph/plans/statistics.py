@@ -34,7 +34,7 @@ def newey_west(blocks: str, lag: int) -> str:
 
 BLOCKS = block_ic(_S)
 table_query("i01_block_ic_guarded", f"SELECT symbol, blk, round(ic, 6) + 0.0 AS ic, n_obs FROM ({BLOCKS}) AS q", None, ["bars"])
-table_query("i02_block_ic_naive", f"SELECT symbol, blk, round(corr(rs, rf), 6) + 0.0 AS ic FROM (SELECT symbol, blk, {_MID.format(p='symbol, blk', x='s')} AS rs, {_MID.format(p='symbol, blk', x='f')} AS rf FROM (SELECT symbol, CAST(floor(rn / {BLOCK}) AS BIGINT) AS blk, s, f FROM ({_S}) AS a WHERE s IS NOT NULL AND f IS NOT NULL) AS b) AS c GROUP BY symbol, blk HAVING count(*) >= {PAIRS}", None, ["bars"])
+table_query("i02_block_ic_naive", f"SELECT symbol, blk, round(covar_pop(rs, rf) / nullif(sqrt(var_pop(rs) * var_pop(rf)), 0), 6) + 0.0 AS ic FROM (SELECT symbol, blk, {_MID.format(p='symbol, blk', x='s')} AS rs, {_MID.format(p='symbol, blk', x='f')} AS rf FROM (SELECT symbol, CAST(floor(rn / {BLOCK}) AS BIGINT) AS blk, s, f FROM ({_S}) AS a WHERE s IS NOT NULL AND f IS NOT NULL) AS b) AS c GROUP BY symbol, blk HAVING count(*) >= {PAIRS}", None, ["bars"])
 table_query("i03_newey_west_lag3", f"SELECT symbol, CASE WHEN var > 0 THEN round(mu / sqrt(var / n), 6) + 0.0 END AS t FROM ({newey_west(BLOCKS, 3)}) AS w", None, ["bars"])
 _QUARTERS = f"SELECT symbol, q, avg(ic) AS part, max(mu) AS mu FROM (SELECT symbol, ic, avg(ic) OVER (PARTITION BY symbol) AS mu, ntile(4) OVER (PARTITION BY symbol ORDER BY blk) AS q FROM ({BLOCKS}) AS b) AS c GROUP BY symbol, q"
 _IC = f"SELECT a.symbol AS symbol, n_obs, n_blocks, ic_mean, ic_std, ic_mean / nullif(ic_std, 0) AS ir, ic_mean / nullif(ic_std, 0) * sqrt(n_blocks) AS t_stat, mu / sqrt(nullif(var, 0) / n) AS t_nw, stability, same_sign FROM (SELECT symbol, max(n_obs) AS n_obs, count(*) AS n_blocks, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(CASE WHEN sign(ic) = sign(mu) THEN 1 ELSE 0 END) AS stability FROM (SELECT *, avg(ic) OVER (PARTITION BY symbol) AS mu FROM ({BLOCKS}) AS b) AS m GROUP BY symbol HAVING count(*) >= {LEAST_BLOCKS}) AS a JOIN ({newey_west(BLOCKS, 1)}) AS w ON a.symbol = w.symbol JOIN (SELECT symbol, sum(CASE WHEN sign(part) = sign(mu) AND part <> 0 THEN 1 ELSE 0 END) AS same_sign FROM ({_QUARTERS}) AS q GROUP BY symbol) AS s ON a.symbol = s.symbol"

@@ -80,8 +80,8 @@ table_query("y01_open_band_breakout", *(f"SELECT symbol, day, CAST(side AS INT)
 _K = (1, 3, 12)
 _SIG = {"reversal": "-(close - open)", "drift": "close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts)", "range": "(close - low) / nullif(high - low, 0) - 0.5"}
 _CELLS = " UNION ALL ".join(f"SELECT '{n}' AS signal, {k} AS k, symbol, {e} AS s, lead(close, {k}) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS f FROM {BARS} AS b{i}{k}" for i, (n, e) in enumerate(_SIG.items()) for k in _K)
-table_query("i06_ic_grid", f"SELECT signal, k, symbol, count(*) AS n, round(corr(rs, rf), 6) + 0.0 AS ic FROM (SELECT signal, k, symbol, {_MID.format(p='signal, k, symbol', x='s')} AS rs, {_MID.format(p='signal, k, symbol', x='f')} AS rf FROM ({_CELLS}) AS c WHERE s IS NOT NULL AND f IS NOT NULL) AS r GROUP BY signal, k, symbol HAVING count(*) >= 60", None, ["bars"])
-table_query("i19_rank_gain", *(f"SELECT symbol, round(corr(ra, rb), 6) + 0.0 AS rho, count(*) AS n FROM (SELECT symbol, {_MID.format(p='symbol', x='risk')} AS ra, {_MID.format(p='symbol', x='r')} AS rb FROM ({t}) AS t) AS x GROUP BY symbol" for t in OPENING), ["bars"])
+table_query("i06_ic_grid", f"SELECT signal, k, symbol, count(*) AS n, round(covar_pop(rs, rf) / nullif(sqrt(var_pop(rs) * var_pop(rf)), 0), 6) + 0.0 AS ic FROM (SELECT signal, k, symbol, {_MID.format(p='signal, k, symbol', x='s')} AS rs, {_MID.format(p='signal, k, symbol', x='f')} AS rf FROM ({_CELLS}) AS c WHERE s IS NOT NULL AND f IS NOT NULL) AS r GROUP BY signal, k, symbol HAVING count(*) >= 60", None, ["bars"])
+table_query("i19_rank_gain", *(f"SELECT symbol, round(covar_pop(ra, rb) / nullif(sqrt(var_pop(ra) * var_pop(rb)), 0), 6) + 0.0 AS rho, count(*) AS n FROM (SELECT symbol, {_MID.format(p='symbol', x='risk')} AS ra, {_MID.format(p='symbol', x='r')} AS rb FROM ({t}) AS t) AS x GROUP BY symbol" for t in OPENING), ["bars"])
 table_query("i21_breadth_ratio", f"WITH p AS (SELECT symbol, ts, r FROM {_PNL} AS q WHERE r IS NOT NULL), c AS (SELECT a.symbol AS x, b.symbol AS y, corr(a.r, b.r) AS rho FROM p AS a JOIN p AS b ON a.ts = b.ts GROUP BY a.symbol, b.symbol HAVING count(*) > 30) SELECT CAST(ic AS DOUBLE) AS ic, round(CAST(ic AS DOUBLE) * sqrt(n_eff * 52), 6) AS ratio FROM (SELECT pow(count(DISTINCT x), 2) / sum(rho * rho) AS n_eff FROM c) AS e CROSS JOIN (VALUES (0.01), (0.02), (0.05)) AS v(ic)", None, ["days"])
 _STEP = {"entry": f"coalesce(close > max(high) {prior(6)}, false)", "hold": "CAST(2 + hour(ts) % 5 AS INT)"}
 recursion("x09_table_walk", [_STEP], ["entry", "hold"], "taken int", occupied_for, {"f": "CASE WHEN b.entry THEN 1 + b.hold ELSE 0 END", "t": "CASE WHEN b.entry THEN 1 END"}, {"f": "CASE WHEN b.entry AND b.i >= s.f THEN b.i + b.hold ELSE s.f END", "t": "CASE WHEN b.entry THEN CASE WHEN b.i >= s.f THEN 1 ELSE 0 END END"}, {"taken": "t"})
