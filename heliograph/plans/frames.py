@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.series import last, log_return, rolling, sma
+from heliograph.functions.linear import ema, fading
+from heliograph.functions.series import lag, last, log_return, rolling, sma
 from heliograph.operators.asof import as_of
 from heliograph.operators.resample import resample
 from heliograph.operators.staged import Stage, staged_sql, with_stages
@@ -70,3 +71,27 @@ table_query("y30_spread_floor", "SELECT symbol, round(median(s), 6) AS floor_spr
 table_query("y34_journal_keys", "SELECT DISTINCT event_type, user_id, date_trunc('minute', ts) AS minute FROM {events} WHERE event_type IN ('purchase', 'signup')", None, ["events"])
 table_query("l18_glitch_filter", "SELECT event_id, CASE WHEN p IS NOT NULL AND abs(value / nullif(p, 0) - 1) > 5 THEN 1 ELSE 0 END AS glitch FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM {events}) AS e", None, ["events"])
 table_query("l11_bars_held", "SELECT symbol, ts, count(*) OVER (PARTITION BY symbol, isle ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS held FROM (SELECT symbol, ts, sum(CASE WHEN close > open THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM {bars}) AS b WHERE isle > 0", None, ["bars"])
+
+
+def agreeing(name: str, own: tuple[Stage, ...], coarse: tuple[Stage, ...], frames: tuple[int, ...]) -> None:
+    """Register a rule that trades where the bar's own state ``s`` and the last closed state of every coarser frame agree."""
+    known = {h: f"SELECT symbol, ts + INTERVAL {h} HOUR AS ts, s AS s{h} FROM ({staged_sql(_coarse_sql(h), coarse)}) AS c{h}" for h in frames}
+    sql = staged_sql(EVENT_BARS_SQL, own)
+    for h, text in known.items():
+        sql = f"SELECT b.*, k.s{h} FROM ({sql}) AS b ASOF LEFT JOIN ({text}) AS k ON b.symbol = k.symbol AND b.ts >= k.ts"
+    signal = " ".join(f"WHEN {' AND '.join(f'{x} = {v}' for x in ('s', *(f's{h}' for h in frames)))} THEN {v}" for v in (1, -1))
+
+    @query(name, f"SELECT symbol, ts, CAST(CASE {signal} ELSE 0 END AS INT) AS signal FROM ({sql}) AS x")
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        bars = event_bars(spark, folder)
+        out = with_stages(bars, own).select("symbol", "ts", "s")
+        for h in frames:
+            state = with_stages(resample(bars, h * 60), coarse).select("symbol", (F.col("ts") + F.expr(f"INTERVAL {h} HOUR")).alias("ts"), F.col("s").alias(f"s{h}"))
+            out = as_of(out, state, "ts", ["symbol"], [f"s{h}"])
+        return out.select("symbol", "ts", F.expr(f"CAST(CASE {signal} ELSE 0 END AS INT)").alias("signal"))
+
+
+_MACD = (*fading({"f": ema("close", 12), "w": ema("close", 26)}), {"m": "f - w"}, *fading({"c": ema("m", 9)}), {"m1": lag("m"), "c1": lag("c")}, {"s": "CASE WHEN c1 > m1 THEN 1 WHEN c1 < m1 THEN -1 ELSE 0 END"})
+agreeing("g55_macd_of_all_frames", _MACD, _MACD, (2, 4))
+_STOCHASTIC = ({"hh": rolling("max", "high", 5), "ll": rolling("min", "low", 5)}, {"num": "close - ll", "den": "hh - ll"}, {"k": f"({rolling('sum', 'num', 3)}) / nullif({rolling('sum', 'den', 3)}, 0)"}, {"d": sma("k", 3)})
+agreeing("g64_stochastic_of_all_frames", (*_STOCHASTIC, {"k3": lag("k", 3), "d3": lag("d", 3)}, {"s": "CASE WHEN k > d AND k3 < d3 THEN 1 WHEN k < d AND k3 > d3 THEN -1 ELSE 0 END"}), (*_STOCHASTIC, {"s": "CASE WHEN k > d THEN 1 WHEN k < d THEN -1 ELSE 0 END"}), (2, 4))

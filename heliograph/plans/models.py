@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.series import last, lead, log_return, rolling
-from heliograph.operators.staged import with_stages
-from heliograph.plans.registry import query
+from heliograph.operators.staged import staged_sql, with_stages
+from heliograph.plans.registry import query, rounded
 from heliograph.sources.tables import DAILY_BARS_SQL, daily_bars
 
 MOMENTUM, SHAPE, VOLUME = ["mom5", "mom20", "z20"], ["ibs", "rng"], ["vol_ratio"]
@@ -62,9 +62,13 @@ def boosted(**more) -> GBTClassifier:  # noqa: ANN003
     return GBTClassifier(featuresCol="features", labelCol="up", maxIter=10, maxDepth=3, stepSize=0.1, seed=42, **more)
 
 
-@query("m14_dataset")
+_SHOWN = ["symbol", "ts", *(f"{rounded(f)} AS {f}" for f in (*FEATURES, "fwd")), "CAST(up AS INT) AS up"]
+_ROWS = f"SELECT *, CASE WHEN fwd > 0 THEN 1 ELSE 0 END AS up FROM ({staged_sql(DAILY_BARS_SQL, _STAGES)}) AS s WHERE {' AND '.join(f'{f} IS NOT NULL' for f in (*FEATURES, 'fwd'))}"
+
+
+@query("m14_dataset", f"SELECT {', '.join(_SHOWN)} FROM ({_ROWS}) AS d")
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    return dataset(daily_bars(spark, folder))
+    return dataset(daily_bars(spark, folder)).selectExpr(*_SHOWN)
 
 
 @query("m05_logistic_scaled")

@@ -17,24 +17,24 @@ from heliograph.functions.series import following, lag, lead, prior, rolling, tr
 from heliograph.operators.scan import Step, scan
 from heliograph.operators.staged import Stage, staged_sql, with_stages
 from heliograph.plans.registry import ORACLES, QUERIES, query, rounded, series
-from heliograph.sources.tables import EVENT_BARS_SQL, event_bars
+from heliograph.sources.tables import DAILY_BARS_SQL, EVENT_BARS_SQL, daily_bars, event_bars
 
 #: True range of the first row too.
 TR = {"tr": "coalesce(greatest(high - low, abs(high - {c}), abs(low - {c})), high - low)".format(c=lag("close"))}
 CHANGE = {"d": f"close - {lag('close')}"}
 
 
-def recursion(name: str, stages: Sequence[Stage], inputs: Sequence[str], outputs: str, how: Callable[[], Step] | Sequence[Stage], first: Mapping[str, str], then: Mapping[str, str], out: Mapping[str, str]) -> None:
+def recursion(name: str, stages: Sequence[Stage], inputs: Sequence[str], outputs: str, how: Callable[[], Step] | Sequence[Stage], first: Mapping[str, str], then: Mapping[str, str], out: Mapping[str, str], daily: bool = False) -> None:
     """Register a scan (``how`` makes a step) or windows (stages); ``first`` and ``then``: state columns of the first and of every later row in SQL (``s``: before, ``b``: this row)."""
     kinds = dict(x.split() for x in outputs.split(", "))
     shown = {n: rounded(n) if k == "double" else n for n, k in kinds.items()}
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        bars = with_stages(event_bars(spark, folder), stages)
+        bars = with_stages(daily_bars(spark, folder) if daily else event_bars(spark, folder), stages)
         found = scan(bars, list(inputs), outputs, how) if callable(how) else with_stages(bars, how)
         return found.select("symbol", "ts", *(F.expr(e).alias(n) for n, e in shown.items()))
 
-    rows = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ({staged_sql(EVENT_BARS_SQL, stages)}) AS x"
+    rows = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ({staged_sql(DAILY_BARS_SQL if daily else EVENT_BARS_SQL, stages)}) AS x"
     begin, go = (", ".join(f"{e} AS {n}" for n, e in x.items()) for x in (first, then))
     last = ", ".join(f"{rounded(f'({out[n]})') if k == 'double' else f'CAST({out[n]} AS INTEGER)'} AS {n}" for n, k in kinds.items())
     QUERIES[name] = run
@@ -107,18 +107,27 @@ recursion("r13_heikin_ashi", [], ["open", "high", "low", "close"], "ha_open doub
 _ENTRY = {"entry": f"coalesce(close > max(high) {prior(10)}, false)", "leave": f"coalesce(close < min(low) {prior(5)}, false)"}
 recursion("x04_greedy_walk", [_ENTRY], ["entry"], "taken int", lambda: occupied(6), {"f": "CASE WHEN b.entry THEN 7 ELSE 0 END", "t": "CASE WHEN b.entry THEN 1 END"}, {"f": "CASE WHEN b.entry AND b.i >= s.f THEN b.i + 6 ELSE s.f END", "t": "CASE WHEN b.entry THEN CASE WHEN b.i >= s.f THEN 1 ELSE 0 END END"}, {"taken": "t"})
 _WALK = ({**TR, **_ENTRY}, {"atr14": rolling("avg", "tr", 14)}, {"en": lag("entry"), "ex": lag("leave"), "a": lag("atr14", 2)})
-_OUT = "(s.p IS NOT NULL AND (coalesce(b.ex, false) OR b.i - 1 - s.p >= 30))"
-_IN = f"((s.p IS NULL OR {_OUT}) AND coalesce(b.en, false) AND coalesce(b.a, 0) > 0)"
-_PX, _RK = f"(CASE WHEN {_IN} THEN b.open ELSE s.q END)", f"(CASE WHEN {_IN} THEN 2.5 * b.a ELSE s.k END)"
-_HELD = f"({_IN} OR (s.p IS NOT NULL AND NOT {_OUT}))"
-_STOP = f"({_HELD} AND b.low <= {_PX} - {_RK})"
-recursion(
-    "x03_rule_walk", _WALK, ["open", "low", "en", "ex", "a"], "at_open double, in_bar double", rule_walk, {"p": "CAST(NULL AS BIGINT)", "q": _ZERO, "k": _ZERO, "x": "CAST(NULL AS DOUBLE)", "y": "CAST(NULL AS DOUBLE)"},
-    {"p": f"CASE WHEN {_STOP} THEN NULL WHEN {_IN} THEN b.i WHEN {_OUT} THEN NULL ELSE s.p END", "q": _PX, "k": _RK, "x": f"CASE WHEN {_OUT} THEN (b.open - s.q) / s.k END", "y": f"CASE WHEN {_STOP} THEN (least(b.open, {_PX} - {_RK}) - {_PX}) / {_RK} END"},
-    {"at_open": "x", "in_bar": "y"},
-)
 
 
+def walk(name: str, stages: Sequence[Stage], width: float, most: int, daily: bool = False) -> None:
+    """Register the long walk on ``en`` and ``ex`` (in and out at this open) and ``a`` (the range that sets the risk)."""
+    out = f"(s.p IS NOT NULL AND (coalesce(b.ex, false) OR b.i - 1 - s.p >= {most}))"
+    into = f"((s.p IS NULL OR {out}) AND coalesce(b.en, false) AND coalesce(b.a, 0) > 0)"
+    price, risk = f"(CASE WHEN {into} THEN b.open ELSE s.q END)", f"(CASE WHEN {into} THEN {width} * b.a ELSE s.k END)"
+    stop = f"(({into} OR (s.p IS NOT NULL AND NOT {out})) AND b.low <= {price} - {risk})"
+    recursion(
+        name, stages, ["open", "low", "en", "ex", "a"], "at_open double, in_bar double", lambda: rule_walk(width, most), {"p": "CAST(NULL AS BIGINT)", "q": _ZERO, "k": _ZERO, "x": "CAST(NULL AS DOUBLE)", "y": "CAST(NULL AS DOUBLE)"},
+        {"p": f"CASE WHEN {stop} THEN NULL WHEN {into} THEN b.i WHEN {out} THEN NULL ELSE s.p END", "q": price, "k": risk, "x": f"CASE WHEN {out} THEN (b.open - s.q) / s.k END", "y": f"CASE WHEN {stop} THEN (least(b.open, {price} - {risk}) - {price}) / {risk} END"},
+        {"at_open": "x", "in_bar": "y"}, daily,
+    )
+
+
+walk("x03_rule_walk", _WALK, 2.5, 30)
+#: In after a close low in the day's range, out after one high in it, decided at the next open.
+_REVERSAL = ({**TR, "ibs": "(close - low) / nullif(high - low, 0)"}, *fading({"atr_w": wilder("tr", 14)}), {"en": f"coalesce({lag('ibs')} < 0.2, false)", "ex": f"coalesce({lag('ibs')} > 0.8, false)", "a": lag("atr_w", 2)})
+walk("g33_reversal_walk", _REVERSAL, 2.0, 10, daily=True)
+walk("x02_daily_walk", ({**TR, "low5": f"min(low) {prior(5)}", "top": f"max(close) {prior(5)}"}, *fading({"atr_w": wilder("tr", 10)}), {"en": lag("coalesce(close < low5, false)"), "ex": lag("coalesce(close > top, false)"), "a": lag("atr_w", 2)}), 3.0, 20, daily=True)
+
 
 @query("x03_rule_walk_sides")
 def rule_walk_of_both_sides(spark: SparkSession, folder: str) -> DataFrame:
