@@ -58,7 +58,7 @@ class Params:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    spread: int = 10_000
+    spread: int = 500
 
 
 def split_words(text: str) -> list[bytes]:
@@ -150,11 +150,13 @@ def compared(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                 union = [len(x) + len(y) - c for x, y, c in zip(sets[:n], sets[n:], common, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "n_common", "n_union"])
 
-    # Each copy of a leader's text serves at most p.spread pairs, so no task gets all of a large group.
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.spread).cast("int").alias("parts"))
-    left = texts.join(parts, F.col("doc_id") == F.col("a")).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # Each copy of a leader's text serves about p.spread pairs, so no task gets all of a large group. Only leaders
+    # of more pairs are counted out: at most one row for p.spread pairs, which the adaptive planner may broadcast.
+    leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.spread).cast("int").alias("parts"))
+    large = leaders.where("parts > 1").withColumnRenamed("a", "large")
+    left = texts.join(leaders, F.col("doc_id") == F.col("a")).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
+    dealt = pairs.join(large, F.col("a") == F.col("large"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     joined = dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(kernel, "a bigint, b bigint, n_common bigint, n_union bigint")
 
