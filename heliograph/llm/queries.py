@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, chat_format, decontaminate, html_text, license_scan, near_dedup, quality, sql, syncmers, token_output, url_rules
+from heliograph.llm import byte_bpe, chat_format, decontaminate, filter_audit, html_text, license_scan, near_dedup, quality, repair, simhash, sql, syncmers, token_output, url_rules
 from heliograph.llm.session import new_path
 
 
@@ -72,6 +72,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.expr("doc_id = component_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_chat_format": op2_chat_format, "op3_fingerprints": op3_fingerprints, "op4_url_rules": op4_url_rules, "op5_token_output": op5_token_output, "op6_license_scan": op6_license_scan, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op9_html_text": op9_html_text, "op10_near_dedup": op10_near_dedup, "pipeline": pipeline}
+    return {"op1_decontaminate": op1_decontaminate, "op2_chat_format": op2_chat_format, "op3_fingerprints": op3_fingerprints, "op4_url_rules": op4_url_rules, "op5_token_output": op5_token_output, "op6_license_scan": op6_license_scan, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op9_html_text": op9_html_text, "op10_near_dedup": op10_near_dedup, "op11_conversation_repair": op11_conversation_repair, "op12_simhash_dedup": op12_simhash_dedup, "op13_filter_audit": op13_filter_audit, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -71,6 +71,34 @@ SELECT doc_id, coalesce(size, 0) AS n_shingles, coalesce(root, doc_id) AS compon
 FROM docs LEFT JOIN sizes USING (n) LEFT JOIN roots ON doc_id = id
 """
 
+#: One document at a time through every order; copies, labels and counts apart from the operator's masks.
+OP13_SQL = r"""
+WITH said AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM docs LEFT JOIN said USING (doc_id)),
+counted AS (SELECT part, good, toxic, a, b, c, d, e, count(*) AS n FROM fails GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+names AS (SELECT *, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS failed FROM counted),
+told AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, good, toxic, n, failed, contains(failed, filter_order[step]) AS here,
+    step > 1 AND failed <> translate(failed, filter_order[1:step - 1], '') AS before FROM names, steps),
+found AS (
+  SELECT part, filter_order, step, any_value(f) AS f, sum(CASE WHEN NOT here AND NOT before THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN here AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN here AND NOT before AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT before AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM found
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_url_rules": OP4_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_url_rules": OP4_SQL, "op10_near_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
