@@ -1,13 +1,14 @@
 """Main text of web pages.
 
 A page is cut into flat text blocks at block-level tags. Every block has its
-word count and link density, those of its neighbours, and whether it lies in an
-article element or in an element that is boilerplate by tag, class, id or role.
-A decision tree, trained on the blocks of the small labelled pages below, tells
-text from boilerplate. Words and links alone cannot tell a paragraph from a long
-advert or a reader's comment, so where a page marks its parts the tree goes by
-the marks; where it does not, by words and links of a block and its neighbours.
-The kept blocks, white space made single, are joined by one space.
+word count and link density, those of its neighbours, and two marks: whether it lies in an
+article element, and in an element named as boilerplate, plainly (by its tag or a name
+like ``ad`` or ``comments``) or loosely (``related``, ``search``, ``widget``: names that an
+article's own parts bear as well). A decision tree, trained on the blocks of the
+small labelled pages below, tells text from boilerplate. Words and links alone cannot
+tell a paragraph from a long advert or a reader's comment, so plain marks go before
+them; elsewhere, so in loosely named parts and on pages without marks, words and
+links of a block and its neighbours decide. The kept blocks, white space made single, are joined by one space.
 
 Scripts, styles, forms' controls, comments and the head never give blocks. Pages
 of any length and of any markup are read whole, in time that grows with their
@@ -47,11 +48,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NESTED = frozenset("html head body article main section nav header footer aside form div ul ol dl table figure blockquote fieldset dialog menu details".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog head fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
-HINT = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-BOILERPLATE_WORD = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|footer|masthead|breadcrumbs?|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget|search|login|signup|copyright|contentinfo|complementary|toolbar|pagination|pager)(?:$|[^a-z])", re.I)
+HINT = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+BOILERPLATE_WORD = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|footer|masthead|breadcrumbs?|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|copyright|contentinfo|complementary)(?:$|[^a-z])", re.I)
+LOOSE_WORD = re.compile(r"(?:^|[^a-z])(?:share|sharing|social|related|recommended|widget|search|login|signup|toolbar|pagination|pager)(?:$|[^a-z])", re.I)
 ARTICLE_WORD = re.compile(r"(?:^|[^a-z])(?:articlebody|article|post-?content|entry-?content|post-?body|story(?:-?body)?|main-?content)(?:$|[^a-z])", re.I)
-#: ``mark``: 1 in an article element, 0 on a page without one, -1 in boilerplate or outside the page's article.
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "mark"]
+#: ``inside``: 1 in an article element, 0 on a page without one, -1 outside the page's article. ``named``: 2 in plain, 1 in loosely named boilerplate, else 0.
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "named"]
+PLAIN, LOOSE = 2, 1
 
 #: Labelled pages of several shapes. ``[+60/5]`` is a block of main text with 60 words, 5 of them in links; ``[-3/3]`` is boilerplate.
 LABELLED = [
@@ -67,6 +70,12 @@ LABELLED = [
     # marked boilerplate around text without an article element
     "<nav>[-1/1]<p>[-1/1]<p>[-9]</nav><h1>[+7]</h1><p>[+40]<p>[+55/3]<p>[+3]<p>[+30/3]<p>[+18]<p>[+22/4]<div class=sidebar>[-30]<p>[-60/6]<p>[-4/4]</div><footer>[-20]</footer>",
     "<div class=banner>[-15]</div><p>[+25]<p>[+6]<p>[+28]<div id=comments>[-45]<p>[-3]<p>[-80]</div>",
+    # loosely named parts, which may be the article's own
+    "<article><p>[+40]<section id=related-work><h2>[+2]</h2><p>[+60]<p>[+45/4]</section><div class=widget>[+50]</div><p>[+30]</article>",
+    "<article><p>[+60]<div class=related>[-5/5]<p>[-6/6]<p>[-4/4]</div><p>[+35]<div class=share>[-1/1]<p>[-2]<p>[-1/1]</div></article>",
+    "<article><p>[+25]<div class=search>[-3]</div><div class=widget><h3>[-2]</h3><p>[-9/9]<p>[-8/8]</div><p>[+48]</article><div class=widget>[-40]<p>[-5/5]</div>",
+    "<article><h1>[+7]</h1><p>[+33]<div class=search-engines>[+38]<p>[+25/2]</div><p>[+51]<div class=social>[-4/3]<p>[-12/11]</div></article>",
+    "<nav>[-2/2]</nav><h1>[+5]</h1><p>[+44]<div class=recommended>[-8/8]<p>[-12/12]</div><div class=search-results>[+70]<p>[+38/3]</div><p>[+29]",
     # no marks at all
     "<p>[-1/1]<p>[-1/1]<p>[-2/2]<p>[-1/1]<h1>[+7]</h1><p>[+40]<p>[+55/3]<p>[+4]<p>[+48]<p>[+30/3]<p>[-3/3]<p>[-4/4]<p>[-3/3]<p>[-6]",
     "<p>[-2]<p>[-1/1]<p>[-1/1]<p>[-2]<p>[-1/1]<h1>[+8]</h1><p>[+50]<p>[+45]<p>[+26]<p>[-3]<p>[-4/4]<p>[-2]<p>[-2/2]",
@@ -84,11 +93,11 @@ SLOT = re.compile(r"\[([+-])(\d+)(?:/(\d+))?\]")
 Tree = tuple  # (feature, threshold, tree if at most, tree if above), or (prediction,)
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> list[tuple[float, ...]]:
+def features(found: list[tuple[str, int, int, bool, int]]) -> list[tuple[float, ...]]:
     """``FEATURES`` of every block of a page."""
     outside = -1.0 if any(b[3] for b in found) else 0.0
     sizes = [(0.0, 0.0), *((float(n), linked / n) for _, n, linked, _, _ in found), (0.0, 0.0)]
-    return [(*sizes[i + 1], *sizes[i], *sizes[i + 2], -1.0 if b[4] else 1.0 if b[3] else outside) for i, b in enumerate(found)]
+    return [(*sizes[i + 1], *sizes[i], *sizes[i + 2], 1.0 if b[3] else outside, float(b[4])) for i, b in enumerate(found)]
 
 
 def labelled_blocks(pages: Sequence[str] = LABELLED) -> list[tuple[float, ...]]:
@@ -121,13 +130,18 @@ def is_text(tree: Tree, features: tuple[float, ...]) -> bool:
     return tree[0] == 1.0
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Text blocks in page order: text, words, words in links, in an article, in boilerplate."""
-    found: list[tuple[str, int, int, bool, bool]] = []
+def hinted(hints: Sequence[str]) -> int:
+    """What names of an element say: plainly or loosely boilerplate, or nothing."""
+    return PLAIN if any(BOILERPLATE_WORD.search(h) for h in hints) else LOOSE if any(LOOSE_WORD.search(h) for h in hints) else 0
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
+    """Text blocks in page order: text, words, words in links, in an article, and how boilerplate around it is named."""
+    found: list[tuple[str, int, int, bool, int]] = []
     stack: list[tuple[str, int, int]] = []
     open_tags: Counter[str] = Counter()  # of the stack
-    article = boilerplate = 0
-    own_mark = ""  # tag of an unnested block whose class marks it as boilerplate
+    article, named = 0, [0, 0, 0]  # open elements by what their names say
+    own_mark, own_named = "", 0  # tag of an unnested block whose class marks it as boilerplate
     link = False
     text: list[tuple[str, bool]] = []
 
@@ -150,7 +164,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if joined:
             linked = len("".join(t if k else " " for t, k in text).split())
             n = joined.count(" ") + 1
-            found.append((joined, n, min(linked, n), article > 0, boilerplate > 0 or own_mark != ""))
+            found.append((joined, n, min(linked, n), article > 0, PLAIN if named[PLAIN] or own_named == PLAIN else LOOSE if named[LOOSE] or own_named else 0))
         text.clear()
 
     at, size = 0, len(page)
@@ -192,24 +206,26 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag == "br" or tag in VOID:
             continue
         if not end or tag == own_mark:
-            own_mark = ""
+            own_mark, own_named = "", 0
         if tag not in NESTED:
-            if not end and attributes and any(BOILERPLATE_WORD.search(h) for h in HINT.findall(attributes)):
-                own_mark = tag
+            if not end and attributes and (says := hinted(HINT.findall(attributes))):
+                own_mark, own_named = tag, says
             continue
         link = False
         if not end:
             hints = HINT.findall(attributes) if attributes else ()
             is_article = int(tag in ARTICLE_TAGS or tag not in ("html", "body") and any(ARTICLE_WORD.search(h) for h in hints))
-            is_boilerplate = int(tag in BOILERPLATE_TAGS or tag == "header" and not article or tag not in ("html", "body", *ARTICLE_TAGS) and not is_article and any(BOILERPLATE_WORD.search(h) for h in hints))
-            stack.append((tag, is_article, is_boilerplate))
+            says = PLAIN if tag in BOILERPLATE_TAGS or tag == "header" and not article else hinted(hints) if tag not in ("html", "body", *ARTICLE_TAGS) and not is_article else 0
+            stack.append((tag, is_article, says))
             open_tags[tag] += 1
-            article, boilerplate = article + is_article, boilerplate + is_boilerplate
+            article += is_article
+            named[says] += 1
         elif open_tags[tag]:
             while True:
-                name, a, b = stack.pop()
+                name, is_article, says = stack.pop()
                 open_tags[name] -= 1
-                article, boilerplate = article - a, boilerplate - b
+                article -= is_article
+                named[says] -= 1
                 if name == tag:
                     break
     close()

@@ -12,8 +12,8 @@ from heliograph.llm import html_text
 def test_a_closing_tag_is_found_below_many_unclosed_ones():
     page = "<nav>" + "<div>menu" * 200 + "</nav><article><p>The text itself.</p></article>"
     found = html_text.blocks(page)
-    assert found[-1] == ("The text itself.", 3, 0, True, False)
-    assert all(b[4] for b in found[:-1])
+    assert found[-1] == ("The text itself.", 3, 0, True, 0)
+    assert all(b[4] == html_text.PLAIN for b in found[:-1])
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_words_and_links_decide_where_marks_are_hidden(tree):
     assert right(HELD_OUT)[0] == 1.0
     hidden = [HIDDEN[1].sub(r"\1div", HIDDEN[0].sub("", p)) for p in HELD_OUT]
     share, n = right(hidden)
-    assert all(f[-2] == 0 for f in html_text.labelled_blocks(hidden)) and n > 50 and share > 0.9
+    assert all(f[-2] == f[-3] == 0 for f in html_text.labelled_blocks(hidden)) and n > 50 and share > 0.9
 
     def used(t):
         return set() if len(t) == 1 else {html_text.FEATURES[t[0]]} | used(t[2]) | used(t[3])
@@ -48,9 +48,30 @@ def test_words_and_links_decide_where_marks_are_hidden(tree):
     assert {"words", "links"} < used(tree) and len(used(tree)) > 4
 
 
-def test_marks_decide_where_a_page_has_them(tree):
-    for w, l, wb, lb, wa, la in itertools.product((1, 2, 3, 5, 8, 17, 40, 200), (0, 0.2, 0.5, 1), (0, 2, 3, 10, 60), (0, 0.5, 1), (0, 1, 10, 60), (0, 0.5, 1)):
-        assert html_text.is_text(tree, (w, l, wb, lb, wa, la, 1)) and not html_text.is_text(tree, (w, l, wb, lb, wa, la, -1))
+def test_plain_marks_decide_where_a_page_has_them(tree):
+    for sizes in itertools.product((1, 2, 3, 5, 8, 17, 40, 200), (0, 0.2, 0.5, 1), (0, 2, 3, 10, 60), (0, 0.5, 1), (0, 1, 10, 60), (0, 0.5, 1)):
+        assert html_text.is_text(tree, (*sizes, 1, 0))
+        assert not any(html_text.is_text(tree, (*sizes, inside, html_text.PLAIN)) for inside in (-1, 0, 1)) and not html_text.is_text(tree, (*sizes, -1, 0))
+
+
+@pytest.mark.parametrize("opening", ["<section id='related-work'>", "<div data-id='search-x'>", "<div class='comparison widget'>", "<div data-class='ads' grid-id='menu'>"])
+def test_long_parts_of_an_article_stay_whatever_their_name(tree, opening):
+    part = " ".join(f"w{k}" for k in range(60))
+    page = f"<article><p>{part} a</p>{opening}<p>{part} b</p><p>{part} c</p></section></div><p>{part} d</p></article>"
+    assert html_text.main_text(page, tree) == " ".join(f"{part} {x}" for x in "abcd")
+
+
+@pytest.mark.parametrize("name", ["related", "share-buttons", "widget", "search social"])
+def test_links_of_loosely_named_parts_go(tree, name):
+    part = " ".join(f"w{k}" for k in range(45))
+    page = f"<article><p>{part}</p><div class='{name}'><p><a href=x>one two three four</a></p><p><a href=y>five six seven</a></p></div><p>{part}</p></article>"
+    assert html_text.main_text(page, tree) == f"{part} {part}"
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "newsletter", "cookie-notice"])
+def test_long_parts_plainly_named_go(tree, name):
+    part = " ".join(f"w{k}" for k in range(45))
+    assert html_text.main_text(f"<article><p>{part}</p><div class='{name}'><p>{part} x</p><p>{part} y</p></div></article>", tree) == part
 
 
 @pytest.mark.parametrize("piece", ["<a x", '<a "', '<a ">', '<a =">"', "<div>", "<button>", "<!-- ", "<", "</", "<p class='a", "<script>", "<p>a &amp; "])
