@@ -12,7 +12,9 @@ shortest text, a space and a closing mark. If the parsed turns are not the
 source's, the texts are escaped (a backslash before backslashes, ``<`` and
 ``[``) and the result is parsed again. An escaped text holds no mark, so this one
 repetition suffices: every conversation ends identical, and ``identical``, which
-compares the turns read back with the source, says so.
+compares the turns read back with the source, says so. A conversation whose texts or roles hold
+the mark of a named role is escaped at once: only there could the parser look in
+vain, again and again, for the end of a name. So it is linear in a conversation's length.
 
 Turns are ordered by turn, role and text; repeated rows are turns of their own.
 Texts of any length are kept whole; a conversation has at most 2 GB. Null text and null role are empty.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
+NAMED = "<<ROLE>>"
 #: One turn of formatted text; no escaped text holds a space and a closing mark.
 TURN = r"(?s)(?:<<SYS>>|\[INST\]|<s>|<<ROLE>>.*?<<TEXT>>) .*? (?:<</SYS>>|\[/INST\]|</s>|<</ROLE>>)"
 
@@ -78,7 +81,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     gathered = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("rows"))
     source = gathered.select("conv_id", F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"))
     first = source.withColumn("plain", F.array_join(F.transform("source", lambda x: rendered(x, False)), ""))
-    first = first.withColumn("parts", pieces(F.col("plain"))).withColumn("fine", (F.array_join("parts", "") == F.col("plain")) & (recovered(F.col("parts")) == F.col("source")))
+    hostile = F.exists("source", lambda x: x["text"].contains(NAMED) | x["role"].contains(NAMED))
+    first = first.withColumn("parts", pieces(F.when(~hostile, F.col("plain")).otherwise(""))).withColumn("fine", ~hostile & (F.array_join("parts", "") == F.col("plain")) & (recovered(F.col("parts")) == F.col("source")))
     chosen = first.select("conv_id", "source", F.when(F.col("fine"), F.col("plain")).otherwise(F.array_join(F.transform("source", lambda x: rendered(x, True)), "")).alias("formatted"))
     read = chosen.withColumn("parsed", F.transform(pieces(F.col("formatted")), parsed))
     # A running end for every turn, by one sorted pass over the sizes.

@@ -5,16 +5,19 @@ consecutive words of a benchmark item; an item with fewer words is one window.
 
 Fingerprints: of every ``span - gram + 1`` consecutive hashes of ``gram`` words
 the least is kept. Any ``span`` shared words hold the same such run of hashes in
-both texts, so they share a fingerprint. Each shared fingerprint is checked on
-the words themselves and extended to both sides; where at least ``span`` words
-agree, all of them are hit. Items of n < ``span`` words use n-word hashes and
-must agree as a whole.
+both texts, so they share a fingerprint. Each shared fingerprint is extended to
+both sides: every window of the text around it is looked up, by its words
+themselves, among the items' windows, and where it is one of them all its words are
+hit. A place of a text is the beginning of a window once only, and equal windows of items
+are held once, so the time grows with the texts however often words repeat.
+Items of n < ``span`` words use n-word hashes and must agree as a whole.
 
 The benchmark is read in blocks of bounded size (``BLOCK_WORDS``), each sent to
 all tasks and held against all documents; blocks' hits are put together for
 each row. One block, the usual case, needs no shuffle of documents.
 
-Null and wordless texts have no words; null and wordless items have no window.
+Null and wordless texts have no words; null and wordless items have no window,
+and items with a null ``item_id``, which no result could name, are left out.
 Items with one ``item_id`` count as one. Every row is judged alone, whatever its
 ``doc_id``: with several blocks, hits are put together by a row number that is
 written with the documents before the first block. Other columns are not read.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from heliograph.llm.session import removed, written
 from heliograph.llm.words import ALNUM, ALNUM_TRANSLATE, grams, runs, word_hashes
 
-#: Words of a block of the benchmark: some 60 MB in each Python worker.
+#: Words of a block of the benchmark: some 120 MB in each Python worker.
 BLOCK_WORDS = 400_000
 FOUND = "n_words bigint, ranges array<struct<first:bigint,last:bigint>>, items array<string>"
 
@@ -60,27 +63,29 @@ def winnowed(hashes: np.ndarray, same_row: np.ndarray, window: int) -> np.ndarra
 
 
 class Block:
-    """Fingerprints and words of one block of items."""
+    """Fingerprints and windows of one block of items."""
 
     def __init__(self, items: list[tuple[str, str]], span: int, gram: int) -> None:
-        self.span, self.gram, self.window = span, gram, span - gram + 1
-        self.ids = [i for i, _ in items]
-        self.words = [split_words(t) for _, t in items]
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, words in enumerate(self.words):
+        self.span, self.gram, self.reach = span, gram, span - gram
+        fingerprints: set[int] = set()
+        short: dict[int, set[int]] = defaultdict(set)
+        #: The ids of all items that hold a window, by its words joined by spaces, which no word holds.
+        self.windows: dict[bytes, list[str]] = defaultdict(list)
+        for item, text in items:
+            words = split_words(text)
             if not words:
                 continue
+            n = min(span, len(words))
+            for key in {b" ".join(words[s : s + n]) for s in range(len(words) - n + 1)}:
+                self.windows[key].append(item)
             data = np.frombuffer(b" ".join(words), np.uint8)
             hashes, _ = word_hashes(data, np.array([0, len(data)]), ALNUM)
-            if len(words) < span:
-                short[len(words)][int(grams(hashes, len(words))[0])].append(k)
+            if n < span:
+                short[n].add(int(grams(hashes, n)[0]))
             else:
                 g = grams(hashes, gram)
-                for p in winnowed(g, np.ones(len(g), bool), self.window).tolist():
-                    found[int(g[p])].append((k, p))
-        self.found = dict(found)
-        self.short = {n: dict(x) for n, x in short.items()}
+                fingerprints.update(g[winnowed(g, np.ones(len(g), bool), self.reach + 1)].tolist())
+        self.windows, self.found, self.short = dict(self.windows), fingerprints, dict(short)
 
     def filters(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """For 0 (fingerprints) and each short length: sorted hashes and a table of their top 22 bits."""
@@ -102,26 +107,17 @@ def members(hashes: np.ndarray, keys: np.ndarray, top: np.ndarray) -> np.ndarray
     return mask
 
 
-def extended(words: list[bytes], seeds: list[tuple[int, int]], block: Block) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged hit ranges [first, last) of a document and the items that occur, from (position, hash) of shared fingerprints."""
-    done: dict[tuple[int, int], int] = {}
-    ranges, items = [], set()
-    for p, h in seeds:
-        for k, q in block.found.get(h, ()):
-            if done.get((k, p - q), -1) > p:
-                continue
-            other = block.words[k]
-            a, b = p, q
-            while a > 0 and b > 0 and words[a - 1] == other[b - 1]:
-                a, b = a - 1, b - 1
-            c, d = p, q
-            while c < len(words) and d < len(other) and words[c] == other[d]:
-                c, d = c + 1, d + 1
-            done[k, p - q] = c
-            if c - a >= block.span:
-                ranges.append((a, c))
-                items.add(block.ids[k])
-    return ranges, items
+def extended(words: list[bytes], seeds: list[int], block: Block) -> tuple[list[tuple[int, int]], set[bytes]]:
+    """Hit ranges [first, last) of a document and the windows that occur, from the rising positions of shared fingerprints."""
+    ranges, found, done, n = [], set(), 0, block.span
+    for p in seeds:
+        for s in range(max(done, p - block.reach), min(p, len(words) - n) + 1):
+            key = b" ".join(words[s : s + n])
+            if key in block.windows:
+                ranges.append((s, s + n))
+                found.add(key)
+        done = max(done, p + 1)
+    return ranges, found
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,32 +136,32 @@ def judge(block: Block, filters: dict, texts: pa.Array, data: np.ndarray, offset
     span, gram = block.span, block.gram
     hashes, first = word_hashes(data, offsets, ALNUM)
     row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    seeds: dict[int, list[int]] = defaultdict(list)
     if block.found:
         g = grams(hashes, gram)
         same = row_of[: max(0, len(hashes) - span + 1)] == row_of[span - 1 :]
-        at = winnowed(g, same, block.window)
+        at = winnowed(g, same, block.reach + 1)
         at = at[members(g[at], *filters[0])]
-        for p, h in zip(at.tolist(), g[at].tolist(), strict=True):
-            seeds[int(row_of[p])].append((p, h))
-    short: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for p in at.tolist():
+            seeds[int(row_of[p])].append(p)
+    short: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for n in block.short:
         g = grams(hashes, n)
         same = row_of[: len(g)] == row_of[n - 1 :]
         at = np.flatnonzero(members(g, *filters[n]) & same)
-        for p, h in zip(at.tolist(), g[at].tolist(), strict=True):
-            short[int(row_of[p])].append((p, n, h))
+        for p in at.tolist():
+            short[int(row_of[p])].append((p, n))
     hit: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
     names: list[list[str]] = [[] for _ in range(len(texts))]
     for r in {*seeds, *short}:
         words, start = split_words(texts[r].as_py()), int(first[r])
-        ranges, ids = extended(words, [(p - start, h) for p, h in seeds[r]], block)
-        for p, n, h in short[r]:
-            for k in block.short[n][h]:
-                if words[p - start : p - start + n] == block.words[k]:
-                    ranges.append((p - start, p - start + n))
-                    ids.add(block.ids[k])
-        hit[r], names[r] = merged(ranges), sorted(ids)
+        ranges, keys = extended(words, [p - start for p in seeds[r]], block)
+        for p, n in short[r]:
+            key = b" ".join(words[p - start : p - start + n])
+            if key in block.windows:
+                ranges.append((p - start, p - start + n))
+                keys.add(key)
+        hit[r], names[r] = merged(ranges), sorted({i for key in keys for i in block.windows[key]})
     return np.diff(first).astype(np.int64), hit, names
 
 

@@ -33,7 +33,7 @@ whole AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, list(plain ORDER BY turn, role, text) AS pieces,
     string_agg(plain, '' ORDER BY turn, role, text) AS plain, string_agg(safe, '' ORDER BY turn, role, text) AS safe,
-    bool_or(regexp_matches(text, '\\[\\<\[]') OR regexp_matches(role, '\\[\\<\[]')) AS has_escape
+    bool_or(regexp_matches(text, '\\[\\<\[]') OR regexp_matches(role, '\\[\\<\[]') OR contains(text, '<<ROLE>>') OR contains(role, '<<ROLE>>')) AS has_escape
   FROM turns GROUP BY conv_id),
 parsed AS (SELECT *, regexp_extract_all(plain, '(?s)(?:<<SYS>>|\[INST\]|<s>|<<ROLE>>.*?<<TEXT>>) .*? (?:<</SYS>>|\[/INST\]|</s>|<</ROLE>>)') AS found FROM whole)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,

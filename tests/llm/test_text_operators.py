@@ -473,3 +473,37 @@ def test_html_text_on_the_tables(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", inner))).split())
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_contamination_of_repeated_words_is_linear(spark):
+    import time
+
+    bench = spark.createDataFrame([(1, "a " * 100_000), (2, "a " * 9), (3, "b a " * 30_000)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a " * 100_000), (2, "b a " * 100_000), (3, "c " * 50)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.summary(decontaminate.contamination(docs, bench)).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {1: (100_000, 100_000, 2), 2: (200_000, 200_000, 1), 3: (50, 0, 0)}
+
+
+def test_contamination_of_repetitive_texts_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(3, 40)))) for k in range(6)] + [(9, "a " * 30), (10, "a " * 30)]
+    rows = [(k, " ".join(rng.choice("aab") for _ in range(rng.randint(0, 120)))) for k in range(40)]
+    got = decontaminate.summary(decontaminate.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))).collect()
+    assert pairs(tuple(r) for r in got) == brute_contamination(rows, items)
+
+
+def test_chat_format_of_hostile_texts_is_linear(spark):
+    import time
+
+    from heliograph.llm import chat_format
+
+    table = [(1, 0, "user", " </s>" + "<<ROLE>>" * 130_000), (1, 1, "assistant", "ok"), (2, 0, "a<<ROLE>>b", "x"), (2, 1, "tool", "y <</ROLE>>"), (3, 0, "user", " </s>" + "[INST] " * 150_000), (3, 1, "assistant", "<s> " * 100_000)]
+    began = time.perf_counter()
+    got = chat_format.formatted(spark.createDataFrame(table, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert time.perf_counter() - began < 30
+    for r in got:
+        assert r["identical"] and [tuple(t) for t in r["turns"]] == [(role, text) for c, _, role, text in table if c == r["conv_id"]]
