@@ -1,220 +1,119 @@
-"""Step functions of recursive indicators: each call of a maker gives the step of one series."""
+"""Recursions that are no window expressions: each is a first state and a step from a state and a row to the next state and the row's outputs."""
 
 from __future__ import annotations
 
-from heliograph.operators.scan import Step
+from heliograph.operators.scan import Recursion
 
 
-def ewm(alpha: float, least: int = 1) -> Step:
+def ewm(alpha: float, least: int = 1) -> Recursion:
     """Exponential mean from the first value on; null before ``least`` values."""
-    y, k = None, 0
 
-    def step(x: float | None) -> tuple:
-        nonlocal y, k
+    def step(state: tuple, x: float | None) -> tuple[tuple, tuple]:
+        y, k = state
         if x is not None:
-            y = x if y is None else y + alpha * (x - y)
-            k += 1
-        return (y if k >= least else None,)
+            y, k = x if y is None else y + alpha * (x - y), min(k + 1, least)
+        return (y, k), (y if k >= least else None,)
 
-    return step
+    return Recursion((None, 0), step)
 
 
-def seeded(n: int) -> Step:
+def seeded(n: int) -> Recursion:
     """Wilder's mean, seeded with the plain mean of the first ``n`` values."""
-    total, k = 0.0, 0
 
-    def step(x: float | None) -> tuple:
-        nonlocal total, k
+    def step(state: tuple, x: float | None) -> tuple[tuple, tuple]:
+        total, k = state
         if x is not None:
-            k += 1
-            total = total + x / n if k <= n else (total * (n - 1) + x) / n
-        return (total if k >= n else None,)
+            total, k = total + x / n if k < n else (total * (n - 1) + x) / n, min(k + 1, n)
+        return (total, k), (total if k >= n else None,)
 
-    return step
+    return Recursion((0.0, 0), step)
 
 
-def rsi(n: int, mean: str = "ewm") -> Step:
-    """Relative strength of changes; 100 where nothing fell."""
-    up, down = (ewm(1 / n, n), ewm(1 / n, n)) if mean == "ewm" else (seeded(n), seeded(n))
-
-    def step(change: float | None) -> tuple:
-        (gain,), (loss,) = (f(None if change is None else max(x, 0.0)) for f, x in ((up, change or 0.0), (down, -(change or 0.0))))
-        return (None if gain is None else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss),)
-
-    return step
-
-
-def directional(n: int) -> Step:
-    """Directional index and both directional movements, from true range and plus and minus moves. The index's seed is the first value that there is."""
-    ranges, plus, minus = seeded(n), seeded(n), seeded(n)
-    index = None
-
-    def step(tr: float, up: float, down: float) -> tuple:
-        nonlocal index
-        (r,), (p,), (m,) = ranges(tr), plus(up), minus(down)
-        if not r:
-            return None, None, None
-        p, m = 100 * p / r, 100 * m / r
-        dx = 100 * abs(p - m) / (p + m) if p + m else 0.0
-        index = dx if index is None else (index * (n - 1) + dx) / n
-        return index, p, m
-
-    return step
-
-
-def macd_position(fast: int = 12, slow: int = 26, signal: int = 9, n: int = 14) -> Step:
-    """1, 0 or -1: the difference of two means against its own mean, where relative strength agrees."""
-    a, b, c, gain, loss = (ewm(2 / (k + 1)) for k in (fast, slow, signal, 2 * n - 1, 2 * n - 1))
-
-    def step(close: float, change: float | None) -> tuple:
-        m = a(close)[0] - b(close)[0]
-        s = c(m)[0]
-        (g,), (x,) = (f(None if change is None else max(v, 0.0)) for f, v in ((gain, change or 0.0), (loss, -(change or 0.0))))
-        above = None if g is None else g > x  # relative strength over 50
-        below = None if g is None else g < x
-        return (1 if m > s and above else -1 if m < s and below else 0,)
-
-    return step
-
-
-def adaptive(fast: int = 2, slow: int = 30) -> Step:
+def adaptive(fast: int = 2, slow: int = 30) -> Recursion:
     """Adaptive mean: the efficiency ratio sets how fast it follows. Starts where there is a ratio."""
     f, s = 2 / (fast + 1), 2 / (slow + 1)
-    y = None
 
-    def step(close: float, ratio: float | None) -> tuple:
-        nonlocal y
+    def step(state: tuple, close: float, ratio: float | None) -> tuple[tuple, tuple]:
+        (y,) = state
         if y is None:
             y = None if ratio is None else close
         else:
             y += ((ratio or 0.0) * (f - s) + s) ** 2 * (close - y)
-        return (y,)
+        return (y,), (y,)
 
-    return step
+    return Recursion((None,), step)
 
 
-def trend_bands(width: float) -> Step:
+def trend_bands(width: float) -> Recursion:
     """1 or -1: the side of two bands around the middle that only tighten while the close stays inside."""
-    upper = lower = last = None
-    side = 1
 
-    def step(high: float, low: float, close: float, atr: float) -> tuple:
-        nonlocal upper, lower, last, side
+    def step(state: tuple, high: float, low: float, close: float, atr: float) -> tuple[tuple, tuple]:
+        upper, lower, last, side = state
         up, down = (high + low) / 2 + width * atr, (high + low) / 2 - width * atr
         if upper is not None:
             side = 1 if close > upper else -1 if close < lower else side
             up, down = min(up, upper) if last <= upper else up, max(down, lower) if last >= lower else down
-        upper, lower, last = up, down, close
-        return (side,)
+        return (up, down, close, side), (side,)
 
-    return step
+    return Recursion((None, None, None, 1), step)
 
 
-def parabolic(step_size: float = 0.02, most: float = 0.2) -> Step:
-    """1 or -1: the side of a stop that speeds up with every new extreme."""
-    level = extreme = None
-    side, speed = 1, step_size
+def parabolic(step_size: float = 0.02, most: float = 0.2) -> Recursion:
+    """1 or -1, and the level: the side of a stop that speeds up with every new extreme."""
 
-    def step(high: float, low: float) -> tuple:
-        nonlocal level, extreme, side, speed
+    def step(state: tuple, high: float, low: float) -> tuple[tuple, tuple]:
+        level, extreme, side, speed = state
         if level is None:
-            level, extreme = low, high
-            return (side,)
+            return (low, high, side, speed), (side, low)
         level += speed * (extreme - level)
         crossed, beyond, turned = (low < level, high > extreme, low) if side > 0 else (high > level, low < extreme, high)
         if crossed:
             side, level, extreme, speed = -side, extreme, turned, step_size
         elif beyond:
             extreme, speed = (high if side > 0 else low), min(speed + step_size, most)
-        return (side,)
-
-    return step
-
-
-def smoothed_open() -> Step:
-    """Open and close of averaged candles."""
-    before = None
-
-    def step(open_: float, high: float, low: float, close: float) -> tuple:
-        nonlocal before
-        middle = (open_ + high + low + close) / 4
-        first = (open_ + close) / 2 if before is None else (before[0] + before[1]) / 2
-        before = first, middle
-        return before
-
-    return step
-
-
-def occupied(hold: int) -> Step:
-    """1 for an entry that is taken, 0 for one while a position is open, null without an entry. A position lasts ``hold`` rows."""
-    at, free = 0, 0
-
-    def step(entry: bool | None) -> tuple:
-        nonlocal at, free
-        at += 1
-        if not entry:
-            return (None,)
-        if at < free:
-            return (0,)
-        free = at + hold
-        return (1,)
+        return (level, extreme, side, speed), (side, level)
 
-    return step
+    return Recursion((None, None, 1, step_size), step)
 
 
-def rule_walk(stop_width: float = 2.5, most: int = 30) -> Step:
+def rule_walk(stop_width: float = 2.5, most: int = 30) -> Recursion:
     """``rule_walk_sides``, long only, without target and cost."""
     walk = rule_walk_sides(stop_width, most)
 
-    def step(open_: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple:
-        return walk(open_, open_, low, entry, exit_, atr)
+    def step(state: tuple, open_: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple[tuple, tuple]:
+        return walk.step(state, open_, open_, low, entry, exit_, atr)
 
-    return step
+    return Recursion(walk.start, step)
 
 
-def rule_walk_sides(stop_width: float = 2.5, most: int = 30, side: int = 1, target_width: float | None = None, cost: float = 0.0) -> Step:
+def rule_walk_sides(stop_width: float = 2.5, most: int = 30, side: int = 1, target_width: float | None = None, cost: float = 0.0) -> Recursion:
     """One position at a time: ``at_open`` and ``in_bar``, results in risk units, less cost, where a position ends.
 
     In at the open after an entry; out at the open after an exit or ``most``
     rows, or in the bar at the stop, or at the open beyond it, else at the target
     (never beyond it). ``side``: 1 long, -1 short. Widths are in ranges ``atr``; cost in price.
     """
-    at, entered, price, risk, take = 0, None, 0.0, 0.0, None
+    flat = (None, 0.0, 0.0, None)
 
-    def step(open_: float, high: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple:
-        nonlocal at, entered, price, risk, take
-        at += 1
+    def step(state: tuple, open_: float, high: float, low: float, entry: bool | None, exit_: bool | None, atr: float | None) -> tuple[tuple, tuple]:
+        held, price, risk, take = state
         first = second = None
-        if entered is not None and (exit_ or at - 1 - entered >= most):
-            first, entered = (side * (open_ - price) - cost) / risk, None
-        if entered is None and entry and atr:
-            entered, price, risk = at, open_, stop_width * atr
+        if held is not None and (exit_ or held >= most):
+            first, held = (side * (open_ - price) - cost) / risk, None
+        if held is None and entry and atr:
+            held, price, risk = 0, open_, stop_width * atr
             take = None if target_width is None else price + side * target_width * atr
-        if entered is not None:
-            stop = price - side * risk
-            worst, best = (low, high) if side > 0 else (high, low)
-            if side * (worst - stop) <= 0:
-                out = min(open_, stop) if side > 0 else max(open_, stop)
-                second, entered = (side * (out - price) - cost) / risk, None
-            elif take is not None and side * (best - take) >= 0:
-                second, entered = (side * (take - price) - cost) / risk, None
-        return first, second
-
-    return step
-
-
-def occupied_for() -> Step:
-    """As ``occupied``, but every entry says for how many rows its position lasts."""
-    at, free = 0, 0
-
-    def step(entry: bool | None, hold: int) -> tuple:
-        nonlocal at, free
-        at += 1
-        if not entry:
-            return (None,)
-        if at < free:
-            return (0,)
-        free = at + hold
-        return (1,)
-
-    return step
+        elif held is not None:
+            held += 1
+        if held is None:
+            return flat, (first, second)
+        stop = price - side * risk
+        worst, best = (low, high) if side > 0 else (high, low)
+        if side * (worst - stop) <= 0:
+            out = min(open_, stop) if side > 0 else max(open_, stop)
+            return flat, (first, (side * (out - price) - cost) / risk)
+        if take is not None and side * (best - take) >= 0:
+            return flat, (first, (side * (take - price) - cost) / risk)
+        return (held, price, risk, take), (first, second)
+
+    return Recursion(flat, step)

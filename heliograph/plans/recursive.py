@@ -6,15 +6,15 @@ scans. DuckDB's side of either is a recursive query over row numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.linear import GAIN, LOSS, directional_index, ema, fading, relative_strength, seeded, wilder
-from heliograph.functions.recursive import adaptive, occupied, parabolic, rule_walk, rule_walk_sides, trend_bands
+from heliograph.functions.recursive import adaptive, parabolic, rule_walk, rule_walk_sides, trend_bands
 from heliograph.functions.series import following, lag, lead, prior, rolling, true_range
-from heliograph.operators.scan import Step, scan
+from heliograph.operators.scan import Recursion, scan
 from heliograph.operators.staged import Stage, staged_sql, with_stages
 from heliograph.plans.registry import ORACLES, QUERIES, query, rounded, series
 from heliograph.sources.tables import DAILY_BARS_SQL, EVENT_BARS_SQL, daily_bars, event_bars
@@ -24,14 +24,14 @@ TR = {"tr": "coalesce(greatest(high - low, abs(high - {c}), abs(low - {c})), hig
 CHANGE = {"d": f"close - {lag('close')}"}
 
 
-def recursion(name: str, stages: Sequence[Stage], inputs: Sequence[str], outputs: str, how: Callable[[], Step] | Sequence[Stage], first: Mapping[str, str], then: Mapping[str, str], out: Mapping[str, str], daily: bool = False) -> None:
-    """Register a scan (``how`` makes a step) or windows (stages); ``first`` and ``then``: state columns of the first and of every later row in SQL (``s``: before, ``b``: this row)."""
+def recursion(name: str, stages: Sequence[Stage], inputs: Sequence[str], outputs: str, how: Recursion | Sequence[Stage], first: Mapping[str, str], then: Mapping[str, str], out: Mapping[str, str], daily: bool = False) -> None:
+    """Register a scan or windows (stages); ``first`` and ``then``: state columns of the first and of every later row in SQL (``s``: before, ``b``: this row)."""
     kinds = dict(x.split() for x in outputs.split(", "))
     shown = {n: rounded(n) if k == "double" else n for n, k in kinds.items()}
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         bars = with_stages(daily_bars(spark, folder) if daily else event_bars(spark, folder), stages)
-        found = scan(bars, list(inputs), outputs, how) if callable(how) else with_stages(bars, how)
+        found = scan(bars, list(inputs), outputs, how) if isinstance(how, Recursion) else with_stages(bars, how)
         return found.select("symbol", "ts", *(F.expr(e).alias(n) for n, e in shown.items()))
 
     rows = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ({staged_sql(DAILY_BARS_SQL if daily else EVENT_BARS_SQL, stages)}) AS x"
@@ -83,11 +83,11 @@ recursion(
 )
 _ER = ({"step": f"abs(close - {lag('close')})", "move": f"abs(close - {lag('close', 10)})"}, {"er": f"move / nullif({rolling('sum', 'step', 10)}, 0)"})
 _SC = "pow(coalesce(b.er, 0) * (CAST(2 AS DOUBLE) / 3 - CAST(2 AS DOUBLE) / 31) + CAST(2 AS DOUBLE) / 31, 2)"
-recursion("r10_adaptive_mean", _ER, ["close", "er"], "y double", adaptive, {"y": "CASE WHEN b.er IS NOT NULL THEN b.close END"}, {"y": f"CASE WHEN s.y IS NULL THEN CASE WHEN b.er IS NOT NULL THEN b.close END ELSE s.y + {_SC} * (b.close - s.y) END"}, {"y": "y"})
+recursion("r10_adaptive_mean", _ER, ["close", "er"], "y double", adaptive(), {"y": "CASE WHEN b.er IS NOT NULL THEN b.close END"}, {"y": f"CASE WHEN s.y IS NULL THEN CASE WHEN b.er IS NOT NULL THEN b.close END ELSE s.y + {_SC} * (b.close - s.y) END"}, {"y": "y"})
 _ATR3 = ({"tr3": "high - low"}, {"atr": "avg(tr3) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"})
 _U, _L = "(b.high + b.low) / 2 + 3 * b.atr", "(b.high + b.low) / 2 - 3 * b.atr"
 recursion(
-    "r11_supertrend", _ATR3, ["high", "low", "close", "atr"], "side int", lambda: trend_bands(3.0), {"u": _U, "l": _L, "c": "b.close", "d": "1"},
+    "r11_supertrend", _ATR3, ["high", "low", "close", "atr"], "side int", trend_bands(3.0), {"u": _U, "l": _L, "c": "b.close", "d": "1"},
     {"u": f"CASE WHEN s.c <= s.u THEN least({_U}, s.u) ELSE {_U} END", "l": f"CASE WHEN s.c >= s.l THEN greatest({_L}, s.l) ELSE {_L} END", "c": "b.close", "d": "CASE WHEN b.close > s.u THEN 1 WHEN b.close < s.l THEN -1 ELSE s.d END"},
     {"side": "d"},
 )
@@ -95,17 +95,16 @@ _V = "(s.v + s.a * (s.e - s.v))"
 _CROSS = f"(CASE WHEN s.d > 0 THEN b.low < {_V} ELSE b.high > {_V} END)"
 _NEW = "(CASE WHEN s.d > 0 THEN b.high > s.e ELSE b.low < s.e END)"
 recursion(
-    "r12_parabolic", [], ["high", "low"], "side int", parabolic, {"v": "b.low", "e": "b.high", "a": "CAST(0.02 AS DOUBLE)", "d": "1"},
+    "r12_parabolic", [], ["high", "low"], "side int, level double", parabolic(), {"v": "b.low", "e": "b.high", "a": "CAST(0.02 AS DOUBLE)", "d": "1"},
     {"v": f"CASE WHEN {_CROSS} THEN s.e ELSE {_V} END", "e": f"CASE WHEN {_CROSS} THEN CASE WHEN s.d > 0 THEN b.low ELSE b.high END WHEN {_NEW} THEN CASE WHEN s.d > 0 THEN b.high ELSE b.low END ELSE s.e END",
      "a": f"CASE WHEN {_CROSS} THEN CAST(0.02 AS DOUBLE) WHEN {_NEW} THEN least(s.a + CAST(0.02 AS DOUBLE), CAST(0.2 AS DOUBLE)) ELSE s.a END", "d": f"CASE WHEN {_CROSS} THEN -s.d ELSE s.d END"},
-    {"side": "d"},
+    {"side": "d", "level": "v"},
 )
 _HA = "(b.open + b.high + b.low + b.close) / 4"
 recursion("r13_heikin_ashi", [], ["open", "high", "low", "close"], "ha_open double, ha_close double", [{"ha_close": "(open + high + low + close) / 4"}, {"ha_x": f"coalesce({lag('ha_close')}, (open + close) / 2)"}, *fading({"ha_open": ("ha_x", 0.5)})], {"o": "(b.open + b.close) / 2", "c": _HA}, {"o": "(s.o + s.c) / 2", "c": _HA}, {"ha_open": "o", "ha_close": "c"})
 
 # --- labels and walks
 _ENTRY = {"entry": f"coalesce(close > max(high) {prior(10)}, false)", "leave": f"coalesce(close < min(low) {prior(5)}, false)"}
-recursion("x04_greedy_walk", [_ENTRY], ["entry"], "taken int", lambda: occupied(6), {"f": "CASE WHEN b.entry THEN 7 ELSE 0 END", "t": "CASE WHEN b.entry THEN 1 END"}, {"f": "CASE WHEN b.entry AND b.i >= s.f THEN b.i + 6 ELSE s.f END", "t": "CASE WHEN b.entry THEN CASE WHEN b.i >= s.f THEN 1 ELSE 0 END END"}, {"taken": "t"})
 _WALK = ({**TR, **_ENTRY}, {"atr14": rolling("avg", "tr", 14)}, {"en": lag("entry"), "ex": lag("leave"), "a": lag("atr14", 2)})
 
 
@@ -116,7 +115,7 @@ def walk(name: str, stages: Sequence[Stage], width: float, most: int, daily: boo
     price, risk = f"(CASE WHEN {into} THEN b.open ELSE s.q END)", f"(CASE WHEN {into} THEN {width} * b.a ELSE s.k END)"
     stop = f"(({into} OR (s.p IS NOT NULL AND NOT {out})) AND b.low <= {price} - {risk})"
     recursion(
-        name, stages, ["open", "low", "en", "ex", "a"], "at_open double, in_bar double", lambda: rule_walk(width, most), {"p": "CAST(NULL AS BIGINT)", "q": _ZERO, "k": _ZERO, "x": "CAST(NULL AS DOUBLE)", "y": "CAST(NULL AS DOUBLE)"},
+        name, stages, ["open", "low", "en", "ex", "a"], "at_open double, in_bar double", rule_walk(width, most), {"p": "CAST(NULL AS BIGINT)", "q": _ZERO, "k": _ZERO, "x": "CAST(NULL AS DOUBLE)", "y": "CAST(NULL AS DOUBLE)"},
         {"p": f"CASE WHEN {stop} THEN NULL WHEN {into} THEN b.i WHEN {out} THEN NULL ELSE s.p END", "q": price, "k": risk, "x": f"CASE WHEN {out} THEN (b.open - s.q) / s.k END", "y": f"CASE WHEN {stop} THEN (least(b.open, {price} - {risk}) - {price}) / {risk} END"},
         {"at_open": "x", "in_bar": "y"}, daily,
     )
@@ -125,7 +124,7 @@ def walk(name: str, stages: Sequence[Stage], width: float, most: int, daily: boo
 walk("x03_rule_walk", _WALK, 2.5, 30)
 #: In after a close low in the day's range, out after one high in it, decided at the next open.
 _REVERSAL = ({**TR, "ibs": "(close - low) / nullif(high - low, 0)"}, *fading({"atr_w": wilder("tr", 14)}), {"en": f"coalesce({lag('ibs')} < 0.2, false)", "ex": f"coalesce({lag('ibs')} > 0.8, false)", "a": lag("atr_w", 2)})
-walk("g33_reversal_walk", _REVERSAL, 2.0, 10, daily=True)
+walk("g33_reversal_walk", _REVERSAL, 2.5, 30, daily=True)
 walk("x02_daily_walk", ({**TR, "low5": f"min(low) {prior(5)}", "top": f"max(close) {prior(5)}"}, *fading({"atr_w": wilder("tr", 10)}), {"en": lag("coalesce(close < low5, false)"), "ex": lag("coalesce(close > top, false)"), "a": lag("atr_w", 2)}), 3.0, 20, daily=True)
 
 
@@ -136,7 +135,7 @@ def rule_walk_of_both_sides(spark: SparkSession, folder: str) -> DataFrame:
     down = {k: v.format(p10=prior(10), p5=prior(5), w="OVER (PARTITION BY symbol ORDER BY ts)") for k, v in down.items()}
     bars, found = with_stages(event_bars(spark, folder), _WALK), []
     for side, rows in ((1, bars), (-1, bars.withColumns({k: F.expr(v) for k, v in down.items()}))):
-        walked = scan(rows, ["open", "high", "low", "en", "ex", "a"], "at_open double, in_bar double", lambda side=side: rule_walk_sides(2.5, 30, side, 3.0, 0.01))
+        walked = scan(rows, ["open", "high", "low", "en", "ex", "a"], "at_open double, in_bar double", rule_walk_sides(2.5, 30, side, 3.0, 0.01))
         found.append(walked.select("symbol", "ts", F.lit(side).alias("side"), *(F.expr(rounded(n)).alias(n) for n in ("at_open", "in_bar"))))
     return found[0].unionByName(found[1])
 

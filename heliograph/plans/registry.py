@@ -13,6 +13,8 @@ from heliograph.sources.tables import DAILY_BARS_SQL, EVENT_BARS_SQL, daily_bars
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: A 32-bit number from a text, for Spark and for DuckDB: every engine draws alike.
+NUMBER = {False: "CAST(conv(substring(md5({}), 1, 8), 16, 10) AS BIGINT)", True: "CAST('0x' || substring(md5({}), 1, 8) AS BIGINT)"}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -85,36 +85,11 @@ _FIRST = "exp(" + _HYPER.format(**{k: _LF.format(v.format(x="a")) for k, v in _A
 _TAIL = "aggregate(sequence(a, greatest(least(row1, col1), a)), struct({first} AS t, CAST(0 AS DOUBLE) AS s), (acc, x) -> struct(acc.t * (row1 - x) * (col1 - x) / ((x + 1) * CAST(n - row1 - col1 + x + 1 AS DOUBLE)) AS t, acc.s + acc.t AS s), acc -> acc.s)"
 table_query("i12_fisher_exact", f"SELECT lang, a, row1, col1, n, round({_TAIL.format(first='first')}, 8) AS p_greater FROM (SELECT *, {_FIRST} AS first FROM ({_CELLS}) AS c) AS f", "SELECT lang, a, row1, col1, n, round(list_sum(list_transform(range(a, least(row1, col1) + 1), lambda x: exp(" + _HYPER.format(**{k: f"lgamma({v.format(x='x')} + 1)" for k, v in _ARGS.items()}) + f"))), 8) AS p_greater FROM ({_CELLS}) AS c", ["labels", "documents"])
 
-# --- resampling; draws come from MD5 of their number, so every engine draws alike
-DRAW = {False: "CAST(conv(substring(md5({}), 1, 8), 16, 10) AS BIGINT)", True: "CAST('0x' || substring(md5({}), 1, 8) AS BIGINT)"}
-_NUMBERED = f"SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {_PNL} AS p WHERE r IS NOT NULL"
-
-
-def bootstrap(duck: bool, draws: int = 60) -> str:
-    k = f"(SELECT unnest(range(0, {draws})) AS k)" if duck else f"(SELECT explode(sequence(0, {draws - 1})) AS k)"
-    at = DRAW[duck].format("concat(CAST(k AS VARCHAR), ':', CAST(a.i AS VARCHAR))" if duck else "concat(CAST(k AS STRING), ':', CAST(a.i AS STRING))")
-    q = "quantile_cont" if duck else "percentile"
-    means = f"SELECT d.symbol, d.k, CAST(count_if(b.r > 0) AS DOUBLE) / nullif(CAST(count_if(b.r <= 0) AS DOUBLE), 0) AS ratio FROM (SELECT a.symbol, k, {at} % a.n AS j FROM ({_NUMBERED}) AS a CROSS JOIN {k} AS k) AS d JOIN ({_NUMBERED}) AS b ON d.symbol = b.symbol AND d.j = b.i GROUP BY d.symbol, d.k"
-    return f"SELECT symbol, round({q}(CAST(ratio AS DOUBLE), 0.025), 6) AS low, round({q}(CAST(ratio AS DOUBLE), 0.975), 6) AS high FROM ({means}) AS m GROUP BY symbol"
-
-
-table_query("i13_bootstrap_interval", bootstrap(False), bootstrap(True), ["days"])
+# --- for resampling (``heliograph.plans.nulls``)
+#: The book's result by day.
 _BOOK = f"SELECT day, r, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT CAST(ts AS DATE) AS day, sum(coalesce(r, 0)) AS r FROM {_PNL} AS p GROUP BY CAST(ts AS DATE)) AS b"
 
 
-def block_paths(duck: bool, paths: int = 60, length: int = 365, block: int = 14) -> str:
-    """Yearly sum and largest fall of paths made of blocks of days."""
-    unnest = (lambda n: f"unnest(range(0, {n}))") if duck else (lambda n: f"explode(sequence(0, {n} - 1))")
-    text = "VARCHAR" if duck else "STRING"
-    start = f"{DRAW[duck].format(f'concat(CAST(path AS {text}), chr(58), CAST(piece AS {text}))')} % (n - {block})"
-    pieces = f"SELECT path, piece, {start} AS first FROM (SELECT path, {unnest(-(-length // block))} AS piece, n FROM (SELECT {unnest(paths)} AS path, n FROM (SELECT max(n) AS n FROM ({_BOOK}) AS b) AS c) AS d) AS e"
-    days = f"SELECT path, piece * {block} + o AS t, first + o AS i FROM (SELECT path, piece, first, {unnest(block)} AS o FROM ({pieces}) AS p) AS q WHERE piece * {block} + o < {length}"
-    run = f"SELECT path, t, sum(r) OVER (PARTITION BY path ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, r FROM ({days}) AS d JOIN ({_BOOK}) AS b ON d.i = b.i"
-    return f"SELECT path, round(sum(r), 6) + 0.0 AS annual, round(max(dd), 6) + 0.0 AS max_dd FROM (SELECT *, max(cum) OVER (PARTITION BY path ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS dd FROM ({run}) AS r) AS s GROUP BY path"
-
-
-table_query("n01_block_bootstrap", block_paths(False), block_paths(True), ["days"])
-
 # --- windows that were one task
 _TILE = "CASE WHEN rk <= (m % 4) * (floor(m / 4) + 1) THEN ceil(rk / (floor(m / 4) + 1)) ELSE m % 4 + ceil((rk - (m % 4) * (floor(m / 4) + 1)) / floor(m / 4)) END"
 table_query("a28_quartile_bins", f"SELECT CAST(q AS INT) AS q, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM (SELECT o_totalprice, {_TILE} AS q FROM ({binned_rank('SELECT o_orderkey, o_totalprice FROM {orders}', 'o_totalprice', 'o_orderkey')}) AS r) AS t GROUP BY q", "SELECT q, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM (SELECT o_totalprice, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS q FROM orders) AS o GROUP BY q", ["orders"])
@@ -151,8 +126,26 @@ _MATRIX = "SELECT ts, " + ", ".join(f"coalesce(sum(CASE WHEN symbol = '{s}' THEN
 table_query("f13_daily_matrix", "SELECT ts, " + ", ".join(f"round({s.lower()}, 6) + 0.0 AS {s.lower()}" for s in _LEGS) + f" FROM ({_MATRIX}) AS m", None, ["days"])
 table_query("f15_swap_test", f"WITH b AS (SELECT 'book' AS which, ts, af + nf + rf AS r FROM ({_MATRIX}) AS m UNION ALL SELECT 'swapped', ts, af + nf + ro FROM ({_MATRIX}) AS m) SELECT which, round(sum(r), 5) + 0.0 AS total, round(max(dd), 5) + 0.0 AS max_dd, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0), 5) + 0.0 AS sharpe FROM (SELECT *, max(cum) OVER (PARTITION BY which ORDER BY ts) - cum AS dd FROM (SELECT *, sum(r) OVER (PARTITION BY which ORDER BY ts) AS cum FROM b) AS c) AS d GROUP BY which", None, ["days"])
 table_query("y23_book_mixes", f"SELECT mix, round(sum(r), 5) + 0.0 AS total, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0), 5) + 0.0 AS sharpe, round(min(r), 6) + 0.0 AS worst FROM (SELECT 'all' AS mix, (af + ao + nf + no + rf + ro) / 6 AS r FROM ({_MATRIX}) AS a UNION ALL SELECT 'without_ao', (af + nf + no + rf + ro) / 5 FROM ({_MATRIX}) AS b UNION ALL SELECT 'filled', (af + nf + rf) / 3 FROM ({_MATRIX}) AS c) AS m GROUP BY mix", None, ["days"])
-table_query("y18_scaled_returns", f"SELECT symbol, round(100 * sum(greatest(least(r, 0.05), -0.05)) * 0.01 / nullif(stddev_samp(r), 0), 5) + 0.0 AS scaled FROM {_PNL} AS p GROUP BY symbol", None, ["days"])
-table_query("y22_net_of_cost", f"SELECT symbol, round(10000 * avg(r), 4) + 0.0 AS gross_bps, round(10000 * avg(r) - 2 * 0.7 - 3.5 / 360 * 100 / 100, 4) + 0.0 AS net_bps FROM {_PNL} AS p GROUP BY symbol", None, ["days"])
+_ACTIVE = "avg(CASE WHEN r <> 0 THEN r END) / nullif(stddev_samp(CASE WHEN r <> 0 THEN r END), 0) * sqrt(CAST(252 AS DOUBLE))"
+#: A year's result at the most risk that neither a day's loss of 5 % nor a fall of 10 % forbids.
+table_query("y18_scaled_returns", *(f"SELECT symbol, round(sum(r) / {y}, 5) + 0.0 AS r_per_year, round(max(dd), 6) AS max_dd, round(sum(r) / {y} / nullif(max(dd), 0), 5) + 0.0 AS romad, round({_ACTIVE}, 5) + 0.0 AS sharpe, round(100 * (sum(r) / {y}) * least(0.05 / nullif(abs(min(r)), 0), 0.10 / nullif(max(dd), 0)), 4) + 0.0 AS percent FROM ({_FALL}) AS f GROUP BY symbol" for y in _YEAR), ["days"])
+#: Trades of a candidate with what they gain before costs, and prices of spread and slippage (basis points), nights and commission.
+_CANDIDATES = _TRADES.replace("SELECT l_orderkey", "SELECT concat(l_returnflag, l_linestatus) AS symbol, (l_tax - l_discount) / 0.02 AS gross, l_orderkey")
+RT_BPS, COMMISSION = 1.5 + 0.2, 0.00002
+
+
+def net_of_cost(units: str, out: str, days: str, duck: bool) -> str:
+    """Per symbol: nights, swap and expectancy in units of risk, a year's result, largest fall by exit day, and what gains are to losses."""
+    priced = f"SELECT symbol, day, {out} AS out_day, gross, ({units}) AS nights, entry / stop AS px, side FROM ({_CANDIDATES}) AS t WHERE stop > 0"
+    net = f"SELECT *, nights * (CASE WHEN side > 0 THEN CAST(6.5 AS DOUBLE) ELSE CAST(3.5 AS DOUBLE) END / 100 / 360) * px AS swap FROM ({priced}) AS p"
+    costed = f"SELECT *, gross - {RT_BPS!r} / 10000 * px - swap - 2 * CAST({COMMISSION:.5f} AS DOUBLE) * px AS net FROM ({net}) AS n"
+    falls = f"SELECT symbol, max(top - cum) AS fall FROM (SELECT symbol, cum, max(cum) OVER (PARTITION BY symbol ORDER BY out_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM (SELECT symbol, out_day, sum(net) OVER (PARTITION BY symbol ORDER BY out_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM (SELECT symbol, out_day, sum(net) AS net FROM ({costed}) AS c GROUP BY symbol, out_day) AS d) AS e) AS f GROUP BY symbol"
+    median = "median(swap)" if duck else "percentile(swap, 0.5)"
+    whole = f"SELECT symbol, count(*) AS n, avg(nights) AS nights, {median} AS swap, avg(net) AS er, sum(net) / greatest(CAST({days} AS DOUBLE) / 365.25, 1e-9) AS per_year, sum(CASE WHEN net > 0 THEN net ELSE 0 END) / nullif(-sum(CASE WHEN net < 0 THEN net ELSE 0 END), 0) AS pf FROM ({costed}) AS c GROUP BY symbol"
+    return f"SELECT w.symbol AS symbol, n, round(nights, 6) AS nights, round(swap, 8) AS swap_r, round(er, 6) + 0.0 AS er_net, round(per_year, 3) + 0.0 AS r_per_year, round(fall, 5) + 0.0 AS max_dd, round(per_year / nullif(fall, 0), 5) + 0.0 AS romad, round(pf, 5) AS pf FROM ({whole}) AS w JOIN ({falls}) AS f ON w.symbol = f.symbol"
+
+
+table_query("y22_net_of_cost", *(net_of_cost(u, o, d, k) for u, o, d, k in zip(_UNITS, _OUT, ("datediff(max(out_day), min(day))", "datediff('day', min(day), max(out_day))"), (False, True), strict=True)), ["lineitem"])
 table_query("f14_net_series", f"SELECT symbol, ts, round(r - CASE WHEN sign(r) <> coalesce(sign(p), 0) THEN 0.0007 ELSE 0.0001 END, 6) + 0.0 AS net FROM (SELECT symbol, ts, r, lag(r) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM {_PNL} AS p) AS q WHERE r IS NOT NULL", None, ["days"])
 _C05 = "SELECT m, k, CASE WHEN hi <= q THEN CAST(0.5 AS DOUBLE) / q WHEN lo <= q THEN CAST(-0.5 AS DOUBLE) / q ELSE 0 END AS w, v FROM (SELECT *, greatest(CAST(floor(n * CAST(0.2 AS DOUBLE) + 0.5) AS INT), 2) AS q FROM (SELECT m, k, v, count(*) OVER (PARTITION BY m) AS n, row_number() OVER (PARTITION BY m ORDER BY v DESC, k) AS hi, row_number() OVER (PARTITION BY m ORDER BY v, k) AS lo FROM {p} AS p) AS r) AS s"
 _PANEL = "(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, c_nationkey AS k, sum(o_totalprice) AS v FROM {orders} AS o JOIN {customer} AS c ON o_custkey = c_custkey GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE), c_nationkey)"

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from heliograph.functions.linear import fading, wilder
-from heliograph.functions.recursive import occupied_for
 from heliograph.functions.series import lag, prior, true_range
 from heliograph.operators.staged import staged_sql
-from heliograph.plans.recursive import recursion
-from heliograph.plans.registry import rounded, series, table_query
-from heliograph.plans.statistics import _MID, _PNL, DRAW
+from heliograph.plans.registry import NUMBER, rounded, series, table_query
+from heliograph.plans.statistics import _MID, _PNL
 from heliograph.plans.trades import BARS, BOTH, OPENING, Arrays, level_trades, range_trades, resolved
 
 #: Rules by bar: 1, -1 or 0, decided at the close before the entry.
@@ -30,28 +28,9 @@ table_query("y02_rule_bracket_sweep", *(f"SELECT rule, CAST(sl AS DOUBLE) AS sl,
 table_query("y15_asymmetric_brackets", *(f"SELECT CAST(sl AS DOUBLE) AS sl, CAST(tp AS DOUBLE) AS tp, side, {_STATS} FROM ({grid(a, '(0.5, 3.0), (3.0, 0.5), (1.0, 1.0)', ['break'])}) AS g GROUP BY sl, tp, side" for a in BOTH), ["bars"])
 table_query("y10_symbol_bracket_grid", *(f"SELECT symbol, rule, CAST(sl AS DOUBLE) AS sl, {_STATS} FROM ({grid(a, '(1.0, 2.0), (2.0, 4.0)', ['break', 'body'])}) AS g GROUP BY symbol, rule, sl" for a in BOTH), ["bars"])
 table_query("x16_stop_geometries", *(f"SELECT CAST(sl AS DOUBLE) AS sl, round(avg(CASE WHEN reason = 'stop' THEN 1 ELSE 0 END), 6) AS stop_rate, {_STATS} FROM ({grid(a, '(1.0, 99.0), (1.5, 99.0), (2.0, 99.0), (3.0, 99.0), (4.0, 99.0)', ['break'])}) AS g GROUP BY sl" for a in BOTH), ["bars"])
-_SHIFTED = "SELECT q.symbol, p.side, q.r FROM (SELECT symbol, n, side, row_number() OVER (PARTITION BY symbol ORDER BY n) AS i FROM ({g}) AS g) AS p JOIN (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY n) AS i, count(*) OVER (PARTITION BY symbol) AS m FROM ({g}) AS g) AS q ON p.symbol = q.symbol AND p.i = (q.i + CAST(floor(m * CAST(0.37 AS DOUBLE)) AS BIGINT)) % m + 1"
-#: The rule, its inverse, and its results dealt to other entries.
-table_query("x15_real_inverse_placebo", *(f"SELECT which, {_STATS} FROM (SELECT 'real' AS which, r FROM ({grid(a, '(1.5, 3.0)', ['break'])}) AS g UNION ALL SELECT 'inverse', r FROM ({grid(a, '(1.5, 3.0)', ['break'], turned=-1)}) AS h UNION ALL SELECT 'placebo', side * r FROM ({_SHIFTED.format(g=grid(a, '(1.5, 3.0)', ['break']))}) AS k) AS w GROUP BY which" for a in BOTH), ["bars"])
 table_query("x17_candidate_trades", *(f"SELECT symbol, ts, side, reason, {rounded('r')} AS r FROM ({grid(a, '(2.0, 3.0)', ['fade'])}) AS g" for a in BOTH), ["bars"])
 table_query("u13_trades_of_bars", *(f"SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n, {rounded('sum(r)')} AS r FROM ({grid(a, '(1.0, 2.0)', ['body'])}) AS g GROUP BY symbol, CAST(ts AS DATE)" for a in BOTH), ["bars"])
 
-
-def _null(duck: bool, same_hour: bool) -> str:
-    """t of as many entries drawn by chance as the rule has, per draw; ``same_hour``: as many in each hour of the day."""
-    a, text = BOTH[int(duck)], "VARCHAR" if duck else "STRING"
-    everything = grid(a, "(1.5, 3.0)", ["body"])
-    own = "SELECT symbol, n, r, hour(ts) AS h, CASE WHEN abs(r) > 0 AND n % 7 = 0 THEN 1 ELSE 0 END AS chosen FROM ({e}) AS e".format(e=everything)
-    cell = "symbol, h" if same_hour else "symbol"
-    draws = "(SELECT unnest(range(0, 12)) AS k)" if duck else "(SELECT explode(sequence(0, 11)) AS k)"
-    drawn = f"SELECT o.*, k, row_number() OVER (PARTITION BY {', '.join('o.' + c for c in cell.split(', '))}, k ORDER BY {DRAW[duck].format(f'concat(CAST(k AS {text}), o.symbol, CAST(n AS {text}))')}, n) AS place, sum(chosen) OVER (PARTITION BY {', '.join('o.' + c for c in cell.split(', '))}, k) AS wanted FROM ({own}) AS o CROSS JOIN {draws} AS d"
-    return f"SELECT symbol, k, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*)), 5) + 0.0 AS t FROM ({drawn}) AS x WHERE place <= wanted GROUP BY symbol, k"
-
-
-table_query("i11_random_entry_null", _null(False, False), _null(True, False), ["bars"])
-table_query("i14_hour_matched_null", _null(False, True), _null(True, True), ["bars"])
-table_query("y07_null_battery", *(f"SELECT symbol, count(*) AS draws, round(max(t), 4) + 0.0 AS best_chance_t, round(avg(t), 4) + 0.0 AS mean_chance_t FROM ({_null(d, False)}) AS n GROUP BY symbol" for d in (False, True)), ["bars"])
-
 # --- trailing stops of a trade that begins at every bar
 _TRAIL = ({"tr": f"coalesce({true_range()}, high - low)"}, *fading({"atr": wilder("tr", 14, 14)}), {"unit": lag("atr")})
 
@@ -79,12 +58,38 @@ table_query("y01_open_band_breakout", *(f"SELECT symbol, day, CAST(side AS INT)
 # --- grids of signal statistics
 _K = (1, 3, 12)
 _SIG = {"reversal": "-(close - open)", "drift": "close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts)", "range": "(close - low) / nullif(high - low, 0) - 0.5"}
-_CELLS = " UNION ALL ".join(f"SELECT '{n}' AS signal, {k} AS k, symbol, {e} AS s, lead(close, {k}) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS f FROM {BARS} AS b{i}{k}" for i, (n, e) in enumerate(_SIG.items()) for k in _K)
-table_query("i06_ic_grid", f"SELECT signal, k, symbol, count(*) AS n, round(covar_pop(rs, rf) / nullif(sqrt(var_pop(rs) * var_pop(rf)), 0), 6) + 0.0 AS ic FROM (SELECT signal, k, symbol, {_MID.format(p='signal, k, symbol', x='s')} AS rs, {_MID.format(p='signal, k, symbol', x='f')} AS rf FROM ({_CELLS}) AS c WHERE s IS NOT NULL AND f IS NOT NULL) AS r GROUP BY signal, k, symbol HAVING count(*) >= 60", None, ["bars"])
+PLACEBOS, PER_BLOCK, LEAST_PAIRS, LEAST_BLOCKS = 5, 20, 15, 8
+
+
+def ic_rows(duck: bool) -> str:
+    """Block ICs by signal, horizon, symbol and turn; turn -1 is the real future, the others the future rotated by a random part of the series.
+
+    Futures are in units of the bar's volatility over the root of the horizon.
+    Ranks are taken over the whole series, so a block's IC is a slice of the mean
+    product of ranks, and blocks of the total are not centred on themselves.
+    """
+    number = NUMBER[duck].format(f"concat(symbol, ':', CAST(k AS {'VARCHAR' if duck else 'STRING'}), ':', CAST(turn AS {'VARCHAR' if duck else 'STRING'}))")
+    base = f"SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n, count(*) OVER (PARTITION BY symbol) AS m, stddev_pop(r) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vol, {', '.join(f'lead(close, {k}) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS f{k}' for k in _K)}, {', '.join(f'{e} AS s_{s}' for s, e in _SIG.items())} FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM {BARS} AS a) AS b"
+    futures = " UNION ALL ".join(f"SELECT symbol, n, m, {k} AS k, f{k} / (nullif(vol, 0) * sqrt(CAST({k} AS DOUBLE))) AS f FROM base" for k in _K)
+    signals = " UNION ALL ".join(f"SELECT symbol, n, '{s}' AS signal, s_{s} AS s FROM base" for s in _SIG)
+    turns = "SELECT unnest(range(-1, {n})) AS turn" if duck else "SELECT explode(sequence(-1, {n} - 1)) AS turn"
+    shifts = f"SELECT symbol, k, turn, m, CASE WHEN turn < 0 THEN 0 ELSE CAST(floor(m / 8) AS BIGINT) + {number} % greatest(CAST(floor(7 * m / 8) AS BIGINT) - CAST(floor(m / 8) AS BIGINT), 1) END AS shift FROM (SELECT symbol, k, max(m) AS m FROM futures GROUP BY symbol, k) AS g CROSS JOIN ({turns.format(n=PLACEBOS)}) AS t"
+    rolled = "SELECT f.symbol, f.k, turn, (f.n + shift) % f.m AS n, f FROM futures AS f JOIN shifts AS h ON f.symbol = h.symbol AND f.k = h.k"
+    pairs = "SELECT signal, k, r.symbol, turn, r.n, s, f FROM rolled AS r JOIN signals AS s ON r.symbol = s.symbol AND r.n = s.n WHERE s IS NOT NULL AND f IS NOT NULL"
+    key = "signal, k, symbol, turn"
+    ranked = f"SELECT {key}, n, {_MID.format(p=key, x='s')} AS rs, {_MID.format(p=key, x='f')} AS rf FROM pairs"
+    scaled = f"SELECT {key}, n, (rs - avg(rs) OVER p) / nullif(stddev_pop(rs) OVER p, 0) * ((rf - avg(rf) OVER p) / nullif(stddev_pop(rf) OVER p, 0)) AS prod, count(*) OVER p AS n_pairs FROM ranked WINDOW p AS (PARTITION BY {key})"
+    blocks = f"SELECT {key}, n_pairs, CAST(floor(n / {PER_BLOCK}) AS BIGINT) AS b, avg(prod) AS ic FROM scaled GROUP BY {key}, n_pairs, CAST(floor(n / {PER_BLOCK}) AS BIGINT) HAVING count(*) >= {LEAST_PAIRS}"
+    dev = f"SELECT *, ic - avg(ic) OVER (PARTITION BY {key}) AS d FROM blocks"
+    cells = f"SELECT {key}, max(n_pairs) AS n, count(*) AS n_blocks, avg(ic) AS ic, CASE WHEN sum(d * d) + sum(d * coalesce(d0, 0)) > 0 THEN avg(ic) / sqrt((sum(d * d) + sum(d * coalesce(d0, 0))) / count(*) / count(*)) END AS t FROM (SELECT *, lag(d) OVER (PARTITION BY {key} ORDER BY b) AS d0 FROM dev) AS x GROUP BY {key} HAVING count(*) >= {LEAST_BLOCKS}"
+    return f"WITH base AS ({base}), futures AS ({futures}), signals AS ({signals}), shifts AS ({shifts}), rolled AS ({rolled}), pairs AS ({pairs}), ranked AS ({ranked}), scaled AS ({scaled}), blocks AS ({blocks}), dev AS ({dev}), cells AS ({cells}) "
+
+
+#: Newey-West t at lag 1; beside each cell the mean absolute IC and t of its rotated futures.
+table_query("i06_ic_grid", *(ic_rows(d) + "SELECT signal, k, symbol, max(CASE WHEN turn < 0 THEN n END) AS n, max(CASE WHEN turn < 0 THEN n_blocks END) AS n_blocks, round(max(CASE WHEN turn < 0 THEN ic END), 6) + 0.0 AS ic, round(max(CASE WHEN turn < 0 THEN t END), 5) + 0.0 AS t, round(avg(CASE WHEN turn >= 0 THEN abs(ic) END), 6) AS placebo_abs_ic, round(avg(CASE WHEN turn >= 0 THEN abs(t) END), 5) AS placebo_abs_t FROM cells GROUP BY signal, k, symbol HAVING count(CASE WHEN turn < 0 THEN 1 END) > 0" for d in (False, True)), ["bars"])
+table_query("i07_rotated_placebo", *(ic_rows(d) + "SELECT signal, k, symbol, turn, round(ic, 6) + 0.0 AS ic, round(t, 5) + 0.0 AS t FROM cells WHERE turn >= 0" for d in (False, True)), ["bars"])
 table_query("i19_rank_gain", *(f"SELECT symbol, round(covar_pop(ra, rb) / nullif(sqrt(var_pop(ra) * var_pop(rb)), 0), 6) + 0.0 AS rho, count(*) AS n FROM (SELECT symbol, {_MID.format(p='symbol', x='risk')} AS ra, {_MID.format(p='symbol', x='r')} AS rb FROM ({t}) AS t) AS x GROUP BY symbol" for t in OPENING), ["bars"])
 table_query("i21_breadth_ratio", f"WITH p AS (SELECT symbol, ts, r FROM {_PNL} AS q WHERE r IS NOT NULL), c AS (SELECT a.symbol AS x, b.symbol AS y, corr(a.r, b.r) AS rho FROM p AS a JOIN p AS b ON a.ts = b.ts GROUP BY a.symbol, b.symbol HAVING count(*) > 30) SELECT CAST(ic AS DOUBLE) AS ic, round(CAST(ic AS DOUBLE) * sqrt(n_eff * 52), 6) AS ratio FROM (SELECT pow(count(DISTINCT x), 2) / sum(rho * rho) AS n_eff FROM c) AS e CROSS JOIN (VALUES (0.01), (0.02), (0.05)) AS v(ic)", None, ["days"])
-_STEP = {"entry": f"coalesce(close > max(high) {prior(6)}, false)", "hold": "CAST(2 + hour(ts) % 5 AS INT)"}
-recursion("x09_table_walk", [_STEP], ["entry", "hold"], "taken int", occupied_for, {"f": "CASE WHEN b.entry THEN 1 + b.hold ELSE 0 END", "t": "CASE WHEN b.entry THEN 1 END"}, {"f": "CASE WHEN b.entry AND b.i >= s.f THEN b.i + b.hold ELSE s.f END", "t": "CASE WHEN b.entry THEN CASE WHEN b.i >= s.f THEN 1 ELSE 0 END END"}, {"taken": "t"})
 
 # --- catalogues of rules
 _RULES = {

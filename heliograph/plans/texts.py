@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.plans.registry import table_query
-from heliograph.plans.statistics import DRAW
+from heliograph.plans.registry import NUMBER, table_query
 from heliograph.plans.tables import _PNL
 from heliograph.plans.trades import BOTH, OPENING
 
@@ -85,7 +84,7 @@ table_query("p16_column_blocks", "SELECT symbol, ts, round(close - open, 6) + 0.
 def _synthetic(duck: bool, n: int = 2000) -> str:
     """A market series from numbers alone: steps from MD5, weekends left out."""
     rows = f"SELECT unnest(range(0, {n})) AS i" if duck else f"SELECT explode(sequence(0, {n - 1})) AS i"
-    step = f"({DRAW[duck].format('concat(CAST(i AS VARCHAR), chr(58), chr(115))' if duck else 'concat(CAST(i AS STRING), chr(58), chr(115))')} % 2001 - 1000) / 1000.0 * 0.0006"
+    step = f"({NUMBER[duck].format('concat(CAST(i AS VARCHAR), chr(58), chr(115))' if duck else 'concat(CAST(i AS STRING), chr(58), chr(115))')} % 2001 - 1000) / 1000.0 * 0.0006"
     return f"SELECT i, round(CAST(exp(sum(CAST(s AS DOUBLE)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS DOUBLE), 9) AS close FROM (SELECT i, {step} AS s FROM ({rows}) AS r) AS x WHERE i % 168 < 120"
 
 

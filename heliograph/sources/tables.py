@@ -17,9 +17,10 @@ def event_bars(spark: SparkSession, folder: str, minutes: int = 60) -> DataFrame
 
 
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily bars of the unit prices of each return flag and line status."""
+    """Daily bars of the unit prices of each return flag and line status. Order and line number are no key of the table: lines of equal numbers are ordered by price and size, so a day has one open and one close."""
     lines = table(spark, folder, "lineitem")
-    lines = lines.selectExpr("concat(l_returnflag, l_linestatus) AS symbol", "CAST(date_trunc('day', l_shipdate) AS timestamp_ntz) AS ts", "floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price", "l_quantity AS size", "l_orderkey * 10 + l_linenumber AS line")
+    lines = lines.selectExpr("concat(l_returnflag, l_linestatus) AS symbol", "CAST(date_trunc('day', l_shipdate) AS timestamp_ntz) AS ts", "floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price", "l_quantity AS size", "l_orderkey", "l_linenumber")
+    lines = lines.selectExpr("symbol", "ts", "price", "size", "struct(l_orderkey, l_linenumber, price, size) AS line")
     return lines.groupBy("symbol", "ts").agg(*_ohlcv())
 
 
@@ -31,4 +32,4 @@ def _ohlcv() -> list:
 
 #: The same bars in SQL.
 EVENT_BARS_SQL = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, date_trunc('hour', ts)"
-DAILY_BARS_SQL = "SELECT symbol, ts, min_by(price, line) AS open, max(price) AS high, min(price) AS low, max_by(price, line) AS close, sum(size) AS volume FROM (SELECT concat(l_returnflag, l_linestatus) AS symbol, date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS ts, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity AS size, l_orderkey * 10 + l_linenumber AS line FROM lineitem) AS l GROUP BY symbol, ts"
+DAILY_BARS_SQL = "SELECT symbol, ts, min_by(price, line) AS open, max(price) AS high, min(price) AS low, max_by(price, line) AS close, sum(size) AS volume FROM (SELECT concat(l_returnflag, l_linestatus) AS symbol, date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS ts, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity AS size, row(l_orderkey, l_linenumber, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000, l_quantity) AS line FROM lineitem) AS l GROUP BY symbol, ts"

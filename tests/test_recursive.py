@@ -2,26 +2,18 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from heliograph.functions.recursive import ewm, occupied, rsi, rule_walk, seeded, smoothed_open
+from heliograph.functions.recursive import ewm, rule_walk, seeded
 from heliograph.operators.scan import scan
 
 
-def run(step, rows):
-    return [step(*r) for r in rows]
+def run(how, rows):
+    return how.run(rows)
 
 
 def test_means():
     assert run(ewm(0.5), [(1.0,), (3.0,), (None,), (4.0,)]) == [(1.0,), (2.0,), (2.0,), (3.0,)]
     assert run(ewm(0.5, 2), [(1.0,), (3.0,)]) == [(None,), (2.0,)]
     assert run(seeded(2), [(1.0,), (3.0,), (4.0,)]) == [(None,), (2.0,), (3.0,)]
-    assert run(rsi(2), [(None,), (1.0,), (1.0,)]) == [(None,), (None,), (100.0,)]
-    assert run(smoothed_open(), [(1.0, 4.0, 0.0, 3.0), (2.0, 2.0, 2.0, 2.0)]) == [(2.0, 2.0), (2.0, 2.0)]
-
-
-def test_greedy_occupancy():
-    entries, holds = {0, 1, 2, 20, 21, 40}, 10
-    got = run(occupied(holds), [(i in entries,) for i in range(60)])
-    assert [i for i, (k,) in enumerate(got) if k == 1] == [0, 20, 40] and [i for i, (k,) in enumerate(got) if k == 0] == [1, 2, 21]
 
 
 def test_a_walk_stops_at_the_open_beyond_the_stop():
@@ -35,8 +27,8 @@ def test_scan_keeps_state_over_batches_and_symbols(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         df = spark.createDataFrame(rows[::-1], "symbol string, ts timestamp_ntz, x double, y string")
-        got = scan(df, ["x"], "y double", lambda: seeded(1)).collect()
+        got = scan(df, ["x"], "y double", seeded(1)).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 900 and all(r.y == (r.ts - begin).total_seconds() / 3600 for r in got)
-    assert scan(df.limit(0), ["x"], "y double", lambda: seeded(1)).count() == 0
+    assert scan(df.limit(0), ["x"], "y double", seeded(1)).count() == 0
