@@ -507,3 +507,33 @@ def test_chat_format_of_hostile_texts_is_linear(spark):
     assert time.perf_counter() - began < 30
     for r in got:
         assert r["identical"] and [tuple(t) for t in r["turns"]] == [(role, text) for c, _, role, text in table if c == r["conv_id"]]
+
+
+def test_rows_of_one_id_meet_as_distinct_texts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    near = lambda k: " ".join([*base[:k], f"x{k}", *base[k + 1 :]])
+    rows = [(1, near(rng.randrange(6))) for _ in range(600)] + [(2, near(6 + rng.randrange(6))) for _ in range(600)] + [(3, "far away " * 30), (4, near(50)), (5, "far away " * 30)]
+    docs = documents(spark, rows).repartition(5)
+    assert pairs(tuple(r) for r in near_dedup.near_groups(docs, near_dedup.Params(shingle=2)).distinct().collect()) == sorted({tuple(r) for r in brute_groups(rows, 2)}, key=str)
+    signed = near_dedup.signatures(docs, near_dedup.Params(shingle=2)).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
+    texts_of = near_dedup.distinct_texts(docs, signed).collect()
+    assert len(texts_of) == len({t for _, t in rows}) == len({r["node"] for r in texts_of})
+
+
+def test_a_shingle_of_very_many_documents_is_dealt(spark):
+    import random
+
+    rng = random.Random(10)
+    rows = []
+    for k in range(120):  # groups of two near copies each, all with one long common passage of half their words
+        own = [f"d{k // 2}_{j}" for j in range(60)]
+        own[rng.randrange(60)] = f"z{k}"
+        rows.append((k, " ".join([f"c{j}" for j in range(rng.choice([20, 40]))] + own)))
+    for strip in (2000, 5):
+        got = near_dedup.near_groups(documents(spark, rows), near_dedup.Params(shingle=2, strip=strip, bands=4, rows=1)).collect()
+        assert pairs(tuple(r) for r in got) == brute_groups(rows, 2)
