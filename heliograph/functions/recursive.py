@@ -117,3 +117,32 @@ def rule_walk_sides(stop_width: float = 2.5, most: int = 30, side: int = 1, targ
         return (held, price, risk, take), (first, second)
 
     return Recursion(flat, step)
+
+
+def reversal_literal(stop_width: float = 2.5, most: int = 30, high: float = 0.8) -> Recursion:
+    """The reversal walk in its older cadence: ``closed`` and ``same_bar``, results in risk units.
+
+    Exits are judged at a bar's own close and made at the next open (the last bar's close if there is
+    none), stops inside the bar; only then may the same bar be entered, at its open, and stopped at once.
+    """
+    flat = (None, 0.0, 0.0)
+
+    def step(state: tuple, open_: float, low: float, close: float, ibs: float | None, entry: bool | None, atr: float | None, after: float | None) -> tuple[tuple, tuple]:
+        held, price, risk = state
+        closed = same = None
+        if held is not None:
+            held += 1
+            stop = price - risk
+            if low <= stop:
+                closed = (min(open_, stop) - price) / risk
+            elif (ibs is not None and ibs > high) or held >= most:
+                closed = ((close if after is None else after) - price) / risk
+            if closed is not None:
+                held = None
+        if held is None and entry and atr:
+            held, price, risk = 0, open_, stop_width * atr
+            if low <= price - risk:
+                same, held = -1.0, None
+        return (flat if held is None else (held, price, risk)), (closed, same)
+
+    return Recursion(flat, step)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.plans import calendar, files, frames, models, nulls, recursive, registry, rules, signals, statistics, streams, sweeps, tables, texts, trades, walks, windows  # noqa: F401  importing registers
+from heliograph.plans import books, calendar, cleaning, files, frames, models, nulls, ranks, recursive, registry, rules, signals, statistics, streams, sweeps, tables, texts, trades, triage, walks, windows  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, registry.Query]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.operators.resample import resample
 from heliograph.operators.storage import shared_path
 from heliograph.plans.registry import query
 from heliograph.sources.files import read_bars, read_journal, upserted, write_csv, write_report
@@ -87,3 +88,60 @@ def journal_append(spark: SparkSession, folder: str) -> DataFrame:
     for batch in (0, 1):
         events.where(F.pmod("event_id", F.lit(2)) == batch).withColumn("batch", F.lit(batch)).write.mode("append").option("header", True).csv(path)
     return spark.read.schema("symbol string, event_id bigint, batch int").option("header", True).csv(path).groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"))
+
+
+# --- loaders that choose, papers that are written and read
+PREFER = 20
+_FINE = "(SELECT event_type AS symbol FROM (SELECT event_type, count(DISTINCT date_trunc('minute', ts)) AS minutes FROM events WHERE value IS NOT NULL GROUP BY event_type) AS m WHERE minutes >= {n})"
+_FIVE = "SELECT event_type AS symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL 5 MINUTE, ts)"
+
+
+@query("s26_finer_cache_first", f"SELECT symbol, timezone('UTC', timezone('Europe/Athens', ts)) AS utc, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN symbol IN {_FINE.format(n=PREFER)} THEN 'm1' ELSE 'm5' END AS source FROM ({_FIVE}) AS b WHERE timezone('UTC', timezone('Europe/Athens', ts)) IS NOT NULL")
+def finer_cache_first(spark: SparkSession, folder: str) -> DataFrame:
+    """Five-minute bars: made from the cached one-minute bars of symbols that have them, else read as they are; then from the server's clock to UTC."""
+    minutes, path = event_bars(spark, folder, 1), shared_path(spark, "cache")
+    counts = minutes.groupBy("symbol").agg(F.count("*").alias("minutes")).where(f"minutes >= {PREFER}").select("symbol")
+    minutes.join(counts, "symbol", "left_semi").write.partitionBy("symbol").parquet(f"{path}/m1")
+    event_bars(spark, folder, 5).join(counts, "symbol", "left_anti").write.parquet(f"{path}/m5")
+    fine = resample(spark.read.schema(minutes.schema).parquet(f"{path}/m1"), 5).withColumn("source", F.lit("m1"))
+    read = fine.unionByName(spark.read.schema(minutes.schema).parquet(f"{path}/m5").withColumn("source", F.lit("m5")), allowMissingColumns=True)
+    return read.selectExpr("symbol", "convert_timezone('Europe/Athens', 'UTC', ts) AS utc", *(f"round({c}, 6) AS {c}" for c in ("open", "high", "low", "close")), "source").where("utc IS NOT NULL")
+
+
+def load_true_utc(spark: SparkSession, path: str, server: str = "Europe/Athens") -> DataFrame:
+    """Bars of a file with their time in UTC: a zoned time is taken as it is, a plain one is the server's clock."""
+    bars = spark.read.parquet(path)
+    zoned = dict(bars.dtypes)["ts"] == "timestamp"
+    return bars.withColumn("ts", F.col("ts").cast("timestamp_ntz") if zoned else F.expr(f"convert_timezone('{server}', 'UTC', ts)"))
+
+
+@query("y44_zone_by_type", f"SELECT symbol, CASE WHEN symbol < 'm' THEN ts ELSE timezone('UTC', timezone('Europe/Athens', ts)) END AS ts, round(close, 6) AS close FROM ({EVENT_BARS_SQL}) AS b")
+def zone_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    path, bars = shared_path(spark, "zones"), event_bars(spark, folder).select("symbol", "ts", "close")
+    bars.where("symbol < 'm'").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{path}/zoned")
+    bars.where("NOT symbol < 'm'").write.parquet(f"{path}/plain")
+    both = load_true_utc(spark, f"{path}/zoned").unionByName(load_true_utc(spark, f"{path}/plain"))
+    return both.select("symbol", "ts", F.round("close", 6).alias("close"))
+
+
+_PAPER = "doc_id, lang AS category, source AS query, length(text) AS n_chars"
+
+
+@query("s33_paper_sink", f"SELECT {_PAPER}, md5(text) AS abstract_md5 FROM documents WHERE text IS NOT NULL")
+def paper_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers as JSON lines and as Parquet; what the JSON keeps is joined to what the Parquet keeps."""
+    path = shared_path(spark, "papers")
+    papers = table(spark, folder, "documents").where("text IS NOT NULL").selectExpr("doc_id", "lang AS category", "source AS query", "text AS abstract")
+    papers.select("doc_id", "abstract").write.option("compression", "gzip").json(f"{path}/json")
+    papers.drop("abstract").write.parquet(f"{path}/parquet")
+    told = spark.read.schema("doc_id bigint, abstract string").json(f"{path}/json")
+    return spark.read.parquet(f"{path}/parquet").join(told, "doc_id").selectExpr("doc_id", "category", "query", "length(abstract) AS n_chars", "md5(abstract) AS abstract_md5")
+
+
+@query("s37_paper_csv_scan", "SELECT doc_id, lang AS category, md5(regexp_replace(left(text, 200), '[\\r\\n]+', ' ', 'g')) AS title_md5 FROM documents WHERE text IS NOT NULL")
+def paper_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV of papers, quotes and separators inside titles kept."""
+    path = shared_path(spark, "papers-csv")
+    table(spark, folder, "documents").where("text IS NOT NULL").selectExpr("doc_id", "lang AS category", r"regexp_replace(left(text, 200), '[\\r\\n]+', ' ') AS title").write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = spark.read.schema("doc_id bigint, category string, title string").option("header", True).option("escape", '"').csv(path)
+    return read.selectExpr("doc_id", "category", "md5(coalesce(title, '')) AS title_md5")

@@ -61,8 +61,6 @@ table_query("p21_nested_records", *(f"SELECT symbol, count(*) AS n, {a.size('rec
 table_query("k03_top_by_strength", "SELECT l_partkey, round(t, 6) + 0.0 AS t FROM (SELECT l_partkey, avg(l_discount - 0.05) / nullif(stddev_samp(l_discount), 0) * sqrt(count(*)) AS t FROM {lineitem} GROUP BY l_partkey HAVING count(*) >= 3) AS x WHERE t IS NOT NULL ORDER BY abs(t) DESC, l_partkey LIMIT 25", None, ["lineitem"])
 table_query("k09_behaviour_fingerprint", *(f"SELECT symbol, count(*) AS n, round(sum(r), 5) + 0.0 AS total, min(day) AS first, max(day) AS last, sum(CASE WHEN side > 0 THEN 1 ELSE 0 END) AS longs FROM ({t}) AS t GROUP BY symbol" for t in OPENING), ["bars"])
 table_query("a24_any_and_best", *(f"SELECT symbol, CASE WHEN max(r) > 1.5 THEN 1 ELSE 0 END AS any_big, round(max(r), 6) + 0.0 AS best FROM ({t}) AS t GROUP BY symbol" for t in OPENING), ["bars"])
-table_query("a25_survival_counts", *(f"SELECT sum(passed) AS survivors, count(*) AS cells FROM (SELECT symbol, CASE WHEN sum(r) > 0 THEN 1 ELSE 0 END AS passed FROM ({t}) AS t GROUP BY symbol) AS c" for t in OPENING), ["bars"])
-table_query("a26_replication_counts", *(f"SELECT positive, count(*) AS weeks FROM (SELECT date_trunc('week', day) AS w, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS positive FROM ({t}) AS t GROUP BY date_trunc('week', day)) AS c GROUP BY positive" for t in OPENING), ["bars"])
 table_query("a36_account_scaling", *(f"SELECT symbol, day, round(r * 500 / 100000, 8) + 0.0 AS share FROM ({t}) AS t" for t in OPENING), ["bars"])
 table_query("y03_nearest_bucket", "SELECT event_id, b AS bucket FROM (SELECT event_id, b, row_number() OVER (PARTITION BY event_id ORDER BY abs(value - b), b) AS n FROM {events} CROSS JOIN (VALUES (1), (5), (10), (25), (50), (100)) AS v(b) WHERE value IS NOT NULL) AS x WHERE n = 1", None, ["events"])
 table_query("y19_stats_from_date", *(f"SELECT symbol, count(*) AS n, round(avg(r), 6) + 0.0 AS er, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*)), 5) + 0.0 AS t FROM ({t}) AS t WHERE day >= DATE '2024-01-10' GROUP BY symbol" for t in OPENING), ["bars"])

@@ -1,10 +1,18 @@
-"""Models over bar features by Spark's own library: temporal splits with a gap, never a look ahead.
+"""Models by Spark's own library, walked forward: fitted on the dates so far, judged on those after a gap.
 
-Library fits have no SQL form; tests hold them against planted signals.
+Dates are cut into equal runs. Fold k is fitted on the first k runs and scores the next
+one, but for its first dates (the embargo). The matrix is written once to the shared folder; the folds
+are fitted side by side from it, and what they predict is put together. Library
+fits have no SQL form; tests hold folds, books and walks against plain code, and
+fits against planted signals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,9 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.series import last, lead, log_return, rolling
+from heliograph.operators.asof import as_of
+from heliograph.operators.chunks import written
+from heliograph.operators.occupancy import taken
+from heliograph.operators.resample import resample
 from heliograph.operators.staged import staged_sql, with_stages
-from heliograph.plans.registry import query, rounded
-from heliograph.sources.tables import DAILY_BARS_SQL, daily_bars
+from heliograph.plans.registry import query, rounded, table_query
+from heliograph.plans.statistics import _MARKET, _ROLL
+from heliograph.plans.tables import _PANEL
+from heliograph.plans.walks import outcome_frame
+from heliograph.sources.tables import DAILY_BARS_SQL, daily_bars, event_bars, table
 
 MOMENTUM, SHAPE, VOLUME = ["mom5", "mom20", "z20"], ["ibs", "rng"], ["vol_ratio"]
 FEATURES = [*MOMENTUM, *SHAPE, *VOLUME]
@@ -32,19 +47,57 @@ def dataset(bars: DataFrame) -> DataFrame:
     return with_stages(bars, _STAGES).select("symbol", "ts", *FEATURES, "fwd", (F.col("fwd") > 0).cast("double").alias("up")).dropna()
 
 
-def split(data: DataFrame, share: float = 0.8, gap: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The first ``share`` of each symbol's rows and, ``gap`` rows later, the rest."""
-    w = Window.partitionBy("symbol")
-    placed = data.withColumn("_n", F.row_number().over(w.orderBy("ts"))).withColumn("_all", F.count("*").over(w))
-    drop = lambda df: df.drop("_n", "_all")
-    return drop(placed.where(F.col("_n") <= F.floor(F.col("_all") * share) - gap)), drop(placed.where(F.col("_n") > F.floor(F.col("_all") * share)))
+FOLDS, EMBARGO = 4, 5
+
+
+def folded(data: DataFrame, date: str = "ts") -> DataFrame:
+    """``data`` with ``_no``, the number of its date from 0 on, and ``_all``, the number of dates, in the shared folder."""
+    days = data.select(date).distinct()
+    # One row a date, so one task numbers them.
+    placed = days.select(date, (F.row_number().over(Window.orderBy(date)) - 1).cast("long").alias("_no"), F.count("*").over(Window.partitionBy()).alias("_all"))
+    return written(data.join(F.broadcast(placed) if placed.count() <= MOST_DATES else placed, date), "matrix")
+
+
+#: Dates (two numbers and a time each) that are broadcast to the matrix.
+MOST_DATES = 200_000
+
+
+def fold_bounds(n: int, folds: int = FOLDS, embargo: int = EMBARGO) -> list[tuple[int, int, int]]:
+    """For each fold: dates that it is fitted on, the first date that it scores, and the one after the last."""
+    size = n // (folds + 1)
+    return [(k * size, k * size + embargo, min((k + 1) * size, n)) for k in range(1, folds + 1) if k * size + embargo < min((k + 1) * size, n)]
+
+
+def walk_forward(matrix: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], folds: int = FOLDS, embargo: int = EMBARGO) -> DataFrame:
+    """Out-of-fold rows of ``score(train, test)`` with their ``fold``; ``matrix``: from ``folded``."""
+    first = matrix.select("_all").first()
+    bounds = fold_bounds(first[0] if first else 0, folds, embargo)
+
+    def one(k: int) -> DataFrame:
+        end, begin, stop = bounds[k]
+        return score(matrix.where(F.col("_no") < end), matrix.where((F.col("_no") >= begin) & (F.col("_no") < stop))).withColumn("fold", F.lit(k + 1))
+
+    if not bounds:
+        return score(matrix, matrix.limit(0)).withColumn("fold", F.lit(0)) if first else matrix.limit(0)
+    with ThreadPoolExecutor(len(bounds)) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, range(len(bounds)))))
+
+
+def fitted(train: DataFrame, model, features: list[str]):  # noqa: ANN001, ANN201
+    steps = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), model]
+    return Pipeline(stages=steps).fit(train)
+
+
+def scored(model, rows: DataFrame) -> DataFrame:  # noqa: ANN001
+    """``rows`` with ``p``: the probability of the label, or what a regression predicts."""
+    found = model.transform(rows)
+    value = vector_to_array("probability")[1] if "probability" in found.columns else F.col("prediction")
+    return found.withColumn("p", value).drop("_raw", "features", "rawPrediction", "probability", "prediction")
 
 
 def probabilities(train: DataFrame, test: DataFrame, model, features: list[str]) -> DataFrame:  # noqa: ANN001
     """``test`` with ``p``, the probability that the next bar rises."""
-    steps = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), model]
-    fitted = Pipeline(stages=steps).fit(train)
-    return fitted.transform(test).withColumn("p", vector_to_array("probability")[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
+    return scored(fitted(train, model, features), test)
 
 
 def auc(scored: DataFrame, label: str = "up", score: str = "p") -> DataFrame:
@@ -54,6 +107,10 @@ def auc(scored: DataFrame, label: str = "up", score: str = "p") -> DataFrame:
     return counts.withColumn("wins", F.col("pos") * below).groupBy("symbol").agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"), F.sum(F.col("pos") + F.col("neg")).cast("bigint").alias("n"))
 
 
+def regression(label: str = "fwd") -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=10, maxDepth=3, stepSize=0.1, seed=42)
+
+
 def logistic() -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="up", maxIter=50, regParam=0.01)
 
@@ -71,44 +128,182 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return dataset(daily_bars(spark, folder)).selectExpr(*_SHOWN)
 
 
+def out_of_fold(data: DataFrame, model: Callable, features: list[str], label: str = "up") -> DataFrame:
+    """Rows scored by the fold that had not seen them."""
+    return walk_forward(folded(data), lambda train, test: probabilities(train, test, model(), features))
+
+
 @query("m05_logistic_scaled")
 def logistic_auc(spark: SparkSession, folder: str) -> DataFrame:
-    return auc(probabilities(*split(dataset(daily_bars(spark, folder))), logistic(), FEATURES))
+    return auc(out_of_fold(dataset(daily_bars(spark, folder)), logistic, FEATURES))
 
 
 @query("m03_boosted_classifier")
 def boosted_auc(spark: SparkSession, folder: str) -> DataFrame:
-    return auc(probabilities(*split(dataset(daily_bars(spark, folder))), boosted(), FEATURES))
+    return auc(out_of_fold(dataset(daily_bars(spark, folder)), boosted, FEATURES))
 
 
 @query("m04_boosted_regressor")
 def boosted_regression(spark: SparkSession, folder: str) -> DataFrame:
-    """Correlation of predicted and later returns by symbol."""
-    train, test = split(dataset(daily_bars(spark, folder)))
-    model = GBTRegressor(featuresCol="features", labelCol="fwd", maxIter=10, maxDepth=3, stepSize=0.1, seed=42)
-    scored = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), model]).fit(train).transform(test)
-    return scored.groupBy("symbol").agg(F.corr("prediction", "fwd").alias("ic"), F.count("*").alias("n"))
+    """Correlation of predicted and later returns by symbol, out of fold."""
+    rows = out_of_fold(dataset(daily_bars(spark, folder)), regression, FEATURES)
+    return rows.groupBy("symbol").agg(F.corr("p", "fwd").alias("ic"), F.count("*").alias("n"))
+
+
+# --- models that decide which trades to take, one position at a time
+TAKE_SHARE, TRADE_COST = 0.6, 0.05
+TRADED = ["trades", "win", "expectancy", "total", "profit_factor", "drawdown", "auc"]
+
+
+def traded(matrix: DataFrame, model: Callable, features: list[str]) -> DataFrame:
+    """Out-of-fold rows of ``symbol``, ``n``, ``r``, ``held``, ``up``, with ``p`` and ``take``: at or above the quantile of what the fold predicts for its own training rows."""
+
+    def score(train: DataFrame, test: DataFrame) -> DataFrame:
+        own = fitted(train, model(), features)
+        limit = scored(own, train).agg(F.percentile("p", F.lit(TAKE_SHARE)).alias("v")).first()["v"]
+        return scored(own, test).withColumn("take", F.col("p") >= F.lit(limit))
+
+    return walk_forward(matrix, score)
+
+
+def walked_trades(rows: DataFrame, cost: float = TRADE_COST) -> DataFrame:
+    """Trades of rows with ``take``, in each fold and symbol one position at a time: ``fold``, ``symbol``, ``n``, ``r`` after costs."""
+    entries = written(rows.where("take AND r IS NOT NULL").select("fold", "symbol", F.concat_ws("|", "symbol", "fold").alias("key"), "n", (F.col("r") - cost).alias("r"), (F.col("n") + F.greatest("held", F.lit(1))).alias("free")), "entries")
+    return entries.join(taken(entries, "key"), ["key", "n"]).select("fold", "symbol", "n", "r")
+
+
+def trade_figures(rows: DataFrame, trades: DataFrame) -> DataFrame:
+    """By symbol: what the trades come to, and the area under the curve of all rows that were scored."""
+    w = Window.partitionBy("symbol").orderBy("n")
+    falls = trades.withColumn("eq", F.sum("r").over(w)).withColumn("fall", F.col("eq") - F.max("eq").over(w))
+    gains, losses = F.sum(F.greatest("r", F.lit(0.0))), -F.sum(F.least("r", F.lit(0.0)))
+    made = falls.groupBy("symbol").agg(F.count("*").alias("trades"), F.avg((F.col("r") > 0).cast("double")).alias("win"), F.avg("r").alias("expectancy"), F.sum("r").alias("total"), (gains / F.nullif(losses, F.lit(0.0))).alias("profit_factor"), F.min("fall").alias("drawdown"))
+    return auc(rows).join(made, "symbol", "left").select("symbol", "n", *TRADED)
+
+
+def trade_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly features with the results of both sides entered at the next bar's open."""
+    later = outcome_frame(spark, folder).select("symbol", "ts", "n", "r_l", "h_l", "r_s", "h_s")
+    known = with_stages(dataset(event_bars(spark, folder)).drop("up", "fwd"), [])
+    before = with_stages(event_bars(spark, folder), [{"entered": lead("ts")}]).select("symbol", "ts", "entered")
+    return known.join(before, ["symbol", "ts"]).drop("ts").withColumnRenamed("entered", "ts").join(later, ["symbol", "ts"])
+
+
+@query("m10_direct_model")
+def direct_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Long trades that a model of their own results takes."""
+    data = trade_matrix(spark, folder).where("r_l IS NOT NULL").selectExpr("symbol", "ts", "n", *FEATURES, "r_l AS r", "h_l AS held", "CAST(r_l > 0 AS DOUBLE) AS up")
+    rows = written(traded(folded(data), boosted, FEATURES), "scored")
+    return trade_figures(rows, walked_trades(rows))
 
 
 @query("m09_meta_labels")
 def meta_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """A second model on the rows where a simple rule trades: how often it and the rule alone are right."""
-    data = dataset(daily_bars(spark, folder)).where("abs(z20) >= 1").withColumn("side", -F.signum("z20")).withColumn("up", (F.col("side") * F.col("fwd") > 0).cast("double"))
-    scored = probabilities(*split(data), logistic(), FEATURES)
-    kept = F.col("p") >= 0.5
-    return scored.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("up").alias("rule"), F.count(F.when(kept, 1)).alias("n_kept"), F.avg(F.when(kept, F.col("up"))).alias("kept"))
+    """Trades with the trend at every bar, of which a second model takes those that it expects to win."""
+    data = trade_matrix(spark, folder).selectExpr("symbol", "ts", "n", *FEATURES, "CASE WHEN z20 > 0 THEN r_l ELSE r_s END AS r", "CASE WHEN z20 > 0 THEN h_l ELSE h_s END AS held").where("r IS NOT NULL").withColumn("up", F.expr("CAST(r > 0 AS DOUBLE)"))
+    rows = written(traded(folded(data), logistic, FEATURES), "scored")
+    return trade_figures(rows, walked_trades(rows))
+
+
+# --- what each block of features is worth
+def without_blocks(matrix: DataFrame, blocks: dict[str, list[str]], features: list[str]) -> DataFrame:
+    """By the block that is ``without``: area under the curve of the direction, and R2 of the volatility ahead against the training mean, out of fold."""
+    found = []
+    for name, out in blocks.items():
+        left = [f for f in features if f not in out]
+
+        def score(train: DataFrame, test: DataFrame, left: list[str] = left) -> DataFrame:
+            mean = train.agg(F.avg("vol_ahead")).first()[0]
+            both = probabilities(train, test, logistic(), left)
+            return scored(fitted(train, regression("vol_ahead"), left), both.withColumnRenamed("p", "p_up")).withColumn("mean", F.lit(mean))
+
+        rows = written(walk_forward(matrix, score), "scored")
+        fit = rows.agg((1 - F.sum(F.pow(F.col("vol_ahead") - F.col("p"), 2)) / F.nullif(F.sum(F.pow(F.col("vol_ahead") - F.col("mean"), 2)), F.lit(0.0))).alias("r2_volatility"))
+        own = auc(rows.withColumn("symbol", F.lit("all")), score="p_up").select("auc", "n")
+        found.append(own.crossJoin(fit).withColumn("without", F.lit(name)))
+    return reduce(DataFrame.unionByName, found)
+
+
+VOL_AHEAD = {"vol_ahead": "ln(1e-6 + stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"}
 
 
 @query("m11_ablation")
 def ablation(spark: SparkSession, folder: str) -> DataFrame:
-    """The area under the curve without each block of features, and with all."""
-    train, test = (x.cache() for x in split(dataset(daily_bars(spark, folder))))
-    blocks = {"all": [], "momentum": MOMENTUM, "shape": SHAPE, "volume": VOLUME}
-    found = [auc(probabilities(train, test, logistic(), [f for f in FEATURES if f not in out])).withColumn("without", F.lit(n)) for n, out in blocks.items()]
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return union
+    """Direction and volatility without each block of features, and with all."""
+    rows = with_stages(daily_bars(spark, folder), [*_STAGES, VOL_AHEAD]).select("symbol", "ts", *FEATURES, "vol_ahead", (F.col("fwd") > 0).cast("double").alias("up")).dropna()
+    return without_blocks(folded(rows), {"all": [], "momentum": MOMENTUM, "shape": SHAPE, "volume": VOLUME}, FEATURES)
+
+
+FLOW = ["ticks", "imbalance", "tick_rv"]
+
+
+@query("m12_flow_ablation")
+def flow_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``m11_ablation``, for what the ticks inside an hourly bar add to the bars."""
+    ticks = table(spark, folder, "events").where("value IS NOT NULL").withColumn("h", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz"))
+    moves = ticks.withColumn("r", F.log("value") - F.log(F.lag("value").over(Window.partitionBy("event_type", "h").orderBy("ts", "event_id"))))
+    flow = moves.groupBy(F.col("event_type").alias("symbol"), F.col("h").alias("ts")).agg(F.count("*").cast("double").alias("ticks"), F.coalesce((F.count_if(F.col("r") > 0) - F.count_if(F.col("r") < 0)) / F.nullif(F.count_if(F.col("r") != 0), F.lit(0)), F.lit(0.0)).alias("imbalance"), F.coalesce(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.lit(0.0)).alias("tick_rv"))
+    bars = with_stages(event_bars(spark, folder), [*_STAGES, VOL_AHEAD]).select("symbol", "ts", *FEATURES, "vol_ahead", (F.col("fwd") > 0).cast("double").alias("up"))
+    return without_blocks(folded(bars.join(flow, ["symbol", "ts"]).dropna()), {"all": [], "flow": FLOW}, [*FEATURES, *FLOW])
+
+
+COARSE = [f"c_{f}" for f in FEATURES]
+
+
+@query("m13_frame_study")
+def frame_study(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``m11_ablation``, for what bars of four hours, known only once they have closed, add to hourly ones."""
+    bars = event_bars(spark, folder)
+    coarse = with_stages(resample(bars, 240), _STAGES[:2] + ({"z20": _STAGES[2]["z20"]},)).select("symbol", (F.col("ts") + F.expr("INTERVAL 4 HOUR")).alias("ts"), *(F.col(f).alias(f"c_{f}") for f in FEATURES)).dropna()
+    own = with_stages(bars, [*_STAGES, VOL_AHEAD]).select("symbol", "ts", *FEATURES, "vol_ahead", (F.col("fwd") > 0).cast("double").alias("up"))
+    return without_blocks(folded(as_of(own, coarse, "ts", ["symbol"], COARSE).dropna()), {"all": [], "coarse": COARSE}, [*FEATURES, *COARSE])
+
+
+# --- cross-sections of a monthly panel
+XS = ["mom_12_1", "mom_6_1", "mom_3_1", "rev_1", "vol_6", "from_high"]
+_LAGS = "SELECT m, k, ln(v) AS p, ln(lag(v, 1) OVER w) AS p1, ln(lag(v, 3) OVER w) AS p3, ln(lag(v, 6) OVER w) AS p6, ln(lag(v, 12) OVER w) AS p12, ln(lead(v, 1) OVER w) AS next, max(ln(v)) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS top FROM " + _PANEL + " AS x WHERE v > 0 WINDOW w AS (PARTITION BY k ORDER BY m)"
+_RAW = f"SELECT m, k, p1 - p12 AS mom_12_1, p1 - p6 AS mom_6_1, p1 - p3 AS mom_3_1, p - p1 AS rev_1, stddev_samp(p - p1) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS vol_6, p - top AS from_high, next - p AS f FROM ({_LAGS}) AS l"
+_PCT = "(rank() OVER (PARTITION BY m ORDER BY {x}) + (count(*) OVER (PARTITION BY m, {x}) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY m) - CAST(0.5 AS DOUBLE)"
+XS_PANEL = f"SELECT m, k, {', '.join(f'{_PCT.format(x=x)} AS {x}' for x in XS)}, f - avg(f) OVER (PARTITION BY m) AS y FROM ({_RAW}) AS r WHERE {' AND '.join(f'{x} IS NOT NULL' for x in (*XS, 'f'))}"
+table_query("c04_dated_panel", f"SELECT m, k, {', '.join(f'{rounded(x)} AS {x}' for x in (*XS, 'y'))} FROM ({XS_PANEL}) AS p", None, ["orders", "customer"])
+DECILE, SIDE_COST = 0.10, 0.0005
+
+
+def decile_book(rows: DataFrame) -> DataFrame:
+    """By date: names, rank correlation of ``p`` and ``y``, and the results before and after costs of the book that is long the highest tenth and short the lowest."""
+    w = Window.partitionBy("m")
+    mid = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("m", c)) - 1) / 2
+    placed = rows.select("m", "k", "y", "p", mid("p").alias("rp"), mid("y").alias("ry"), F.row_number().over(w.orderBy(F.desc("p"), "k")).alias("hi"), F.row_number().over(w.orderBy("p", "k")).alias("lo"), F.greatest(F.floor(F.count("*").over(w) * DECILE), F.lit(1)).alias("q"))
+    weighed = placed.withColumn("w", (F.col("hi") <= F.col("q")).cast("int") * 0.5 / F.col("q") - (F.col("lo") <= F.col("q")).cast("int") * 0.5 / F.col("q"))
+    # A book's turnover is against the book of the date scored before; one row a date numbers them.
+    dates = weighed.select("m").distinct().withColumn("t", F.row_number().over(Window.orderBy("m")))
+    at = weighed.join(dates, "m")
+    before = at.select("k", (F.col("t") + 1).alias("t"), F.col("w").alias("w0"))
+    turned = at.join(before, ["k", "t"], "left").withColumn("turn", F.abs(F.col("w") - F.coalesce("w0", F.lit(0.0))))
+    out = turned.groupBy("m", "t").agg(F.count("*").alias("names"), F.corr("rp", "ry").alias("ic"), F.sum(F.col("w") * F.col("y")).alias("gross"), F.sum("turn").alias("turnover"))
+    return out.select("m", "names", "ic", "gross", (F.col("gross") - SIDE_COST * F.when(F.col("t") == 1, 1.0).otherwise(F.col("turnover"))).alias("net"))
+
+
+@query("c12_cross_section_book")
+def cross_section_book(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranked features of a panel, a model walked forward over its dates, and the decile book of what it predicts."""
+    panel = spark.sql(XS_PANEL, **{t: table(spark, folder, t) for t in ("orders", "customer")})
+    return decile_book(walk_forward(folded(panel, "m"), lambda train, test: probabilities(train, test, regression("y"), XS), embargo=1))
+
+
+BREADTH = ["above", "adv", "disp", "med", "new_high", "m5", "v20", "corr_proxy"]
+_WIDE = f"SELECT *, v20 / nullif(disp, 0) AS corr_proxy, sum(mr) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS fwd, count(mr) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS later, row_number() OVER (ORDER BY ts) AS i FROM (SELECT *, CASE WHEN count(mr) {_ROLL.format(4)} = 5 THEN sum(mr) {_ROLL.format(4)} END AS m5, CASE WHEN count(mr) {_ROLL.format(19)} = 20 THEN stddev_samp(mr) {_ROLL.format(19)} END AS v20 FROM ({_MARKET}) AS m) AS n"
+
+
+@query("c13_breadth_to_index")
+def breadth_to_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the breadth of all symbols tells the market's next five days: by fold, area under the curve and rank correlation, on every fifth day."""
+    rows = spark.sql(f"SELECT ts, {', '.join(BREADTH)}, fwd, CAST(fwd > 0 AS DOUBLE) AS up FROM ({_WIDE}) AS w WHERE later = 5 AND i % 5 = 1", days=daily_bars(spark, folder)).dropna()
+    both = walk_forward(folded(rows), lambda train, test: scored(fitted(train, regression("fwd"), BREADTH), probabilities(train, test, boosted(), BREADTH).withColumnRenamed("p", "p_up")), embargo=1)
+    named = written(both.withColumn("symbol", F.col("fold").cast("string")), "scored")
+    w = Window.partitionBy("symbol")
+    ranks = named.select("symbol", F.rank().over(w.orderBy("p")).alias("a"), F.rank().over(w.orderBy("fwd")).alias("b")).groupBy("symbol").agg(F.corr("a", "b").alias("ic"))
+    return auc(named, score="p_up").join(ranks, "symbol").select(F.col("symbol").cast("int").alias("fold"), "n", "auc", "ic")
 
 
 _SELECTED = """WITH RECURSIVE p AS (SELECT symbol, ts, r FROM (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM ({days}) AS d) AS x WHERE r IS NOT NULL),

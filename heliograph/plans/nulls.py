@@ -60,11 +60,15 @@ class Market:
         stats = spark.sql(OWN, own=self.own)
         self.stats = stats.select("symbol", "k", *(F.col(c).cast("double").alias(c) for c in stats.columns[2:]))
 
-    def walked(self, entries: DataFrame) -> DataFrame:
-        """``symbol``, ``draw``, ``n`` trades taken and their ``t``; ``entries``: symbol, draw, n, side."""
+    def trades(self, entries: DataFrame) -> DataFrame:
+        """``symbol``, ``draw``, ``n`` and ``r`` of the trades taken, one at a time in each draw; ``entries``: symbol, draw, n, side."""
         sides = entries.join(self.rows.select("symbol", "n", "r_l", "h_l", "r_s", "h_s"), ["symbol", "n"])
         known = written(sides.selectExpr("concat(symbol, '|', CAST(draw AS STRING)) AS key", "symbol", "draw", "n", "CASE WHEN side > 0 THEN r_l ELSE r_s END AS r", "n + greatest(CASE WHEN side > 0 THEN h_l ELSE h_s END, 1) AS free").where("r IS NOT NULL"), "entries")
-        return known.join(taken(known, "key"), ["key", "n"]).groupBy("symbol", "draw").agg(F.count("*").alias("n"), F.expr(T).alias("t"))
+        return known.join(taken(known, "key"), ["key", "n"]).select("symbol", "draw", "n", "r")
+
+    def walked(self, entries: DataFrame) -> DataFrame:
+        """``symbol``, ``draw``, ``n`` trades taken and their ``t``."""
+        return self.trades(entries).groupBy("symbol", "draw").agg(F.count("*").alias("n"), F.expr(T).alias("t"))
 
     def anywhere(self) -> DataFrame:
         """As many entries as the rule took, of its long share, at random rows of the pool."""
@@ -99,11 +103,15 @@ _D_STATS = OWN.replace("{own}", f"({_OWN_DUCK}) AS q").replace("{{", "{").replac
 _RANGE = f"unnest(range(0, {DRAWS}))"
 
 
-def _duck_walk(entries: str, least: int = 0) -> str:
-    """t by symbol and draw of ``entries`` (symbol, draw, n, side)."""
+def _duck_trades(entries: str) -> str:
+    """The trades taken of ``entries`` (symbol, draw, n, side)."""
     rows = f"SELECT *, row_number() OVER (PARTITION BY symbol, draw ORDER BY n) AS m FROM (SELECT e.symbol, e.draw, e.n, CASE WHEN e.side > 0 THEN r_l ELSE r_s END AS r, e.n + greatest(CASE WHEN e.side > 0 THEN h_l ELSE h_s END, 1) AS free FROM ({entries}) AS e JOIN o ON e.symbol = o.symbol AND e.n = o.n) AS x WHERE r IS NOT NULL"
-    walk = f"WITH RECURSIVE e AS MATERIALIZED ({rows}), w AS (SELECT symbol, draw, m, r, free AS f, 1 AS t FROM e WHERE m = 1 UNION ALL SELECT e.symbol, e.draw, e.m, e.r, CASE WHEN e.n >= w.f THEN e.free ELSE w.f END, CASE WHEN e.n >= w.f THEN 1 ELSE 0 END FROM w JOIN e ON e.symbol = w.symbol AND e.draw = w.draw AND e.m = w.m + 1) SELECT symbol, draw, r FROM w WHERE t = 1"
-    return f"SELECT symbol, draw, count(*) AS n, {T} AS t FROM ({walk}) AS z GROUP BY symbol, draw HAVING count(*) >= {least}"
+    return f"WITH RECURSIVE e AS MATERIALIZED ({rows}), w AS (SELECT symbol, draw, m, n, r, free AS f, 1 AS t FROM e WHERE m = 1 UNION ALL SELECT e.symbol, e.draw, e.m, e.n, e.r, CASE WHEN e.n >= w.f THEN e.free ELSE w.f END, CASE WHEN e.n >= w.f THEN 1 ELSE 0 END FROM w JOIN e ON e.symbol = w.symbol AND e.draw = w.draw AND e.m = w.m + 1) SELECT symbol, draw, n, r FROM w WHERE t = 1"
+
+
+def _duck_walk(entries: str, least: int = 0) -> str:
+    """Their t by symbol and draw."""
+    return f"SELECT symbol, draw, count(*) AS n, {T} AS t FROM ({_duck_trades(entries)}) AS z GROUP BY symbol, draw HAVING count(*) >= {least}"
 
 
 _WITH = f"WITH o AS MATERIALIZED ({_DUCK}), pool AS MATERIALIZED ({_D_POOL}), own AS MATERIALIZED ({_OWN_DUCK}), st AS MATERIALIZED ({OWN.replace('{{own}}', 'own').replace('{own}', 'own')})"
@@ -163,12 +171,84 @@ GATE = "t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1"
 _CELL = f"SELECT c.*, {rounded('t_first', 5)} AS t_first, {rounded('t_second', 5)} AS t_second, {rounded('t_dear', 5)} AS t_dear, coalesce(s.t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1, false) AS gate, coalesce(s.t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1 AND p_a < 0.05 AND (p_b IS NULL OR p_b < 0.05), false) AS passed FROM {{c}} AS c JOIN {{st}} AS s ON c.symbol = s.symbol"
 
 
-@query("i16_battery_cell", f"{_WITH} {_CELL.replace('{{c}}', '{c}').replace('{{st}}', '{st}').replace('{c}', '(' + _against('median').replace('{st}', 'st').replace('{d}', _duck_both(_D_SAME_HOURS)) + ')').replace('{st}', 'st')}")
+def _duck_cell(first: str) -> str:
+    return f"{_WITH} {_CELL.replace('{c}', '(' + _against('median').replace('{st}', 'st').replace('{d}', _duck_both(first)) + ')').replace('{st}', 'st')}"
+
+
+def cell(m: Market, first: DataFrame) -> DataFrame:
+    cells = m.spark.sql(_against("median"), st=m.stats, d=written(_both(m, first), "draws"))
+    return doubles(m.spark.sql(_CELL, c=cells, st=m.stats))
+
+
+@query("i16_battery_cell", _duck_cell(_D_ANYWHERE))
 def battery_cell(spark: SparkSession, folder: str) -> DataFrame:
-    """Two stages: t of all trades, of both halves and after dearer costs; then against entries at like hours and against dealt sides."""
+    """Two stages: t of all trades, of both halves and after dearer costs; then against random entries and against dealt sides."""
+    m = Market(spark, folder)
+    return cell(m, m.anywhere())
+
+
+@query("y09_matched_cell", _duck_cell(_D_SAME_HOURS))
+def matched_cell(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, the first null drawn at the hours of the rule's own trades."""
+    m = Market(spark, folder)
+    return cell(m, m.same_hours())
+
+
+SAMPLED = 5
+
+
+@query("i15_matched_entries", f"{_WITH} SELECT symbol, draw, n, side FROM ({_D_SAME_HOURS}) AS d WHERE draw < {SAMPLED}")
+def matched_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five draws of entries at matched hours."""
+    return Market(spark, folder).same_hours().where(f"draw < {SAMPLED}")
+
+
+# --- placebo signals beside the rule
+PLACEBO_SIGNALS = 40
+_HALVES = f"SELECT symbol, draw, count(*) AS k, {T} AS t, avg(CASE WHEN i <= floor(m / 2) THEN r END) AS er_first, avg(CASE WHEN i > floor(m / 2) THEN r END) AS er_second, avg(r - {COST_STRESS}) / nullif(stddev_samp(r), 0) * sqrt(count(*)) AS t_dear FROM (SELECT *, row_number() OVER (PARTITION BY symbol, draw ORDER BY n) AS i, count(*) OVER (PARTITION BY symbol, draw) AS m FROM {{trades}}) AS k GROUP BY symbol, draw"
+_D_PLACEBO = f"SELECT * FROM ({_D_ANYWHERE}) AS y0 WHERE draw < {PLACEBO_SIGNALS}"
+_D_OWN_AS_TRADES = "SELECT symbol, -1 AS draw, n, r FROM own"
+_D_ALL_TRADES = f"(SELECT * FROM ({_D_OWN_AS_TRADES}) AS a UNION ALL SELECT symbol, draw, n, r FROM ({_duck_trades(_D_PLACEBO)}) AS b) AS u"
+
+
+def all_trades(m: Market) -> DataFrame:
+    """The rule's own trades (draw -1) and those of the placebo signals."""
+    own = m.own.select("symbol", F.lit(-1).alias("draw"), "n", "r")
+    return own.unionByName(m.trades(m.anywhere().where(F.col("draw") < PLACEBO_SIGNALS)))
+
+
+_SHOW_CELLS = f"SELECT symbol, draw, k, {rounded('t', 5)} AS t, {rounded('er_first')} AS er_first, {rounded('er_second')} AS er_second, {rounded('t_dear', 5)} AS t_dear FROM {{cells}}"
+
+
+@query("i17_placebo_cells", f"{_WITH} {_SHOW_CELLS.replace('{cells}', '(' + _HALVES.replace('{trades}', _D_ALL_TRADES) + ') AS c')} WHERE draw >= 0")
+def placebo_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals without meaning: as many entries as the rule's, of its long share; with the first stage's figures."""
+    return doubles(spark.sql(_SHOW_CELLS + " WHERE draw >= 0", cells=spark.sql(_HALVES, trades=all_trades(Market(spark, folder)))))
+
+
+#: Of cells whose t is above zero (selected), those that also gain in both halves and after dearer costs (passed).
+_KINDS = "SELECT CASE WHEN draw < 0 THEN 'real' ELSE 'placebo' END AS kind, CASE WHEN t > 0 THEN 1 ELSE 0 END AS selected, CASE WHEN t > 0 AND er_first > 0 AND er_second > 0 AND t_dear > 0 THEN 1 ELSE 0 END AS passed FROM {cells}"
+_SURVIVED = f"SELECT kind, count(*) AS cells, CAST(sum(selected) AS BIGINT) AS selected, CAST(sum(passed) AS BIGINT) AS passed, {rounded('sum(passed) / nullif(CAST(sum(selected) AS DOUBLE), 0)')} AS pass_share FROM ({_KINDS}) AS k GROUP BY kind"
+
+
+@query("a25_survival_counts", f"{_WITH} {_SURVIVED.replace('{cells}', '(' + _HALVES.replace('{trades}', _D_ALL_TRADES) + ') AS c')}")
+def survival_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """At equal selection, how often the rule and placebo signals pass the rest."""
+    return doubles(spark.sql(_SURVIVED, cells=spark.sql(_HALVES, trades=all_trades(Market(spark, folder)))))
+
+
+# --- the rule, its inverse, and chance
+PLACEBOS = 20
+_THREE = f"SELECT o.symbol AS symbol, n, {rounded('er')} AS er, {rounded('er_first')} AS er_first, {rounded('er_second')} AS er_second, n_inverse, {rounded('er_inverse')} AS er_inverse, {rounded('er_placebo')} AS er_placebo, {rounded('beaten')} AS beaten FROM (SELECT symbol, count(*) AS n, avg(r) AS er, avg(CASE WHEN i <= floor(m / 2) THEN r END) AS er_first, avg(CASE WHEN i > floor(m / 2) THEN r END) AS er_second FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n) AS i, count(*) OVER (PARTITION BY symbol) AS m FROM {{own}}) AS k GROUP BY symbol) AS o LEFT JOIN (SELECT symbol, count(*) AS n_inverse, avg(r) AS er_inverse FROM {{inverse}} GROUP BY symbol) AS v ON o.symbol = v.symbol LEFT JOIN (SELECT d.symbol AS symbol, avg(d.e) AS er_placebo, avg(CASE WHEN d.e >= w.e THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS beaten FROM (SELECT symbol, draw, avg(r) AS e FROM {{chance}} GROUP BY symbol, draw) AS d JOIN (SELECT symbol, avg(r) AS e FROM {{own}} GROUP BY symbol) AS w ON d.symbol = w.symbol GROUP BY d.symbol) AS c ON o.symbol = c.symbol"
+_D_INVERSE = "SELECT symbol, 0 AS draw, n, -CAST(signal AS INTEGER) AS side FROM o WHERE signal <> 0"
+
+
+@query("x15_real_inverse_placebo", f"{_WITH} {_THREE.replace('{own}', 'own').replace('{inverse}', '(' + _duck_trades(_D_INVERSE) + ') AS iv').replace('{chance}', '(' + _duck_trades(f'SELECT * FROM ({_D_ANYWHERE}) AS y0 WHERE draw < {PLACEBOS}') + ') AS ch')}")
+def real_inverse_placebo(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule's mean result, in both halves, that of the other side, and that of 20 draws of random entries; each one position at a time."""
     m = Market(spark, folder)
-    cells = spark.sql(_against("median"), st=m.stats, d=written(_both(m, m.same_hours()), "draws"))
-    return doubles(spark.sql(_CELL.replace("{{", "{").replace("}}", "}"), c=cells, st=m.stats))
+    inverse = m.trades(m.rows.where("signal <> 0").selectExpr("symbol", "0 AS draw", "n", "-CAST(signal AS INT) AS side"))
+    return doubles(spark.sql(_THREE, own=m.own, inverse=inverse, chance=m.trades(m.anywhere().where(F.col("draw") < PLACEBOS))))
 
 
 # --- block bootstrap: a block of days is a sum, its highest and lowest running sum, and its largest fall

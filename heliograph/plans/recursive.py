@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.linear import GAIN, LOSS, directional_index, ema, fading, relative_strength, seeded, wilder
-from heliograph.functions.recursive import adaptive, parabolic, rule_walk, rule_walk_sides, trend_bands
+from heliograph.functions.recursive import adaptive, parabolic, reversal_literal, rule_walk, rule_walk_sides, trend_bands
 from heliograph.functions.series import following, lag, lead, prior, rolling, true_range
 from heliograph.operators.scan import Recursion, scan
 from heliograph.operators.staged import Stage, staged_sql, with_stages
@@ -125,6 +125,17 @@ walk("x03_rule_walk", _WALK, 2.5, 30)
 #: In after a close low in the day's range, out after one high in it, decided at the next open.
 _REVERSAL = ({**TR, "ibs": "(close - low) / nullif(high - low, 0)"}, *fading({"atr_w": wilder("tr", 14)}), {"en": f"coalesce({lag('ibs')} < 0.2, false)", "ex": f"coalesce({lag('ibs')} > 0.8, false)", "a": lag("atr_w", 2)})
 walk("g33_reversal_walk", _REVERSAL, 2.5, 30, daily=True)
+_LITERAL = (*_REVERSAL, {"after": lead("open")})
+_IN = "(s.p IS NOT NULL)"
+_STOPPED, _LEFT = f"({_IN} AND b.low <= s.q - s.k)", f"({_IN} AND (b.low <= s.q - s.k OR coalesce(b.ibs > 0.8, false) OR b.i - s.p >= 30))"
+_INTO = f"(({_IN} IS FALSE OR {_LEFT}) AND coalesce(b.en, false) AND coalesce(b.a, 0) > 0)"
+_ATONCE = f"({_INTO} AND b.low <= b.open - 2.5 * b.a)"
+recursion(
+    "g33_reversal_literal", _LITERAL, ["open", "low", "close", "ibs", "en", "a", "after"], "closed double, same_bar double", reversal_literal(), {"p": "CAST(NULL AS BIGINT)", "q": _ZERO, "k": _ZERO, "x": "CAST(NULL AS DOUBLE)", "y": "CAST(NULL AS DOUBLE)"},
+    {"p": f"CASE WHEN {_ATONCE} THEN NULL WHEN {_INTO} THEN b.i WHEN {_LEFT} THEN NULL ELSE s.p END", "q": f"CASE WHEN {_INTO} THEN b.open ELSE s.q END", "k": f"CASE WHEN {_INTO} THEN 2.5 * b.a ELSE s.k END",
+     "x": f"CASE WHEN {_STOPPED} THEN (least(b.open, s.q - s.k) - s.q) / s.k WHEN {_LEFT} THEN (coalesce(b.after, b.close) - s.q) / s.k END", "y": f"CASE WHEN {_ATONCE} THEN CAST(-1 AS DOUBLE) END"},
+    {"closed": "x", "same_bar": "y"}, daily=True,
+)
 walk("x02_daily_walk", ({**TR, "low5": f"min(low) {prior(5)}", "top": f"max(close) {prior(5)}"}, *fading({"atr_w": wilder("tr", 10)}), {"en": lag("coalesce(close < low5, false)"), "ex": lag("coalesce(close > top, false)"), "a": lag("atr_w", 2)}), 3.0, 20, daily=True)
 
 

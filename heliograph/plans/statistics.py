@@ -42,10 +42,6 @@ table_query("i04_ic_summary_quarters", f"SELECT symbol, n_obs, n_blocks, round(i
 table_query("i05_lag_choice", f"SELECT DISTINCT p_size AS k, CAST(least(4, greatest(1, ceil(p_size / CAST({BLOCK} AS DOUBLE)))) AS INT) AS nw_lag FROM {{part}}", None, ["part"])
 table_query("p18_ic_gate", f"SELECT symbol, CASE WHEN abs(ic_mean) >= 0.01 AND abs(t_stat) >= 0.5 AND same_sign >= 2 AND n_obs >= 160 THEN 1 ELSE 0 END AS passed FROM ({_IC}) AS i", None, ["bars"])
 table_query("p17_edge_to_cost", f"SELECT i.symbol AS symbol, round(abs(ic_mean) * sigma, 6) AS edge_bps, round(abs(ic_mean) * sigma / 12.0, 6) AS edge_to_cost, round(abs(ic_mean) * sigma / 7.0, 6) AS edge_to_cost_no_slip FROM ({_IC}) AS i JOIN (SELECT symbol, 10000 * stddev_pop(f) AS sigma FROM ({_S}) AS a GROUP BY symbol) AS d ON i.symbol = d.symbol", None, ["bars"])
-#: The same signals against returns that are turned round by fixed shares of the series.
-_SHIFTS = "(SELECT a.symbol, a.rn, a.s, b.f, sh FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM ({s}) AS x) AS a CROSS JOIN (VALUES (0.2), (0.35), (0.5), (0.65), (0.8)) AS v(sh) JOIN ({s}) AS b ON a.symbol = b.symbol AND b.rn = (a.rn + CAST(floor(CAST(sh AS DOUBLE) * n) AS BIGINT)) % n)".format(s=_S)
-_PLACEBO = f"SELECT symbol, sh, avg(z) AS ic FROM (SELECT symbol, sh, (rs - avg(rs) OVER (PARTITION BY symbol, sh)) / nullif(stddev_pop(rs) OVER (PARTITION BY symbol, sh), 0) * (rf - avg(rf) OVER (PARTITION BY symbol, sh)) / nullif(stddev_pop(rf) OVER (PARTITION BY symbol, sh), 0) AS z FROM (SELECT symbol, sh, {_MID.format(p='symbol, sh', x='s')} AS rs, {_MID.format(p='symbol, sh', x='f')} AS rf FROM {_SHIFTS} AS p WHERE s IS NOT NULL AND f IS NOT NULL) AS r) AS z GROUP BY symbol, sh"
-table_query("i07_shift_placebo", f"SELECT symbol, round(avg(abs(ic)), 6) AS placebo_abs_ic, count(*) AS shifts FROM ({_PLACEBO}) AS p GROUP BY symbol", None, ["bars"])
 
 # --- p-values: Student's distribution by its finite series for whole degrees of freedom
 _T = "SELECT l_partkey, count(*) - 1 AS df, avg(l_discount - 0.05) / nullif(stddev_samp(l_discount), 0) * sqrt(count(*)) AS t FROM {lineitem} GROUP BY l_partkey HAVING count(*) >= 3 AND stddev_samp(l_discount) > 0"
@@ -124,7 +120,6 @@ table_query("f12_equal_risk", *(f"SELECT symbol, round(sum(r) / {y}, 5) + 0.0 AS
 _LEGS = ("AF", "AO", "NF", "NO", "RF", "RO")
 _MATRIX = "SELECT ts, " + ", ".join(f"coalesce(sum(CASE WHEN symbol = '{s}' THEN r END), 0) AS {s.lower()}" for s in _LEGS) + f" FROM {_PNL} AS p GROUP BY ts"
 table_query("f13_daily_matrix", "SELECT ts, " + ", ".join(f"round({s.lower()}, 6) + 0.0 AS {s.lower()}" for s in _LEGS) + f" FROM ({_MATRIX}) AS m", None, ["days"])
-table_query("f15_swap_test", f"WITH b AS (SELECT 'book' AS which, ts, af + nf + rf AS r FROM ({_MATRIX}) AS m UNION ALL SELECT 'swapped', ts, af + nf + ro FROM ({_MATRIX}) AS m) SELECT which, round(sum(r), 5) + 0.0 AS total, round(max(dd), 5) + 0.0 AS max_dd, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0), 5) + 0.0 AS sharpe FROM (SELECT *, max(cum) OVER (PARTITION BY which ORDER BY ts) - cum AS dd FROM (SELECT *, sum(r) OVER (PARTITION BY which ORDER BY ts) AS cum FROM b) AS c) AS d GROUP BY which", None, ["days"])
 table_query("y23_book_mixes", f"SELECT mix, round(sum(r), 5) + 0.0 AS total, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0), 5) + 0.0 AS sharpe, round(min(r), 6) + 0.0 AS worst FROM (SELECT 'all' AS mix, (af + ao + nf + no + rf + ro) / 6 AS r FROM ({_MATRIX}) AS a UNION ALL SELECT 'without_ao', (af + nf + no + rf + ro) / 5 FROM ({_MATRIX}) AS b UNION ALL SELECT 'filled', (af + nf + rf) / 3 FROM ({_MATRIX}) AS c) AS m GROUP BY mix", None, ["days"])
 _ACTIVE = "avg(CASE WHEN r <> 0 THEN r END) / nullif(stddev_samp(CASE WHEN r <> 0 THEN r END), 0) * sqrt(CAST(252 AS DOUBLE))"
 #: A year's result at the most risk that neither a day's loss of 5 % nor a fall of 10 % forbids.
@@ -146,7 +141,6 @@ def net_of_cost(units: str, out: str, days: str, duck: bool) -> str:
 
 
 table_query("y22_net_of_cost", *(net_of_cost(u, o, d, k) for u, o, d, k in zip(_UNITS, _OUT, ("datediff(max(out_day), min(day))", "datediff('day', min(day), max(out_day))"), (False, True), strict=True)), ["lineitem"])
-table_query("f14_net_series", f"SELECT symbol, ts, round(r - CASE WHEN sign(r) <> coalesce(sign(p), 0) THEN 0.0007 ELSE 0.0001 END, 6) + 0.0 AS net FROM (SELECT symbol, ts, r, lag(r) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM {_PNL} AS p) AS q WHERE r IS NOT NULL", None, ["days"])
 _C05 = "SELECT m, k, CASE WHEN hi <= q THEN CAST(0.5 AS DOUBLE) / q WHEN lo <= q THEN CAST(-0.5 AS DOUBLE) / q ELSE 0 END AS w, v FROM (SELECT *, greatest(CAST(floor(n * CAST(0.2 AS DOUBLE) + 0.5) AS INT), 2) AS q FROM (SELECT m, k, v, count(*) OVER (PARTITION BY m) AS n, row_number() OVER (PARTITION BY m ORDER BY v DESC, k) AS hi, row_number() OVER (PARTITION BY m ORDER BY v, k) AS lo FROM {p} AS p) AS r) AS s"
 _PANEL = "(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, c_nationkey AS k, sum(o_totalprice) AS v FROM {orders} AS o JOIN {customer} AS c ON o_custkey = c_custkey GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE), c_nationkey)"
 _QW = _C05.replace("{p}", _PANEL)
@@ -170,6 +164,3 @@ _TRIM = tuple(f"SELECT symbol, count(*) AS n, round(avg(r), 6) + 0.0 AS er, roun
 table_query("a15_risk_metrics_with_streaks", *(f"SELECT m.*, longest_win, longest_loss FROM ({m}) AS m JOIN ({s}) AS s ON m.symbol = s.symbol" for m, s in zip(_TRIM, _STREAKS, strict=True)), ["bars"])
 table_query("p19_result_gate", *(f"SELECT symbol, CASE WHEN avg(r) >= 0.05 AND count(*) >= 10 AND sum(CASE WHEN r > 0 THEN r ELSE 0 END) >= 1.05 * sum(CASE WHEN r <= 0 THEN -r ELSE 0 END) THEN 1 ELSE 0 END AS passed FROM ({t}) AS t GROUP BY symbol" for t in OPENING), ["bars"])
 table_query("n09_walk_forward_report", f"SELECT symbol, fold, count_if(rn >= fold * fs AND rn < (fold + 1) * fs) AS n_test, round(avg(CASE WHEN rn < fold * fs THEN r END) / nullif(stddev_pop(CASE WHEN rn < fold * fs THEN r END), 0) * sqrt(252.0), 5) + 0.0 AS train_sharpe, round(avg(CASE WHEN rn >= fold * fs AND rn < (fold + 1) * fs THEN r END) / nullif(stddev_pop(CASE WHEN rn >= fold * fs AND rn < (fold + 1) * fs THEN r END), 0) * sqrt(252.0), 5) + 0.0 AS test_sharpe FROM (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, floor(count(*) OVER (PARTITION BY symbol) / 5) AS fs FROM {_PNL} AS p WHERE r IS NOT NULL) AS q CROSS JOIN (VALUES (1), (2), (3), (4)) AS f(fold) GROUP BY symbol, fold", None, ["days"])
-#: A signal's rank among its last occurrences, rows without it left out.
-_OCC = "SELECT symbol, ts, x, {lst} OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS l FROM (SELECT symbol, ts, close - open AS x FROM {{bars}} WHERE hour(ts) BETWEEN 8 AND 15 AND close <> open) AS o"
-table_query("w15_occurrence_rank", f"SELECT symbol, ts, round((size(filter(l, v -> v < x)) + (size(filter(l, v -> v = x)) + 1) / 2) / size(l), 6) AS rank FROM ({_OCC.format(lst='collect_list(x)').replace('{{', '{').replace('}}', '}')}) AS r WHERE size(l) >= 25", f"SELECT symbol, ts, round((len(list_filter(l, lambda v: v < x)) + (len(list_filter(l, lambda v: v = x)) + 1) / 2) / len(l), 6) AS rank FROM ({_OCC.format(lst='list(x)').replace('{{', '{').replace('}}', '}')}) AS r WHERE len(l) >= 25", ["bars"])

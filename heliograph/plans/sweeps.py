@@ -119,6 +119,23 @@ _CATALOGUE = {f"orb_break_{k}": (f"pos >= {k} AND close > orh{k}", f"pos >= {k}
     "drift_follow": ("pos > 2 AND rs > 0.5", "pos > 2 AND rs < -0.5"), "drift_fade": ("pos > 2 AND rs < -0.5", "pos > 2 AND rs > 0.5"), "first_follow": ("pos = 1 AND up1 = 1", "pos = 1 AND up1 = 0"), "first_fade": ("pos = 1 AND up1 = 0", "pos = 1 AND up1 = 1"), "pivot_side": ("close > p", "close < p"), "pivot_break": ("close > 2 * p - pdl", "close < 2 * p - pdh"), "pivot_fade": ("close < 2 * p - pdh", "close > 2 * p - pdl"),
 }
 series("g42_session_rules", {k: f"CAST(CASE WHEN {u} THEN 1 WHEN {d} THEN -1 ELSE 0 END AS INT)" for k, (u, d) in _CATALOGUE.items()}, *_LEVELS, where="hour(ts) BETWEEN 0 AND 23")
-#: The day's first close beyond its opening range, if that range is narrow against those of the days before.
-_COIL = [*_LEVELS[:-2], {"w": "CASE WHEN pos = 3 THEN (orh3 - orl3) / nullif(atr, 0) END"}, {"wd": f"max(w) {_D}"}, {"rank_of": "CASE WHEN pos = 0 THEN wd END"}, {"usual": "avg(rank_of) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 240 PRECEDING AND CURRENT ROW)"}, {"s": "CASE WHEN pos >= 3 AND wd < usual AND close > orh3 THEN 1 WHEN pos >= 3 AND wd < usual AND close < orl3 THEN -1 ELSE 0 END"}, {"first": f"min(CASE WHEN s <> 0 THEN pos END) {_D}"}]
-series("g43_coiled_range_breakout", {"signal": "CAST(CASE WHEN pos = first THEN s ELSE 0 END AS INT)"}, *_COIL)
+SESSIONS, LEAST_SESSIONS, COIL, ER_ROWS, ER_LEAST = 60, 5, 0.5, 100, 0.3
+
+
+def coiled(duck: bool) -> list[dict[str, str]]:
+    """The day's first close beyond its opening range, if that range, in ranges of a bar, ranks low among the last sessions' and the way to that bar was straight."""
+    lst, size = ("list", "len") if duck else ("collect_list", "size")
+    only = (lambda l, e: f"len(list_filter({l}, lambda v: {e}))") if duck else (lambda l, e: f"size(filter({l}, v -> {e}))")
+    last = f"ws[-{SESSIONS}:]" if duck else f"slice(ws, greatest(size(ws) - {SESSIONS - 1}, 1), {SESSIONS})"
+    values = f"{lst}(w) {'FILTER (w IS NOT NULL) ' if duck else ''}OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {24 * 100 - 1} PRECEDING AND CURRENT ROW)"
+    rank = lambda l, x: f"({only(l, f'v < {x}')} + ({only(l, f'v = {x}')} + 1) / CAST(2 AS DOUBLE)) / {size}({l})"
+    return [
+        *_LEVELS[:-2], {"w": "CASE WHEN pos = 3 THEN (orh3 - orl3) / nullif(atr, 0) END", "way": f"abs(close - {lag('close')})", "net": f"abs(close - {lag('close', 10)})"},
+        {"ws": f"CASE WHEN w IS NOT NULL THEN {values} END", "er": f"net / nullif(sum(way) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0)"},
+        {"l60": last, "ers": f"{lst}(er) {'FILTER (er IS NOT NULL) ' if duck else ''}OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {ER_ROWS - 1} PRECEDING AND CURRENT ROW)"},
+        {"own_rank": f"CASE WHEN w IS NOT NULL AND {size}(l60) >= {LEAST_SESSIONS} THEN {rank('l60', 'w')} END", "er_rank": f"CASE WHEN er IS NOT NULL THEN {rank('ers', 'er')} END"},
+        {"rank_of": f"max(own_rank) {_D}"}, {"s": f"CASE WHEN pos >= 3 AND rank_of <= {COIL} AND er_rank >= {ER_LEAST} AND close > orh3 THEN 1 WHEN pos >= 3 AND rank_of <= {COIL} AND er_rank >= {ER_LEAST} AND close < orl3 THEN -1 ELSE 0 END"}, {"first": f"min(CASE WHEN s <> 0 THEN pos END) {_D}"},
+    ]
+
+
+series("g43_coiled_range_breakout", {"signal": "CAST(CASE WHEN pos = first THEN s ELSE 0 END AS INT)"}, *coiled(False), duck=coiled(True))

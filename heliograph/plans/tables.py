@@ -32,7 +32,6 @@ table_query("t24_swap_nights", "SELECT o_orderkey, CAST(aggregate(filter(sequenc
 # --- sources, cleaning, sets
 table_query("s01_keep_last_per_key", "SELECT event_type, hour_ts, event_id, value FROM (SELECT *, date_trunc('hour', ts) AS hour_ts, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS e WHERE rn = 1", None, ["events"])
 table_query("s12_keep_first_per_key", "SELECT event_type, hour_ts, event_id, value FROM (SELECT *, date_trunc('hour', ts) AS hour_ts, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM {events}) AS e WHERE rn = 1", None, ["events"])
-table_query("s09_trim_sparse_months", "WITH m AS (SELECT symbol, date_trunc('month', ts) AS mon, count(*) AS n FROM {days} GROUP BY symbol, date_trunc('month', ts)), b AS (SELECT *, CASE WHEN n < 0.9 * avg(n) OVER (PARTITION BY symbol) THEN 1 ELSE 0 END AS bad FROM m), c AS (SELECT *, avg(bad) OVER (PARTITION BY symbol ORDER BY mon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS share FROM b), k AS (SELECT symbol, max(CASE WHEN share >= 0.5 THEN mon END) AS cut FROM c GROUP BY symbol) SELECT d.symbol, count(*) AS n FROM {days} AS d JOIN k ON d.symbol = k.symbol WHERE k.cut IS NULL OR date_trunc('month', d.ts) > k.cut GROUP BY d.symbol", None, ["days"])
 table_query("s11_cost_row", "SELECT event_type, median(value) AS spread, round(10000 * median(value) / avg(value), 6) + 0.0 AS bps, avg(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS small_share FROM {events} WHERE value > 0 AND hour(ts) BETWEEN 7 AND 19 GROUP BY event_type", None, ["events"])
 table_query("s16_panel", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, n_name, round(sum(o_totalprice), 2) AS revenue, count(*) AS n FROM {orders} AS o JOIN {customer} AS c ON o_custkey = c_custkey JOIN {nation} AS n ON c_nationkey = n_nationkey GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE), n_name", None, ["orders", "customer", "nation"])
 table_query("s35_ragged_parse", "SELECT event_id, get(parts, 0) AS kind, try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS number FROM (SELECT event_id, props, split(event_type, '_') AS parts FROM {events}) AS e", "SELECT event_id, parts[1] AS kind, try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS number FROM (SELECT event_id, props, string_split(event_type, '_') AS parts FROM events) AS e", ["events"])
@@ -65,7 +64,7 @@ table_query("j21_reconcile", "SELECT l_orderkey, l_linenumber FROM {lineitem} AS
 # --- aggregates
 _PNL = "(SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM {days})"
 table_query("a02_four_hour_bars", "SELECT symbol, bin, min_by(open, ts) AS open, max(high) AS high, min(low) AS low, max_by(close, ts) AS close, sum(volume) AS volume FROM (SELECT *, CAST(floor(hour(ts) / 4) AS INT) AS q, date_trunc('day', ts) AS d, date_trunc('day', ts) + make_dt_interval(0, CAST(floor(hour(ts) / 4) AS INT) * 4) AS bin FROM {bars}) AS b GROUP BY symbol, bin", "SELECT symbol, bin, min_by(open, ts) AS open, max(high) AS high, min(low) AS low, max_by(close, ts) AS close, sum(volume) AS volume FROM (SELECT *, time_bucket(INTERVAL 4 HOUR, ts) AS bin FROM {bars}) AS b GROUP BY symbol, bin", ["bars"])
-table_query("a01_tick_microstructure", "SELECT event_type, h, count(*) AS ticks, round(sqrt(sum(r * r)), 6) + 0.0 AS rv, round((count_if(r > 0) - count_if(r < 0)) / nullif(CAST(count_if(r <> 0) AS DOUBLE), 0), 6) + 0.0 AS imbalance FROM (SELECT event_type, date_trunc('hour', ts) AS h, ln(value) - ln(lag(value) OVER (PARTITION BY event_type ORDER BY ts)) AS r FROM {events}) AS e GROUP BY event_type, h", None, ["events"])
+table_query("a01_tick_microstructure", "SELECT event_type, h, count(*) AS ticks, round(sqrt(sum(r * r)), 6) + 0.0 AS rv, round((count_if(r > 0) - count_if(r < 0)) / nullif(CAST(count_if(r <> 0) AS DOUBLE), 0), 6) + 0.0 AS imbalance FROM (SELECT event_type, date_trunc('hour', ts) AS h, ln(value) - ln(lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS r FROM {events}) AS e GROUP BY event_type, h", None, ["events"])
 table_query("a05_monthly_matrix", "SELECT m, " + ", ".join(f"round(coalesce(sum(CASE WHEN symbol = '{s}' THEN r END), 0), 6) + 0.0 AS {s.lower()}" for s in ("AF", "AO", "NF", "NO", "RF", "RO")) + f" FROM (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS m, r FROM {_PNL} AS p) AS q GROUP BY m", None, ["days"])
 table_query("a07_positive_years", f"SELECT symbol, count_if(s > 0) AS positive, count(*) AS years FROM (SELECT symbol, year(ts) AS y, sum(r) AS s FROM {_PNL} AS p GROUP BY symbol, year(ts)) AS q GROUP BY symbol", None, ["days"])
 table_query("a08_trade_metrics", f"SELECT symbol, count(r) AS n, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS win_rate, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(-sum(CASE WHEN r < 0 THEN r ELSE 0 END), 0), 6) AS profit_factor, round(avg(r), 6) + 0.0 AS expectancy, round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r < 0 THEN r END), 6) + 0.0 AS avg_loss FROM {_PNL} AS p WHERE r IS NOT NULL GROUP BY symbol", None, ["days"])
@@ -106,7 +105,6 @@ _BLOCKS = "SELECT symbol, blk, avg(zs * zf) AS ic FROM (SELECT symbol, blk, (rs
 table_query("i01_block_ic", f"SELECT symbol, blk, round(CAST(ic AS DOUBLE), 6) + 0.0 AS ic FROM ({_BLOCKS}) AS q", None, ["bars"])
 table_query("i03_newey_west_t", f"SELECT symbol, round(CAST(mu / sqrt((g0 + 2 * 0.5 * g1) / n) AS DOUBLE), 6) + 0.0 AS t FROM (SELECT symbol, count(*) AS n, max(mu) AS mu, avg(d * d) AS g0, sum(d * coalesce(p, 0)) / count(*) AS g1 FROM (SELECT symbol, mu, d, lag(d) OVER (PARTITION BY symbol ORDER BY blk) AS p FROM (SELECT symbol, blk, avg(ic) OVER (PARTITION BY symbol) AS mu, ic - avg(ic) OVER (PARTITION BY symbol) AS d FROM ({_BLOCKS}) AS q) AS r) AS s GROUP BY symbol) AS t WHERE g0 + g1 > 0", None, ["bars"])
 table_query("i04_ic_summary", f"SELECT symbol, count(*) AS n, round(CAST(avg(ic) AS DOUBLE), 6) + 0.0 AS mean_ic, round(CAST(avg(ic) / stddev_samp(ic) AS DOUBLE), 6) + 0.0 AS ir, count_if(sign(ic) = sign(mu)) AS same_sign FROM (SELECT symbol, blk, ic, avg(ic) OVER (PARTITION BY symbol) AS mu FROM ({_BLOCKS}) AS q) AS r GROUP BY symbol", None, ["bars"])
-table_query("i09_false_discovery", "SELECT l_partkey, round(min(q) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS qvalue FROM (SELECT l_partkey, rk, least(1.0, p * m / rk) AS q FROM (SELECT l_partkey, p, row_number() OVER (ORDER BY p, l_partkey) AS rk, count(*) OVER () AS m FROM (SELECT l_partkey, exp(-abs(avg(l_discount - 0.05)) * 100) AS p FROM {lineitem} GROUP BY l_partkey) AS a) AS b) AS c", None, ["lineitem"])
 table_query("i18_r_squared", "SELECT l_returnflag, round(1 - sum(pow(l_extendedprice - 1000 * l_quantity, 2)) / sum(pow(l_extendedprice - mu, 2)), 6) + 0.0 AS r2 FROM (SELECT l_returnflag, l_extendedprice, l_quantity, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS mu FROM {lineitem}) AS l GROUP BY l_returnflag", None, ["lineitem"])
 table_query("i20_combined_sharpe", "SELECT n, round(s1 * sqrt(n / (1 + (n - 1) * rho)), 6) AS sharpe FROM (SELECT CAST(p_size AS DOUBLE) AS n, 0.5 AS s1, 0.3 AS rho FROM {part} GROUP BY p_size) AS p", None, ["part"])
 table_query("m01_walk_forward_folds", "SELECT symbol, fold, count_if(rn < fold * fs) AS train, count_if(rn >= fold * fs + 24 AND rn < (fold + 1) * fs) AS test FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, CAST(floor(count(*) OVER (PARTITION BY symbol) / 6) AS BIGINT) AS fs FROM {bars}) AS b CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS f(fold) GROUP BY symbol, fold", None, ["bars"])
@@ -115,16 +113,13 @@ table_query("m06_train_quantile_threshold", "SELECT e.event_type, round(q, 6) AS
 
 # --- portfolio
 table_query("f02_risk_parity", f"SELECT ts, round(sum(w * coalesce(r, 0)), 6) + 0.0 AS r FROM {_PNL} AS p JOIN (SELECT symbol, i / sum(i) OVER () AS w FROM (SELECT symbol, 1 / stddev_pop(r) AS i FROM {_PNL} AS a GROUP BY symbol) AS b) AS w ON p.symbol = w.symbol GROUP BY ts", None, ["days"])
-table_query("f03_account_rules", f"SELECT symbol, min(CASE WHEN eq <= 0.9 THEN n END) AS failed_at, min(CASE WHEN eq >= 1.1 THEN n END) AS passed_at FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, 1 + sum(coalesce(greatest(-0.02, least(0.02, r)), 0) / 5) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM {_PNL} AS p) AS e GROUP BY symbol", None, ["days"])
 table_query("f04_best_day_share", f"SELECT symbol, round(max(r) / nullif(sum(CASE WHEN r > 0 THEN r END), 0), 6) AS share FROM {_PNL} AS p GROUP BY symbol", None, ["days"])
 table_query("f06_lot_sizing", "SELECT o_orderkey, greatest(0.01, floor(500 / (o_totalprice / 1000) / 0.01) * 0.01) AS lots FROM {orders} WHERE o_totalprice > 0", "SELECT o_orderkey, greatest(CAST(0.01 AS DOUBLE), floor(500 / (o_totalprice / 1000) / CAST(0.01 AS DOUBLE)) * CAST(0.01 AS DOUBLE)) AS lots FROM orders WHERE o_totalprice > 0", ["orders"])
 table_query("f10_book_weights", f"SELECT ts, round(sum(w * coalesce(r, 0)), 6) + 0.0 AS book FROM {_PNL} AS p JOIN (VALUES ('AF', 0.5), ('RF', 0.3), ('NO', 0.2)) AS w(s, w) ON symbol = s GROUP BY ts", None, ["days"])
 table_query("f11_weight_grid", f"WITH g AS (SELECT a.x AS wa, b.x AS wb FROM (VALUES (0), (1), (2)) AS a(x) CROSS JOIN (VALUES (0), (1), (2)) AS b(x) WHERE a.x + b.x > 0), d AS (SELECT ts, coalesce(sum(CASE WHEN symbol = 'AF' THEN r END), 0) AS ra, coalesce(sum(CASE WHEN symbol = 'RF' THEN r END), 0) AS rb FROM {_PNL} AS p GROUP BY ts) SELECT wa, wb, round(sum(wa * ra + wb * rb), 6) + 0.0 AS total, round(avg(wa * ra + wb * rb) / stddev_pop(wa * ra + wb * rb), 6) + 0.0 AS sharpe FROM g CROSS JOIN d GROUP BY wa, wb", None, ["days"])
 
 # --- text and JSON
-table_query("z03_weighted_terms", "SELECT doc_id, 2 * least(size(split(lower(text), 'tion')) - 1, 3) + least(size(split(lower(text), 'ing')) - 1, 3) AS score FROM {documents}", "SELECT doc_id, CAST(2 * least(len(string_split(lower(text), 'tion')) - 1, 3) + least(len(string_split(lower(text), 'ing')) - 1, 3) AS INT) AS score FROM documents", ["documents"])
 table_query("z04_best_with_union", "SELECT user_id, max_by(event_id, value * 1000000 + event_id) AS best, array_join(array_sort(collect_set(event_type)), ',') AS kinds FROM {events} GROUP BY user_id", "SELECT user_id, max_by(event_id, value * 1000000 + event_id) AS best, list_aggregate(list_sort(list_distinct(list(event_type))), 'string_agg', ',') AS kinds FROM events GROUP BY user_id", ["events"])
-table_query("z06_keyword_triage", "SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'first' ELSE 'second' END AS family FROM (SELECT doc_id, regexp_count(lower(text), 'the') AS a, regexp_count(lower(text), 'la') AS b FROM {documents}) AS d", "SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'first' ELSE 'second' END AS family FROM (SELECT doc_id, len(string_split(lower(text), 'the')) - 1 AS a, len(string_split(lower(text), 'la')) - 1 AS b FROM documents) AS d", ["documents"])
 table_query("z08_sentence_counts", "SELECT doc_id, CAST(size(regexp_extract_all(text, '[.!?] +', 0)) AS BIGINT) AS breaks FROM {documents}", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?] +')) AS BIGINT) AS breaks FROM documents", ["documents"])
 table_query("z10_period_guess", "SELECT doc_id, array_join(array_distinct(regexp_extract_all(text, '(?:19|20)[0-9][0-9]', 0)), ',') AS years FROM {documents}", "SELECT doc_id, coalesce(array_to_string(list_filter(regexp_extract_all(text, '(?:19|20)[0-9][0-9]', 0), lambda x, i: list_position(regexp_extract_all(text, '(?:19|20)[0-9][0-9]', 0), x) = i), ','), '') AS years FROM documents", ["documents"])
 table_query("z12_tag_strip", "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '')) AS n FROM {pages}", "SELECT page_id, CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS INT) AS n FROM pages", ["pages"])

@@ -5,60 +5,21 @@ from __future__ import annotations
 from heliograph.plans.registry import NUMBER, table_query
 from heliograph.plans.tables import _PNL
 from heliograph.plans.trades import BOTH, OPENING
+from heliograph.plans.triage import PAPERS
 
-#: Keywords of the families that papers are sorted into, of what rules them out, and of tests on prices.
-FAMILIES = {
-    "momentum": ["momentum", "trend follow", "time series momentum", "moving average", "trend-following", "continuation", "drift"],
-    "reversal": ["mean reversion", "reversal", "contrarian", "overreaction", "mean-reverting"],
-    "breakout": ["breakout", "opening range", "range expansion", "channel"],
-    "seasonality": ["seasonal", "calendar", "day-of-week", "day of the week", "turn-of-month", "turn of the month", "month-of-year", "holiday", "time-of-day", "intraday pattern", "overnight return", "weekend"],
-    "volatility": ["volatility timing", "volatility risk premium", "realized volatility", "variance risk", "vol target", "garch", "volatility forecast", "vix"],
-    "pairs_statarb": ["pairs trading", "statistical arbitrage", "cointegration", "cointegrated", "spread trading", "relative value"],
-    "carry": ["carry", "term structure", "roll yield", "futures curve", "contango", "backwardation"],
-    "regime": ["regime", "hidden markov", "markov switching", "regime-switching"],
-}
-EXCLUDED = {
-    "order_book": ["limit order book", "order book", "order flow", "market microstructure", "bid-ask", "depth", "queue"],
-    "fundamentals": ["earnings", "balance sheet", "fundamental", "accounting", "book-to-market", "dividend", "analyst"],
-    "crypto": ["cryptocurrency", "bitcoin", "crypto", "blockchain", "defi", "token"],
-}
-EMPIRICAL = ["return predictab", "trading strategy", "backtest", "sharpe", "excess return", "abnormal return", "price", "futures", "index", "commodity", "forex", "exchange rate", "profitable"]
 FREQUENCIES = {"intraday": ["intraday", "minute", "hourly"], "daily": ["daily", "day of"], "weekly": ["weekly"], "monthly": ["monthly", "month"]}
-#: Abstracts: each document with a few keywords behind it, by its number.
-_WORDS = [w for x in (*FAMILIES.values(), *EXCLUDED.values(), EMPIRICAL) for w in x]
-
-
-def _abstracts(duck: bool) -> str:
-    words = ", ".join(f"'{w}'" for w in _WORDS)
-    pick = (lambda k: f"([{words}])[CAST(doc_id * {k} % {len(_WORDS)} AS INT) + 1]") if duck else (lambda k: f"element_at(array({words}), CAST(doc_id * {k} % {len(_WORDS)} AS INT) + 1)")
-    return f"SELECT doc_id, lower(concat(coalesce(text, ''), '. A study of ', {pick(7)}, ' and ', {pick(13)}, ' in daily data. It finds ', {pick(3)}, '! Price returns from 1990 to 2015 are used.')) AS t FROM {{documents}}"
-
-
-ABSTRACTS = _abstracts(False), _abstracts(True)
-
-
-def hits(words: list[str], t: str = "t") -> str:
-    """How often the words stand in a text, without overlap of one with itself."""
-    return " + ".join(f"(length({t}) - length(replace({t}, '{w}', ''))) / {len(w)}" for w in words)
-
-
-_COUNTS = ", ".join(f"CAST({hits(w)} AS INT) AS {n}" for n, w in (FAMILIES | {f"no_{k}": v for k, v in EXCLUDED.items()} | {"empirical": EMPIRICAL}).items())
-_SCORED = tuple(f"SELECT doc_id, t, {_COUNTS} FROM ({a}) AS a" for a in ABSTRACTS)
-_SUM, _NO = " + ".join(FAMILIES), " + ".join(f"no_{k}" for k in EXCLUDED)
-_BEST = f"greatest({', '.join(FAMILIES)})"
-_TOP = f"CASE {' '.join(f'WHEN {n} = {_BEST} THEN {chr(39)}{n}{chr(39)}' for n in FAMILIES)} END"
-table_query("z06_family_triage", *(f"SELECT doc_id, CASE WHEN {_SUM} = 0 THEN 'none' ELSE {_TOP} END AS family, {_SUM} AS family_score, {_NO} AS exclude_score, CASE WHEN {_SUM} > 0 AND empirical > 0 AND {_NO} <= {_SUM} THEN 1 ELSE 0 END AS testable FROM ({s}) AS s" for s in _SCORED), ["documents"])
-table_query("z07_hit_counts", *(f"SELECT doc_id, {', '.join(FAMILIES)} FROM ({s}) AS s" for s in _SCORED), ["documents"])
-table_query("z03_abstract_score", *(f"SELECT doc_id, {' + '.join(f'CAST({w} AS DOUBLE) * least({hits([term])}, 3)' for term, w in (('momentum', 2.0), ('price', 1.0), ('volatility', 1.5), ('queue', -1.0), ('the', 0.25)))} AS score FROM ({a}) AS a" for a in ABSTRACTS), ["documents"])
-_LABELS = ", ".join(f"CASE WHEN {n} > 0 THEN '{n}' END" for n in FAMILIES)
-table_query("z16_all_labels", *(f"SELECT doc_id, concat_ws(',', {_LABELS}) AS labels FROM ({s}) AS s" for s in _SCORED), ["documents"])
-table_query("z17_hypothesis_catalogue", *(f"SELECT labels, count(*) AS papers, min(doc_id) AS first_paper FROM (SELECT doc_id, concat_ws(',', {_LABELS}) AS labels FROM ({s}) AS s) AS x GROUP BY labels HAVING max(labels) <> ''" for s in _SCORED), ["documents"])
+#: A document's text alone.
+ABSTRACTS = (PAPERS, PAPERS)
 _FREQ = " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in FREQUENCIES.items())
 table_query("z09_frequency_guess", *(f"SELECT doc_id, CASE {_FREQ} ELSE 'unknown' END AS frequency FROM ({a}) AS a" for a in ABSTRACTS), ["documents"])
 _SENTENCES = tuple(f"SELECT doc_id, {f} AS s FROM ({a}) AS a" for f, a in zip((r"filter(split(regexp_replace(t, '([.!?])\\s+', '$1\n'), '\n'), x -> trim(x) <> '')", r"list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '')"), ABSTRACTS, strict=True))
-_CLAIM = "contains(x, 'find') OR contains(x, 'study of') OR contains(x, 'returns')"
+#: Words that mark a claim.
+CUES = ["find", "show", "document", "predict", "outperform", "profit", "return", "evidence"]
+_CLAIM = " OR ".join(f"contains(x, '{w}')" for w in CUES)
 table_query("z11_claim_snippets", *(f"SELECT doc_id, {a.size('c')} AS n, md5({a.at('c', '1')}) AS first_claim FROM (SELECT doc_id, {a.head(a.only('s', 'x', _CLAIM), '4')} AS c FROM ({s}) AS s) AS y" for a, s in zip(BOTH, _SENTENCES, strict=True)), ["documents"])
-table_query("z19_rule_sentences", *(f"SELECT doc_id, {a.size(a.only('s', 'x', m))} AS n FROM ({s}) AS s" for a, s, m in zip(BOTH, _SENTENCES, ("x RLIKE '[0-9]' AND length(x) > 20", "regexp_matches(x, '[0-9]') AND length(x) > 20"), strict=True)), ["documents"])
+#: Sentences of 8 to 60 words with a number, by whether they speak of entering, leaving or neither.
+_RULED = ("SELECT doc_id, CASE WHEN x RLIKE 'buy|long|enter' THEN 'entry' WHEN x RLIKE 'sell|short|exit|stop' THEN 'exit' ELSE 'other' END AS class, size(split(trim(x), '\\\\s+')) AS words FROM (SELECT doc_id, explode(s) AS x FROM ({s}) AS s) AS e WHERE x RLIKE '[0-9]'", "SELECT doc_id, CASE WHEN regexp_matches(x, 'buy|long|enter') THEN 'entry' WHEN regexp_matches(x, 'sell|short|exit|stop') THEN 'exit' ELSE 'other' END AS class, len(regexp_split_to_array(trim(x), '\\s+')) AS words FROM (SELECT doc_id, unnest(s) AS x FROM ({s}) AS s) AS e WHERE regexp_matches(x, '[0-9]')")
+table_query("z19_rule_sentences", *(f"SELECT doc_id, class, count(*) AS n, CAST(max(words) AS INT) AS longest FROM ({r.replace('{s}', s)}) AS r WHERE words BETWEEN 8 AND 60 GROUP BY doc_id, class" for r, s in zip(_RULED, _SENTENCES, strict=True)), ["documents"])
 table_query("z05_first_over_pages", "SELECT sig, page, doc_id FROM (SELECT md5(lower(text)) AS sig, CAST(floor(doc_id / 100) AS BIGINT) AS page, doc_id, row_number() OVER (PARTITION BY md5(lower(text)) ORDER BY doc_id) AS n FROM {documents} WHERE text IS NOT NULL) AS d WHERE n = 1", None, ["documents"])
 _XML = "concat('<feed><entry><id>', CAST(p_partkey AS STRING), '</id><title>', p_name, '</title><category term=\"', p_brand, '\"/></entry></feed>')"
 table_query("z01_feed_entries", f"SELECT CAST(xpath_string(x, 'feed/entry/id') AS BIGINT) AS id, xpath_string(x, 'feed/entry/title') AS title, xpath_string(x, 'feed/entry/category/@term') AS term FROM (SELECT {_XML} AS x FROM {{part}}) AS p", "SELECT p_partkey AS id, p_name AS title, p_brand AS term FROM part", ["part"])
@@ -67,7 +28,6 @@ table_query("a39_verdict_tally", "SELECT CASE WHEN k % 3 = 0 THEN 'positive' WHE
 table_query("a34_report_lines", *(f"SELECT symbol, concat(symbol, ': ', CAST(count(*) AS {t}), ' trades, ', CAST(CAST(round(100 * avg(CASE WHEN r > 0 THEN 1 ELSE 0 END)) AS INT) AS {t}), ' % won, last ', CAST(max(day) AS {t})) AS line FROM ({o}) AS t GROUP BY symbol" for t, o in zip(("STRING", "VARCHAR"), OPENING, strict=True)), ["bars"])
 table_query("a35_report_fields", *(f"SELECT day, count(*) AS opened, sum(CASE WHEN reason = 'stop' THEN 1 ELSE 0 END) AS stopped, sum(CASE WHEN reason = 'take' THEN 1 ELSE 0 END) AS taken, round(sum(r), 6) + 0.0 AS r, {b} AS best FROM ({o}) AS t GROUP BY day" for o, b in zip(OPENING, ("max_by(symbol, struct(r, symbol))", "max_by(symbol, row(r, symbol))"), strict=True)), ["bars"])
 table_query("a22_report_cube", f"SELECT symbol, CAST(y AS INT) AS y, count(*) AS n, round(sum(r), 5) + 0.0 AS total, round(avg(r), 7) + 0.0 AS mean_r FROM (SELECT symbol, year(ts) AS y, r FROM {_PNL} AS p WHERE r IS NOT NULL) AS q GROUP BY CUBE(symbol, y)", None, ["days"])
-table_query("a23_book_stats", f"SELECT count(*) AS days, round(sum(r), 5) + 0.0 AS total, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0), 5) + 0.0 AS sharpe, round(max(dd), 5) + 0.0 AS max_dd, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS up_days FROM (SELECT r, max(cum) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS dd FROM (SELECT ts, r, sum(r) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM (SELECT ts, sum(coalesce(r, 0)) / 6 AS r FROM {_PNL} AS p GROUP BY ts) AS b) AS c) AS d", None, ["days"])
 #: The best of what may be kept without two alike: one after the other by strength, each against all kept before.
 table_query("s22_availability", "SELECT s.symbol, f.minutes, coalesce(n, 0) AS bars, CASE WHEN coalesce(n, 0) >= 60 THEN 1 ELSE 0 END AS usable FROM (SELECT DISTINCT event_type AS symbol FROM {events}) AS s CROSS JOIN (VALUES (60), (240), (1440)) AS f(minutes) LEFT JOIN (SELECT event_type, m, count(*) AS n FROM (SELECT DISTINCT event_type, m, floor(unix_seconds(CAST(ts AS TIMESTAMP)) / (m * 60)) AS bin FROM {events} CROSS JOIN (VALUES (60), (240), (1440)) AS v(m)) AS b GROUP BY event_type, m) AS c ON s.symbol = c.event_type AND f.minutes = c.m", "SELECT s.symbol, f.minutes, coalesce(n, 0) AS bars, CASE WHEN coalesce(n, 0) >= 60 THEN 1 ELSE 0 END AS usable FROM (SELECT DISTINCT event_type AS symbol FROM events) AS s CROSS JOIN (VALUES (60), (240), (1440)) AS f(minutes) LEFT JOIN (SELECT event_type, m, count(*) AS n FROM (SELECT DISTINCT event_type, m, floor(floor(epoch(ts)) / (m * 60)) AS bin FROM events CROSS JOIN (VALUES (60), (240), (1440)) AS v(m)) AS b GROUP BY event_type, m) AS c ON s.symbol = c.event_type AND f.minutes = c.m", ["events"])
 table_query("s17_wide_panel", "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"max_by(CASE WHEN symbol = '{s}' THEN close END, CASE WHEN symbol = '{s}' THEN ts END) AS {s}" for s in ("click", "purchase", "signup")) + " FROM {bars} GROUP BY CAST(ts AS DATE)", None, ["bars"])
@@ -77,15 +37,10 @@ table_query("s23_source_priority", "SELECT symbol, ts, close, src FROM (SELECT s
 table_query("s24_finer_bars", "SELECT symbol, m, bin, min_by(value, struct(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, struct(ts, event_id)) AS close FROM (SELECT event_type AS symbol, m, event_id, ts, value, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / (m * 60)) AS BIGINT) AS bin FROM {events} CROSS JOIN (VALUES (5), (15), (30)) AS v(m) WHERE value IS NOT NULL) AS e GROUP BY symbol, m, bin", "SELECT symbol, m, bin, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close FROM (SELECT event_type AS symbol, m, event_id, ts, value, CAST(floor(floor(epoch(ts)) / (m * 60)) AS BIGINT) AS bin FROM events CROSS JOIN (VALUES (5), (15), (30)) AS v(m) WHERE value IS NOT NULL) AS e GROUP BY symbol, m, bin", ["events"])
 table_query("s25_finer_else_coarser", "SELECT d.symbol, d.day, CASE WHEN n >= 6 THEN 'fine' ELSE 'coarse' END AS source, CASE WHEN n >= 6 THEN fine ELSE coarse END AS close FROM (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n, max_by(close, ts) AS fine FROM {bars} GROUP BY symbol, CAST(ts AS DATE)) AS d JOIN (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS coarse FROM {events} GROUP BY event_type, CAST(ts AS DATE)) AS c ON d.symbol = c.event_type AND d.day = c.day", None, ["bars", "events"])
 table_query("s27_true_utc_bars", "SELECT symbol, convert_timezone('Europe/Athens', 'UTC', ts) AS utc, close FROM {bars}", "SELECT symbol, timezone('UTC', timezone('Europe/Athens', ts)) AS utc, close FROM {bars}", ["bars"])
-table_query("p01_clean_pipeline", "SELECT symbol, count(*) AS n, round(sum(h), 4) AS highs, round(sum(l), 4) AS lows FROM (SELECT symbol, ts, greatest(high, open, close) AS h, least(low, open, close) AS l, abs(ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY ts))) AS r FROM (SELECT * FROM {bars} WHERE least(open, high, low, close) > 0 AND volume >= 0 AND NOT (dow IN (5))) AS b) AS c WHERE r IS NULL OR r < 8 GROUP BY symbol".replace("dow IN (5)", "weekday(ts) = 5"), "SELECT symbol, count(*) AS n, round(sum(h), 4) AS highs, round(sum(l), 4) AS lows FROM (SELECT symbol, ts, greatest(high, open, close) AS h, least(low, open, close) AS l, abs(ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY ts))) AS r FROM (SELECT * FROM {bars} WHERE least(open, high, low, close) > 0 AND volume >= 0 AND isodow(ts) <> 6) AS b) AS c WHERE r IS NULL OR r < 8 GROUP BY symbol", ["bars"])
 table_query("p16_column_blocks", "SELECT symbol, ts, round(close - open, 6) + 0.0 AS body, round(high - low, 6) AS span FROM {bars} WHERE volume > 1", None, ["bars"])
 
-
-def _synthetic(duck: bool, n: int = 2000) -> str:
-    """A market series from numbers alone: steps from MD5, weekends left out."""
-    rows = f"SELECT unnest(range(0, {n})) AS i" if duck else f"SELECT explode(sequence(0, {n - 1})) AS i"
-    step = f"({NUMBER[duck].format('concat(CAST(i AS VARCHAR), chr(58), chr(115))' if duck else 'concat(CAST(i AS STRING), chr(58), chr(115))')} % 2001 - 1000) / 1000.0 * 0.0006"
-    return f"SELECT i, round(CAST(exp(sum(CAST(s AS DOUBLE)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS DOUBLE), 9) AS close FROM (SELECT i, {step} AS s FROM ({rows}) AS r) AS x WHERE i % 168 < 120"
-
-
-table_query("s39_synthetic_series", _synthetic(False), _synthetic(True), [])
+#: A synthetic market beside each symbol: a walk of drawn steps over the hours of its events, weekends left out.
+_STEP = tuple(f"({NUMBER[d].format(f'concat(symbol, chr(58), CAST(i AS {t}))')} % 2001 - 1000) / CAST(1000 AS DOUBLE) * 0.0006" for d, t in ((False, "STRING"), (True, "VARCHAR")))
+_HOURS = ("explode(sequence(lo, hi, INTERVAL 1 HOUR))", "unnest(generate_series(lo, hi, INTERVAL 1 HOUR))")
+_SHUT = ("weekday(t) = 5 OR (weekday(t) = 4 AND hour(t) >= 22) OR (weekday(t) = 6 AND hour(t) < 22)", "isodow(t) = 6 OR (isodow(t) = 5 AND hour(t) >= 22) OR (isodow(t) = 7 AND hour(t) < 22)")
+table_query("s39_synthetic_series", *(f"SELECT symbol, t AS ts, round(exp(sum({s}) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM (SELECT symbol, {h} AS t FROM (SELECT event_type AS symbol, date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM {{events}} GROUP BY event_type) AS r) AS g WHERE NOT ({c})) AS n" for s, h, c in zip(_STEP, _HOURS, _SHUT, strict=True)), ["events"])

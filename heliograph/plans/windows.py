@@ -24,10 +24,6 @@ _M = {f"m{k}": f"avg(pow(r, {k})) {last(30)}" for k in (1, 2, 3)}
 series("w11_rolling_skew", ["x"], {**R}, {"cnt": f"count(r) {last(30)}", **_M}, {"x": "CASE WHEN cnt = 30 THEN (m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / nullif(pow(greatest(m2 - m1 * m1, 0), 1.5), 0) * sqrt(30.0 * 29.0) / 28.0 END"})
 series("w12_rolling_beta", ["c", "beta"], {"r": log_return(), "v": f"ln(volume) - ln({lag('volume')})"}, {"sr": f"stddev_pop(r) {last(60)}", "sv": f"stddev_pop(v) {last(60)}", "cov": f"covar_pop(r, v) {last(60)}", "cs": f"covar_samp(r, v) {last(60)}", "k": f"count(v) {last(60)}"}, {"c": "CASE WHEN k = 60 THEN cov / nullif(sr * sv, 0) END", "beta": "CASE WHEN k = 60 THEN cs / nullif(sv * sv, 0) END"})
 series("w13_lagged_beta_residual", ["resid"], {"r": log_return(), "v": f"ln(volume) - ln({lag('volume')})"}, {"k": f"count(v) {prior(60)}", "beta": f"covar_samp(r, v) {prior(60)} / nullif(var_samp(v) {prior(60)}, 0)", "rs": rolling("sum", "r", 5), "vs": rolling("sum", "v", 5)}, {"resid": "CASE WHEN k = 60 THEN -(rs - beta * vs) END"})
-_RANK = ({"l": f"collect_list(close) {last(100)}"}, {"x": "CASE WHEN size(l) >= 25 THEN (size(filter(l, v -> v < close)) + (size(filter(l, v -> v = close)) + 1) / 2) / size(l) END"})
-series("w14_rolling_percent_rank", ["x"], *_RANK, duck=({"l": f"list(close) {last(100)}"}, {"x": "CASE WHEN len(l) >= 25 THEN (len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2) / len(l) END"}))
-_Q = {"q70": "CASE WHEN count(close) {w} >= 40 THEN {q}(close, 0.7) {w} END", "med": "CASE WHEN count(close) {w} >= 40 THEN {q}(close, 0.5) {w} END"}
-series("w16_rolling_quantile", ["q70", "med"], {k: v.format(w=last(200), q="percentile") for k, v in _Q.items()}, duck=[{k: v.format(w=last(200), q="quantile_cont") for k, v in _Q.items()}])
 series("w17_daily_vwap", ["vwap"], DAY, {"pv": f"sum((high + low + close) / 3 * volume) {MIN_DAY}", "v": f"sum(volume) {MIN_DAY}"}, {"vwap": "pv / nullif(v, 0)"})
 _NY = {"m": "hour(ts) * 60 + minute(ts)", "day": "date_trunc('day', ts)"}
 _IN = "m >= 480 AND m < 960"

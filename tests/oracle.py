@@ -20,7 +20,7 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    """A value that both engines give alike."""
+    """A value that both engines give alike: numbers to six digits, whole ones as whole."""
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6) + 0.0
     if isinstance(value, (list, tuple)):

@@ -171,3 +171,38 @@ def test_a_day_has_one_open_whatever_the_order(spark, tmp_path):
         spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey bigint, l_linenumber int, l_extendedprice double, l_quantity double, l_shipdate timestamp").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
         found |= {(r["open"], r["close"], r["volume"]) for r in daily_bars(spark, folder).collect()}
     assert found == {(5.0, 6.5, 7.0)}
+
+
+def test_sliding_ranks_and_quantiles_equal_whole_windows(spark):
+    from heliograph.operators.sliding import sliding
+
+    rng, rows = random.Random(11), []
+    for s in ("a", None):
+        for i in range(700):
+            rows.append((s, BEGIN + timedelta(hours=i), None if i % 17 == 3 else float("nan") if i % 31 == 5 else float(rng.randrange(40))))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, v double").repartition(5)
+    for window, least, block in ((50, 20, 8), (300, 150, 4096), (1, 1, 3)):
+        got = {(r["symbol"], r["ts"]): (r["rank"], r["q0"], r["q1"]) for r in sliding(df, "v", window, least, (0.5, 0.7), block).collect()}
+        assert len(got) == len(rows)
+        for s in ("a", None):
+            x = [r[2] if r[2] is not None and r[2] == r[2] else None for r in rows if r[0] == s]
+            for i in range(0, 700, 7):
+                held = [v for v in x[max(0, i - window + 1) : i + 1] if v is not None]
+                found = got[s, BEGIN + timedelta(hours=i)]
+                if len(held) < least:
+                    assert found == (None, None, None)
+                    continue
+                assert found[1:] == pytest.approx((np.quantile(held, 0.5), np.quantile(held, 0.7)))
+                want = None if x[i] is None else (sum(v < x[i] for v in held) + (sum(v == x[i] for v in held) + 1) / 2) / len(held)
+                assert found[0] == (None if want is None else pytest.approx(want))
+    assert sliding(df.limit(0), "v", 10, 1).collect() == []
+
+
+def test_ranks_of_the_past_do_not_change(spark):
+    from heliograph.operators.sliding import slide
+
+    rng = random.Random(12)
+    x = [rng.gauss(0, 1) for _ in range(5000)]
+    later = [v + 50 if i >= 2500 else v for i, v in enumerate(x)]
+    a, b = slide(x, 1000, 500, ()), slide(later, 1000, 500, ())
+    assert a[:2500] == b[:2500] and sum(r[0] is not None for r in a) == 4501 and a[2500:] != b[2500:]

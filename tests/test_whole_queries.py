@@ -49,8 +49,7 @@ def test_accounts_fail_pass_or_go_on(spark):
 
 def test_walks_have_sides_targets_and_costs(spark):
     def run(rows, **more):
-        step = rule_walk_sides(2.0, **more)
-        return [step(*r) for r in rows]
+        return rule_walk_sides(2.0, **more).run(rows)
 
     up = [(100.0, 101.0, 99.0, True, False, 1.0), (102.0, 104.0, 101.0, False, False, 1.0), (103.0, 103.0, 97.0, False, False, 1.0)]
     assert run(up, target_width=3.0, cost=0.5) == [(None, None), (None, 1.25), (None, None)]
