@@ -207,9 +207,11 @@ def rare_pairs(texts: DataFrame, p: Params) -> DataFrame:
     counted = each.groupBy("shingle").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle")).alias("place")
     first = each.join(counted, "shingle").select("node", "component", "size", "shingle", place).where(F.expr(f"place <= size - ceil(size * {p.percent} / 100) + 1"))
+    # Read back, since it stands several times in what follows.
+    first, first_at = written(first, "prefixes")
     # Of each shingle, the largest component's documents are paired with those of other components only.
     heavy = first.groupBy("shingle").agg(F.mode("component", True).alias("heavy"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "heavy")
-    found = first.join(heavy, "shingle").withColumn("strip", F.expr(f"CAST(floor(ln(size) / ln({100 / p.percent})) AS INT)"))
+    found, found_at = written(first.join(heavy, "shingle").withColumn("strip", F.expr(f"CAST(floor(ln(size) / ln({100 / p.percent})) AS INT)")), "rare")
     side = lambda c: [F.col(n).alias(f"{n}_{c}") for n in ("component", "size", "place")]
     x = found.where("component <> heavy").select("shingle", "strip", F.col("node").alias("a"), *side("a"))
     large = x.groupBy("shingle", "strip").agg(F.ceil(F.count("*") / p.strip).cast("int").alias("parts")).where("parts > 1")
@@ -218,7 +220,9 @@ def rare_pairs(texts: DataFrame, p: Params) -> DataFrame:
     y = found.select("shingle", F.explode(F.array(F.col("strip") - 1, "strip", F.col("strip") + 1)).alias("strip"), F.col("node").alias("b"), *side("b"), (F.col("component") == F.col("heavy")).alias("is_heavy"))
     y = y.join(large, ["shingle", "strip"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     enough = F.expr(f"component_a <> component_b and (is_heavy or a < b) and (least(size_a - place_a, size_b - place_b) + 1) * {100 + p.percent} >= {p.percent} * (size_a + size_b)")
-    return x.join(y, ["shingle", "strip", "part"]).where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs, _ = written(x.join(y, ["shingle", "strip", "part"]).where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    removed(texts.sparkSession, first_at, found_at)
+    return pairs
 
 
 def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
