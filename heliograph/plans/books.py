@@ -44,6 +44,10 @@ table_query("a23_book_stats", f"SELECT count(*) AS days, {rounded('sum(r)', 5)}
 _PASSES = tuple(f"SELECT rule, sl, sum(passed) AS passes FROM (SELECT rule, sl, symbol, CASE WHEN avg(r) / nullif(stddev_samp(r), 0) > 0 THEN 1 ELSE 0 END AS passed FROM ({grid(a, '(1.0, 1.5), (1.0, 2.0), (1.5, 2.0), (2.0, 3.0)', list(RULES))}) AS g GROUP BY rule, sl, symbol) AS c GROUP BY rule, sl" for a in BOTH)
 table_query("a26_replication_counts", *(f"SELECT CAST(k AS INT) AS at_least, count(CASE WHEN passes >= k THEN 1 END) AS signals, count(*) AS tried FROM ({p}) AS p CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(k) GROUP BY k" for p in _PASSES), ["bars"])
 
+#: The cohort of all rules: signals by symbol with any bracket whose t is above two, and their best.
+_T = "avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*))"
+table_query("y04_cohort_union", *(f"SELECT rule, symbol, {rounded('max(t)', 5)} AS best_t, count(*) AS brackets, max(CASE WHEN t > 2 THEN 1 ELSE 0 END) AS any_above FROM (SELECT rule, symbol, sl, tp, {_T} AS t FROM ({grid(a, '(1.0, 1.5), (1.0, 2.0), (1.5, 2.0), (2.0, 3.0)', list(RULES))}) AS g GROUP BY rule, symbol, sl, tp) AS c GROUP BY rule, symbol" for a in BOTH), ["bars"])
+
 _TURN = tuple(f"SELECT symbol, day, r, year(day) AS y FROM ({month_turn_trades(a, '{days}')}) AS t" for a in BOTH)
 
 

@@ -48,7 +48,9 @@ table_query("t17_us_holidays", *(f"SELECT CAST(y AS INT) AS y, name, day FROM ({
 table_query("t20_early_closes", *(f"SELECT CAST(y AS INT) AS y, day FROM ({short_days(e)}) AS s" for e in (0, 1)), ["orders"])
 _FLAT = "SELECT d, CASE WHEN {dow} >= 5 THEN 955 WHEN h.day IS NOT NULL OR s.day IS NOT NULL THEN least(955, 770) WHEN month(d) = 12 AND day(d) = 31 THEN least(955, 945) ELSE 955 END AS flat_minute FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM {{orders}}) AS o LEFT JOIN (SELECT DISTINCT day FROM ({h}) AS a) AS h ON d = h.day LEFT JOIN (SELECT DISTINCT day FROM ({s}) AS b) AS s ON d = s.day"
 table_query("t21_effective_flat_minute", *(_FLAT.format(dow=DOW[e].format("d"), h=holidays(e), s=short_days(e)).replace("{{", "{").replace("}}", "}") for e in (0, 1)), ["orders"])
-table_query("y11_calendar_against_feed", *(f"SELECT name, count(*) AS days, sum(coalesce(n, 0)) AS orders_on_them FROM ({holidays(e)}) AS h LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM {{orders}} GROUP BY CAST(o_orderdate AS DATE)) AS o ON h.day = o.d GROUP BY name" for e in (0, 1)), ["orders"])
+#: Weekdays of the feed's range by whether the calendar is closed and the feed silent: both (ok), only the feed (missed), only the calendar (spurious).
+_FEED = ("explode(sequence(lo, hi, INTERVAL 1 DAY))", "CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE)")
+table_query("y11_calendar_against_feed", *(f"SELECT CAST(year(d) AS INT) AS y, class, count(*) AS days, min(d) AS first FROM (SELECT c.d AS d, CASE WHEN h.day IS NOT NULL AND n IS NULL THEN 'ok' WHEN n IS NULL THEN 'missed' WHEN h.day IS NOT NULL THEN 'spurious' ELSE 'open' END AS class FROM (SELECT {s} AS d FROM (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM {{orders}}) AS r) AS c LEFT JOIN (SELECT DISTINCT day FROM ({holidays(e)}) AS a) AS h ON c.d = h.day LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM {{orders}} WHERE o_orderpriority LIKE '1%' GROUP BY CAST(o_orderdate AS DATE)) AS o ON c.d = o.day WHERE {DOW[e].format('c.d')} < 5) AS x GROUP BY year(d), class" for e, s in enumerate(_FEED)), ["orders"])
 table_query("t23_us_session_minutes", *(f"SELECT d, CASE WHEN {DOW[e].format('d')} >= 5 THEN 0 WHEN EXISTS_H THEN 0 ELSE 390 END AS minutes FROM (SELECT d, h.day IS NOT NULL AS EXISTS_H FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM {{orders}}) AS o LEFT JOIN (SELECT DISTINCT day FROM ({holidays(e)}) AS a) AS h ON d = h.day) AS j" for e in (0, 1)), ["orders"])
 #: The first session that is open, in the order Tokyo, London, New York.
 series("t07_primary_session", {"session": "session"}, {"session": "CASE WHEN a_m >= 540 AND a_m < 1020 THEN 'asia' WHEN l_m >= 480 AND l_m < 960 THEN 'london' WHEN n_m >= 480 AND n_m < 1020 THEN 'newyork' ELSE 'closed' END"}, places=LONDON | NEW_YORK | TOKYO)

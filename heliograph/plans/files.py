@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,3 +147,44 @@ def paper_csv(spark: SparkSession, folder: str) -> DataFrame:
     table(spark, folder, "documents").where("text IS NOT NULL").selectExpr("doc_id", "lang AS category", r"regexp_replace(left(text, 200), '[\\r\\n]+', ' ') AS title").write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     read = spark.read.schema("doc_id bigint, category string, title string").option("header", True).option("escape", '"').csv(path)
     return read.selectExpr("doc_id", "category", "md5(coalesce(title, '')) AS title_md5")
+
+
+def csv_cache(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of ``symbol``, ``ts`` and ``value`` from the cache at ``path``, which is made first if it is not there.
+
+    Of rows with one symbol and time the first by ``key`` is cached. Times are text: one with a zone is
+    taken to UTC, one without is UTC already.
+    """
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        first = make().groupBy("symbol", "ts").agg(F.min_by("value", "key").alias("value"))
+        first.selectExpr("symbol", "ts", "value").write.option("header", True).csv(path)
+    read = spark.read.schema("symbol string, ts string, value double").option("header", True).csv(path)
+    zoned = read.where("ts RLIKE '[+-][0-9]{2}:[0-9]{2}$'").withColumn("ts", F.expr("CAST(substring(ts, 1, 19) AS timestamp_ntz) - make_dt_interval(0, CAST(substring(ts, 20, 3) AS INT), CAST(concat(substring(ts, 20, 1), right(ts, 2)) AS INT), 0)"))
+    plain = read.where("NOT ts RLIKE '[+-][0-9]{2}:[0-9]{2}$'").withColumn("ts", F.expr("CAST(ts AS timestamp_ntz)"))
+    return zoned.unionByName(plain)
+
+
+def _twice(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The cache's rows on its second use, when nothing is made any more."""
+    path = shared_path(spark, name)
+    csv_cache(spark, path, make)
+
+    def never() -> DataFrame:
+        raise ValueError(f"{path} should be there")
+
+    return csv_cache(spark, path, never).selectExpr("symbol", "ts", "round(value, 6) AS value")
+
+
+@query("s12_csv_cache", "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, round(min_by(value, row(ts, event_id)), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type, date_trunc('hour', ts)")
+def cached_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """The first tick of every hour; some symbols' times are cached with a zone, the others' without."""
+    text = "CASE WHEN event_type < 'm' THEN concat(date_format(date_trunc('hour', ts) + INTERVAL 2 HOUR, 'yyyy-MM-dd HH:mm:ss'), '+02:00') ELSE date_format(date_trunc('hour', ts), 'yyyy-MM-dd HH:mm:ss') END"
+    return _twice(spark, "ticks", lambda: table(spark, folder, "events").where("value IS NOT NULL").selectExpr("event_type AS symbol", f"{text} AS ts", "value", "struct(ts, event_id) AS key"))
+
+
+@query("s19_macro_cache", "SELECT o_orderpriority AS symbol, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts, round(min_by(o_totalprice, row(o_orderdate, o_orderkey)), 6) AS value FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate)")
+def cached_macro(spark: SparkSession, folder: str) -> DataFrame:
+    """A sparse series for each order priority, one value a month."""
+    return _twice(spark, "macro", lambda: table(spark, folder, "orders").selectExpr("o_orderpriority AS symbol", "date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd HH:mm:ss') AS ts", "o_totalprice AS value", "struct(o_orderdate, o_orderkey) AS key"))

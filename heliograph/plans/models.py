@@ -48,6 +48,8 @@ def dataset(bars: DataFrame) -> DataFrame:
 
 
 FOLDS, EMBARGO = 4, 5
+#: Dates (two numbers and a time each) that are broadcast to the matrix; more are joined.
+MOST_DATES = 200_000
 
 
 def folded(data: DataFrame, date: str = "ts") -> DataFrame:
@@ -58,10 +60,6 @@ def folded(data: DataFrame, date: str = "ts") -> DataFrame:
     return written(data.join(F.broadcast(placed) if placed.count() <= MOST_DATES else placed, date), "matrix")
 
 
-#: Dates (two numbers and a time each) that are broadcast to the matrix.
-MOST_DATES = 200_000
-
-
 def fold_bounds(n: int, folds: int = FOLDS, embargo: int = EMBARGO) -> list[tuple[int, int, int]]:
     """For each fold: dates that it is fitted on, the first date that it scores, and the one after the last."""
     size = n // (folds + 1)
@@ -128,11 +126,25 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return dataset(daily_bars(spark, folder)).selectExpr(*_SHOWN)
 
 
-def out_of_fold(data: DataFrame, model: Callable, features: list[str], label: str = "up") -> DataFrame:
+def out_of_fold(data: DataFrame, model: Callable, features: list[str]) -> DataFrame:
     """Rows scored by the fold that had not seen them."""
     return walk_forward(folded(data), lambda train, test: probabilities(train, test, model(), features))
 
 
+#: Blocks of features by name; a study names the blocks that it takes.
+BLOCKS = {"momentum": MOMENTUM, "shape": SHAPE, "volume": VOLUME}
+
+
+def block_columns(data: DataFrame, names: list[str]) -> DataFrame:
+    """``symbol``, ``ts`` and the features of the blocks, in their order."""
+    return data.select("symbol", "ts", *(f for n in names for f in BLOCKS[n]))
+
+
+@query("p16_column_blocks", f"SELECT symbol, ts, {', '.join(f'{rounded(f)} AS {f}' for f in (*VOLUME, *SHAPE))} FROM ({_ROWS}) AS d")
+def column_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return block_columns(dataset(daily_bars(spark, folder)), ["volume", "shape"]).selectExpr("symbol", "ts", *(f"{rounded(f)} AS {f}" for f in (*VOLUME, *SHAPE)))
+
+
 @query("m05_logistic_scaled")
 def logistic_auc(spark: SparkSession, folder: str) -> DataFrame:
     return auc(out_of_fold(dataset(daily_bars(spark, folder)), logistic, FEATURES))
@@ -184,8 +196,8 @@ def trade_figures(rows: DataFrame, trades: DataFrame) -> DataFrame:
 def trade_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly features with the results of both sides entered at the next bar's open."""
     later = outcome_frame(spark, folder).select("symbol", "ts", "n", "r_l", "h_l", "r_s", "h_s")
-    known = with_stages(dataset(event_bars(spark, folder)).drop("up", "fwd"), [])
-    before = with_stages(event_bars(spark, folder), [{"entered": lead("ts")}]).select("symbol", "ts", "entered")
+    bars = event_bars(spark, folder)
+    known, before = dataset(bars).drop("up", "fwd"), with_stages(bars, [{"entered": lead("ts")}]).select("symbol", "ts", "entered")
     return known.join(before, ["symbol", "ts"]).drop("ts").withColumnRenamed("entered", "ts").join(later, ["symbol", "ts"])
 
 

@@ -99,7 +99,6 @@ class Market:
 
 # --- the same in DuckDB, walked entry by entry
 _D_POOL = POOL.replace("{rows}", f"({_DUCK}) AS q")
-_D_STATS = OWN.replace("{own}", f"({_OWN_DUCK}) AS q").replace("{{", "{").replace("}}", "}")
 _RANGE = f"unnest(range(0, {DRAWS}))"
 
 
@@ -116,7 +115,7 @@ def _duck_walk(entries: str, least: int = 0) -> str:
 
 _WITH = f"WITH o AS MATERIALIZED ({_DUCK}), pool AS MATERIALIZED ({_D_POOL}), own AS MATERIALIZED ({_OWN_DUCK}), st AS MATERIALIZED ({OWN.replace('{{own}}', 'own').replace('{own}', 'own')})"
 _D_EACH = f"SELECT symbol, draw, m AS n, {number(True, 'symbol', 'draw')} AS key, long_share, unnest(range(0, CAST(least(k, m) AS BIGINT))) AS x FROM (SELECT s.symbol, k, long_share, p.m, {_RANGE} AS draw FROM st AS s JOIN (SELECT symbol, max(m) AS m FROM pool GROUP BY symbol) AS p ON s.symbol = p.symbol) AS d"
-_D_ANYWHERE = f"SELECT y.symbol, y.draw, p.n, CASE WHEN {number(True, 'y.symbol', 'y.draw', 'y.x')} < 4294967296.0 * long_share THEN 1 ELSE -1 END AS side FROM {duck_permuted(_D_EACH, 'symbol, draw, x, long_share').replace('SELECT symbol, draw, x, long_share, n, key, h, CAST', 'SELECT symbol, draw, x, long_share, n, key, h, CAST')} AS y JOIN pool AS p ON y.symbol = p.symbol AND y.y = p.i"
+_D_ANYWHERE = f"SELECT y.symbol, y.draw, p.n, CASE WHEN {number(True, 'y.symbol', 'y.draw', 'y.x')} < 4294967296.0 * long_share THEN 1 ELSE -1 END AS side FROM {duck_permuted(_D_EACH, 'symbol, draw, x, long_share')} AS y JOIN pool AS p ON y.symbol = p.symbol AND y.y = p.i"
 _D_HOURS = "SELECT symbol, h, c, sum(c) OVER (PARTITION BY symbol ORDER BY h) AS upto FROM (SELECT symbol, hour(ts) AS h, count(*) AS c FROM own GROUP BY symbol, hour(ts)) AS x"
 _D_SLOTS = f"SELECT e.symbol, draw, long_share, j, q.h, row_number() OVER (PARTITION BY e.symbol, draw, q.h ORDER BY j) - 1 AS x FROM (SELECT *, floor({number(True, 'symbol', 'draw', 'j', repr('hour'))} * CAST(k AS DOUBLE) / 4294967296.0) AS u FROM (SELECT *, unnest(range(0, k)) AS j FROM (SELECT symbol, k, long_share, {_RANGE} AS draw FROM st) AS d) AS d2) AS e JOIN ({_D_HOURS}) AS q ON e.symbol = q.symbol AND u < upto AND u >= upto - c"
 _D_INSIDE = f"SELECT s.symbol, draw, s.h AS slot, j, long_share, x, m AS n, {number(True, 's.symbol', 'draw', 's.h')} AS key FROM ({_D_SLOTS}) AS s JOIN (SELECT symbol, h, max(m_h) AS m FROM pool GROUP BY symbol, h) AS p ON s.symbol = p.symbol AND s.h = p.h WHERE x < m"
@@ -132,7 +131,7 @@ LEAST_TRADES = 5
 def random_entries(spark: SparkSession, folder: str) -> DataFrame:
     """t of as many entries as the rule's, of its long share, at random rows; one position at a time, per draw."""
     m = Market(spark, folder)
-    return m.walked(m.anywhere()).where(f"n >= {LEAST_TRADES}").selectExpr(*_SHOWN.split(", ", 3)[:3], "round(t, 5) + 0.0D AS t")
+    return m.walked(m.anywhere()).where(f"n >= {LEAST_TRADES}").selectExpr("symbol", "draw", "n", "round(t, 5) + 0.0D AS t")
 
 
 @query("i14_hour_matched_null", f"{_WITH} SELECT {_SHOWN} FROM ({_duck_walk(_D_SAME_HOURS, LEAST_TRADES)}) AS f")
@@ -144,7 +143,10 @@ def same_hour_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def _against(median: str) -> str:
     """The rule's t against both nulls."""
-    return f"SELECT s.symbol AS symbol, s.k AS n, {rounded('long_share')} AS long_share, {rounded('s.t', 5)} AS t, count(CASE WHEN which = 'a' THEN 1 END) AS draws_a, {rounded(f'avg(CASE WHEN which = {chr(39)}a{chr(39)} THEN CASE WHEN d.t >= s.t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END)')} AS p_a, {rounded(f'{median}(CASE WHEN which = {chr(39)}a{chr(39)} THEN d.t END)', 5)} AS median_a, {rounded(f'avg(CASE WHEN which = {chr(39)}b{chr(39)} THEN CASE WHEN d.t >= s.t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END)')} AS p_b, {rounded(f'{median}(CASE WHEN which = {chr(39)}b{chr(39)} THEN d.t END)', 5)} AS median_b FROM {{st}} AS s LEFT JOIN {{d}} AS d ON s.symbol = d.symbol GROUP BY s.symbol, s.k, long_share, s.t"
+    own = lambda w: f"CASE WHEN which = '{w}' THEN d.t END"
+    above = lambda w: f"CASE WHEN which = '{w}' THEN CASE WHEN d.t >= s.t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END"
+    both = ", ".join(f"{rounded(f'avg({above(w)})')} AS p_{w}, {rounded(f'{median}({own(w)})', 5)} AS median_{w}" for w in "ab")
+    return f"SELECT s.symbol AS symbol, s.k AS n, {rounded('long_share')} AS long_share, {rounded('s.t', 5)} AS t, count(CASE WHEN which = 'a' THEN 1 END) AS draws_a, {both} FROM {{st}} AS s LEFT JOIN {{d}} AS d ON s.symbol = d.symbol GROUP BY s.symbol, s.k, long_share, s.t"
 
 
 def _both(m: Market, first: DataFrame) -> DataFrame:
@@ -167,8 +169,9 @@ def null_battery(spark: SparkSession, folder: str) -> DataFrame:
     return doubles(spark.sql(_against("median"), st=m.stats, d=written(_both(m, m.anywhere()), "draws")))
 
 
-GATE = "t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1"
-_CELL = f"SELECT c.*, {rounded('t_first', 5)} AS t_first, {rounded('t_second', 5)} AS t_second, {rounded('t_dear', 5)} AS t_dear, coalesce(s.t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1, false) AS gate, coalesce(s.t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1 AND p_a < 0.05 AND (p_b IS NULL OR p_b < 0.05), false) AS passed FROM {{c}} AS c JOIN {{st}} AS s ON c.symbol = s.symbol"
+#: The first stage: t of all trades, of either half, and after dearer costs.
+GATE = "s.t > 2 AND t_first > 0 AND t_second > 0 AND t_dear > 1"
+_CELL = f"SELECT c.*, {rounded('t_first', 5)} AS t_first, {rounded('t_second', 5)} AS t_second, {rounded('t_dear', 5)} AS t_dear, coalesce({GATE}, false) AS gate, coalesce({GATE} AND p_a < 0.05 AND (p_b IS NULL OR p_b < 0.05), false) AS passed FROM {{c}} AS c JOIN {{st}} AS s ON c.symbol = s.symbol"
 
 
 def _duck_cell(first: str) -> str:
@@ -203,6 +206,12 @@ def matched_entries(spark: SparkSession, folder: str) -> DataFrame:
     return Market(spark, folder).same_hours().where(f"draw < {SAMPLED}")
 
 
+@query("y06_dealt_sides", f"{_WITH} SELECT symbol, draw, n, side FROM ({_D_TURNED}) AS d WHERE draw < {SAMPLED}")
+def dealt_sides(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule's signals with their sides dealt anew, as arrays of signals: the first five draws."""
+    return Market(spark, folder).turned().where(f"draw < {SAMPLED}")
+
+
 # --- placebo signals beside the rule
 PLACEBO_SIGNALS = 40
 _HALVES = f"SELECT symbol, draw, count(*) AS k, {T} AS t, avg(CASE WHEN i <= floor(m / 2) THEN r END) AS er_first, avg(CASE WHEN i > floor(m / 2) THEN r END) AS er_second, avg(r - {COST_STRESS}) / nullif(stddev_samp(r), 0) * sqrt(count(*)) AS t_dear FROM (SELECT *, row_number() OVER (PARTITION BY symbol, draw ORDER BY n) AS i, count(*) OVER (PARTITION BY symbol, draw) AS m FROM {{trades}}) AS k GROUP BY symbol, draw"

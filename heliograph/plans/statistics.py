@@ -41,7 +41,9 @@ _IC = f"SELECT a.symbol AS symbol, n_obs, n_blocks, ic_mean, ic_std, ic_mean / n
 table_query("i04_ic_summary_quarters", f"SELECT symbol, n_obs, n_blocks, round(ic_mean, 6) + 0.0 AS ic_mean, round(ir, 6) + 0.0 AS ir, round(t_stat, 6) + 0.0 AS t_stat, round(t_nw, 6) + 0.0 AS t_nw, round(least(abs(t_stat), abs(t_nw)) * sign(t_stat), 6) + 0.0 AS t_gate, round(stability, 6) AS stability, CAST(same_sign AS BIGINT) AS same_sign FROM ({_IC}) AS i", None, ["bars"])
 table_query("i05_lag_choice", f"SELECT DISTINCT p_size AS k, CAST(least(4, greatest(1, ceil(p_size / CAST({BLOCK} AS DOUBLE)))) AS INT) AS nw_lag FROM {{part}}", None, ["part"])
 table_query("p18_ic_gate", f"SELECT symbol, CASE WHEN abs(ic_mean) >= 0.01 AND abs(t_stat) >= 0.5 AND same_sign >= 2 AND n_obs >= 160 THEN 1 ELSE 0 END AS passed FROM ({_IC}) AS i", None, ["bars"])
-table_query("p17_edge_to_cost", f"SELECT i.symbol AS symbol, round(abs(ic_mean) * sigma, 6) AS edge_bps, round(abs(ic_mean) * sigma / 12.0, 6) AS edge_to_cost, round(abs(ic_mean) * sigma / 7.0, 6) AS edge_to_cost_no_slip FROM ({_IC}) AS i JOIN (SELECT symbol, 10000 * stddev_pop(f) AS sigma FROM ({_S}) AS a GROUP BY symbol) AS d ON i.symbol = d.symbol", None, ["bars"])
+#: A round trip costs the median spread, and with slippage half as much again.
+_RT = "SELECT symbol, 10000 * median(high - low) / avg(close) AS bps FROM {bars} WHERE high > low GROUP BY symbol"
+table_query("p17_edge_to_cost", f"SELECT i.symbol AS symbol, round(abs(ic_mean) * sigma, 6) AS edge_bps, round(abs(ic_mean) * sigma / (1.5 * bps), 6) AS edge_to_cost, round(abs(ic_mean) * sigma / bps, 6) AS edge_to_cost_no_slip FROM ({_IC}) AS i JOIN (SELECT symbol, 10000 * stddev_pop(f) AS sigma FROM ({_S}) AS a GROUP BY symbol) AS d ON i.symbol = d.symbol JOIN ({_RT}) AS c ON i.symbol = c.symbol", None, ["bars"])
 
 # --- p-values: Student's distribution by its finite series for whole degrees of freedom
 _T = "SELECT l_partkey, count(*) - 1 AS df, avg(l_discount - 0.05) / nullif(stddev_samp(l_discount), 0) * sqrt(count(*)) AS t FROM {lineitem} GROUP BY l_partkey HAVING count(*) >= 3 AND stddev_samp(l_discount) > 0"

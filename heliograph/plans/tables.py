@@ -93,7 +93,9 @@ table_query("c02_excess_forward", f"SELECT m, k, round(f - avg(f) OVER (PARTITIO
 table_query("c03_rebalance_dates", f"SELECT m FROM (SELECT m, (row_number() OVER (ORDER BY m) - 1) % 5 AS q FROM (SELECT DISTINCT m FROM {_PANEL} AS p) AS d) AS s WHERE q = 0", None, ["orders", "customer"])
 _W = f"SELECT m, k, v, CASE WHEN hi <= 5 THEN 0.2 WHEN lo <= 5 THEN -0.2 ELSE 0.0 END AS w FROM (SELECT m, k, v, row_number() OVER (PARTITION BY m ORDER BY v DESC, k) AS hi, row_number() OVER (PARTITION BY m ORDER BY v, k) AS lo FROM {_PANEL} AS p) AS s"
 table_query("c05_long_short_weights", f"SELECT m, k, CAST(w AS DOUBLE) AS w FROM ({_W}) AS w", None, ["orders", "customer"])
-table_query("c06_turnover_cost", f"WITH w AS ({_W}) SELECT a.m, round(CAST(sum(abs(a.w - coalesce(b.w, 0))) AS DOUBLE), 6) AS turnover FROM w AS a LEFT JOIN w AS b ON a.k = b.k AND b.m = CAST(add_months(a.m, -1) AS DATE) GROUP BY a.m", f"WITH w AS ({_W}) SELECT a.m, round(CAST(sum(abs(a.w - coalesce(b.w, 0))) AS DOUBLE), 6) AS turnover FROM w AS a LEFT JOIN w AS b ON a.k = b.k AND b.m = CAST(a.m - INTERVAL 1 MONTH AS DATE) GROUP BY a.m", ["orders", "customer"])
+#: A month's weights against those of the month before, over the names of either.
+_TURNED = f"SELECT m, round(CAST(sum(abs(d)) AS DOUBLE), 6) AS turnover FROM (SELECT m, k, sum(w) AS d FROM (SELECT m, k, CAST(w AS DOUBLE) AS w FROM ({_W}) AS a UNION ALL SELECT {{next}}, k, CAST(-w AS DOUBLE) FROM ({_W}) AS b) AS u GROUP BY m, k) AS t GROUP BY m HAVING m <= (SELECT max(m) FROM {_PANEL} AS q)"
+table_query("c06_turnover_cost", _TURNED.replace("{next}", "CAST(add_months(m, 1) AS DATE)"), _TURNED.replace("{next}", "CAST(m + INTERVAL 1 MONTH AS DATE)"), ["orders", "customer"])
 _RANKED = f"SELECT m, rank() OVER (PARTITION BY m ORDER BY v) + (count(*) OVER (PARTITION BY m, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY m ORDER BY f) + (count(*) OVER (PARTITION BY m, f) - 1) / 2.0 AS rf FROM (SELECT m, k, v, lead(v) OVER (PARTITION BY k ORDER BY m) / v - 1 AS f FROM {_PANEL} AS p) AS q WHERE f IS NOT NULL"
 table_query("c07_rank_correlation", f"SELECT m, round(corr(CAST(rv AS DOUBLE), CAST(rf AS DOUBLE)), 6) + 0.0 AS ic, count(*) AS n FROM ({_RANKED}) AS r GROUP BY m HAVING count(*) >= 5", None, ["orders", "customer"])
 table_query("c08_ic_summary", f"SELECT count(*) AS n, round(avg(ic), 6) + 0.0 AS mean_ic, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 6) + 0.0 AS t FROM (SELECT m, corr(CAST(rv AS DOUBLE), CAST(rf AS DOUBLE)) AS ic FROM ({_RANKED}) AS r GROUP BY m HAVING count(*) >= 5) AS s", None, ["orders", "customer"])
@@ -106,7 +108,10 @@ table_query("i01_block_ic", f"SELECT symbol, blk, round(CAST(ic AS DOUBLE), 6) +
 table_query("i03_newey_west_t", f"SELECT symbol, round(CAST(mu / sqrt((g0 + 2 * 0.5 * g1) / n) AS DOUBLE), 6) + 0.0 AS t FROM (SELECT symbol, count(*) AS n, max(mu) AS mu, avg(d * d) AS g0, sum(d * coalesce(p, 0)) / count(*) AS g1 FROM (SELECT symbol, mu, d, lag(d) OVER (PARTITION BY symbol ORDER BY blk) AS p FROM (SELECT symbol, blk, avg(ic) OVER (PARTITION BY symbol) AS mu, ic - avg(ic) OVER (PARTITION BY symbol) AS d FROM ({_BLOCKS}) AS q) AS r) AS s GROUP BY symbol) AS t WHERE g0 + g1 > 0", None, ["bars"])
 table_query("i04_ic_summary", f"SELECT symbol, count(*) AS n, round(CAST(avg(ic) AS DOUBLE), 6) + 0.0 AS mean_ic, round(CAST(avg(ic) / stddev_samp(ic) AS DOUBLE), 6) + 0.0 AS ir, count_if(sign(ic) = sign(mu)) AS same_sign FROM (SELECT symbol, blk, ic, avg(ic) OVER (PARTITION BY symbol) AS mu FROM ({_BLOCKS}) AS q) AS r GROUP BY symbol", None, ["bars"])
 table_query("i18_r_squared", "SELECT l_returnflag, round(1 - sum(pow(l_extendedprice - 1000 * l_quantity, 2)) / sum(pow(l_extendedprice - mu, 2)), 6) + 0.0 AS r2 FROM (SELECT l_returnflag, l_extendedprice, l_quantity, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS mu FROM {lineitem}) AS l GROUP BY l_returnflag", None, ["lineitem"])
-table_query("i20_combined_sharpe", "SELECT n, round(s1 * sqrt(n / (1 + (n - 1) * rho)), 6) AS sharpe FROM (SELECT CAST(p_size AS DOUBLE) AS n, 0.5 AS s1, 0.3 AS rho FROM {part} GROUP BY p_size) AS p", None, ["part"])
+#: What n bricks of the mean Sharpe and mean correlation of all come to together.
+_ONE = f"SELECT avg(s) AS s1 FROM (SELECT symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(CAST(252 AS DOUBLE)) AS s FROM {_PNL} AS p GROUP BY symbol) AS q"
+_RHO = f"SELECT avg(c) AS rho FROM (SELECT a.symbol AS x, b.symbol AS y, corr(a.r, b.r) AS c FROM {_PNL} AS a JOIN {_PNL} AS b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol) AS p"
+table_query("i20_combined_sharpe", f"SELECT CAST(n AS INT) AS n, round(s1 * sqrt(CAST(n AS DOUBLE) / (1 + (n - 1) * rho)), 5) + 0.0 AS sharpe FROM ({_ONE}) AS s CROSS JOIN ({_RHO}) AS c CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS v(n)", None, ["days"])
 table_query("m01_walk_forward_folds", "SELECT symbol, fold, count_if(rn < fold * fs) AS train, count_if(rn >= fold * fs + 24 AND rn < (fold + 1) * fs) AS test FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, CAST(floor(count(*) OVER (PARTITION BY symbol) / 6) AS BIGINT) AS fs FROM {bars}) AS b CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS f(fold) GROUP BY symbol, fold", None, ["bars"])
 table_query("m02_temporal_split", "SELECT symbol, count_if(rn <= n - t - 24) AS train, count_if(rn > n - t) AS test FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n, CAST(floor(0.2 * count(*) OVER (PARTITION BY symbol)) AS BIGINT) AS t FROM {bars}) AS b GROUP BY symbol", None, ["bars"])
 table_query("m06_train_quantile_threshold", "SELECT e.event_type, round(q, 6) AS threshold, count_if(value >= q) AS taken FROM {events} AS e JOIN (SELECT event_type, percentile(value, 0.8) AS q FROM {events} WHERE ts < TIMESTAMP_NTZ'2024-01-20 00:00:00' GROUP BY event_type) AS t ON e.event_type = t.event_type WHERE ts >= TIMESTAMP_NTZ'2024-01-20 00:00:00' GROUP BY e.event_type, q", "SELECT e.event_type, round(q, 6) AS threshold, count_if(value >= q) AS taken FROM events AS e JOIN (SELECT event_type, quantile_cont(value, 0.8) AS q FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type) AS t ON e.event_type = t.event_type WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY e.event_type, q", ["events"])

@@ -37,7 +37,6 @@ table_query("s23_source_priority", "SELECT symbol, ts, close, src FROM (SELECT s
 table_query("s24_finer_bars", "SELECT symbol, m, bin, min_by(value, struct(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, struct(ts, event_id)) AS close FROM (SELECT event_type AS symbol, m, event_id, ts, value, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / (m * 60)) AS BIGINT) AS bin FROM {events} CROSS JOIN (VALUES (5), (15), (30)) AS v(m) WHERE value IS NOT NULL) AS e GROUP BY symbol, m, bin", "SELECT symbol, m, bin, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close FROM (SELECT event_type AS symbol, m, event_id, ts, value, CAST(floor(floor(epoch(ts)) / (m * 60)) AS BIGINT) AS bin FROM events CROSS JOIN (VALUES (5), (15), (30)) AS v(m) WHERE value IS NOT NULL) AS e GROUP BY symbol, m, bin", ["events"])
 table_query("s25_finer_else_coarser", "SELECT d.symbol, d.day, CASE WHEN n >= 6 THEN 'fine' ELSE 'coarse' END AS source, CASE WHEN n >= 6 THEN fine ELSE coarse END AS close FROM (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n, max_by(close, ts) AS fine FROM {bars} GROUP BY symbol, CAST(ts AS DATE)) AS d JOIN (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS coarse FROM {events} GROUP BY event_type, CAST(ts AS DATE)) AS c ON d.symbol = c.event_type AND d.day = c.day", None, ["bars", "events"])
 table_query("s27_true_utc_bars", "SELECT symbol, convert_timezone('Europe/Athens', 'UTC', ts) AS utc, close FROM {bars}", "SELECT symbol, timezone('UTC', timezone('Europe/Athens', ts)) AS utc, close FROM {bars}", ["bars"])
-table_query("p16_column_blocks", "SELECT symbol, ts, round(close - open, 6) + 0.0 AS body, round(high - low, 6) AS span FROM {bars} WHERE volume > 1", None, ["bars"])
 
 #: A synthetic market beside each symbol: a walk of drawn steps over the hours of its events, weekends left out.
 _STEP = tuple(f"({NUMBER[d].format(f'concat(symbol, chr(58), CAST(i AS {t}))')} % 2001 - 1000) / CAST(1000 AS DOUBLE) * 0.0006" for d, t in ((False, "STRING"), (True, "VARCHAR")))
