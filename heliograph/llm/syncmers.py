@@ -4,14 +4,16 @@ Of the UTF-8 bytes of a text, a k-mer is an anchor if the least of its inner
 s-mers, by hash, stands at its first or last place. That depends on the k-mer
 alone, so texts that share a passage share its anchors, wherever it stands.
 
-A fingerprint holds every anchor of its text, in order: in hex, one byte with
-the distance in bytes from the anchor before (the first: from the start) and
-eight with the hash. Adjacent anchors are at most k - s bytes apart, so a
-fingerprint grows with its text, by some 4.5 digits a byte.
+A fingerprint holds every anchor of its text, in order: four base64 digits
+each, 3 bits with the distance in bytes from the anchor before (the first: from
+the start) and 21 with the hash. Adjacent anchors are at most k - s = 7 bytes
+apart, so a fingerprint grows with its text, by about one digit a byte. An
+anchor alone is written whole, in twelve digits (8 bits and 64).
 
 Likeness matches anchors at a consistent offset: an anchor and the next one are
 common if both hashes and the distance between them occur in the other text
-too, each occurrence there used once. An anchor is matched if it is common with
+too, each occurrence there used once. Only what a fingerprint holds is compared:
+two different links are alike by chance with 2^-42. An anchor is matched if it is common with
 one of its neighbours. With m, the mean of both texts' matched anchors,
 likeness is m / (all anchors of both - m).
 
@@ -24,6 +26,7 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -66,6 +69,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarra
 
 #: An anchor as stored: distance from the one before, and hash.
 ANCHOR = np.dtype([("gap", "u1"), ("hash", ">u8")])
+#: Bits of a hash that are written and compared; with those of the distance they fill three bytes.
+HASH_BITS = 21
+#: Bytes of text in a partition that is sorted, so that sorting need not spill.
+PART_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,14 @@ class Print:
     begins: np.ndarray
 
 
+def written(stored: np.ndarray) -> str:
+    """A fingerprint's digits."""
+    if len(stored) < 2:
+        return base64.b64encode(stored.tobytes()).decode()
+    packed = stored["gap"].astype(">u4") << HASH_BITS | (stored["hash"] & np.uint64((1 << HASH_BITS) - 1)).astype(">u4")
+    return base64.b64encode(packed.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
+
+
 def prints_of(texts: list[bytes], p: Params) -> list[Print]:
     """The anchors of every text, and their links. A link that occurs again counts as another, by its number of occurrence."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -91,7 +106,8 @@ def prints_of(texts: list[bytes], p: Params) -> list[Print]:
         gap = at - np.where(first, offsets[row], np.concatenate([[0], at[:-1]]))
         stored["gap"] = gap
         begins = np.flatnonzero(~first[1:])
-        links = splitmix(found[begins] + splitmix(found[begins + 1] + gap[begins + 1].astype(np.uint64)))
+        held = found & np.uint64((1 << HASH_BITS) - 1)
+        links = splitmix(held[begins] + splitmix(held[begins + 1] + (gap[begins + 1].astype(np.uint64) << np.uint64(HASH_BITS))))
         order = np.lexsort((links, row[begins]))
         begins, links = begins[order], links[order]
         link_row = row[begins]
@@ -151,11 +167,13 @@ def beside_next(docs: DataFrame) -> DataFrame:
     The first document of a range also goes to the range before it (that of
     the first range to the last), marked ``extra``, so every document finds its
     successor in its own partition and no window spans the table. Range bounds
-    are quantiles of the ids; there are as many as shuffle partitions.
+    are quantiles of the ids; there are as many as shuffle partitions, or more
+    where a range would else hold over ``PART_BYTES`` of text on average.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = ids.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     cuts = ids.where("doc_id is not null").select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     place = F.when(F.col("doc_id").isNull(), parts).otherwise(F.lit(parts - 1) - _place(F.col("doc_id"), sorted(set(cuts))))
     placed = ids.withColumn("place", place)
@@ -213,8 +231,8 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     pa.array([i for i, _, _ in own], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in edited], pa.string()),
-                    pa.array([x.stored.tobytes().hex() for x in prints[:-1]], pa.string()),
-                    pa.array([x.stored.tobytes().hex() for x in changed], pa.string()),
+                    pa.array([written(x.stored) for x in prints[:-1]], pa.string()),
+                    pa.array([written(x.stored) for x in changed], pa.string()),
                     pa.array([likeness(a, b) for a, b in zip(prints, changed, strict=False)], pa.float64()),
                     pa.array([likeness(a, b) for a, b in zip(prints[:-1], prints[1:], strict=True)], pa.float64()),
                 ],

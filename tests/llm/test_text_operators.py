@@ -264,6 +264,29 @@ def test_fingerprints_of_all_awkward_rows(spark):
     assert [r.edited_sha256 for r in one] == [sha("abab")]
 
 
+def test_fingerprints_take_a_digit_a_byte_and_hold_every_anchor():
+    import base64
+    import random
+
+    rng, p = random.Random(4), syncmers.Params()
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(2000)).encode()
+    found = syncmers.prints_of([text, b"short", b""], p)
+    digits = [syncmers.written(x.stored) for x in found]
+    raw = base64.b64decode(digits[0])
+    units = [int.from_bytes(raw[i : i + 3], "big") for i in range(0, len(raw), 3)]
+    assert [u >> 21 for u in units] == found[0].stored["gap"].tolist()
+    assert [u % 2**21 for u in units] == [h % 2**21 for h in found[0].stored["hash"].tolist()]
+    assert 0.8 * len(text) < len(digits[0]) < 1.2 * len(text) and [len(x) for x in digits[1:]] == [12, 0]
+
+
+def test_ranges_hold_little_text_whatever_the_number_of_shuffle_partitions(spark, monkeypatch):
+    rows = [(i, f"{i} some words of a text that is not long") for i in range(300)]
+    want = sorted(syncmers.fingerprints(documents(spark, rows)).collect())
+    monkeypatch.setattr(syncmers, "PART_BYTES", 600)
+    assert syncmers.beside_next(documents(spark, rows)).rdd.getNumPartitions() > 15
+    assert sorted(syncmers.fingerprints(documents(spark, rows)).collect()) == want
+
+
 def test_syncmers_are_free_of_context():
     p = syncmers.Params()
     core = b"the quick brown fox jumps over the lazy dog and runs away"
