@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.linear import GAIN, LOSS, directional_index, ema, fading, relative_strength, seeded, wilder
-from heliograph.functions.series import ORDERED, crossed_down, crossed_up, lag, last, log_return, prior, rolling, sma, true_range, wma
+from heliograph.functions.series import ORDERED, crossed_down, crossed_up, lag, last, log_return, over, prior, rolling, sma, true_range, wma
 from heliograph.operators.asof import as_of
 from heliograph.plans.registry import series
 from heliograph.plans.signals import SIDE, side
@@ -55,7 +55,9 @@ series("g26_return_skew", ["x"], TR, {"k": f"count(r) {last(60)}", **_SKEW}, {"x
 series("g28_session_volatility_ratio", ["x"], {"r2": f"pow(coalesce({log_return()}, 0), 2)"}, {"a": f"avg(CASE WHEN {IN_NEW_YORK} THEN r2 END) {of_day('n_d')}", "b": f"avg(CASE WHEN NOT ({IN_NEW_YORK}) THEN r2 END) {of_day('n_d')}"}, *of_day_before("n_d", ap="a", bp="b"), {"x": f"CASE WHEN {IN_NEW_YORK} THEN ln((ap + 1e-18) / (bp + 1e-18)) END"}, places=NEW_YORK)
 series("w42_floor_pivots", ["p", "r1", "s1"], {"dh": f"max(high) {of_day('l_d')}", "dl": f"min(low) {of_day('l_d')}", "dc": f"max_by(close, ts) {of_day('l_d')}"}, *of_day_before("l_d", ph="dh", pl="dl", pc="dc"), {"p": "(ph + pl + pc) / 3"}, {"r1": "2 * p - pl", "s1": "2 * p - ph"}, places=LONDON)
 series("w48_panel_features", ["mom60", "mom20", "rev5", "vol20", "range_pos"], TR, {"mom60": f"ln({lag('close', 5)}) - ln({lag('close', 60)})", "mom20": f"ln({lag('close')}) - ln({lag('close', 20)})", "rev5": f"-(ln(close) - ln({lag('close', 5)}))", "vol20": rolling("stddev_samp", "r", 20), "hh": rolling("max", "high", 60), "ll": rolling("min", "low", 60)}, {"range_pos": "(close - ll) / nullif(hh - ll, 0) - 0.5"}, daily=True)
-series("j12_prior_session_extremes", [f"{n}_{x}" for n in ("london", "newyork") for x in ("high", "low")], {f"{x}{n}": f"{how}(CASE WHEN {w} THEN {c} END) {of_day('l_d')}" for n, w in (("l", IN_LONDON), ("n", IN_NEW_YORK)) for x, how, c in (("h", "max", "high"), ("l", "min", "low"))}, *of_day_before("l_d", p1="hl", p2="ll", p3="hn", p4="ln"), {n: f"100 * (close / p{i} - 1)" for i, n in enumerate(("london_high", "london_low", "newyork_high", "newyork_low"), 1)}, places=LONDON | NEW_YORK)
+_SESSIONS = [{f"{x}{n}": f"{how}(CASE WHEN {w} THEN {c} END) {of_day('l_d')}" for n, w in (("l", IN_LONDON), ("n", IN_NEW_YORK)) for x, how, c in (("h", "max", "high"), ("l", "min", "low"))}, *of_day_before("l_d", p1="hl", p2="ll", p3="hn", p4="ln")]
+_TO_EXTREMES = [{n: f"100 * ({f('close', f'p{i}')} - 1)" for i, n in enumerate(("london_high", "london_low", "newyork_high", "newyork_low"), 1)} for f in (over, "{} / {}".format)]
+series("j12_prior_session_extremes", list(_TO_EXTREMES[0]), *_SESSIONS, _TO_EXTREMES[0], duck=[*_SESSIONS, _TO_EXTREMES[1]], places=LONDON | NEW_YORK)
 
 # --- another symbol's bars, as of each bar
 DRIVER = "purchase"
