@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.functions.series import ORDERED, SO_FAR, WHOLE, crossed_down, crossed_up, drawdown, following, lag, last, lead, log_return, ordered_sma, prior, ratio, rolling, sma, true_range, wma
+from heliograph.functions.series import ORDERED, SO_FAR, WHOLE, crossed_down, crossed_up, drawdown, following, lag, last, lead, log_return, natural_log, ordered_sma, over, prior, ratio, rolling, sma, true_range, wma
 from heliograph.plans.registry import series
 
 R = {"r": log_return()}
@@ -45,7 +45,9 @@ series("w27_ordered_sma", ["x"], {"x": ordered_sma("close", 7)})
 series("w28_stochastic", ["k", "d"], {"hh": rolling("max", "high", 14), "ll": rolling("min", "low", 14)}, {"k": "100 * (close - ll) / nullif(hh - ll, 0)"}, {"d": ordered_sma("k", 3)})
 series("w29_true_range", ["tr"], TR)
 series("w33_money_flow_index", ["mfi"], {"tp": "(high + low + close) / 3"}, {"dtp": f"tp - {lag('tp')}"}, {"up": f"sum(CASE WHEN dtp > 0 THEN tp * volume ELSE 0 END) {last(14)}", "dn": f"sum(CASE WHEN dtp < 0 THEN tp * volume ELSE 0 END) {last(14)}", "k": f"count(dtp) {last(14)}"}, {"mfi": "CASE WHEN k < 14 THEN NULL WHEN dn = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END"})
-series("w31_range_volatility", ["parkinson", "garman_klass", "bands"], {"hl": "pow(ln(high / low), 2)", "co": "pow(ln(close / open), 2)"}, {"parkinson": f"sqrt(CASE WHEN count(hl) {last(20)} = 20 THEN avg(hl) {last(20)} END / (4 * ln(2.0)))", "garman_klass": f"sqrt(greatest(CASE WHEN count(hl) {last(20)} = 20 THEN avg(0.5 * hl - (2 * ln(2.0) - 1) * co) {last(20)} END, 0))", "mid": sma("close", 20), "sd": rolling("stddev_pop", "close", 20)}, {"bands": "(close - (mid - 2 * sd)) / nullif(4 * sd, 0)"})
+_LOG_RANGES = {"hl": f"pow({natural_log('hl_ratio')}, 2)", "co": f"pow({natural_log('co_ratio')}, 2)"}
+_RANGE_VOLATILITY = [{"parkinson": f"sqrt(CASE WHEN count(hl) {last(20)} = 20 THEN avg(hl) {last(20)} END / (4 * ln(2.0)))", "garman_klass": f"sqrt(greatest(CASE WHEN count(hl) {last(20)} = 20 THEN avg(0.5 * hl - (2 * ln(2.0) - 1) * co) {last(20)} END, 0))", "mid": sma("close", 20), "sd": rolling("stddev_pop", "close", 20)}, {"bands": "(close - (mid - 2 * sd)) / nullif(4 * sd, 0)"}]
+series("w31_range_volatility", ["parkinson", "garman_klass", "bands"], {"hl_ratio": over("high", "low"), "co_ratio": over("close", "open")}, _LOG_RANGES, *_RANGE_VOLATILITY, duck=[{"hl": "pow(ln(high / low), 2)", "co": "pow(ln(close / open), 2)"}, *_RANGE_VOLATILITY])
 series("w32_volume_features", ["volume_z", "obv_z", "cmf"], {"step": f"coalesce(sign(close - {lag('close')}), 0) * volume", "mf": "coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume"}, {"obv": f"sum(step) {SO_FAR}"}, {"volume_z": f"(volume - ({sma('volume', 20)})) / nullif({rolling('stddev_pop', 'volume', 20)}, 0)", "obv_z": f"(obv - ({sma('obv', 20)})) / nullif({rolling('stddev_pop', 'obv', 20)}, 0)", "cmf": f"CASE WHEN count(mf) {last(21)} = 21 THEN sum(mf) {last(21)} / nullif(sum(volume) {last(21)}, 0) END"})
 series("w34_bar_structure", ["body", "upper", "lower"], {"body": "(close - open) / nullif(high - low, 0)", "upper": "(high - greatest(open, close)) / nullif(high - low, 0)", "lower": "(least(open, close) - low) / nullif(high - low, 0)"})
 series("w35_gap", ["gap"], {"gap": f"CASE WHEN ts - {lag('ts')} > INTERVAL 1 HOUR THEN ln(open / {lag('close')}) ELSE 0.0 END"})
