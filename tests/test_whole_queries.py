@@ -63,3 +63,13 @@ def test_walks_have_sides_targets_and_costs(spark):
     assert run(down, side=-1, most=0) == [(None, None), (2.0, None)]
     got = entry.queries()["x03_rule_walk_sides"](spark, FOLDER).collect()
     assert {r.side for r in got} == {1, -1} and all(any(r.at_open is not None or r.in_bar is not None for r in got if r.side == s) for s in (1, -1))
+
+
+def test_every_text_has_its_own_index(spark, tmp_path):
+    import hashlib
+
+    rows = [(1, "b a  b a c"), (1, "another text of one id"), (2, None), (3, ""), (4, " x "), (None, "no id no"), (5, "Ä ä a Ä")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()["z13_inverted_index"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(((i, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=repr)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
