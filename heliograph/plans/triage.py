@@ -5,8 +5,14 @@ A paper is one text, lower-cased; nothing else is read.
 
 from __future__ import annotations
 
-from heliograph.plans.registry import table_query
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
+
+from heliograph.operators.storage import shared_path
+from heliograph.plans.registry import query, table_query, without_decimals
 from heliograph.plans.trades import BOTH
+from heliograph.sources.tables import table
 
 #: Keywords of the families that papers are sorted into, of what rules them out, and of tests on prices.
 FAMILIES = {
@@ -81,14 +87,24 @@ table_query("z16_all_labels", *(f"SELECT doc_id, {ordered({f: f for f in MARKERS
 KINDS = {"tsmom_12": "intraday_momentum_breakout", "donchian_20": "intraday_momentum_breakout", "orb_2": "intraday_momentum_breakout", "boll_20": "mean_reversion_extreme", "rsi_14": "mean_reversion_extreme", "tod_volume": "microstructure_session_seasonality", "turn_of_month": "microstructure_session_seasonality", "leadlag_5": "cross_asset_lead_lag", "rv_ratio": "volatility_skew_dynamics", "skew_60": "volatility_skew_dynamics"}
 
 
-def catalogue(symbols: str, marked: str = MARKED) -> str:
-    """Every kind of signal of every symbol, each with the next paper of its family in turn; papers by markers, then number."""
+def catalogue(symbols: str, marked: str = MARKED, first: int | None = None) -> str:
+    """Every kind of signal of every symbol, each with the next paper of its family in turn; papers by markers, then number. ``first``: rank only so many papers of a family."""
     kinds = ", ".join(f"({i}, '{k}', '{f}', '{ABBREVIATIONS[f]}')" for i, (k, f) in enumerate(KINDS.items()))
     papers = " UNION ALL ".join(f"SELECT '{f}' AS family, doc_id, {f} AS n FROM ({marked}) AS m{i} WHERE {f} > 0" for i, f in enumerate(MARKERS))
     refs = f"SELECT family, doc_id, row_number() OVER (PARTITION BY family ORDER BY n DESC, doc_id) - 1 AS place FROM ({papers}) AS p"
+    if first is not None:
+        refs = f"SELECT family, doc_id, rn - 1 AS place FROM (SELECT family, doc_id, row_number() OVER (PARTITION BY family ORDER BY n DESC, doc_id NULLS LAST) AS rn FROM ({papers}) AS p) AS r WHERE rn <= {first}"
     counts = f"SELECT family, count(*) AS n_papers FROM ({papers}) AS p GROUP BY family"
     specs = f"SELECT symbol, kind, family, concat(abbr, '_', kind, '_', symbol) AS signal_id, row_number() OVER (PARTITION BY family ORDER BY symbol, i) - 1 AS turn FROM ({symbols}) AS s CROSS JOIN (VALUES {kinds}) AS v(i, kind, family, abbr)"
     return f"SELECT signal_id, s.family AS family, kind, coalesce(n_papers, 0) AS n_papers, doc_id AS paper FROM ({specs}) AS s LEFT JOIN ({counts}) AS c ON s.family = c.family LEFT JOIN ({refs}) AS r ON s.family = r.family AND r.place = s.turn % n_papers"
 
 
-table_query("z17_hypothesis_catalogue", catalogue("SELECT DISTINCT event_type AS symbol FROM {events}"), None, ["documents", "events"])
+@query("z17_hypothesis_catalogue", catalogue("SELECT DISTINCT event_type AS symbol FROM {events}").format(events="events", documents="documents"))
+def hypothesis_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts are read once: their counts of markers are written, and papers ranked from those. No turn goes beyond the number of a family's signals, so only so many papers of it are ranked."""
+    symbols = table(spark, folder, "events").selectExpr("event_type AS symbol").distinct()
+    path = shared_path(spark, "papers")
+    spark.sql(MARKED, documents=table(spark, folder, "documents")).write.parquet(path)
+    signals = symbols.count() * max(Counter(KINDS.values()).values())
+    text = catalogue("SELECT symbol FROM {symbols}", "SELECT * FROM {marked}", signals)
+    return without_decimals(spark.sql(text, symbols=symbols, marked=spark.read.parquet(path)))

@@ -33,3 +33,11 @@ def test_squared_errors_need_no_window(spark, tmp_path):
     query = entry.queries()["i18_r_squared"]
     assert not difference(spark, connection(folder), query, entry.oracle_sql()["i18_r_squared"], folder)
     assert "Window" not in plan(query(spark, folder))
+
+
+def test_papers_are_ranked_as_far_as_turns_go(spark, tmp_path):
+    folder = changed(tmp_path, documents="SELECT nullif(i, 7) AS doc_id, 'breakout momentum vwap garch' AS text FROM range(90) AS r(i)")
+    query = entry.queries()["z17_hypothesis_catalogue"]
+    assert not difference(spark, connection(folder), query, entry.oracle_sql()["z17_hypothesis_catalogue"], folder)
+    found = plan(query(spark, folder))
+    assert "WindowGroupLimit" in found and "text#" not in found
