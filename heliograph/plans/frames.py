@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.linear import ema, fading
-from heliograph.functions.series import lag, last, log_return, rolling, sma
+from heliograph.functions.series import lag, last, log_return, over, rolling, sma
 from heliograph.operators.asof import as_of
 from heliograph.operators.resample import resample
 from heliograph.operators.staged import Stage, staged_sql, with_stages
@@ -50,7 +50,8 @@ def two_hour_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 table_query("j10_outer_align", "SELECT coalesce(a.ts, b.ts) AS ts, round(a.close, 6) AS one, round(b.close, 6) AS other FROM (SELECT ts, close FROM {bars} WHERE symbol = 'purchase') AS a FULL OUTER JOIN (SELECT ts, close FROM {bars} WHERE symbol = 'signup') AS b ON a.ts = b.ts", None, ["bars"])
-table_query("j19_forward_extremes", "SELECT symbol, ts, round(max(high) OVER w / close - 1, 6) + 0.0 AS best, round(min(low) OVER w / close - 1, 6) + 0.0 AS worst, count(*) OVER w AS n FROM {bars} WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)", None, ["bars"])
+_FORWARD = "SELECT symbol, ts, round({best} - 1, 6) + 0.0 AS best, round({worst} - 1, 6) + 0.0 AS worst, count(*) OVER w AS n FROM {{bars}} WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)"
+table_query("j19_forward_extremes", *(_FORWARD.format(best=f("max(high) OVER w", "close"), worst=f("min(low) OVER w", "close")) for f in (over, "{} / {}".format)), ["bars"])
 #: The next entry that a trade from this bar leaves free: the first entry at or after the bar where it ends.
 _ENTRIES = "SELECT symbol, ts, n, CASE WHEN close > open THEN n END AS entry FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM {bars}) AS b"
 table_query("j20_next_free_entry", f"SELECT symbol, ts, min(entry) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 6 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_entry FROM ({_ENTRIES}) AS e", None, ["bars"])

@@ -10,7 +10,7 @@ TR = {"tr": true_range()}
 DAY = {"day": "date_trunc('day', ts)"}
 MIN_DAY = "OVER (PARTITION BY symbol, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
-series("w01_log_returns", [f"r{n}" for n in (1, 3, 5, 10, 20, 50)], {f"r{n}": log_return(n=n) for n in (1, 3, 5, 10, 20, 50)})
+series("w01_log_returns", [f"r{n}" for n in (1, 3, 5, 10, 20, 50)], {"log_close": natural_log("close")}, {f"r{n}": f"log_close - {lag('log_close', n)}" for n in (1, 3, 5, 10, 20, 50)}, duck=[{f"r{n}": log_return(n=n) for n in (1, 3, 5, 10, 20, 50)}])
 series("w02_forward_return", ["fwd1", "fwd3", "fwd12"], {f"fwd{k}": f"{ratio(lead('close', k), 'close')} - 1" for k in (1, 3, 12)})
 series("w03_rolling_sum", ["x"], R, {"x": rolling("sum", "r", 20)})
 series("w04_sma", ["sma10", "sma50"], {"sma10": sma("close", 10), "sma50": sma("close", 50)})
@@ -50,7 +50,7 @@ _RANGE_VOLATILITY = [{"parkinson": f"sqrt(CASE WHEN count(hl) {last(20)} = 20 TH
 series("w31_range_volatility", ["parkinson", "garman_klass", "bands"], {"hl_ratio": over("high", "low"), "co_ratio": over("close", "open")}, _LOG_RANGES, *_RANGE_VOLATILITY, duck=[{"hl": "pow(ln(high / low), 2)", "co": "pow(ln(close / open), 2)"}, *_RANGE_VOLATILITY])
 series("w32_volume_features", ["volume_z", "obv_z", "cmf"], {"step": f"coalesce(sign(close - {lag('close')}), 0) * volume", "mf": "coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume"}, {"obv": f"sum(step) {SO_FAR}"}, {"volume_z": f"(volume - ({sma('volume', 20)})) / nullif({rolling('stddev_pop', 'volume', 20)}, 0)", "obv_z": f"(obv - ({sma('obv', 20)})) / nullif({rolling('stddev_pop', 'obv', 20)}, 0)", "cmf": f"CASE WHEN count(mf) {last(21)} = 21 THEN sum(mf) {last(21)} / nullif(sum(volume) {last(21)}, 0) END"})
 series("w34_bar_structure", ["body", "upper", "lower"], {"body": "(close - open) / nullif(high - low, 0)", "upper": "(high - greatest(open, close)) / nullif(high - low, 0)", "lower": "(least(open, close) - low) / nullif(high - low, 0)"})
-series("w35_gap", ["gap"], {"gap": f"CASE WHEN ts - {lag('ts')} > INTERVAL 1 HOUR THEN ln(open / {lag('close')}) ELSE 0.0 END"})
+series("w35_gap", ["gap"], {"before": lag("close")}, {"ratio": over("open", "before")}, {"gap": f"CASE WHEN ts - {lag('ts')} > INTERVAL 1 HOUR THEN {natural_log('ratio')} ELSE 0.0 END"}, duck=[{"gap": f"CASE WHEN ts - {lag('ts')} > INTERVAL 1 HOUR THEN ln(open / {lag('close')}) ELSE 0.0 END"}])
 series("w36_efficiency_ratio", ["er"], {"d": f"abs(close - {lag('close')})", "move": f"abs(close - {lag('close', 10)})"}, {"er": f"move / nullif({rolling('sum', 'd', 10)}, 0)"})
 series("w37_internal_bar_strength", ["ibs"], {"ibs": "(close - low) / nullif(high - low, 0)"})
 series("w38_williams_r", ["wr"], {"hh": rolling("max", "high", 14), "ll": rolling("min", "low", 14)}, {"wr": "-100 * (hh - close) / nullif(hh - ll, 0)"})
@@ -62,7 +62,8 @@ _ALL_DAY = "OVER (PARTITION BY symbol, day)"
 series("w43_opening_range", ["hi", "lo"], DAY, {"pos": "row_number() OVER (PARTITION BY symbol, day ORDER BY ts) - 1"}, {"h": f"max(CASE WHEN pos < 3 THEN high END) {_ALL_DAY}", "l": f"min(CASE WHEN pos < 3 THEN low END) {_ALL_DAY}"}, {"hi": "CASE WHEN pos >= 3 THEN h END", "lo": "CASE WHEN pos >= 3 THEN l END"})
 series("w44_cumulative_drawdown", ["dd"], {"r": f"coalesce({log_return()}, 0)"}, {"eq": f"sum(r) {SO_FAR}"}, {"dd": drawdown("eq")})
 series("w45_structural_stop", ["dist"], TR, {"atr": rolling("avg", "tr", 14), "ll": f"min(low) {last(10)}", "hh": f"max(high) {last(10)}"}, {"dist": "CASE WHEN atr IS NOT NULL THEN greatest(close - ll, hh - close, 0.25 * atr) END"})
-series("w46_percent_change", ["chg", "vol"], {"r1": f"close / {lag('close')} - 1", "chg": f"close / {lag('close', 20)} - 1"}, {"vol": rolling("stddev_pop", "r1", 20)})
+_VOL = {"vol": rolling("stddev_pop", "r1", 20)}
+series("w46_percent_change", ["chg", "vol"], {"c1": lag("close"), "c20": lag("close", 20)}, {"r1": f"{over('close', 'c1')} - 1", "chg": f"{over('close', 'c20')} - 1"}, _VOL, duck=[{"r1": f"close / {lag('close')} - 1", "chg": f"close / {lag('close', 20)} - 1"}, _VOL])
 series("w30_momentum_block", ["cum20", "slope", "roc"], {**R, "n": f"CAST(row_number() {ORDERED} AS DOUBLE)", "lc": "ln(close)", "roc": f"100 * (close / {lag('close', 12)} - 1)"}, {"cum20": rolling("sum", "r", 20), "slope": f"CASE WHEN n >= 20 THEN regr_slope(lc, n) {last(20)} END"})
 series("w47_momentum_features", ["mom12", "rev5", "hi52"], {"mom12": f"ln({lag('close', 21)}) - ln({lag('close', 252)})", "rev5": f"-(ln(close) - ln({lag('close', 5)}))", "hi52": f"close / ({rolling('max', 'close', 252)}) - 1"}, daily=True)
 series("w50_index_momentum", ["m1", "m3", "m6", "r5"], {f"m{k}": f"ln(close) - ln({lag('close', 21 * k)})" for k in (1, 3, 6)} | {"r5": f"-(ln(close) - ln({lag('close', 5)}))"}, daily=True)

@@ -25,6 +25,6 @@ def zeros(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["j11_previous_day_extremes", "j12_prior_session_extremes", "w31_range_volatility", "a01_tick_microstructure"])
+@pytest.mark.parametrize("name", ["j11_previous_day_extremes", "j12_prior_session_extremes", "w31_range_volatility", "a01_tick_microstructure", "j19_forward_extremes", "w01_log_returns", "w35_gap", "w46_percent_change"])
 def test_query_equals_its_sql_where_prices_are_zero(spark, zeros, name):
     assert not difference(spark, connection(zeros), entry.queries()[name], entry.oracle_sql()[name], zeros)
